@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import language_id, packing, resharding, warc
+from lodestone.llm import jaccard_join, language_id, packing, resharding, warc
 from lodestone.llm.common import read
 
 #: Old shards of the resharding query: a checksum of the source, so one of them is as hot as the hottest source.
@@ -37,6 +37,10 @@ def op5_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(read(spark, sf_dir, "pages"))
 
@@ -49,6 +53,7 @@ def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_harmonic_packing": op4_harmonic_packing,
     "op5_flow_resharding": op5_flow_resharding,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_ppm_language": op10_ppm_language,
 }
