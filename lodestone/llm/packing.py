@@ -20,8 +20,10 @@ from pyspark.sql import DataFrame
 CAPACITY = 4096
 WHOLE_BELOW = 32
 END_OF_DOCUMENT = 2
-#: Words whose ids a worker remembers at most.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker remembers in each of two generations.
+CACHE_WORDS = 500_000
+
+_ENCODERS: dict[str, WordIds] = {}
 
 PIECE_SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -38,10 +40,15 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.older: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= CACHE_WORDS:  # words in use come back from the older generation
+            self.older = dict(self)
             self.clear()
+        if (known := self.older.get(word)) is not None:
+            self[word] = known
+            return known
         if word[-1:] in (b".", b",") and word[-2:-1].isalpha():
             ids = self[word[:-1]] + self.plain(word[-1:])
         else:
@@ -167,5 +174,16 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[bytes], bytes]], *, ca
 
 
 def word_encoder(path: str) -> Callable[[], Callable[[bytes], bytes]]:
-    """An encoder for a tokenizer file whose normaliser lower-cases and whose pre-tokenizer drops white space."""
-    return lambda: WordIds(path).ids
+    """An encoder for a tokenizer file whose normaliser lower-cases and whose pre-tokenizer drops white space.
+
+    A worker process keeps its word ids from one task to the next.
+    """
+
+    def make() -> Callable[[bytes], bytes]:
+        from lodestone.llm.packing import _ENCODERS as known  # the worker's own, not a copy sent along
+
+        if path not in known:
+            known[path] = WordIds(path)
+        return known[path].ids
+
+    return make
