@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import fingerprints, jaccard_join, language_id, packing, resharding, warc
+from lodestone.llm import fingerprints, jaccard_join, language_id, packing, resharding, substring_dedup, warc
 from lodestone.llm.common import read
 
 #: Old shards of the resharding query: a checksum of the source, so one of them is as hot as the hottest source.
@@ -21,6 +21,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op2_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(read(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_recompression_dedup": op1_recompression_dedup,
     "op2_minhash_fingerprints": op2_minhash_fingerprints,
     "op4_harmonic_packing": op4_harmonic_packing,
     "op5_flow_resharding": op5_flow_resharding,
