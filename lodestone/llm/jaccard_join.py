@@ -27,17 +27,21 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import materialize
 from lodestone.llm.components import components
-from lodestone.llm.shingles import WordHashes, mix, shingle_set, signed
+from lodestone.llm.shingles import hashed_rows, mix, shingle_set
 
 #: Similarity of at least NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 75, 100
 SHINGLE = 5
 #: Counters of shingle frequency, and the times the mean beyond which a worker reports one.
 HOT_BUCKETS = 1 << 18
+#: Classes of a key group that all others in it are held against at first, and rows of a group that are looked at together.
+HUBS, HELD = 3, 200_000
 #: Members of a hub's group that one task verifies together.
 SALT = 512
 #: Groups up to this size are paired directly; larger ones are compared in blocks of BLOCK.
 DIRECT, BLOCK = 64, 1024
+#: Ranks of candidates, among those of one class and one component, that are verified in turn. The last takes all that are left.
+RANKS = [(0, 2), (2, 16), (16, float("inf"))]
 
 
 def max_difference(a: int, b: int) -> int:
@@ -99,22 +103,22 @@ def join_keys(found: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _sets(batch: pa.RecordBatch, words: WordHashes) -> Iterator[tuple[int, np.ndarray]]:
+def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
     """doc_id and set of each row of (doc_id, text)."""
-    for doc_id, text in zip(batch.column(0), batch.column(1)):
-        raw = text.as_py()
-        yield doc_id.as_py(), shingle_set(words.of(raw.encode().lower().split()), SHINGLE) if raw else np.zeros(0, np.uint64)
+    ids = batch.column(0).to_pylist()
+    for i, words in hashed_rows(batch.column(1), lower=True):
+        yield ids[i], shingle_set(words, SHINGLE)
 
 
 def describe(docs: DataFrame) -> DataFrame:
     """(doc_id, n, d1, d2, sketch) per document, and rows with n null that carry counts of frequent shingles: bucket in d1, count in d2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, total = WordHashes(), np.zeros(HOT_BUCKETS, np.int64), 0
+        counts, total = np.zeros(HOT_BUCKETS, np.int64), 0
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary())])
         for batch in batches:
             rows, group = [], []
-            for doc_id, found in _sets(batch, words):
+            for doc_id, found in _sets(batch):
                 digest = xxhash.xxh3_128_digest(found.tobytes())
                 d1, d2 = np.frombuffer(digest, np.int64)
                 rows.append((doc_id, len(found), int(d1), int(d2), bit_sketch(found) if len(found) else None))
@@ -149,16 +153,22 @@ def _hot_levels(described: DataFrame) -> np.ndarray:
     return levels
 
 
+def _hub_order(cls: np.ndarray, turn: int) -> np.ndarray:
+    return mix(cls.view(np.uint64) + np.uint64(turn + 1))
+
+
 def key_groups(docs: DataFrame, hot: np.ndarray, partitions: int) -> DataFrame:
-    """(key, hub, cls) of all classes in key groups of at least two classes; hub is the group's smallest class."""
+    """(key, cls, h0 .. h2) of all classes in key groups of at least two classes. The hubs are the group's first classes in HUBS
+    orders that are the same for all keys; a group of over HELD classes has hubs for each stretch of it.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(hot)  # HOT_BUCKETS bytes
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = WordHashes(), set()
+        seen: set[int] = set()
         levels = shared.value
         for batch in batches:
             keys, classes, size = [], [], 0
-            for _, found in _sets(batch, words):
+            for _, found in _sets(batch):
                 cls = int(np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)[0])
                 if cls in seen:
                     continue  # an equal set has been here; what other tasks emit again is dropped below
@@ -174,35 +184,45 @@ def key_groups(docs: DataFrame, hot: np.ndarray, partitions: int) -> DataFrame:
             if size:
                 yield _key_batch(keys, classes)
 
+    def stretch(key: np.ndarray, cls: np.ndarray, big: int | None) -> pa.RecordBatch | None:
+        """Rows of whole groups (or, for the key ``big``, of a part of one), with their hubs."""
+        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
+        key, cls = key[fresh], cls[fresh]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, len(key)))
+        keep = np.repeat((size > 1) | (key[first] == big if big is not None else False), size)
+        if not keep.any():
+            return None
+        group = np.repeat(np.arange(len(first)), size)
+        hubs = []
+        for turn in range(HUBS):
+            order = _hub_order(cls, turn)
+            least = np.minimum.reduceat(order, first)
+            at = np.flatnonzero(order == least[group])
+            hub = np.empty(len(first), np.int64)
+            hub[group[at]] = cls[at]
+            hubs.append(hub[group][keep])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (key[keep], cls[keep], *hubs)], names=["key", "cls", *(f"h{k}" for k in range(HUBS))])
+
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = last_cls = hub = None
-        open_row: tuple | None = None  # the hub's row, held until a second class comes
+        held_key, held_cls, big = np.zeros(0, np.int64), np.zeros(0, np.int64), None
         for batch in batches:
-            key, cls = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            key, cls = (np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate((held_key, held_cls)))
             if not len(key):
                 continue
-            new = np.concatenate([[key[0] != last_key], key[1:] != key[:-1]])
-            again = ~new & np.concatenate([[not new[0] and cls[0] == last_cls], cls[1:] == cls[:-1]])
-            start = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            hubs = np.where(start >= 0, cls[np.maximum(start, 0)], hub if hub is not None else 0)
-            member = ~new & ~again
-            # a hub's own row is emitted with the group's first other class
-            groups_here = np.unique(start[member])
-            out_key, out_hub, out_cls = [key[member]], [hubs[member]], [cls[member]]
-            here = groups_here[groups_here >= 0]
-            out_key.append(key[here]), out_hub.append(cls[here]), out_cls.append(cls[here])
-            if open_row and len(groups_here) and groups_here[0] < 0:
-                out_key.append(np.array([open_row[0]])), out_hub.append(np.array([open_row[1]])), out_cls.append(np.array([open_row[1]]))
-                open_row = None
-            last_key, last_cls, hub = key[-1], cls[-1], hubs[-1]
-            if start[-1] >= 0:
-                open_row = None if start[-1] in here else (int(last_key), int(hub))
-            k, h, c = (np.concatenate(x).astype(np.int64) for x in (out_key, out_hub, out_cls))
-            if len(k):
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(h), pa.array(c)], names=["key", "hub", "cls"])
+            whole = int(np.searchsorted(key, key[-1]))  # the last group may go on
+            if len(key) - whole > HELD:
+                whole = len(key)
+            held_key, held_cls = key[whole:], cls[whole:]
+            if whole and (out := stretch(key[:whole], cls[:whole], big)) is not None:
+                yield out
+            if whole == len(key):
+                big = int(key[-1])
+        if len(held_key) and (out := stretch(held_key, held_cls, big)) is not None:
+            yield out
 
     keys = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(emit, "key long, cls long")
-    return keys.repartition(partitions, "key").sortWithinPartitions("key", "cls").mapInArrow(group, "key long, hub long, cls long")
+    return keys.repartition(partitions, "key").sortWithinPartitions("key", "cls").mapInArrow(group, "key long, cls long, " + ", ".join(f"h{k} long" for k in range(HUBS)))
 
 
 def _key_batch(keys: list[np.ndarray], classes: list[int]) -> pa.RecordBatch:
@@ -225,69 +245,111 @@ def _prune(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return sized.select("a_rep", "b_rep", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(run, "hub long, member long")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, partitions: int) -> DataFrame:
+def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, items) of the documents in ``ids`` (doc_id): 48 bits of each shingle's hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, size = [], 0
+            for doc_id, found in _sets(batch):
+                rows.append((doc_id, found.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()))
+                size += len(rows[-1][1])
+                if size > 4_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["doc_id", "items"])
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["doc_id", "items"])
+
+    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, items binary")
+
+
+def verify(sets: DataFrame, pairs: DataFrame, partitions: int) -> DataFrame:
     """The pairs (hub, member) of doc_ids whose sets are similar, as (a, b).
 
     A member's set goes to its hubs; a hub's set goes to as many tasks as its members need, so no task holds more than one hub's set and
     one member's at a time.
     """
-    hubs = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts")).select(F.col("hub").alias("doc_id"), "salts")
-    salts = hubs.select(F.col("doc_id").alias("hub"), "salts")
-    members = pairs.join(salts, "hub").groupBy(F.col("member").alias("doc_id")).agg(F.collect_list(F.struct("hub", "salts")).alias("hubs"))
-    needed = hubs.join(members, "doc_id", "full")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        schema = pa.schema([("hub", pa.int64()), ("salt", pa.int32()), ("member", pa.int64()), ("items", pa.binary())])
-
-        def table(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-        for batch in batches:
-            rows, size = [], 0
-            for (doc_id, found), n, to in zip(_sets(batch, words), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                packed = found.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()  # 48 bits of each
-                out = [(doc_id, k, None, packed) for k in range(n or 0)]
-                out += [(x["hub"], xxhash.xxh32_intdigest(doc_id.to_bytes(8, "little", signed=True)) % x["salts"], doc_id, packed) for x in to or ()]
-                for row in out:
-                    rows.append(row)
-                    size += len(packed)
-                    if size > 4_000_000:
-                        yield table(rows)
-                        rows, size = [], 0
-            if rows:
-                yield table(rows)
+    salts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
+    own = sets.join(salts, sets["doc_id"] == salts["hub"]).select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("member"), "items")
+    to = pairs.join(salts, "hub").withColumn("salt", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int")).select("hub", "salt", "member")
+    sent = own.union(sets.join(to, sets["doc_id"] == to["member"]).select("hub", "salt", "member", "items"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = lambda raw: np.pad(np.frombuffer(raw, np.uint8).reshape(-1, 6), ((0, 0), (0, 2))).view(np.uint64).ravel()
+        unpack = lambda raw: np.sort(np.pad(np.frombuffer(raw, np.uint8).reshape(-1, 6), ((0, 0), (0, 2))).view(np.uint64).ravel())
         at, own = None, []
         for batch in batches:
             left, right = [], []
-            for hub, salt, member, items in zip(*(batch.column(k) for k in range(4))):
-                here = (hub.as_py(), salt.as_py())
-                if here != at:
-                    at, own = here, []
-                found = np.sort(unpack(items.as_py()))
-                if not member.is_valid:
+            for hub, salt, member, items in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
+                if (hub, salt) != at:
+                    at, own = (hub, salt), []
+                found = unpack(items.as_py())
+                if member is None:
                     own.append(found)
                     continue
                 for x in own:
-                    same = len(found) + len(x) - len(np.unique(np.concatenate([found, x])))
-                    if DENOMINATOR * same >= NUMERATOR * (len(found) + len(x) - same):
-                        left.append(here[0])
-                        right.append(member.as_py())
+                    both = np.sort(np.concatenate([found, x]))
+                    same = int((both[1:] == both[:-1]).sum())
+                    if DENOMINATOR * same >= NUMERATOR * (len(both) - same):
+                        left.append(hub)
+                        right.append(member)
+                        break
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    texts = docs.select("doc_id", "text").join(needed, "doc_id")
-    sent = texts.select("doc_id", "text", "salts", "hubs").mapInArrow(sets, "hub long, salt int, member long, items binary")
     return sent.repartition(partitions, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("member").asc_nulls_first()).mapInArrow(compare, "a long, b long")
 
 
-def _cross_pairs(groups: DataFrame, labelled: DataFrame, classes: DataFrame, partitions: int) -> DataFrame:
-    """(a, b) classes that share a key and aren't connected yet."""
+def block_pairs(cls: np.ndarray, label: np.ndarray, n: np.ndarray, sketches: list[bytes], block: np.ndarray, low: int, high: float) -> set[tuple[int, int]]:
+    """Pairs of classes with different labels (of different blocks, if there are two) that sizes and sketches allow.
+
+    Of those that a class has with one other label, only the ones of rank low to high - 1 in a fixed order are returned. Labels only ever merge, so a rank never falls: ranges
+    of rank that follow each other, each with the labels of its time, leave no pair out.
+    """
+    width = np.array([len(s) for s in sketches])
+    two = block.min() != block.max()
+    found_i, found_j = [], []
+    for w in np.unique(width):
+        for v in (w, 2 * w):
+            small, large = np.flatnonzero(width == w), np.flatnonzero(width == v)
+            if not len(large):
+                continue
+            x = np.frombuffer(b"".join(sketches[i] for i in small), np.uint64).reshape(len(small), -1)
+            y = np.frombuffer(b"".join(sketches[i] for i in large), np.uint64).reshape(len(large), -1)
+            if v != w:
+                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+            step = max(1, 2_000_000 // (len(large) * x.shape[1]))
+            for k in range(0, len(small), step):
+                i = small[k : k + step]
+                distance = np.bitwise_count(x[k : k + step, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64)
+                total, least = n[i][:, None] + n[large][None, :], np.minimum(n[i][:, None], n[large][None, :])
+                ok = (distance <= (DENOMINATOR - NUMERATOR) * total // (DENOMINATOR + NUMERATOR)) & (DENOMINATOR * least >= NUMERATOR * (total - least)) & (label[i][:, None] != label[large][None, :])
+                if two:
+                    ok &= block[i][:, None] != block[large][None, :]
+                if v == w:
+                    ok &= i[:, None] < large[None, :]
+                a, b = np.nonzero(ok)
+                found_i.append(i[a])
+                found_j.append(large[b])
+    if not found_i or not sum(map(len, found_i)):
+        return set()
+    i, j = np.concatenate(found_i), np.concatenate(found_j)
+    x, y = np.concatenate([i, j]), np.concatenate([j, i])
+    turn = mix(cls[x].view(np.uint64) ^ mix(cls[y].view(np.uint64)))
+    order = np.lexsort((turn, label[y], x))
+    x, y = x[order], y[order]
+    new = np.concatenate([[True], (x[1:] != x[:-1]) | (label[y][1:] != label[y][:-1])])
+    start = np.flatnonzero(new)
+    rank = np.arange(len(x)) - np.repeat(start, np.diff(np.append(start, len(x))))
+    chosen = (rank >= low) & (rank < high)
+    a, b = cls[x[chosen]], cls[y[chosen]]
+    return set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
+
+
+def _cross_pairs(groups: DataFrame, labelled: DataFrame, classes: DataFrame, partitions: int, low: int, high: float) -> DataFrame:
+    """(a, b) classes that share a key and aren't connected yet, of rank low to high - 1 in groups of over DIRECT."""
     rows = groups.select("key", "cls").join(labelled, "cls")
-    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
+    # in a group of two the only pair has been looked at
+    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where(f"lo <> hi and size > {2 if low == 0 else DIRECT}").select("key", "size")
     rows = materialize(rows.join(mixed, "key"), "mixed")
     small = rows.where(f"size <= {DIRECT}").select("key", "label", "cls")
 
@@ -324,26 +386,22 @@ def _cross_pairs(groups: DataFrame, labelled: DataFrame, classes: DataFrame, par
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
 
-        def pairs(lo: int, hi: int) -> set[tuple[int, int]]:
-            found = set()
-            for i, (block, label, cls, n, sketch) in enumerate(held):
-                for block2, label2, cls2, n2, sketch2 in held[i + 1 :]:
-                    if label != label2 and (lo == hi or block != block2) and DENOMINATOR * min(n, n2) >= NUMERATOR * max(n, n2) and sketch_distance(sketch, sketch2) <= max_difference(n, n2):
-                        found.add((cls, cls2) if cls < cls2 else (cls2, cls))
-            return found
+        def pairs() -> set[tuple[int, int]]:
+            block, label, cls, n, sketch = zip(*held)
+            return block_pairs(np.array(cls), np.array(label), np.array(n), list(sketch), np.array(block), low, high)
 
         for batch in batches:
             for key, lo, hi, *row in zip(*(batch.column(c).to_pylist() for c in range(8))):
                 if (key, lo, hi) != at:
-                    if at and (found := pairs(*at[1:])):
+                    if held and (found := pairs()):
                         yield _pair_batch(found)
                     at, held = (key, lo, hi), []
                 held.append(tuple(row))
-        if at and (found := pairs(*at[1:])):
+        if held and (found := pairs()):
             yield _pair_batch(found)
 
     far = large.select("key", "lo", "hi", "block", "label", "cls", "n", "sketch").repartition(partitions, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(blocks, "a long, b long")
-    return near.union(far).distinct()
+    return (near.union(far) if low == 0 else far).distinct()
 
 
 def _pair_batch(found: set[tuple[int, int]]) -> pa.RecordBatch:
@@ -373,16 +431,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = materialize(classes, "classes")
     groups = materialize(key_groups(docs, _hot_levels(described), partitions), "groups")
     settle(spark)
-    stars = groups.where("hub <> cls").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
-    links = materialize(verify(docs, materialize(_prune(stars, classes), "stars"), partitions), "links")
-    settle(spark)
-    labels = materialize(components(links), "labels")
-    labelled = classes.select("cls", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("label", "rep").alias("label"))
-    cross = materialize(_prune(_cross_pairs(groups, labelled, classes, partitions), classes), "cross")
-    if cross.limit(1).count():
-        more = materialize(verify(docs, cross, partitions), "links")
+    stars = groups.select(F.explode(F.array(*(f"h{k}" for k in range(HUBS)))).alias("a"), F.col("cls").alias("b")).where("a <> b").distinct()
+    pairs = materialize(_prune(stars, classes), "pairs")
+    sets, labels = None, None
+    for low, high in [(None, None), *RANKS]:
+        if low is not None:
+            labelled = classes.select("cls", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("label", "rep").alias("label"))
+            pairs = materialize(_prune(_cross_pairs(groups, labelled, classes, partitions, low, high), classes), "pairs")
+            if pairs.isEmpty():
+                break  # no pair of a low rank, so none of a higher one
+        ids = pairs.select(F.explode(F.array("hub", "member")).alias("doc_id")).distinct()
+        if sets is not None:
+            ids = materialize(ids.join(sets, "doc_id", "left_anti"), "ids")
+        if sets is None or not ids.isEmpty():
+            new = materialize(sets_of(docs, ids), "sets")
+            sets = new if sets is None else sets.union(new)
+        links = materialize(verify(sets, pairs, partitions), "links")
         settle(spark)
-        labels = materialize(components(links.union(more)), "labels")
+        known = links if labels is None else links.union(labels.select("node", "label"))
+        labels = materialize(components(known), "labels")
     final = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("cls").alias("d1"), "d2", F.coalesce("label", "rep").alias("component"))
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
     return rows.select("doc_id", "n", "d1", "d2").join(final, ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))

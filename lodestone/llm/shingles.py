@@ -1,27 +1,18 @@
-"""Word and shingle hashes for the Python side of the corpus operators."""
+"""Word and shingle hashes for the Python side of the corpus operators, computed for many texts at once."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import xxhash
+import pyarrow as pa
 
-#: Odd multipliers of the linear shingle hash and of the finaliser (splitmix64).
+#: Odd multipliers of the linear hashes and of the finaliser (splitmix64).
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-CACHE_WORDS = 500_000
-
-
-class WordHashes(dict):
-    """64-bit hash by word (bytes); forgets everything when it is full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+#: Bytes that are hashed together; longer texts are taken in pieces that end between words.
+SLICE = 1 << 18
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,6 +24,86 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i < n at least; base is odd."""
+    known = _POWERS.get(int(base))
+    if known is None or len(known[0]) < n:
+        inverse = np.uint64(pow(int(base), -1, 1 << 64))
+        known = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, SLICE + 1) - 1, b)]).astype(np.uint64)) for b in (base, inverse))
+        _POWERS[int(base)] = known
+    return known
+
+
+class RangeHash:
+    """Hashes of any ranges of a sequence, from one prefix sum. Equal ranges hash equally wherever they are."""
+
+    def __init__(self, items: np.ndarray, base: np.uint64):
+        up, self.down = powers(base, len(items) + 1)
+        self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(items * up[: len(items)], dtype=np.uint64)])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.prefix[end] - self.prefix[start]) * self.down[start] + (end - start).astype(np.uint64))
+
+
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64))  # a value for each byte
+_BYTE_LOWER = _BYTE.copy()
+_BYTE_LOWER[65:91] = _BYTE[97:123]
+_GAP = np.zeros(256, bool)
+_GAP[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _hash_words(raw: np.ndarray, starts_at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each word of raw; a text begins at each of starts_at."""
+    inside = np.zeros(len(raw) + 2, bool)
+    inside[1:-1] = ~_GAP[raw]
+    begin = inside[1:-1] & ~inside[:-2]
+    end = inside[1:-1] & ~inside[2:]
+    edge = starts_at[starts_at < len(raw)]
+    begin[edge] = inside[1:-1][edge]
+    edge = edge[edge > 0]
+    end[edge - 1] = inside[1:-1][edge - 1]
+    first = np.flatnonzero(begin)
+    return first, RangeHash(values[raw], _STEP).of(first, np.flatnonzero(end) + 1)
+
+
+def hashed_rows(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, hashes of its words) for each row of a text column; null has no words. Words are runs of anything but ASCII white space; lower: A-Z count as a-z."""
+    values = _BYTE_LOWER if lower else _BYTE
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_string())
+    n = len(column)
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    null = column.is_null().to_numpy(zero_copy_only=False)
+    none = np.zeros(0, np.uint64)
+    at = 0
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, "right")) - 1)
+        raw = data[offsets[at] : offsets[end]]
+        if len(raw) <= 2 * SLICE:
+            first, found = _hash_words(raw, (offsets[at:end] - offsets[at]).astype(np.int64), values)
+            bounds = np.searchsorted(first, offsets[at : end + 1] - offsets[at])
+            for k in range(end - at):
+                yield at + k, none if null[at + k] else found[bounds[k] : bounds[k + 1]]
+        else:  # one long text
+            parts, begin = [], 0
+            while begin < len(raw):
+                stop = min(begin + SLICE, len(raw))
+                while stop < len(raw) and not _GAP[raw[stop]]:
+                    stop += 1
+                parts.append(_hash_words(raw[begin:stop], np.zeros(1, np.int64), values)[1])
+                begin = stop
+            yield at, none if null[at] else np.concatenate(parts)
+        at = end
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, without repeats."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def shingle_set(words: np.ndarray, size: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the runs of ``size`` words; of fewer words, of the whole sequence; of none, empty."""
     n = len(words)
@@ -41,10 +112,11 @@ def shingle_set(words: np.ndarray, size: int = 5) -> np.ndarray:
     width = min(size, n)
     total = words[: n - width + 1].copy()
     for k in range(1, width):
-        total = total * _STEP + words[k : n - width + 1 + k]
+        total *= _STEP
+        total += words[k : n - width + 1 + k]
     if width < size:
-        total = total + np.uint64(width)
-    return np.unique(mix(total))
+        total += np.uint64(width)
+    return distinct(mix(total))
 
 
 def signed(x: np.ndarray) -> np.ndarray:

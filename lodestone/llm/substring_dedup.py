@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import materialize
-from lodestone.llm.shingles import WordHashes, mix, signed
+from lodestone.llm.shingles import RangeHash, hashed_rows, mix, signed
 
 WINDOW = 35
 #: Rounds after which anchors and chunks are taken: symbols of about 3 and 30 words.
@@ -37,30 +37,6 @@ GROUP_WORDS = 150_000
 
 _RUN, _PAIR = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    known = _POWERS.get(int(base))
-    if known is None or len(known[0]) < n:
-        size = max(n, 2 * GROUP_WORDS)
-        inverse = np.uint64(pow(int(base), -1, 1 << 64))
-        known = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b)]).astype(np.uint64)) for b in (base, inverse))
-        _POWERS[int(base)] = known
-    return known
-
-
-class RangeHash:
-    """Hashes of any ranges of a sequence, from one prefix sum."""
-
-    def __init__(self, items: np.ndarray, base: np.uint64):
-        up, self.down = _powers(base, len(items) + 1)
-        self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(items * up[: len(items)], dtype=np.uint64)])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.prefix[end] - self.prefix[start]) * self.down[start] + (end - start).astype(np.uint64))
-
 
 class Parse:
     """Symbols of several documents, laid end to end with one position between, before and after them."""
@@ -178,24 +154,25 @@ class Parse:
         return key, np.where(none, mix(x), signature), x
 
 
-def _documents(batches: Iterator[pa.RecordBatch], classes_once: bool) -> Iterator[list[tuple]]:
-    """Groups of (word hashes, row) of (k1, k2, text, ...); with classes_once, a text that this task has had is skipped."""
-    words, seen = WordHashes(), set()
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Groups of (word hashes, row without its text) of (k1, k2, text, ...). A text that this task has had is skipped, as are texts without a window."""
+    seen: set[int] = set()
     group, size = [], 0
     for batch in batches:
-        columns = [batch.column(k) for k in range(batch.num_columns)]
-        for i in range(batch.num_rows):
-            k1 = columns[0][i].as_py()
-            if classes_once:
-                if k1 in seen:
-                    continue
+        fresh = []
+        for i, k1 in enumerate(batch.column(0).to_pylist()):
+            if k1 not in seen:
                 if len(seen) >= 1_000_000:
                     seen.clear()
                 seen.add(k1)
-            found = words.of(columns[2][i].as_py().encode().split())
+                fresh.append(i)
+        if len(fresh) < batch.num_rows:
+            batch = batch.take(pa.array(fresh))
+        others = [batch.column(k) for k in range(batch.num_columns) if k != 2]
+        for i, found in hashed_rows(batch.column(2)):
             if len(found) < WINDOW:
                 continue
-            group.append((found, [c[i].as_py() if k != 2 else None for k, c in enumerate(columns)]))
+            group.append((found, [c[i].as_py() for c in others]))
             size += len(found)
             if size >= GROUP_WORDS:
                 yield group
@@ -208,7 +185,7 @@ def _chunks_and_anchors(texts: DataFrame) -> DataFrame:
     """kind 0: chunks (a, b: hash; k1, k2: text; start; windows); kind 1: anchors (a: key, b: signature, k1: chunk)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _documents(batches, True):
+        for group in _documents(batches):
             parse = Parse([d for d, _ in group])
             parse.run()
             key, signature, x = parse.anchor_rows()
@@ -238,12 +215,12 @@ def _candidate_windows(texts: DataFrame) -> DataFrame:
     """(w1, w2, x1, x2, off) of the windows named by ``wanted`` (start of chunk, anchor's key) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _documents(batches, True):
+        for group in _documents(batches):
             parse = Parse([d for d, _ in group])
             parse.run()
             key = np.where(parse.anchor < 0, np.uint64(0), parse.anchor_key[parse.anchor]) if len(parse.starts) else np.zeros(0, np.uint64)
             named = mix(key + mix(parse.chunk_start[parse.chunk].astype(np.uint64)))
-            asked = [mix(np.array([w["key"] for w in row[3]], np.int64).view(np.uint64) + mix(np.array([w["start"] for w in row[3]], np.int64).view(np.uint64) + np.uint64(at))) for (_, row), at in zip(group, parse.first)]
+            asked = [mix(np.array([w["key"] for w in row[2]], np.int64).view(np.uint64) + mix(np.array([w["start"] for w in row[2]], np.int64).view(np.uint64) + np.uint64(at))) for (_, row), at in zip(group, parse.first)]
             hit = np.flatnonzero(np.isin(named, np.concatenate(asked)))
             if not len(hit):
                 continue
