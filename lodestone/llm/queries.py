@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import fingerprints, jaccard_join, language_id, packing, resharding, substring_dedup, warc
+from lodestone.llm import fingerprints, jaccard_join, language_id, media, packing, resharding, substring_dedup, warc
 from lodestone.llm.common import read
 
 #: Old shards of the resharding query: a checksum of the source, so one of them is as hot as the hottest source.
@@ -45,6 +45,10 @@ def op5_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op6_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(media.store(read(spark, sf_dir, "documents")))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_fingerprints": op2_minhash_fingerprints,
     "op4_harmonic_packing": op4_harmonic_packing,
     "op5_flow_resharding": op5_flow_resharding,
+    "op6_progressive_jpeg": op6_progressive_jpeg,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_ppm_language": op10_ppm_language,
