@@ -92,12 +92,15 @@ def with_next(docs: DataFrame, columns: list[str], *, ranges: int) -> DataFrame:
     if not firsts:
         return rows.drop("_range").withColumns({f"next_{c}": F.lit(None).cast(docs.schema[c].dataType) for c in columns})
     used = [r["_range"] for r in firsts]
-    before = {r: used[k - 1] for k, r in enumerate(used)}  # the first range's first row closes the circle
-    heads = rows.where(" or ".join([f"(_range = {r['_range']} and doc_id <=> {'null' if r['_top'] is None else r['_top']})" for r in firsts]))
-    target = F.create_map(*(F.lit(x) for r in used for x in (r, before[r])))
+    tops = [r["_top"] for r in firsts]
+    # the range before each first row's own; that of the first range closes the circle
+    target = F.create_map(*(F.lit(x) for k, t in enumerate(tops) if t is not None for x in (t, used[k - 1]))) if any(t is not None for t in tops) else None
+    heads = docs.where(F.col("doc_id").isin([t for t in tops if t is not None]) | (F.col("doc_id").isNull() if None in tops else F.lit(False)))
+    to = F.lit(used[tops.index(None) - 1]) if None in tops else F.lit(None).cast("int")
+    heads = heads.withColumn("_range", F.coalesce(F.element_at(target, F.col("doc_id")), to) if target is not None else to)
     # of rows that share a range's top doc_id only the first in order is its head
     pick = F.struct(*(F.col(c) for c in columns))
-    ghosts = heads.groupBy("_range").agg(F.min(pick).alias("_pick")).select(F.element_at(target, F.col("_range")).alias("_range"), *(F.col(f"_pick.{c}").alias(c) for c in columns))
+    ghosts = heads.groupBy("_range").agg(F.min(pick).alias("_pick")).select("_range", *(F.col(f"_pick.{c}").alias(c) for c in columns))
     both = rows.withColumn("_ghost", F.lit(0)).unionByName(ghosts.withColumn("_ghost", F.lit(1)), allowMissingColumns=True)
     w = Window.partitionBy("_range").orderBy("_ghost", *order)
     return both.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns}).where("_ghost = 0").drop("_range", "_ghost")
