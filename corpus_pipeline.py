@@ -8,34 +8,66 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import language_id, packing
+from lodestone.llm import jaccard_join, language_id, mixing, packing, pii
 from lodestone.llm.common import materialize, read
-from lodestone.llm.queries import tokenizer_path
+from lodestone.llm.queries import REPETITION_LIMIT, tokenizer_path
+from lodestone.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a recognisable language; ``lang`` becomes the predicted one."""
-    found = language_id.identify_documents(docs)
+    """Drops documents without a recognisable language (null, or no letter); ``lang`` becomes the predicted one."""
+    ship(spark)
+    found = language_id.identify_documents(docs.select(*COLUMNS))
     return found.where(F.col("lang_pred") != language_id.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group of near duplicates. Documents without a doc_id all stay."""
+    ship(spark)
+    found = materialize(jaccard_join.near_duplicates(docs.select("doc_id", "text")), "near")
+    keep = found.where("doc_id = component_id").select("doc_id")
+    repeated = keep.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    kept = docs.join(keep.distinct(), "doc_id", "left_semi")
+    if not repeated.isEmpty():  # rows that repeat a doc_id: one of each stays
+        again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(again)
+    return kept.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by placeholders; n_chars follows."""
+    ship(spark)
+    return pii.redact(docs.select(*COLUMNS), pii.train(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document once, and those of small sources again until no source is used more than REPETITION_LIMIT times."""
+    ship(spark)
+    return mixing.mix(docs, mixing.word_count(F.col("text")), repetition_limit=REPETITION_LIMIT).select(*COLUMNS)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 4096 tokens."""
+    ship(spark)
     return packing.pack(docs, packing.word_encoder(tokenizer_path()))
 
 
 STAGES = [
     ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("personal_data", redact_personal_data),
+    ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]
 
-#: The stages learn a model, hash texts and call a tokenizer, so SQL can't express them; tests hold them against brute force.
+#: The stages learn models, verify sets and call a tokenizer, so SQL can't express them; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to the table ``documents``; each but the last is written to the shared folder and read again."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import fingerprints, jaccard_join, language_id, media, packing, resharding, substring_dedup, warc
+from lodestone.llm import fingerprints, jaccard_join, language_id, media, mixing, packing, pii, resharding, substring_dedup, warc
 from lodestone.llm.common import read
 
 #: Old shards of the resharding query: a checksum of the source, so one of them is as hot as the hottest source.
 OLD_SHARDS = 16
 NEW_SHARDS = 24
+#: Uses of a document at most when sources are mixed.
+REPETITION_LIMIT = 1.5
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -29,6 +31,11 @@ def op2_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(read(spark, sf_dir, "documents"))
 
 
+def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.report(docs, pii.train(docs))
+
+
 def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), packing.word_encoder(tokenizer_path()))
 
@@ -49,6 +56,12 @@ def op6_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.store(read(spark, sf_dir, "documents")))
 
 
+def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs.select("doc_id", "source", "text"), mixing.word_count(F.col("text")), repetition_limit=REPETITION_LIMIT)
+    return mixed.select("doc_id", "source", "n_tokens", "weight", "epoch", "position")
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -65,9 +78,11 @@ def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_recompression_dedup": op1_recompression_dedup,
     "op2_minhash_fingerprints": op2_minhash_fingerprints,
+    "op3_skip_chain_pii": op3_skip_chain_pii,
     "op4_harmonic_packing": op4_harmonic_packing,
     "op5_flow_resharding": op5_flow_resharding,
     "op6_progressive_jpeg": op6_progressive_jpeg,
+    "op7_temperature_mixing": op7_temperature_mixing,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_ppm_language": op10_ppm_language,
