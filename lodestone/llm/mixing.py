@@ -101,7 +101,7 @@ def mix(docs: DataFrame, tokens: Column, *, seed: int = 0, blocks: int = BLOCKS,
     turn = lambda e: F.xxhash64(F.lit(seed), F.col("_source"), e, F.col("_block"))
     table = table.join(F.broadcast(sources), "_source")  # one row for each source
     last = Window.partitionBy("_source").orderBy(turn(F.col("_whole").cast("long")), "_block")  # at most ``blocks`` rows of a source
-    table = table.withColumn("_used", F.sum("_tokens").over(last.rowsBetween(Window.unboundedPreceding, 0)) <= F.col("_rest"))
+    table = table.withColumn("_used", (F.sum("_tokens").over(last.rowsBetween(Window.unboundedPreceding, 0)) <= F.col("_rest")) & (F.col("_rest") > 0))
     table = table.withColumn("_uses", F.col("_whole") + F.col("_used").cast("int")).where("_uses > 0").select("_source", "_block", "weight", "_uses")
     if len(totals) * blocks <= BROADCAST_ROWS:
         table = F.broadcast(table)
