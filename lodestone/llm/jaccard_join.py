@@ -3,15 +3,16 @@
 A document is the set of its distinct five-word shingles. Two documents A, B with Jaccard similarity of at least 3/4 differ in at most
 d = floor((|A| + |B|) / 7) shingles. Shingles are dealt by hash over the parts of a sketch (as many for all documents of a size band);
 each part is the XOR of its shingles' hashes. A differing shingle changes one part, so of the non-empty parts of A at
-most d differ from B's, and whichever d + 1 of them are looked at in one global order, the first d + 1 of A and of B have one in
-common. Those are the join keys. The order puts parts of frequent shingles last, which changes the work but never the result.
+most d differ from B's. In one global order of parts, the first l that they share are therefore among the first d + l of A and of B.
+Those are the join keys, with l a fixed share of the size, so a document that shares fewer than l keys with all others together is
+similar to none. The order puts parts of frequent shingles last, which changes the work but never the result.
 
-Candidates are then held against a parity bit sketch of 2 to 4 bits a shingle: the Hamming distance of two sketches is at most the symmetric
+Candidates are then held against a parity bit sketch of 4 to 8 bits a shingle: the Hamming distance of two sketches is at most the symmetric
 difference, so pairs beyond d can be dropped. What is left is verified on the sets themselves.
 
 Only connectivity is asked for, so not all pairs are made: documents with equal sets are one class; in each key's
-group all classes are first held against one of them, and after that only pairs whose ends aren't yet connected. In groups that are large
-even then, blocks of sketches are compared in place, and only pairs that pass are emitted.
+group all classes are first held against a few of them, and after that only pairs whose ends aren't yet connected: first a
+few for each class, then more, then all that are left. Blocks of sketches are compared in place, and only pairs that pass are emitted.
 """
 
 from __future__ import annotations
@@ -32,16 +33,16 @@ from lodestone.llm.shingles import hashed_rows, mix, shingle_set
 #: Similarity of at least NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 75, 100
 SHINGLE = 5
+#: Keys that similar documents share at least: one in this many of the smaller one's shingles.
+SHARED = 16
 #: Counters of shingle frequency, and the times the mean beyond which a worker reports one.
 HOT_BUCKETS = 1 << 18
 #: Classes of a key group that all others in it are held against at first, and rows of a group that are looked at together.
 HUBS, HELD = 3, 200_000
-#: Members of a hub's group that one task verifies together.
-SALT = 512
-#: Groups up to this size are paired directly; larger ones are compared in blocks of BLOCK.
-DIRECT, BLOCK = 64, 1024
-#: Ranks of candidates, among those of one class and one component, that are verified in turn. The last takes all that are left.
-RANKS = [(0, 2), (2, 16), (16, float("inf"))]
+#: Members of a hub's group that one task verifies together, and classes in a block.
+SALT, BLOCK = 512, 1024
+#: Candidates of one class, outside its component, that are verified in turn. The last takes all that are left.
+RANKS = (2, 16, float("inf"))
 
 
 def max_difference(a: int, b: int) -> int:
@@ -53,6 +54,11 @@ def largest_partner(n: int) -> int:
     return n * DENOMINATOR // NUMERATOR
 
 
+def shared_keys(n: int) -> int:
+    """Keys in common that are looked for by a set of this size."""
+    return max(1, n // SHARED)
+
+
 def band(n: int) -> tuple[int, int]:
     """Upper size of n's band and the bits of its part numbers. Sets of up to 16 have parts of their own for all shingles."""
     if n <= 16:
@@ -66,9 +72,9 @@ def band(n: int) -> tuple[int, int]:
 
 
 def bit_sketch(found: np.ndarray) -> bytes:
-    """Parity of the shingles at each of 2n to 4n bits (a power of two, 64 at least)."""
+    """Parity of the shingles at each of 4n to 8n bits (a power of two, 64 at least)."""
     bits = 64
-    while bits < 2 * len(found):
+    while bits < 4 * len(found):
         bits *= 2
     return np.packbits(np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
@@ -90,6 +96,7 @@ def join_keys(found: np.ndarray, hot: np.ndarray) -> np.ndarray:
     if not d:
         return np.zeros(0, np.int64)  # similar sets of this size are equal
     upper, bits = band(n)
+    size = d + shared_keys(n)
     out = []
     for upper, bits in [(upper, bits)] + ([band(upper + 1)] if most > upper else []):
         part = found >> np.uint64(64 - bits)
@@ -98,7 +105,7 @@ def join_keys(found: np.ndarray, hot: np.ndarray) -> np.ndarray:
         order = word >> np.uint64(16)
         level = np.minimum.reduceat(hot[(found & np.uint64(len(hot) - 1)).astype(np.int64)], first).astype(np.uint64)
         order = order | (level << np.uint64(56))
-        keep = np.partition(order, d)[: d + 1] if len(order) > d + 1 else order
+        keep = np.partition(order, size - 1)[:size] if len(order) > size else order
         out.append((keep & np.uint64((1 << 48) - 1)).astype(np.int64))
     return np.concatenate(out)
 
@@ -157,10 +164,8 @@ def _hub_order(cls: np.ndarray, turn: int) -> np.ndarray:
     return mix(cls.view(np.uint64) + np.uint64(turn + 1))
 
 
-def key_groups(docs: DataFrame, hot: np.ndarray, partitions: int) -> DataFrame:
-    """(key, cls, h0 .. h2) of all classes in key groups of at least two classes. The hubs are the group's first classes in HUBS
-    orders that are the same for all keys; a group of over HELD classes has hubs for each stretch of it.
-    """
+def key_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(key, cls) of all classes; a class that several tasks meet comes from each."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)  # HOT_BUCKETS bytes
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +176,7 @@ def key_groups(docs: DataFrame, hot: np.ndarray, partitions: int) -> DataFrame:
             for _, found in _sets(batch):
                 cls = int(np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)[0])
                 if cls in seen:
-                    continue  # an equal set has been here; what other tasks emit again is dropped below
+                    continue
                 if len(seen) >= 1_000_000:
                     seen.clear()
                 seen.add(cls)
@@ -184,45 +189,76 @@ def key_groups(docs: DataFrame, hot: np.ndarray, partitions: int) -> DataFrame:
             if size:
                 yield _key_batch(keys, classes)
 
-    def stretch(key: np.ndarray, cls: np.ndarray, big: int | None) -> pa.RecordBatch | None:
-        """Rows of whole groups (or, for the key ``big``, of a part of one), with their hubs."""
-        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
-        key, cls = key[fresh], cls[fresh]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(first, len(key)))
-        keep = np.repeat((size > 1) | (key[first] == big if big is not None else False), size)
-        if not keep.any():
-            return None
-        group = np.repeat(np.arange(len(first)), size)
-        hubs = []
-        for turn in range(HUBS):
-            order = _hub_order(cls, turn)
-            least = np.minimum.reduceat(order, first)
-            at = np.flatnonzero(order == least[group])
-            hub = np.empty(len(first), np.int64)
-            hub[group[at]] = cls[at]
-            hubs.append(hub[group][keep])
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (key[keep], cls[keep], *hubs)], names=["key", "cls", *(f"h{k}" for k in range(HUBS))])
-
-    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held_cls, big = np.zeros(0, np.int64), np.zeros(0, np.int64), None
-        for batch in batches:
-            key, cls = (np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate((held_key, held_cls)))
-            if not len(key):
-                continue
-            whole = int(np.searchsorted(key, key[-1]))  # the last group may go on
-            if len(key) - whole > HELD:
-                whole = len(key)
-            held_key, held_cls = key[whole:], cls[whole:]
-            if whole and (out := stretch(key[:whole], cls[:whole], big)) is not None:
-                yield out
-            if whole == len(key):
-                big = int(key[-1])
-        if len(held_key) and (out := stretch(held_key, held_cls, big)) is not None:
-            yield out
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(emit, "key long, cls long")
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, int | None]]:
+    """(key, cls) sorted and without repeats, in whole groups, and the key of a group that is so long that it comes in several stretches."""
+    key, cls, long = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+    for batch in batches:
+        key, cls = (np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate((key, cls)))
+        if not len(key):
+            continue
+        whole = int(np.searchsorted(key, key[-1]))  # the last group may go on
+        if len(key) - whole > HELD:
+            whole, long = len(key), int(key[-1])
+        if whole:
+            yield (*_unique(key[:whole], cls[:whole]), long)
+        key, cls = key[whole:], cls[whole:]
+    if len(key):
+        yield (*_unique(key, cls), long)
+
+
+def _unique(key: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
+    return key[fresh], cls[fresh]
 
-    keys = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(emit, "key long, cls long")
-    return keys.repartition(partitions, "key").sortWithinPartitions("key", "cls").mapInArrow(group, "key long, cls long, " + ", ".join(f"h{k} long" for k in range(HUBS)))
+
+def _sized(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row and size of each group."""
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return first, np.diff(np.append(first, len(key)))
+
+
+def shared_rows(rows: DataFrame, partitions: int) -> DataFrame:
+    """(key, cls) of keys that two classes have at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, cls, long in _stretches(batches):
+            first, size = _sized(key)
+            keep = np.repeat((size > 1) | (key[first] == (long if long is not None else key[first] + 1)), size)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(cls[keep])], names=["key", "cls"])
+
+    return rows.repartition(partitions, "key").sortWithinPartitions("key", "cls").mapInArrow(run, "key long, cls long")
+
+
+def grouped(rows: DataFrame, partitions: int) -> DataFrame:
+    """(grp, cls, h0 .. h2): the groups of (key, cls), those of the same classes only once.
+
+    The hubs are the group's first classes in HUBS orders that are the same for all groups; a group of over HELD rows has hubs for each stretch of it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, cls, long in _stretches(batches):
+            first, size = _sized(key)
+            group = np.repeat(np.arange(len(first)), size)
+            name = mix(np.add.reduceat(mix(cls.view(np.uint64)), first) + size.astype(np.uint64))
+            if long is not None:
+                name = np.where(key[first] == long, mix(key[first].view(np.uint64)), name)
+            hubs = []
+            for turn in range(HUBS):
+                order = mix(cls.view(np.uint64) + np.uint64(turn + 1))
+                at = np.flatnonzero(order == np.minimum.reduceat(order, first)[group])
+                hub = np.empty(len(first), np.int64)
+                hub[group[at]] = cls[at]
+                hubs.append(hub[group])
+            keep = (size > 1)[group] | (key == (long if long is not None else 0)) & (long is not None)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (name.view(np.int64)[group], cls, *hubs)], names=["grp", "cls", *(f"h{k}" for k in range(HUBS))])
+
+    out = rows.repartition(partitions, "key").sortWithinPartitions("key", "cls").mapInArrow(run, "grp long, cls long, " + ", ".join(f"h{k} long" for k in range(HUBS)))
+    return out.groupBy("grp", "cls").agg(*(F.min(f"h{k}").alias(f"h{k}") for k in range(HUBS)))
 
 
 def _key_batch(keys: list[np.ndarray], classes: list[int]) -> pa.RecordBatch:
@@ -299,12 +335,13 @@ def verify(sets: DataFrame, pairs: DataFrame, partitions: int) -> DataFrame:
     return sent.repartition(partitions, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("member").asc_nulls_first()).mapInArrow(compare, "a long, b long")
 
 
-def block_pairs(cls: np.ndarray, label: np.ndarray, n: np.ndarray, sketches: list[bytes], block: np.ndarray, low: int, high: float) -> set[tuple[int, int]]:
-    """Pairs of classes with different labels (of different blocks, if there are two) that sizes and sketches allow.
-
-    Of those that a class has with one other label, only the ones of rank low to high - 1 in a fixed order are returned. Labels only ever merge, so a rank never falls: ranges
-    of rank that follow each other, each with the labels of its time, leave no pair out.
-    """
+def block_pairs(cls: np.ndarray, label: np.ndarray, n: np.ndarray, sketches: list[bytes], block: np.ndarray, most: float) -> set[tuple[int, int]]:
+    """Pairs of classes with different labels (of different blocks, if there are two) that sizes and sketches allow: for each class, the first ``most`` in a fixed order."""
+    if len(cls) <= 6:
+        pairs = [(i, j) for i in range(len(cls)) for j in range(i) if label[i] != label[j] and DENOMINATOR * min(n[i], n[j]) >= NUMERATOR * max(n[i], n[j])]
+        allowed = [(i, j) for i, j in pairs if sketch_distance(sketches[i], sketches[j]) <= max_difference(n[i], n[j])]
+        return {(min(cls[i], cls[j]), max(cls[i], cls[j])) for i, j in allowed}
+    cls, label, n, block = (np.array(c, np.int64) for c in (cls, label, n, block))
     width = np.array([len(s) for s in sketches])
     two = block.min() != block.max()
     found_i, found_j = [], []
@@ -335,73 +372,52 @@ def block_pairs(cls: np.ndarray, label: np.ndarray, n: np.ndarray, sketches: lis
     i, j = np.concatenate(found_i), np.concatenate(found_j)
     x, y = np.concatenate([i, j]), np.concatenate([j, i])
     turn = mix(cls[x].view(np.uint64) ^ mix(cls[y].view(np.uint64)))
-    order = np.lexsort((turn, label[y], x))
+    order = np.lexsort((turn, x))
     x, y = x[order], y[order]
-    new = np.concatenate([[True], (x[1:] != x[:-1]) | (label[y][1:] != label[y][:-1])])
-    start = np.flatnonzero(new)
-    rank = np.arange(len(x)) - np.repeat(start, np.diff(np.append(start, len(x))))
-    chosen = (rank >= low) & (rank < high)
+    start = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    chosen = np.arange(len(x)) - np.repeat(start, np.diff(np.append(start, len(x)))) < most
     a, b = cls[x[chosen]], cls[y[chosen]]
     return set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
 
 
-def _cross_pairs(groups: DataFrame, labelled: DataFrame, classes: DataFrame, partitions: int, low: int, high: float) -> DataFrame:
-    """(a, b) classes that share a key and aren't connected yet, of rank low to high - 1 in groups of over DIRECT."""
-    rows = groups.select("key", "cls").join(labelled, "cls")
-    # in a group of two the only pair has been looked at
-    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where(f"lo <> hi and size > {2 if low == 0 else DIRECT}").select("key", "size")
-    rows = materialize(rows.join(mixed, "key"), "mixed")
-    small = rows.where(f"size <= {DIRECT}").select("key", "label", "cls")
-
-    def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-
-        def pairs() -> Iterator[tuple[int, int]]:
-            for i, (label, cls) in enumerate(held):
-                for other, second in held[i + 1 :]:
-                    if label != other:
-                        yield (cls, second) if cls < second else (second, cls)
-
-        found: set[tuple[int, int]] = set()
-        for batch in batches:
-            for k, label, cls in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                if k != key:
-                    found.update(pairs())
-                    key, held = k, []
-                    if len(found) > 100_000:
-                        yield _pair_batch(found)
-                        found = set()
-                held.append((label, cls))
-        found.update(pairs())
-        if found:
-            yield _pair_batch(found)
+def _cross_pairs(groups: DataFrame, labelled: DataFrame, classes: DataFrame, partitions: int, most: float) -> DataFrame:
+    """(a, b) classes that share a group and aren't connected yet, as far as sizes and sketches allow; ``most`` of them for a class in a block.
 
-    near = small.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(direct, "a long, b long")
-    # Large groups: every pair of blocks is one unit of work, and only pairs that the sketches allow leave it.
-    large = rows.where(f"size > {DIRECT}").join(classes.select("cls", "n", "sketch"), "cls")
-    large = large.withColumns({"blocks": F.ceil(F.col("size") / BLOCK).cast("int")}).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = large.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    Every pair of blocks of a group is one unit of work.
+    """
+    rows = groups.select("grp", "cls").join(labelled, "cls")
+    # in a group of up to HUBS + 1 all pairs have a hub, and have been looked at
+    mixed = rows.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where(f"lo <> hi and size > {min(HUBS, 2)}").select("grp", "size")
+    rows = rows.join(mixed, "grp").join(classes.select("cls", "n", "sketch"), "cls")
+    rows = rows.withColumns({"blocks": F.ceil(F.col("size") / BLOCK).cast("int")}).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
+        found: set[tuple[int, int]] = set()
 
         def pairs() -> set[tuple[int, int]]:
             block, label, cls, n, sketch = zip(*held)
-            return block_pairs(np.array(cls), np.array(label), np.array(n), list(sketch), np.array(block), low, high)
+            return block_pairs(cls, label, n, sketch, block, most)
 
         for batch in batches:
-            for key, lo, hi, *row in zip(*(batch.column(c).to_pylist() for c in range(8))):
-                if (key, lo, hi) != at:
-                    if held and (found := pairs()):
-                        yield _pair_batch(found)
-                    at, held = (key, lo, hi), []
+            for grp, lo, hi, *row in zip(*(batch.column(c).to_pylist() for c in range(8))):
+                if (grp, lo, hi) != at:
+                    if len(held) > 1:
+                        found |= pairs()
+                        if len(found) > 100_000:
+                            yield _pair_batch(found)
+                            found = set()
+                    at, held = (grp, lo, hi), []
                 held.append(tuple(row))
-        if held and (found := pairs()):
+        if len(held) > 1:
+            found |= pairs()
+        if found:
             yield _pair_batch(found)
 
-    far = large.select("key", "lo", "hi", "block", "label", "cls", "n", "sketch").repartition(partitions, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(blocks, "a long, b long")
-    return (near.union(far) if low == 0 else far).distinct()
+    units = rows.select("grp", "lo", "hi", "block", "label", "cls", "n", "sketch").repartition(partitions, "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi")
+    return units.mapInArrow(run, "a long, b long").distinct()
 
 
 def _pair_batch(found: set[tuple[int, int]]) -> pa.RecordBatch:
@@ -429,17 +445,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = described.where("n is not null")
     classes = rows.where("n > 0 and doc_id is not null").groupBy(F.col("d1").alias("cls"), "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = materialize(classes, "classes")
-    groups = materialize(key_groups(docs, _hot_levels(described), partitions), "groups")
+    shared = materialize(shared_rows(key_rows(docs, _hot_levels(described)), partitions), "shared")
+    settle(spark)
+    # the size of the smallest partner decides how many keys have to be shared
+    enough = shared.groupBy("cls").agg(F.count("*").alias("c")).join(classes.select("cls", "n"), "cls").where(f"c >= greatest(1, floor(floor(n * {NUMERATOR} / {DENOMINATOR}) / {SHARED}))")
+    groups = materialize(grouped(shared.join(enough.select("cls").distinct(), "cls", "left_semi").select("key", "cls"), partitions), "groups")
     settle(spark)
     stars = groups.select(F.explode(F.array(*(f"h{k}" for k in range(HUBS)))).alias("a"), F.col("cls").alias("b")).where("a <> b").distinct()
     pairs = materialize(_prune(stars, classes), "pairs")
-    sets, labels = None, None
-    for low, high in [(None, None), *RANKS]:
-        if low is not None:
+    sets = labels = tested = None
+    for most in (0, *RANKS):
+        if most:
             labelled = classes.select("cls", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("label", "rep").alias("label"))
-            pairs = materialize(_prune(_cross_pairs(groups, labelled, classes, partitions, low, high), classes), "pairs")
+            pairs = _prune(_cross_pairs(groups, labelled, classes, partitions, most), classes)
+            pairs = materialize(pairs.join(tested, ["hub", "member"], "left_anti"), "pairs")
             if pairs.isEmpty():
-                break  # no pair of a low rank, so none of a higher one
+                if most == RANKS[-1]:
+                    break
+                continue
         ids = pairs.select(F.explode(F.array("hub", "member")).alias("doc_id")).distinct()
         if sets is not None:
             ids = materialize(ids.join(sets, "doc_id", "left_anti"), "ids")
@@ -448,8 +471,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             sets = new if sets is None else sets.union(new)
         links = materialize(verify(sets, pairs, partitions), "links")
         settle(spark)
-        known = links if labels is None else links.union(labels.select("node", "label"))
-        labels = materialize(components(known), "labels")
+        labels = materialize(components(links if labels is None else links.union(labels.select("node", "label"))), "labels")
+        tested = pairs if tested is None else tested.union(pairs)
     final = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("cls").alias("d1"), "d2", F.coalesce("label", "rep").alias("component"))
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
     return rows.select("doc_id", "n", "d1", "d2").join(final, ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
