@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,7 +48,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends there and survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lodestone_path = path
+    return out
+
+
+def settle(spark: SparkSession, *done: DataFrame) -> None:
+    """Deletes tables of materialize() that nothing reads any more, and lets Spark delete the shuffle files of finished jobs."""
+    for df in done:
+        remove(spark, df._lodestone_path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def ascii_lower(text: Column) -> Column:

@@ -17,16 +17,15 @@ few for each class, then more, then all that are left. Blocks of sketches are co
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize
+from lodestone.llm.common import materialize, settle
 from lodestone.llm.components import components
 from lodestone.llm.shingles import hashed_rows, mix, shingle_set
 
@@ -425,12 +424,6 @@ def _pair_batch(found: set[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def settle(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of tables that are written and done with."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs (doc_id, text; other columns are dropped).
 
@@ -450,7 +443,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # the size of the smallest partner decides how many keys have to be shared
     enough = shared.groupBy("cls").agg(F.count("*").alias("c")).join(classes.select("cls", "n"), "cls").where(f"c >= greatest(1, floor(floor(n * {NUMERATOR} / {DENOMINATOR}) / {SHARED}))")
     groups = materialize(grouped(shared.join(enough.select("cls").distinct(), "cls", "left_semi").select("key", "cls"), partitions), "groups")
-    settle(spark)
+    settle(spark, shared)
     stars = groups.select(F.explode(F.array(*(f"h{k}" for k in range(HUBS)))).alias("a"), F.col("cls").alias("b")).where("a <> b").distinct()
     pairs = materialize(_prune(stars, classes), "pairs")
     sets = labels = tested = None

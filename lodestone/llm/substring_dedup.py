@@ -17,7 +17,6 @@ occurs twice are repeated by that alone. Windows of other chunks are candidates
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize
+from lodestone.llm.common import materialize, settle
 from lodestone.llm.shingles import RangeHash, hashed_rows, mix, signed
 
 WINDOW = 35
@@ -241,31 +240,27 @@ def removed(starts: list[tuple[int, int]], words: int, window: int = WINDOW) ->
     return np.cumsum(change[:-1]) > 0
 
 
-def settle(df: DataFrame) -> None:
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def repeated_windows(texts: DataFrame) -> DataFrame:
     """(k1, k2, starts: array of (start, count)) for every text (k1, k2, text) with repeated windows, by its 128-bit hash.
 
     Texts that occur twice are not looked at for that; the caller knows them by their count.
     """
+    spark = texts.sparkSession
     parsed = materialize(_chunks_and_anchors(texts), "symbols")
-    chunks = parsed.where("kind = 0").selectExpr("a as x1", "b as x2", "k1", "k2", "start", "windows")
+    chunks = materialize(parsed.where("kind = 0").selectExpr("a as x1", "b as x2", "k1", "k2", "start", "windows"), "chunks")
     place = F.struct("k1", "k2", "start")
     seen = chunks.groupBy("x1", "x2").agg(F.min(place).alias("at"), F.max(place).alias("other"))
     seen = seen.select("x1", "x2", "at", (F.col("at") != F.col("other")).alias("again"))
-    seen = materialize(seen.select("x1", "x2", "again", "at.k1", "at.k2", "at.start"), "chunks")
-    settle(texts)
+    seen = materialize(seen.select("x1", "x2", "again", "at.k1", "at.k2", "at.start"), "places")
+    settle(spark)
     anchors = parsed.where("kind = 1").selectExpr("a as key", "b as signature", "k1 as x1")
     shared = anchors.groupBy("key").agg(F.min("signature").alias("lo"), F.max("signature").alias("hi")).where("lo <> hi or key = 0").select("key")
     wanted = anchors.join(shared, "key", "left_semi").select("key", "x1").distinct()
     wanted = wanted.join(seen.select("x1", "k1", "k2", "start"), "x1").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "key")).alias("wanted"))
     wanted = materialize(wanted, "wanted")
-    settle(texts)
+    settle(spark, parsed)
     windows = materialize(_candidate_windows(texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted")), "windows")
-    settle(texts)
+    settle(spark, wanted)
     occurrence = F.xxhash64("x1", "x2", "off")
     twice = windows.groupBy("w1", "w2").agg(F.min(occurrence).alias("lo"), F.max(occurrence).alias("hi")).where("lo <> hi").select("w1", "w2")
     found = windows.join(twice, ["w1", "w2"], "left_semi").select("x1", "x2", "off").distinct()
@@ -274,7 +269,7 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     whole = chunks.join(seen.where("again").select("x1", "x2"), ["x1", "x2"], "left_semi").selectExpr("k1", "k2", "start", "windows as count").distinct()
     out = once.union(whole).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "count")).alias("starts"))
     out = materialize(out, "repeats")
-    settle(texts)
+    settle(spark, windows, chunks, seen)
     return out
 
 
