@@ -1,10 +1,454 @@
-"""Registry of the engine's own queries."""
+"""Registry of the engine's own queries: (spark, sf_dir) -> DataFrame, and DuckDB SQL for the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestone.functions import paths
+from lodestone.functions.snippet import snippets
+from lodestone.functions.text import document_reference, iso_time, norm
+from lodestone.operators import candidates, classify, maintain, passages, search, stats
+from lodestone.plans import context
+from lodestone.sources import corpus
+from lodestone.sources.parsers import parse_column
+from lodestone.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+_SPACE = "E' \\t\\n\\x0b\\x0c\\r'"
+_DOCS = """d AS (SELECT doc_id + 1 AS id, '/corpus' AS root_path, ['.txt', '.adoc', '.java', '.sql', '.js', '.xml'][doc_id % 6 + 1] AS extension,
+  'doc-' || doc_id || '-' || lang || ['.txt', '.adoc', '.java', '.sql', '.js', '.xml'][doc_id % 6 + 1] AS filename,
+  '/corpus/' || lang || '/' || source || '/doc-' || doc_id || '-' || lang || ['.txt', '.adoc', '.java', '.sql', '.js', '.xml'][doc_id % 6 + 1] AS path,
+  strlen(text) AS size_bytes, CAST(1700000000000 + doc_id * 1000 AS DOUBLE) AS modified_at_ms, text FROM documents)"""
+_BLOCKS = f"""b AS (SELECT * FROM (SELECT doc_id + 1 AS document_id, unnest(string_split_regex(text, '\\r\\n|\\n|\\r')) AS content,
+  generate_subscripts(string_split_regex(text, '\\r\\n|\\n|\\r'), 1) - 1 AS ordinal FROM documents) WHERE trim(content, {_SPACE}) <> '')"""
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a query under its function's name."""
+
+    def register(function: Callable) -> Callable:
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return register
+
+
+def _hits(found: DataFrame) -> DataFrame:
+    return found.select("id", "path", F.col("rank").cast("long").alias("rank"), "source_kind", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+def _phrase_sql(term: str, where: str = "", order: str = "", extra: str = "") -> str:
+    return f"""WITH {_DOCS}, {_BLOCKS}, s AS (SELECT * FROM d {where}),
+h AS (SELECT document_id, min(ordinal) AS ordinal FROM b WHERE contains(lower(content), '{term}') GROUP BY document_id)
+SELECT s.id, s.path, CAST(CASE WHEN lower(filename) = '{term}' THEN 4 WHEN contains(lower(filename), '{term}') THEN 3 ELSE 1 END AS BIGINT) AS rank,
+  CASE WHEN contains(lower(filename), '{term}') THEN 'filename' ELSE 'content' END AS source_kind,
+  CASE WHEN contains(lower(filename), '{term}') THEN NULL ELSE CAST(h.ordinal AS BIGINT) END AS ordinal {extra}
+FROM s LEFT JOIN h ON h.document_id = s.id WHERE contains(lower(filename), '{term}') OR h.ordinal IS NOT NULL {order}"""
+
+
+_ORDER = "ORDER BY rank DESC, modified_at_ms DESC, path"
+
+
+def _corpus(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return corpus.corpus_documents(spark, sf), corpus.corpus_blocks(spark, sf)
+
+
+# Text and blocks ------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_BLOCKS} SELECT document_id, CAST(ordinal AS BIGINT) AS ordinal, content, '第 ' || (ordinal + 1) || ' 行' AS location_value FROM b")
+def parse_line_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    docs = corpus.table(spark, sf, "documents").select((F.col("doc_id") + 1).alias("document_id"), "text")
+    return corpus.line_blocks(docs).select("document_id", F.col("ordinal").cast("long").alias("ordinal"), "content", "location_value")
+
+
+@query("SELECT doc_id, lower(text) AS normalized FROM documents")
+def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.table(spark, sf, "documents").select("doc_id", norm(F.col("text")).alias("normalized"))
+
+
+@query(f"WITH {_DOCS} SELECT id, id || '-' || sha256(path)[1:16] AS reference FROM d")
+def document_references(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.corpus_documents(spark, sf).select("id", document_reference(F.col("id"), F.col("path")).alias("reference"))
+
+
+@query(f"WITH {_DOCS} SELECT id, strftime(make_timestamp(CAST(modified_at_ms AS BIGINT) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS modified_at FROM d")
+def iso_times(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.corpus_documents(spark, sf).select("id", iso_time(F.col("modified_at_ms")).alias("modified_at"))
+
+
+# Search ---------------------------------------------------------------------------------------------------------------
+
+
+@query(_phrase_sql("the"))
+def search_phrase(spark: SparkSession, sf: str) -> DataFrame:
+    return _hits(search.search(*_corpus(spark, sf), "the", limit=None))
+
+
+@query(_phrase_sql("the", order=f"{_ORDER} LIMIT 20"))
+def search_phrase_top20(spark: SparkSession, sf: str) -> DataFrame:
+    return _hits(search.search(*_corpus(spark, sf), "the", limit=20))
+
+
+@query(_phrase_sql("doc-7-en.adoc"))
+def search_filename_exact(spark: SparkSession, sf: str) -> DataFrame:
+    return _hits(search.search(*_corpus(spark, sf), "Doc-7-EN.adoc", limit=None))
+
+
+@query(_phrase_sql("-de.sql"))
+def search_filename_contains(spark: SparkSession, sf: str) -> DataFrame:
+    return _hits(search.search(*_corpus(spark, sf), " -de.SQL ", limit=None))
+
+
+@query(_phrase_sql("and", where="WHERE extension IN ('.txt', '.js')"))
+def search_type_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return _hits(search.search(*_corpus(spark, sf), "and", scope=search.Scope(types=(".txt", ".js")), limit=None))
+
+
+@query(_phrase_sql("er", where="WHERE root_path = '/corpus' AND (path = '/corpus/de' OR starts_with(path, '/corpus/de/'))"))
+def search_root_subtree(spark: SparkSession, sf: str) -> DataFrame:
+    return _hits(search.search(*_corpus(spark, sf), "er", scope=search.Scope(root="/corpus", subtree="/corpus/de"), limit=None))
+
+
+_TERMS = ("der", "und", "in")
+_ALL_SQL = f"""WITH {_DOCS}, {_BLOCKS}, f AS (SELECT document_id, ordinal, {", ".join(f"CAST(contains(lower(content), '{t}') AS INT) AS t{k}" for k, t in enumerate(_TERMS))} FROM b),
+g AS (SELECT document_id, {", ".join(f"max(t{k}) AS s{k}" for k in range(3))}, coalesce(min(ordinal) FILTER (t0 + t1 + t2 = 3), arg_max(ordinal, (t0 + t1 + t2) * 10000000 - ordinal)) AS ordinal
+      FROM f WHERE t0 + t1 + t2 > 0 GROUP BY document_id),
+n AS (SELECT *, {" AND ".join(f"contains(lower(filename), '{t}')" for t in _TERMS)} AS named FROM d)
+SELECT n.id, n.path, CAST(CASE WHEN named THEN 3 ELSE 1 END AS BIGINT) AS rank, CASE WHEN named THEN 'filename' ELSE 'content' END AS source_kind,
+  CASE WHEN named THEN NULL ELSE CAST(g.ordinal AS BIGINT) END AS ordinal
+FROM n LEFT JOIN g ON g.document_id = n.id WHERE named OR ({" AND ".join(f"(s{k} = 1 OR contains(lower(filename), '{t}'))" for k, t in enumerate(_TERMS))} AND g.document_id IS NOT NULL)"""
+
+
+@query(_ALL_SQL)
+def search_all_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return _hits(search.search(*_corpus(spark, sf), "der  und\tin der", all_terms=True, limit=None))
+
+
+@query("""WITH h AS (SELECT conv_id + 1 AS id, min(turn) FILTER (contains(lower(role), 'assist')) AS ho, min(turn) FILTER (contains(lower(text), 'assist')) AS bo FROM conversations GROUP BY conv_id)
+SELECT CAST(id AS BIGINT) AS id, '/conversations/conv-' || (id - 1) || '.md' AS path, CAST(CASE WHEN ho IS NOT NULL THEN 2 ELSE 1 END AS BIGINT) AS rank,
+  CASE WHEN ho IS NOT NULL THEN 'heading' ELSE 'content' END AS source_kind, CAST(coalesce(ho, bo) AS BIGINT) AS ordinal FROM h WHERE ho IS NOT NULL OR bo IS NOT NULL""")
+def search_heading_tier(spark: SparkSession, sf: str) -> DataFrame:
+    docs, blocks = corpus.conversation_documents(spark, sf), corpus.conversation_blocks(spark, sf)
+    return _hits(search.search(docs, blocks, "assist", limit=None))
+
+
+@query(f"SELECT *, CAST(ceil(position / 20.0) AS BIGINT) AS page FROM ({_phrase_sql('the', extra=f', row_number() OVER ({_ORDER}) AS position')})".replace("ORDER BY rank DESC", "ORDER BY (CASE WHEN lower(filename) = 'the' THEN 4 WHEN contains(lower(filename), 'the') THEN 3 ELSE 1 END) DESC"))
+def search_paged(spark: SparkSession, sf: str) -> DataFrame:
+    ranked = search.numbered(search.search(*_corpus(spark, sf), "the", limit=None))
+    return ranked.select("id", "path", F.col("rank").cast("long").alias("rank"), "source_kind", F.col("ordinal").cast("long").alias("ordinal"), "position", F.ceil(F.col("position") / 20).alias("page"))
+
+
+@query(f"""WITH {_DOCS}, {_BLOCKS}, one AS (SELECT id, row_number() OVER (ORDER BY contains(lower(filename), 'the')::INT DESC, modified_at_ms DESC, path) AS position, path FROM d
+  WHERE contains(lower(filename), 'the') OR id IN (SELECT document_id FROM b WHERE contains(lower(content), 'the'))),
+two AS (SELECT document_id, min(ordinal) AS ordinal FROM b WHERE contains(lower(content), 'and') GROUP BY document_id)
+SELECT one.id, one.path, one.position, CAST(1 AS BIGINT) AS rank, CAST(two.ordinal AS BIGINT) AS ordinal FROM one JOIN two ON two.document_id = one.id""")
+def search_refine_two_layers(spark: SparkSession, sf: str) -> DataFrame:
+    docs, blocks = _corpus(spark, sf)
+    first = search.numbered(search.search(docs, blocks, "the", limit=None))
+    return search.refine(first, docs, blocks, "and").select("id", "path", "position", F.col("rank").cast("long").alias("rank"), F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query(f"SELECT * FROM ({_phrase_sql('e', extra=', count(*) OVER () AS total_hits, count(*) OVER () > 500 AS truncated', order=_ORDER + ' LIMIT 500')})")
+def search_window_500(spark: SparkSession, sf: str) -> DataFrame:
+    found = search.windowed(search.search(*_corpus(spark, sf), "e", limit=None))
+    return found.select("id", "path", F.col("rank").cast("long").alias("rank"), "source_kind", F.col("ordinal").cast("long").alias("ordinal"), "total_hits", "truncated")
+
+
+@query(f"WITH {_BLOCKS} SELECT document_id, CAST(ordinal AS BIGINT) AS ordinal, content FROM b WHERE contains(lower(content), 'of the') QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY ordinal) = 1")
+def representative_block(spark: SparkSession, sf: str) -> DataFrame:
+    blocks = corpus.corpus_blocks(spark, sf).where(F.contains("norm_content", F.lit("of the")))
+    return blocks.groupBy("document_id").agg(F.min("ordinal").cast("long").alias("ordinal"), F.min_by("content", "ordinal").alias("content"))
+
+
+@query(f"""WITH {_BLOCKS}, r AS (SELECT document_id, ordinal, row_number() OVER (PARTITION BY document_id ORDER BY ordinal) AS passage_no FROM b WHERE contains(lower(content), 'the'))
+SELECT document_id, CAST(ordinal AS BIGINT) AS ordinal, CAST(1 AS BIGINT) AS rank, passage_no FROM r WHERE passage_no <= 3""")
+def matching_passages(spark: SparkSession, sf: str) -> DataFrame:
+    found = passages.phrase_passages(corpus.corpus_blocks(spark, sf), "the")
+    return found.select("document_id", F.col("ordinal").cast("long").alias("ordinal"), F.col("rank").cast("long").alias("rank"), F.col("passage_no").cast("long").alias("passage_no"))
+
+
+@query()
+def matching_passages_all_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.all_terms_passages(*_corpus(spark, sf), "the and of")
+
+
+@query()
+def snippet_page(spark: SparkSession, sf: str) -> DataFrame:
+    """Snippets of the first page: the hits are chosen first, and only their blocks are read for text."""
+    docs, blocks = _corpus(spark, sf)
+    first = search.search(docs, blocks, "the", limit=20).select("id", "rank", "filename", "ordinal")
+    text = blocks.select(F.col("document_id").alias("id"), "ordinal", "content")
+    rows = first.join(text, ["id", "ordinal"], "left").select("id", "rank", F.coalesce("content", "filename").alias("source"))
+    return rows.withColumn("snippet", snippets(F.col("source"), ["the"])).select("id", "rank", "snippet.text", "snippet.truncated")
+
+
+@query(f"WITH {_DOCS} SELECT id, path, status FROM (SELECT *, 'indexed' AS status FROM d) WHERE path = '/corpus/en/src7/doc-7-en.adoc' OR id = 10")
+def document_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = corpus.corpus_documents(spark, sf)
+    return docs.where((F.col("path") == "/corpus/en/src7/doc-7-en.adoc") | (F.col("id") == 10)).select("id", "path", "status")
+
+
+# Candidate pruning ----------------------------------------------------------------------------------------------------
+
+_GRAMS = f"""{_BLOCKS}, p AS (SELECT DISTINCT document_id, unnest(list_transform(range(1, CAST(len(lower(content)) AS BIGINT) - 1), lambda i: substring(lower(content), i, 3))) AS gram FROM b)"""
+
+
+@query(f"WITH {_GRAMS} SELECT gram, count(*) AS documents FROM p GROUP BY gram")
+def trigram_postings(spark: SparkSession, sf: str) -> DataFrame:
+    return candidates.postings(corpus.corpus_blocks(spark, sf)).groupBy("gram").agg(F.count("*").alias("documents"))
+
+
+@query(f"WITH {_GRAMS} SELECT document_id FROM p WHERE gram IN ('ter', 'ers', 'rst', 'sta', 'tan', 'and') GROUP BY document_id HAVING count(*) = 6")
+def trigram_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return candidates.candidates(candidates.postings(corpus.corpus_blocks(spark, sf)), "terstand")
+
+
+@query(_phrase_sql("license"))
+def search_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    docs, blocks = _corpus(spark, sf)
+    return _hits(search.search(docs, blocks, "license", limit=None, candidates=candidates.candidates(candidates.postings(blocks), "license")))
+
+
+# Incremental indexing -------------------------------------------------------------------------------------------------
+
+_PREVIOUS = """p AS (SELECT path, CASE id % 11 WHEN 0 THEN 'error' WHEN 1 THEN 'unsupported' WHEN 2 THEN 'too_large' ELSE 'indexed' END AS status, CASE WHEN id % 5 = 0 THEN NULL ELSE 1 END AS parse_version,
+  size_bytes + CASE WHEN id % 13 = 0 THEN 1 ELSE 0 END AS size_bytes, modified_at_ms + CASE WHEN id % 17 = 0 THEN 0.5 ELSE 0 END AS modified_at_ms FROM d WHERE id % 7 <> 0)"""
+_COMPARED = f"""{_DOCS}, {_PREVIOUS}, c AS (SELECT d.id, d.path, d.extension, d.size_bytes, CASE WHEN p.status IS NULL THEN 'added' WHEN d.size_bytes <> p.size_bytes OR d.modified_at_ms <> p.modified_at_ms THEN 'source-changed'
+  WHEN p.status = 'error' THEN 'error-retry' WHEN p.status <> 'too_large' AND coalesce(p.parse_version, 0) < 1 THEN 'text-upgrade' WHEN p.status = 'unsupported' THEN 'unsupported-retry' ELSE 'unchanged' END AS reason
+  FROM d LEFT JOIN p USING (path))"""
+
+
+def _listing(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    docs = corpus.corpus_documents(spark, sf)
+    k = F.col("id") % 11
+    old = docs.where("id % 7 <> 0").select(
+        "path",
+        F.when(k == 0, "error").when(k == 1, "unsupported").when(k == 2, "too_large").otherwise("indexed").alias("status"),
+        F.when(F.col("id") % 5 != 0, 1).alias("parse_version"),
+        (F.col("size_bytes") + F.when(F.col("id") % 13 == 0, 1).otherwise(0)).alias("size_bytes"),
+        (F.col("modified_at_ms") + F.when(F.col("id") % 17 == 0, 0.5).otherwise(0.0)).alias("modified_at_ms"),
+    )
+    return docs.select("id", "path", "filename", "extension", "size_bytes", "modified_at_ms"), old
+
+
+@query(f"WITH {_COMPARED} SELECT id, path, reason, CASE WHEN reason = 'unchanged' THEN 'skip' ELSE 'parse' END AS action FROM c")
+def classify_reprocess(spark: SparkSession, sf: str) -> DataFrame:
+    return classify.compare(*_listing(spark, sf)).select("id", "path", "reason", "action")
+
+
+@query(f"WITH {_COMPARED} SELECT reason, count(*) AS files FROM c GROUP BY reason")
+def reason_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return classify.reason_counts(classify.compare(*_listing(spark, sf)))
+
+
+@query(f"""WITH {_COMPARED} SELECT count(*) AS found, count(*) FILTER (reason = 'added') AS added, count(*) FILTER (reason NOT IN ('added', 'unchanged')) AS reprocessed,
+  count(*) FILTER (reason = 'unchanged') AS unchanged, count(*) FILTER (reason <> 'unchanged') AS parser_calls, CAST(0 AS BIGINT) AS metadata_only FROM c""")
+def sync_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return classify.sync_totals(classify.compare(*_listing(spark, sf)))
+
+
+@query(f"WITH {_DOCS} SELECT extension, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM d GROUP BY extension")
+def format_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return classify.format_totals(corpus.corpus_documents(spark, sf))
+
+
+@query(f"WITH {_DOCS} SELECT id, CASE WHEN id % 10 = 3 AND starts_with(path, '/corpus/en/') THEN 'deleted' ELSE 'kept' END AS outcome FROM d")
+def remove_missing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = corpus.corpus_documents(spark, sf)
+    return maintain.remove_missing(docs, docs.where("id % 10 <> 3"), root="/corpus", subtree="/corpus/en").select("id", "outcome")
+
+
+@query(f"WITH {_DOCS} SELECT id, CASE WHEN id % 10 <> 3 THEN 'kept' WHEN starts_with(path, '/corpus/fr/') OR starts_with(path, '/corpus/en/src3/') THEN 'protected' ELSE 'deleted' END AS outcome FROM d")
+def remove_missing_protected(spark: SparkSession, sf: str) -> DataFrame:
+    docs = corpus.corpus_documents(spark, sf)
+    scopes = spark.createDataFrame([("/corpus/fr",), ("/corpus/en/src3/",)], "path string")
+    return maintain.remove_missing(docs, docs.where("id % 10 <> 3"), root="/corpus", protected=scopes).select("id", "outcome")
+
+
+@query(f"""WITH {_DOCS}, o AS (SELECT id, path, size_bytes FROM d WHERE id % 4 <> 0), c AS (SELECT path, size_bytes + 1 AS size_bytes FROM d WHERE id % 4 = 0 OR id % 6 = 1)
+SELECT coalesce(o.id, (SELECT max(id) FROM o) + CASE WHEN o.id IS NULL THEN 1 END) AS known, path, coalesce(c.size_bytes, o.size_bytes) AS size_bytes FROM o FULL JOIN c USING (path)""")
+def merge_upsert_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    docs = corpus.corpus_documents(spark, sf).select("id", "path", "size_bytes")
+    old = docs.where("id % 4 <> 0")
+    merged = maintain.upsert(old, docs.where("id % 4 = 0 or id % 6 = 1").select("path", (F.col("size_bytes") + 1).alias("size_bytes")))
+    top = old.agg(F.max("id")).first()[0]
+    return merged.select(F.least("id", F.lit(top + 1)).alias("known"), "path", "size_bytes")
+
+
+@query(f"WITH {_DOCS} SELECT id, CASE WHEN id % 3 = 2 THEN '/old/c' WHEN id % 3 = 1 THEN '/corpus' ELSE '/corpus' END AS root_path FROM d")
+def merge_child_roots(spark: SparkSession, sf: str) -> DataFrame:
+    docs = corpus.corpus_documents(spark, sf)
+    k = F.col("id") % 3
+    owned = docs.withColumn("root_path", F.when(k == 0, "/corpus/en").when(k == 1, "/corpus/de").otherwise("/old/c"))
+    return maintain.merge_roots(owned, "/corpus", ["/corpus/en", "/corpus/de"]).select("id", "root_path")
+
+
+@query(f"WITH {_DOCS} SELECT id, CASE WHEN id % 9 = 0 THEN size_bytes + 5 ELSE size_bytes END AS size_bytes, CASE WHEN id % 9 = 0 THEN 'unsupported' ELSE 'indexed' END AS status FROM d")
+def touch_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    docs = corpus.corpus_documents(spark, sf)
+    seen = docs.where("id % 9 = 0").select("path", (F.col("size_bytes") + 5).alias("size_bytes"), "modified_at_ms", F.lit("unsupported").alias("status"))
+    return maintain.touch(docs, seen).select("id", "size_bytes", "status")
+
+
+@query(f"WITH {_BLOCKS} SELECT document_id, count(*) AS blocks FROM b WHERE document_id % 8 <> 1 GROUP BY document_id")
+def remove_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    docs, blocks = _corpus(spark, sf)
+    left = maintain.remove_documents(docs, blocks, docs.where("id % 8 = 1").select("id"))[1]
+    return left.groupBy("document_id").agg(F.count("*").alias("blocks"))
+
+
+# Statistics -----------------------------------------------------------------------------------------------------------
+
+_STATUS_SQL = "CASE doc_id % 9 WHEN 0 THEN 'no_text' WHEN 1 THEN 'error' WHEN 2 THEN 'unsupported' ELSE 'indexed' END"
+_STATUS_DOCS = f"s AS (SELECT *, CASE (id - 1) % 9 WHEN 0 THEN 'no_text' WHEN 1 THEN 'error' WHEN 2 THEN 'unsupported' ELSE 'indexed' END AS status, CASE WHEN id % 4 = 0 THEN NULL ELSE 1 END AS parse_version FROM d)"
+
+
+def _with_status(spark: SparkSession, sf: str) -> DataFrame:
+    k = (F.col("id") - 1) % 9
+    docs = corpus.corpus_documents(spark, sf)
+    status = F.when(k == 0, "no_text").when(k == 1, "error").when(k == 2, "unsupported").otherwise("indexed")
+    return docs.withColumns({"status": status, "parse_version": F.when(F.col("id") % 4 != 0, 1), "error_code": F.when(k == 1, "PARSE_ERROR"), "error_message": F.when(k == 1, F.concat(F.lit("at "), F.col("filename")))})
+
+
+@query(f"""WITH {_DOCS}, {_STATUS_DOCS}, e AS (SELECT unnest(['indexed', 'no_text', 'unsupported', 'too_large', 'encrypted', 'error']) AS status)
+SELECT e.status, count(s.id) AS documents FROM e LEFT JOIN s USING (status) GROUP BY e.status""")
+def status_counts_zero_filled(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.status_counts(_with_status(spark, sf))
+
+
+@query(f"""WITH {_DOCS}, {_STATUS_DOCS} SELECT extension, count(*) AS documents, CAST(sum(size_bytes) AS BIGINT) AS source_bytes,
+{", ".join(f"count(*) FILTER (status = '{x}') AS {x}" for x in ("indexed", "no_text", "unsupported", "too_large", "encrypted", "error"))} FROM s GROUP BY extension""")
+def extension_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.extension_stats(_with_status(spark, sf))
+
+
+@query(f"WITH {_DOCS}, {_STATUS_DOCS} SELECT extension, count(*) AS documents FROM s WHERE parse_version IS NULL GROUP BY extension")
+def text_upgrade_pending(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.text_upgrade_pending(_with_status(spark, sf))
+
+
+@query(f"WITH {_DOCS}, {_BLOCKS} SELECT (SELECT count(*) FROM d) AS documents, (SELECT count(*) FROM b) AS blocks, (SELECT CAST(sum(length(content)) AS BIGINT) FROM b) AS characters")
+def content_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.content_stats(*_corpus(spark, sf))
+
+
+@query(f"WITH {_DOCS} SELECT root_path, count(*) AS documents FROM d GROUP BY root_path")
+def document_count_by_root(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.documents_by_root(corpus.corpus_documents(spark, sf))
+
+
+@query(f"WITH {_DOCS}, {_STATUS_DOCS} SELECT path, status, 'PARSE_ERROR' AS error_code, 'at ' || filename AS error_message FROM s WHERE status = 'error' ORDER BY path")
+def document_issues(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.issues(_with_status(spark, sf))
+
+
+@query("SELECT event_type AS stage, CAST(user_id % 4 AS VARCHAR) AS code, count(*) AS n FROM events GROUP BY ALL UNION ALL SELECT event_type, NULL, count(*) FROM events GROUP BY ALL")
+def diagnostic_counts(spark: SparkSession, sf: str) -> DataFrame:
+    events = corpus.table(spark, sf, "events")
+    return stats.diagnostic_counts(events.select(F.col("event_type").alias("stage"), (F.col("user_id") % 4).cast("string").alias("code")))
+
+
+@query("SELECT lang, count(n_chars) AS n, quantile_disc(n_chars, 0.5) AS p50, quantile_disc(n_chars, 0.95) AS p95, max(n_chars) AS max FROM documents GROUP BY lang")
+def profile_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.percentiles(corpus.table(spark, sf, "documents"), "lang", "n_chars")
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20")
+def slowest_files(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.slowest(corpus.table(spark, sf, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id")
+
+
+@query(f"WITH {_DOCS} SELECT extension, count(*) AS files, CASE WHEN count(*) FILTER (id % 50 = 0) = 0 THEN CAST(sum(size_bytes) AS BIGINT) END AS bytes FROM d GROUP BY extension")
+def storage_totals(spark: SparkSession, sf: str) -> DataFrame:
+    files = corpus.corpus_documents(spark, sf).withColumn("size_bytes", F.when(F.col("id") % 50 != 0, F.col("size_bytes")))
+    return files.groupBy("extension").agg(F.count("*").alias("files"), F.when(F.count_if(F.col("size_bytes").isNull()) == 0, F.sum("size_bytes")).alias("bytes"))
+
+
+# Paths and roots ------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_DOCS} SELECT id, NOT (regexp_matches(path, '(?i)(^|/)doc-1[^/]*\\.sql$') OR starts_with(path, '/corpus/en/src3/') OR regexp_matches(path, '(?i)^/corpus/[^/]*/src1[^/]/')) AS listed FROM d""")
+def ignore_rules_applied(spark: SparkSession, sf: str) -> DataFrame:
+    rules = paths.ignore_rules("# rules\nDOC-1*.sql\n/corpus/en/src3/\ncorpus/*/src1?/\n")
+    docs = corpus.corpus_documents(spark, sf)
+    return docs.select("id", (~paths.ignored(F.substring("path", 2, 10_000), F.lit(False), rules)).alias("listed"))
+
+
+@query(f"""WITH {_DOCS} SELECT id, CASE WHEN starts_with(path, '/corpus/en/src1/') THEN '/corpus/en/src1' WHEN starts_with(path, '/corpus/en/') THEN '/corpus/en' ELSE '/corpus' END AS root FROM d""")
+def path_cover_join(spark: SparkSession, sf: str) -> DataFrame:
+    """The most specific covering root of each document: an equality join on its ancestors."""
+    roots = spark.createDataFrame([("/corpus",), ("/corpus/en",), ("/corpus/en/src1",), ("/corpus/e",)], "root string")
+    steps = corpus.corpus_documents(spark, sf).select("id", F.explode(paths.ancestors(F.col("path"))).alias("root"))
+    return steps.join(roots, "root").groupBy("id").agg(F.max_by("root", F.size(paths.parts(F.col("root")))).alias("root"))
+
+
+def _history(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.table(spark, sf, "nation").select(F.concat(F.lit("/r/"), F.col("n_nationkey").cast("string")).alias("former_path"), F.concat(F.lit("/r/"), F.floor(F.col("n_nationkey") / 2 + 12).cast("string")).alias("parent_path")).where("former_path <> parent_path")
+
+
+@query("""WITH RECURSIVE e AS (SELECT '/r/' || n_nationkey AS f, '/r/' || CAST(floor(n_nationkey / 2.0 + 12) AS BIGINT) AS p FROM nation WHERE n_nationkey <> CAST(floor(n_nationkey / 2.0 + 12) AS BIGINT)),
+w AS (SELECT f, p, 1 AS steps FROM e UNION ALL SELECT w.f, e.p, w.steps + 1 FROM w JOIN e ON e.f = w.p)
+SELECT f AS former_path, p AS current_path, CAST(steps AS BIGINT) AS steps FROM w WHERE p NOT IN (SELECT f FROM e)""")
+def root_history_closure(spark: SparkSession, sf: str) -> DataFrame:
+    return maintain.root_history(_history(spark, sf))
+
+
+@query("SELECT DISTINCT '/r' AS root_path, 's' || (s_suppkey % 5) AS base_path FROM supplier UNION SELECT '/r', unnest(['/r/a', '/r/b'])")
+def merged_ignore_scopes(spark: SparkSession, sf: str) -> DataFrame:
+    scopes = corpus.table(spark, sf, "supplier").select(F.when(F.col("s_suppkey") % 2 == 0, "/r/a").otherwise("/r/b").alias("root_path"), F.concat(F.lit("s"), (F.col("s_suppkey") % 5).cast("string")).alias("base_path"))
+    return maintain.merged_ignore_scopes(scopes, "/r", ["/r/a", "/r/b"])
+
+
+# Live updates ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_DOCS}, p AS (SELECT DISTINCT CASE WHEN id % 40 = 0 THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE path END AS path FROM d WHERE id % 3 = 0)
+SELECT path FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE starts_with(p.path, q.path || '/'))""")
+def absorb_pending_paths(spark: SparkSession, sf: str) -> DataFrame:
+    docs = corpus.corpus_documents(spark, sf).where("id % 3 = 0")
+    return live.absorb(docs.select(F.when(F.col("id") % 40 == 0, F.regexp_extract("path", "^(.*)/[^/]*$", 1)).otherwise(F.col("path")).alias("path")))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+SELECT CAST(user_id AS VARCHAR) AS root, count(*) AS events, min(ts) AS first_at, max(ts) AS last_at FROM s GROUP BY user_id, n""")
+def debounce_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    events = corpus.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("root"), "ts")
+    return live.debounced(events, "30 minutes").select("root", "events", "first_at", "last_at")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS root, count(DISTINCT event_id) AS pending, CASE WHEN count(DISTINCT event_id) > 60 THEN 'reconcile' ELSE 'local' END AS mode FROM events GROUP BY user_id")
+def queue_overflow(spark: SparkSession, sf: str) -> DataFrame:
+    events = corpus.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("root"), F.col("event_id").cast("string").alias("path"))
+    return live.queue_modes(events, limit=60)
+
+
+@query("""WITH t AS (SELECT conv_id, turn, text, CASE WHEN role = 'user' THEN text END AS h FROM conversations)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, last_value(h IGNORE NULLS) OVER w AS heading, CAST(count(h) OVER w AS BIGINT) AS section FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)""")
+def running_heading(spark: SparkSession, sf: str) -> DataFrame:
+    turns = corpus.table(spark, sf, "conversations").withColumn("h", F.when(F.col("role") == "user", F.col("text")))
+    so_far = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    return turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.last("h", True).over(so_far).alias("heading"), F.count("h").over(so_far).alias("section"))
+
+
+# Formats and context --------------------------------------------------------------------------------------------------
+
+
+@query()
+def parse_html_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    pages = corpus.table(spark, sf, "pages")
+    return parse_column(pages.select(F.col("page_id").alias("document_id"), F.lit("page.html").alias("filename"), F.encode("html", "UTF-8").alias("content")))
+
+
+@query()
+def context_bundle(spark: SparkSession, sf: str) -> DataFrame:
+    docs, blocks = _corpus(spark, sf)
+    return context.bundle(docs, blocks, "the", limit=5)

@@ -1,0 +1,70 @@
+"""Bytes of text files to text."""
+
+from __future__ import annotations
+
+import codecs
+import re
+
+from lodestone.sources.parsers.base import ParseError
+
+_MARKS = ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
+_DECLARED = re.compile(rb"""^\s*<\?xml[^>]*?\bencoding\s*=\s*["']([A-Za-z0-9._-]+)["']""")
+_META = re.compile(rb"""<meta\b[^>]*?charset\s*=\s*["']?\s*([A-Za-z0-9._:-]+)""", re.I)
+_CHINESE = ("cp950", "big5hkscs")
+
+
+def _strict(data: bytes, encoding: str) -> str:
+    try:
+        return data.decode(encoding)
+    except LookupError:
+        raise ParseError("TEXT_ENCODING_UNSUPPORTED", f"unknown encoding {encoding}") from None
+    except UnicodeDecodeError as error:
+        raise ParseError("TEXT_ENCODING_INVALID", str(error)) from None
+
+
+def _marked(data: bytes) -> str | None:
+    for mark, encoding in _MARKS:
+        if data.startswith(mark):
+            return _strict(data[len(mark) :], encoding)
+    return None
+
+
+def _guess(data: bytes) -> str:
+    """UTF-8, or else Big5, both strictly."""
+    try:
+        return data.decode("utf-8")
+    except UnicodeDecodeError:
+        for encoding in _CHINESE:
+            try:
+                return data.decode(encoding)
+            except UnicodeDecodeError:
+                continue
+    raise ParseError("TEXT_ENCODING_UNKNOWN", "neither UTF-8 nor Big5")
+
+
+def decode_text(data: bytes) -> str:
+    return text if (text := _marked(data)) is not None else _guess(data)
+
+
+def decode_xml(data: bytes) -> str:
+    """A mark comes first, then the shape of the first characters, then the declaration, which is then binding."""
+    if (text := _marked(data)) is not None:
+        return text
+    if data.startswith(b"<\x00?\x00"):
+        return _strict(data, "utf-16-le")
+    if data.startswith(b"\x00<\x00?"):
+        return _strict(data, "utf-16-be")
+    declared = _DECLARED.match(data[:1024])
+    return _strict(data, declared[1].decode("ascii")) if declared else _guess(data)
+
+
+def decode_html(data: bytes) -> str:
+    """As browsers do it: a mark, then a charset in the first 8 KiB, then UTF-8; bytes that don't fit are replaced."""
+    for mark, encoding in _MARKS:
+        if data.startswith(mark):
+            return data[len(mark) :].decode(encoding, "replace")
+    found = _META.search(data[:8192])
+    try:
+        return data.decode(found[1].decode("ascii") if found else "utf-8", "replace")
+    except LookupError:
+        raise ParseError("TEXT_ENCODING_UNSUPPORTED", f"unknown encoding {found[1]!r}") from None
