@@ -40,8 +40,10 @@ HOT_BUCKETS = 1 << 18
 HUBS, HELD = 3, 200_000
 #: Members of a hub's group that one task verifies together, and classes in a block.
 SALT, BLOCK = 512, 1024
+#: Ids up to which (4 MB) a set of documents is looked up by broadcasting their ids; for more the texts are shuffled.
+BROADCAST_IDS = 500_000
 #: Candidates of one class, outside its component, that are verified in turn. The last takes all that are left.
-RANKS = (2, 16, float("inf"))
+RANKS = (8, float("inf"))
 
 
 def max_difference(a: int, b: int) -> int:
@@ -191,40 +193,44 @@ def key_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(emit, "key long, cls long")
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, int | None]]:
-    """(key, cls) sorted and without repeats, in whole groups, and the key of a group that is so long that it comes in several stretches."""
-    key, cls, long = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], int | None]]:
+    """Columns (key, ..., cls) of sorted rows without repeats, in whole groups of a key, and the key of a group that is so long that it comes in several stretches."""
+    held, long = None, None
     for batch in batches:
-        key, cls = (np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate((key, cls)))
+        columns = [c.to_numpy() for c in batch.columns]
+        if held is not None:
+            columns = [np.concatenate(pair) for pair in zip(held, columns)]
+        key = columns[0]
         if not len(key):
             continue
         whole = int(np.searchsorted(key, key[-1]))  # the last group may go on
         if len(key) - whole > HELD:
             whole, long = len(key), int(key[-1])
         if whole:
-            yield (*_unique(key[:whole], cls[:whole]), long)
-        key, cls = key[whole:], cls[whole:]
-    if len(key):
-        yield (*_unique(key, cls), long)
+            yield _unique([c[:whole] for c in columns]), long
+        held = [c[whole:] for c in columns]
+    if held is not None and len(held[0]):
+        yield _unique(held), long
 
 
-def _unique(key: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _unique(columns: list[np.ndarray]) -> list[np.ndarray]:
+    key, cls = columns[0], columns[-1]
     fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
-    return key[fresh], cls[fresh]
+    return [c[fresh] for c in columns]
 
 
-def _sized(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First row and size of each group."""
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return first, np.diff(np.append(first, len(key)))
+def _sized(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row and size of each group, from the rows that begin one."""
+    first = np.flatnonzero(starts)
+    return first, np.diff(np.append(first, len(starts)))
 
 
 def shared_rows(rows: DataFrame, partitions: int) -> DataFrame:
     """(key, cls) of keys that two classes have at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, cls, long in _stretches(batches):
-            first, size = _sized(key)
+        for (key, cls), long in _stretches(batches):
+            first, size = _sized(np.concatenate([[True], key[1:] != key[:-1]]))
             keep = np.repeat((size > 1) | (key[first] == (long if long is not None else key[first] + 1)), size)
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(cls[keep])], names=["key", "cls"])
@@ -233,14 +239,19 @@ def shared_rows(rows: DataFrame, partitions: int) -> DataFrame:
 
 
 def grouped(rows: DataFrame, partitions: int) -> DataFrame:
-    """(grp, cls, h0 .. h2): the groups of (key, cls), those of the same classes only once.
+    """(grp, cls, h0 .. h2, keys): the groups of (key, n, cls), those of the same classes only once, with the number of their keys.
+
+    A key's classes are sorted by size and parted where the next one is too large to be similar to the one before it.
 
     The hubs are the group's first classes in HUBS orders that are the same for all groups; a group of over HELD rows has hubs for each stretch of it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, cls, long in _stretches(batches):
-            first, size = _sized(key)
+        for (key, n, cls), long in _stretches(batches):
+            apart = DENOMINATOR * n[:-1] < NUMERATOR * n[1:]
+            if long is not None:
+                apart &= key[1:] != long
+            first, size = _sized(np.concatenate([[True], (key[1:] != key[:-1]) | apart]))
             group = np.repeat(np.arange(len(first)), size)
             name = mix(np.add.reduceat(mix(cls.view(np.uint64)), first) + size.astype(np.uint64))
             if long is not None:
@@ -256,8 +267,8 @@ def grouped(rows: DataFrame, partitions: int) -> DataFrame:
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (name.view(np.int64)[group], cls, *hubs)], names=["grp", "cls", *(f"h{k}" for k in range(HUBS))])
 
-    out = rows.repartition(partitions, "key").sortWithinPartitions("key", "cls").mapInArrow(run, "grp long, cls long, " + ", ".join(f"h{k} long" for k in range(HUBS)))
-    return out.groupBy("grp", "cls").agg(*(F.min(f"h{k}").alias(f"h{k}") for k in range(HUBS)))
+    out = rows.repartition(partitions, "key").sortWithinPartitions("key", "n", "cls").mapInArrow(run, "grp long, cls long, " + ", ".join(f"h{k} long" for k in range(HUBS)))
+    return out.groupBy("grp", "cls").agg(*(F.min(f"h{k}").alias(f"h{k}") for k in range(HUBS)), F.count("*").alias("keys"))
 
 
 def _key_batch(keys: list[np.ndarray], classes: list[int]) -> pa.RecordBatch:
@@ -295,7 +306,8 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["doc_id", "items"])
 
-    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, items binary")
+    few = ids.count() <= BROADCAST_IDS
+    return docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, items binary")
 
 
 def verify(sets: DataFrame, pairs: DataFrame, partitions: int) -> DataFrame:
@@ -334,15 +346,17 @@ def verify(sets: DataFrame, pairs: DataFrame, partitions: int) -> DataFrame:
     return sent.repartition(partitions, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("member").asc_nulls_first()).mapInArrow(compare, "a long, b long")
 
 
-def block_pairs(cls: np.ndarray, label: np.ndarray, n: np.ndarray, sketches: list[bytes], block: np.ndarray, most: float) -> set[tuple[int, int]]:
-    """Pairs of classes with different labels (of different blocks, if there are two) that sizes and sketches allow: for each class, the first ``most`` in a fixed order."""
+def block_pairs(cls: np.ndarray, label: np.ndarray, n: np.ndarray, sketches: list[bytes], minor: np.ndarray, first: bool, most: float) -> set[tuple[int, int]]:
+    """Pairs of classes with different labels that sizes and sketches allow: for each class, the first ``most`` in a fixed order. Pairs of two minor rows, which are in every unit, count in the first.
+
+    Has (0, 0) if it left any out.
+    """
     if len(cls) <= 6:
-        pairs = [(i, j) for i in range(len(cls)) for j in range(i) if label[i] != label[j] and DENOMINATOR * min(n[i], n[j]) >= NUMERATOR * max(n[i], n[j])]
+        pairs = [(i, j) for i in range(len(cls)) for j in range(i) if label[i] != label[j] and (first or not minor[i] or not minor[j]) and DENOMINATOR * min(n[i], n[j]) >= NUMERATOR * max(n[i], n[j])]
         allowed = [(i, j) for i, j in pairs if sketch_distance(sketches[i], sketches[j]) <= max_difference(n[i], n[j])]
         return {(min(cls[i], cls[j]), max(cls[i], cls[j])) for i, j in allowed}
-    cls, label, n, block = (np.array(c, np.int64) for c in (cls, label, n, block))
+    cls, label, n, minor = (np.array(c, np.int64) for c in (cls, label, n, minor))
     width = np.array([len(s) for s in sketches])
-    two = block.min() != block.max()
     found_i, found_j = [], []
     for w in np.unique(width):
         for v in (w, 2 * w):
@@ -359,8 +373,8 @@ def block_pairs(cls: np.ndarray, label: np.ndarray, n: np.ndarray, sketches: lis
                 distance = np.bitwise_count(x[k : k + step, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64)
                 total, least = n[i][:, None] + n[large][None, :], np.minimum(n[i][:, None], n[large][None, :])
                 ok = (distance <= (DENOMINATOR - NUMERATOR) * total // (DENOMINATOR + NUMERATOR)) & (DENOMINATOR * least >= NUMERATOR * (total - least)) & (label[i][:, None] != label[large][None, :])
-                if two:
-                    ok &= block[i][:, None] != block[large][None, :]
+                if not first:
+                    ok &= (minor[i][:, None] + minor[large][None, :]) < 2
                 if v == w:
                     ok &= i[:, None] < large[None, :]
                 a, b = np.nonzero(ok)
@@ -376,46 +390,55 @@ def block_pairs(cls: np.ndarray, label: np.ndarray, n: np.ndarray, sketches: lis
     start = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
     chosen = np.arange(len(x)) - np.repeat(start, np.diff(np.append(start, len(x)))) < most
     a, b = cls[x[chosen]], cls[y[chosen]]
-    return set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
+    found = set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
+    return found if chosen.all() else found | {(0, 0)}
 
 
 def _cross_pairs(groups: DataFrame, labelled: DataFrame, classes: DataFrame, partitions: int, most: float) -> DataFrame:
     """(a, b) classes that share a group and aren't connected yet, as far as sizes and sketches allow; ``most`` of them for a class in a block.
 
-    Every pair of blocks of a group is one unit of work.
+    Every block of a group is one unit of work.
     """
-    rows = groups.select("grp", "cls").join(labelled, "cls")
-    # in a group of up to HUBS + 1 all pairs have a hub, and have been looked at
-    mixed = rows.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where(f"lo <> hi and size > {min(HUBS, 2)}").select("grp", "size")
+    rows = groups.select("grp", "cls", "keys").join(labelled, "cls")
+    mixed = rows.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("grp")
+    rows = rows.join(mixed, "grp", "left_semi")
+    # who is similar to a class of another component shares enough keys with it
+    enough = rows.groupBy("cls").agg(F.sum("keys").alias("c"), F.first("need").alias("need")).where("c >= need").select("cls")
+    rows = materialize(rows.join(enough, "cls", "left_semi").select("grp", "cls", "label"), "mixed")
+    # in a group of two the only pair has a hub, and has been looked at
+    mixed = rows.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("grp", "size")
     rows = rows.join(mixed, "grp").join(classes.select("cls", "n", "sketch"), "cls")
-    rows = rows.withColumns({"blocks": F.ceil(F.col("size") / BLOCK).cast("int")}).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    # rows of the group's most frequent component are dealt into blocks; the others, which all of them are held against, go to every block
+    often = rows.groupBy("grp", "label").count().groupBy("grp").agg(F.max_by("label", "count").alias("major"))
+    rows = rows.join(often, "grp").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("minor", (F.col("label") != F.col("major")).cast("int"))
+    rows = rows.withColumn("unit", F.explode(F.when(F.col("minor") == 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         found: set[tuple[int, int]] = set()
 
         def pairs() -> set[tuple[int, int]]:
-            block, label, cls, n, sketch = zip(*held)
-            return block_pairs(cls, label, n, sketch, block, most)
+            minor, label, cls, n, sketch = zip(*held)
+            return block_pairs(cls, label, n, sketch, minor, at[1] == 0, most)
 
         for batch in batches:
-            for grp, lo, hi, *row in zip(*(batch.column(c).to_pylist() for c in range(8))):
-                if (grp, lo, hi) != at:
+            for grp, unit, *row in zip(*(batch.column(c).to_pylist() for c in range(7))):
+                if (grp, unit) != at:
                     if len(held) > 1:
                         found |= pairs()
                         if len(found) > 100_000:
                             yield _pair_batch(found)
                             found = set()
-                    at, held = (grp, lo, hi), []
+                    at, held = (grp, unit), []
                 held.append(tuple(row))
         if len(held) > 1:
             found |= pairs()
         if found:
             yield _pair_batch(found)
 
-    units = rows.select("grp", "lo", "hi", "block", "label", "cls", "n", "sketch").repartition(partitions, "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi")
+    units = rows.select("grp", "unit", "minor", "label", "cls", "n", "sketch").repartition(partitions, "grp", "unit").sortWithinPartitions("grp", "unit")
     return units.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -441,24 +464,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = materialize(shared_rows(key_rows(docs, _hot_levels(described)), partitions), "shared")
     settle(spark)
     # the size of the smallest partner decides how many keys have to be shared
-    enough = shared.groupBy("cls").agg(F.count("*").alias("c")).join(classes.select("cls", "n"), "cls").where(f"c >= greatest(1, floor(floor(n * {NUMERATOR} / {DENOMINATOR}) / {SHARED}))")
-    groups = materialize(grouped(shared.join(enough.select("cls").distinct(), "cls", "left_semi").select("key", "cls"), partitions), "groups")
+    need = F.expr(f"greatest(1, floor(floor(n * {NUMERATOR} / {DENOMINATOR}) / {SHARED}))")
+    enough = shared.groupBy("cls").agg(F.count("*").alias("c")).join(classes.select("cls", "n", need.alias("need")), "cls").where("c >= need")
+    enough = enough.groupBy("cls").agg(F.max("n").alias("n"))
+    groups = materialize(grouped(shared.join(enough, "cls").select("key", "n", "cls"), partitions), "groups")
     settle(spark, shared)
     stars = groups.select(F.explode(F.array(*(f"h{k}" for k in range(HUBS)))).alias("a"), F.col("cls").alias("b")).where("a <> b").distinct()
     pairs = materialize(_prune(stars, classes), "pairs")
     sets = labels = tested = None
+    more = True
     for most in (0, *RANKS):
         if most:
-            labelled = classes.select("cls", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("label", "rep").alias("label"))
-            pairs = _prune(_cross_pairs(groups, labelled, classes, partitions, most), classes)
-            pairs = materialize(pairs.join(tested, ["hub", "member"], "left_anti"), "pairs")
+            if not more:
+                break
+            labelled = classes.select("cls", "rep", need.alias("need")).join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("cls", "need", F.coalesce("label", "rep").alias("label"))
+            crossing = materialize(_cross_pairs(groups, labelled, classes, partitions, most), "crossing")
+            more = not crossing.where("a = 0 and b = 0").isEmpty()
+            pairs = materialize(_prune(crossing.where("a <> b"), classes).join(tested, ["hub", "member"], "left_anti"), "pairs")
             if pairs.isEmpty():
-                if most == RANKS[-1]:
-                    break
                 continue
         ids = pairs.select(F.explode(F.array("hub", "member")).alias("doc_id")).distinct()
-        if sets is not None:
-            ids = materialize(ids.join(sets, "doc_id", "left_anti"), "ids")
+        ids = materialize(ids if sets is None else ids.join(sets, "doc_id", "left_anti"), "ids")
         if sets is None or not ids.isEmpty():
             new = materialize(sets_of(docs, ids), "sets")
             sets = new if sets is None else sets.union(new)
