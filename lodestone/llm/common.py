@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,8 +58,10 @@ def settle(spark: SparkSession, *done: DataFrame) -> None:
     """Deletes tables of materialize() that nothing reads any more, and lets Spark delete the shuffle files of finished jobs."""
     for df in done:
         remove(spark, df._lodestone_path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the driver's cleaner works beside the jobs: give it a moment
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -21,7 +21,7 @@ CAPACITY = 4096
 WHOLE_BELOW = 32
 END_OF_DOCUMENT = 2
 #: Words whose ids a worker remembers in each of two generations.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 _ENCODERS: dict[str, WordIds] = {}
 

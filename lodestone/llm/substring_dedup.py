@@ -29,8 +29,8 @@ from lodestone.llm.common import materialize, settle
 from lodestone.llm.shingles import RangeHash, hashed_rows, mix, signed
 
 WINDOW = 35
-#: Rounds after which anchors and chunks are taken: symbols of about 3 and 30 words.
-LOW_ROUNDS, HIGH_ROUNDS = 4, 12
+#: Rounds after which anchors and chunks are taken: symbols of about 2 and 30 words.
+LOW_ROUNDS, HIGH_ROUNDS = 3, 12
 #: Words that are parsed together, and rows in an output batch.
 GROUP_WORDS = 150_000
 
