@@ -24,6 +24,8 @@ SAMPLE_PER_LANGUAGE = 800
 #: Bytes of a sampled text that are counted; scoring always takes whole texts.
 SAMPLE_BYTES = 20_000
 UNKNOWN = "und"
+#: Rows that are passed on together.
+ROWS = 1000
 #: Confidence is that of this many bytes at most, so long texts don't all score 1.
 EVIDENCE_BYTES = 40
 LETTER = re.compile(r"[^\W\d_]")
@@ -165,7 +167,7 @@ def sample(docs: DataFrame, learn: Column, per_language: int = SAMPLE_PER_LANGUA
     return out
 
 
-def identify(docs: DataFrame, model: PPM, *, group_bytes: int = 1 << 20) -> DataFrame:
+def identify(docs: DataFrame, model: PPM, *, group_bytes: int = 1 << 19) -> DataFrame:
     """Adds lang_pred, score (0 to 1) and bits_per_byte to docs; only the column text is looked at.
 
     Null texts and texts without a letter, and all texts if the model knows no language, get ``und`` and score 0. Ties go to the
@@ -178,7 +180,7 @@ def identify(docs: DataFrame, model: PPM, *, group_bytes: int = 1 << 20) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ppm = shared.value
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             texts = batch.column(text_at).cast(pa.large_binary() if pa.types.is_large_string(batch.column(text_at).type) else pa.binary())
             n = batch.num_rows
             lang, score, rate = [UNKNOWN] * n, np.zeros(n), np.zeros(n)

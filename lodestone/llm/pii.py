@@ -35,6 +35,8 @@ _EDGES = ".,;:!?\"'<>[]{}#$%&*=|"
 #: Documents that the field is trained on, about.
 SAMPLE_DOCUMENTS = 3000
 ROUNDS, THRESHOLD = 8, 0.5
+#: Rows that are passed on together.
+ROWS = 1000
 #: Agreement weights that training starts from and decays to: of mentions that repeat each other, and of those alike in shape.
 PRIOR = (2.0, 0.5)
 
@@ -259,7 +261,7 @@ def find(docs: DataFrame, field: SkipChain) -> DataFrame:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             base: list[list[Span]] = []
             noted = []
             for k, value in enumerate(batch.column(text_at)):
@@ -295,7 +297,7 @@ def redact(docs: DataFrame, field: SkipChain) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = columns.index("text")
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             texts = []
             for value, spans in zip(batch.column(at), batch.column(len(columns)).to_pylist()):
                 text = value.as_py()
