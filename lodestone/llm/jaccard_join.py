@@ -11,8 +11,9 @@ Candidates are then held against a parity bit sketch of 4 to 8 bits a shingle: t
 difference, so pairs beyond d can be dropped. What is left is verified on the sets themselves.
 
 Only connectivity is asked for, so not all pairs are made: documents with equal sets are one class; in each key's
-group all classes are first held against a few of them, and after that only pairs whose ends aren't yet connected: first a
-few for each class, then more, then all that are left. Blocks of sketches are compared in place, and only pairs that pass are emitted.
+group all classes are first held against a few of them, then, for some rounds, against one of the group's largest component. After that few
+classes are left that share enough keys with a larger component than their own; these are held against all of it, block by
+block of sketches, and only pairs that the sketches allow are verified: first a few for each class, then all that are left.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ HUBS, HELD = 3, 200_000
 SALT, BLOCK = 512, 1024
 #: Ids up to which (4 MB) a set of documents is looked up by broadcasting their ids; for more the texts are shuffled.
 BROADCAST_IDS = 500_000
+#: Rounds in which classes are held against one of their group's largest component.
+ROUNDS = 1
 #: Candidates of one class, outside its component, that are verified in turn. The last takes all that are left.
 RANKS = (8, float("inf"))
 
@@ -346,46 +349,33 @@ def verify(sets: DataFrame, pairs: DataFrame, partitions: int) -> DataFrame:
     return sent.repartition(partitions, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("member").asc_nulls_first()).mapInArrow(compare, "a long, b long")
 
 
-def block_pairs(cls: np.ndarray, label: np.ndarray, n: np.ndarray, sketches: list[bytes], minor: np.ndarray, first: bool, most: float) -> set[tuple[int, int]]:
-    """Pairs of classes with different labels that sizes and sketches allow: for each class, the first ``most`` in a fixed order. Pairs of two minor rows, which are in every unit, count in the first.
-
-    Has (0, 0) if it left any out.
-    """
-    if len(cls) <= 6:
-        pairs = [(i, j) for i in range(len(cls)) for j in range(i) if label[i] != label[j] and (first or not minor[i] or not minor[j]) and DENOMINATOR * min(n[i], n[j]) >= NUMERATOR * max(n[i], n[j])]
-        allowed = [(i, j) for i, j in pairs if sketch_distance(sketches[i], sketches[j]) <= max_difference(n[i], n[j])]
-        return {(min(cls[i], cls[j]), max(cls[i], cls[j])) for i, j in allowed}
-    cls, label, n, minor = (np.array(c, np.int64) for c in (cls, label, n, minor))
+def block_pairs(cls: np.ndarray, n: np.ndarray, sketches: list[bytes], minor: np.ndarray, most: float) -> set[tuple[int, int]]:
+    """Pairs of a minor and another class that sizes and sketches allow: for each minor one the first ``most`` in a fixed order. Has (0, 0) if it left any out."""
     width = np.array([len(s) for s in sketches])
     found_i, found_j = [], []
-    for w in np.unique(width):
-        for v in (w, 2 * w):
-            small, large = np.flatnonzero(width == w), np.flatnonzero(width == v)
-            if not len(large):
-                continue
-            x = np.frombuffer(b"".join(sketches[i] for i in small), np.uint64).reshape(len(small), -1)
-            y = np.frombuffer(b"".join(sketches[i] for i in large), np.uint64).reshape(len(large), -1)
-            if v != w:
+    kinds = [(w, v) for w in np.unique(width[minor]) for v in (w // 2, w, 2 * w)]
+    for w, v in kinds:
+        small, large = np.flatnonzero(minor & (width == w)), np.flatnonzero(~minor & (width == v))
+        if not len(large):
+            continue
+        x, y = (np.frombuffer(b"".join(sketches[i] for i in rows), np.uint64).reshape(len(rows), -1) for rows in (small, large))
+        while x.shape[1] != y.shape[1]:
+            if x.shape[1] > y.shape[1]:
+                x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+            else:
                 y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
-            step = max(1, 2_000_000 // (len(large) * x.shape[1]))
-            for k in range(0, len(small), step):
-                i = small[k : k + step]
-                distance = np.bitwise_count(x[k : k + step, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64)
-                total, least = n[i][:, None] + n[large][None, :], np.minimum(n[i][:, None], n[large][None, :])
-                ok = (distance <= (DENOMINATOR - NUMERATOR) * total // (DENOMINATOR + NUMERATOR)) & (DENOMINATOR * least >= NUMERATOR * (total - least)) & (label[i][:, None] != label[large][None, :])
-                if not first:
-                    ok &= (minor[i][:, None] + minor[large][None, :]) < 2
-                if v == w:
-                    ok &= i[:, None] < large[None, :]
-                a, b = np.nonzero(ok)
-                found_i.append(i[a])
-                found_j.append(large[b])
+        step = max(1, 500_000 // (len(large) * x.shape[1]))
+        for k in range(0, len(small), step):
+            i = small[k : k + step]
+            distance = np.bitwise_count(x[k : k + step, None, :] ^ y[None, :, :]).sum(2, dtype=np.int32)
+            total, least = n[i][:, None] + n[large][None, :], np.minimum(n[i][:, None], n[large][None, :])
+            a, b = np.nonzero((distance <= (DENOMINATOR - NUMERATOR) * total // (DENOMINATOR + NUMERATOR)) & (DENOMINATOR * least >= NUMERATOR * (total - least)))
+            found_i.append(i[a])
+            found_j.append(large[b])
     if not found_i or not sum(map(len, found_i)):
         return set()
-    i, j = np.concatenate(found_i), np.concatenate(found_j)
-    x, y = np.concatenate([i, j]), np.concatenate([j, i])
-    turn = mix(cls[x].view(np.uint64) ^ mix(cls[y].view(np.uint64)))
-    order = np.lexsort((turn, x))
+    x, y = np.concatenate(found_i), np.concatenate(found_j)
+    order = np.lexsort((mix(cls[x].view(np.uint64) ^ mix(cls[y].view(np.uint64))), x))
     x, y = x[order], y[order]
     start = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
     chosen = np.arange(len(x)) - np.repeat(start, np.diff(np.append(start, len(x)))) < most
@@ -394,52 +384,54 @@ def block_pairs(cls: np.ndarray, label: np.ndarray, n: np.ndarray, sketches: lis
     return found if chosen.all() else found | {(0, 0)}
 
 
+def _round_pairs(groups: DataFrame, labelled: DataFrame, turn: int) -> DataFrame:
+    """(a, b): in each group the classes outside its largest component, and one class of that component; which one changes with the turn."""
+    rows = groups.select("grp", "cls").join(labelled.select("cls", "label", "size"), "cls")
+    hub = rows.groupBy("grp").agg(F.max(F.struct("size", "label", F.xxhash64(F.lit(turn), "cls").alias("turn"), "cls")).alias("hub"))
+    return rows.join(hub, "grp").where("label <> hub.label").select(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).distinct()
+
+
 def _cross_pairs(groups: DataFrame, labelled: DataFrame, classes: DataFrame, partitions: int, most: float) -> DataFrame:
-    """(a, b) classes that share a group and aren't connected yet, as far as sizes and sketches allow; ``most`` of them for a class in a block.
+    """(a, b) of classes that aren't connected yet, as far as keys, sizes and sketches allow; ``most`` of them for a class and a block.
 
-    Every block of a group is one unit of work.
+    Of two components the smaller one's classes are looked at: those that share enough keys with the larger one as a whole are held against all of its
+    classes. A block of the larger component with these is one unit of work; sketches are sent once for each component, not for each key.
     """
-    rows = groups.select("grp", "cls", "keys").join(labelled, "cls")
-    mixed = rows.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("grp")
-    rows = rows.join(mixed, "grp", "left_semi")
-    # who is similar to a class of another component shares enough keys with it
-    enough = rows.groupBy("cls").agg(F.sum("keys").alias("c"), F.first("need").alias("need")).where("c >= need").select("cls")
-    rows = materialize(rows.join(enough, "cls", "left_semi").select("grp", "cls", "label"), "mixed")
-    # in a group of two the only pair has a hub, and has been looked at
-    mixed = rows.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("grp", "size")
-    rows = rows.join(mixed, "grp").join(classes.select("cls", "n", "sketch"), "cls")
-    # rows of the group's most frequent component are dealt into blocks; the others, which all of them are held against, go to every block
-    often = rows.groupBy("grp", "label").count().groupBy("grp").agg(F.max_by("label", "count").alias("major"))
-    rows = rows.join(often, "grp").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("minor", (F.col("label") != F.col("major")).cast("int"))
-    rows = rows.withColumn("unit", F.explode(F.when(F.col("minor") == 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
+    rows = groups.select("grp", "cls", "keys").join(labelled.select("cls", "label", "size", "need"), "cls")
+    there = rows.select("grp", F.col("label").alias("other"), F.col("size").alias("larger")).distinct()
+    beside = rows.join(there, "grp").where("larger > size or larger = size and other > label")
+    wanted = beside.groupBy("cls", "other").agg(F.sum("keys").alias("c"), F.first("need").alias("need"), F.first("larger").alias("larger")).where("c >= need").select("cls", "other", "larger")
+    wanted = materialize(wanted, "wanted")
+    blocks = F.ceil(F.col("larger") / BLOCK).cast("int")
+    minors = wanted.select("cls", "other", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("unit"), F.lit(True).alias("minor"))
+    targets = wanted.groupBy("other").agg(F.first("larger").alias("larger"))
+    members = labelled.join(targets, labelled["label"] == targets["other"]).select("cls", "other", F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("unit"), F.lit(False).alias("minor"))
+    units = minors.union(members).join(classes.select("cls", "n", "sketch"), "cls").select("other", "unit", "minor", "cls", "n", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         found: set[tuple[int, int]] = set()
 
         def pairs() -> set[tuple[int, int]]:
-            minor, label, cls, n, sketch = zip(*held)
-            return block_pairs(cls, label, n, sketch, minor, at[1] == 0, most)
+            minor, cls, n, sketch = zip(*held)
+            return block_pairs(np.array(cls, np.int64), np.array(n, np.int64), list(sketch), np.array(minor, bool), most)
 
         for batch in batches:
-            for grp, unit, *row in zip(*(batch.column(c).to_pylist() for c in range(7))):
-                if (grp, unit) != at:
+            for other, unit, *row in zip(*(batch.column(c).to_pylist() for c in range(6))):
+                if (other, unit) != at:
                     if len(held) > 1:
                         found |= pairs()
                         if len(found) > 100_000:
                             yield _pair_batch(found)
                             found = set()
-                    at, held = (grp, unit), []
+                    at, held = (other, unit), []
                 held.append(tuple(row))
         if len(held) > 1:
             found |= pairs()
         if found:
             yield _pair_batch(found)
 
-    units = rows.select("grp", "unit", "minor", "label", "cls", "n", "sketch").repartition(partitions, "grp", "unit").sortWithinPartitions("grp", "unit")
-    return units.mapInArrow(run, "a long, b long").distinct()
+    return units.repartition(partitions, "other", "unit").sortWithinPartitions("other", "unit").mapInArrow(run, "a long, b long").distinct()
 
 
 def _pair_batch(found: set[tuple[int, int]]) -> pa.RecordBatch:
@@ -469,20 +461,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     enough = enough.groupBy("cls").agg(F.max("n").alias("n"))
     groups = materialize(grouped(shared.join(enough, "cls").select("key", "n", "cls"), partitions), "groups")
     settle(spark, shared)
-    stars = groups.select(F.explode(F.array(*(f"h{k}" for k in range(HUBS)))).alias("a"), F.col("cls").alias("b")).where("a <> b").distinct()
-    pairs = materialize(_prune(stars, classes), "pairs")
     sets = labels = tested = None
-    more = True
-    for most in (0, *RANKS):
-        if most:
-            if not more:
-                break
-            labelled = classes.select("cls", "rep", need.alias("need")).join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("cls", "need", F.coalesce("label", "rep").alias("label"))
-            crossing = materialize(_cross_pairs(groups, labelled, classes, partitions, most), "crossing")
-            more = not crossing.where("a = 0 and b = 0").isEmpty()
-            pairs = materialize(_prune(crossing.where("a <> b"), classes).join(tested, ["hub", "member"], "left_anti"), "pairs")
-            if pairs.isEmpty():
-                continue
+
+    def settle_pairs(candidates: DataFrame) -> bool:
+        """Verifies pairs of classes that haven't been and merges components; whether there was a pair."""
+        nonlocal sets, labels, tested
+        pairs = _prune(candidates, classes)
+        pairs = materialize(pairs if tested is None else pairs.join(tested, ["hub", "member"], "left_anti"), "pairs")
+        if tested is not None and pairs.isEmpty():
+            return False
         ids = pairs.select(F.explode(F.array("hub", "member")).alias("doc_id")).distinct()
         ids = materialize(ids if sets is None else ids.join(sets, "doc_id", "left_anti"), "ids")
         if sets is None or not ids.isEmpty():
@@ -492,6 +479,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         settle(spark)
         labels = materialize(components(links if labels is None else links.union(labels.select("node", "label"))), "labels")
         tested = pairs if tested is None else tested.union(pairs)
+        return True
+
+    def labelled() -> DataFrame:
+        """(cls, need, label, size) of the classes in groups: their component and its classes."""
+        rows = classes.select("cls", "rep", need.alias("need")).join(named, "cls", "left_semi").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+        rows = rows.select("cls", "need", F.coalesce("label", "rep").alias("label"))
+        return materialize(rows.join(rows.groupBy("label").agg(F.count("*").alias("size")), "label"), "labelled")
+
+    named = groups.select("cls").distinct()
+    settle_pairs(groups.select(F.explode(F.array(*(f"h{k}" for k in range(HUBS)))).alias("a"), F.col("cls").alias("b")).where("a <> b").distinct())
+    for turn in range(ROUNDS):
+        if not settle_pairs(_round_pairs(groups, labelled(), turn)):
+            break
+    for most in RANKS:
+        crossing = materialize(_cross_pairs(groups, labelled(), classes, partitions, most), "crossing")
+        settle_pairs(crossing.where("a <> b"))
+        if crossing.where("a = 0 and b = 0").isEmpty():
+            break
     final = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("cls").alias("d1"), "d2", F.coalesce("label", "rep").alias("component"))
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
     return rows.select("doc_id", "n", "d1", "d2").join(final, ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
