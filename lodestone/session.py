@@ -15,7 +15,10 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
+#: Spark's own default of the last: where it still holds, ship() sets ours, as two workers and their JVM hold several batches at a time.
+_LARGE_BATCH = ("67108864b", "64m", "64MB", "67108864")
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
@@ -35,6 +38,8 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if getattr(context, "_lodestone_shipped", False):
         return
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "") in _LARGE_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", DEFAULTS["spark.sql.execution.arrow.maxBytesPerBatch"])
     root = Path(__file__).resolve().parent
     if root.suffix != ".zip" and root.is_dir():
         target = Path(tempfile.mkdtemp(prefix="lodestone-")) / "lodestone_package.zip"

@@ -292,7 +292,7 @@ def _odf_text(node: Node) -> str:
 def parse_odt(data: bytes) -> list[Block]:
     package = Package(data)
     manifest = package.xml("META-INF/manifest.xml", False)
-    if manifest is not None and any(below(manifest, "encryption-data")):
+    if manifest is not None and next(below(manifest, "encryption-data"), None) is not None:
         raise ParseError("ODT_ENCRYPTED", "the content is encrypted")
     blocks: list[Block] = []
     heading: str | None = None

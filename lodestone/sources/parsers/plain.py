@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from lodestone.functions.text import trim
-from lodestone.sources.decode import decode_text, decode_xml
+from lodestone.sources.parsers.decode import decode_text, decode_xml
 from lodestone.sources.parsers.base import Block, ParseError
 
 _LINES = re.compile(r"\r\n|\n|\r")
