@@ -38,7 +38,7 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if getattr(context, "_lodestone_shipped", False):
         return
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "") in _LARGE_BATCH:
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in _LARGE_BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", DEFAULTS["spark.sql.execution.arrow.maxBytesPerBatch"])
     root = Path(__file__).resolve().parent
     if root.suffix != ".zip" and root.is_dir():
