@@ -313,7 +313,9 @@ def redact(docs: DataFrame, field: SkipChain) -> DataFrame:
             arrays[at] = pa.array(texts, arrays[at].type)
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    found = find(docs, field).select(*columns, "spans")
+    # columns of docs that have the names of find()'s own step aside
+    found = find(docs.select(*(F.col(c).alias(f"_own_{c}" if c in ("base", "spans") else c) for c in columns)), field)
+    found = found.select(*(f"_own_{c}" if c in ("base", "spans") else c for c in columns), F.col("spans").alias("_spans"))
     out = found.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
 
