@@ -3,8 +3,8 @@
 The plan is a transport problem between old shards and new shards: what stays costs nothing, what
 moves costs one per byte. Its size is (old shards) x (new shards), whatever the corpus holds, so it is solved on the
 driver. Documents are then laid out along a byte line of each old shard, in blocks, and each flow takes an interval of
-that line; a document goes where its first byte lies. Sizes of new shards differ from their capacities by less
-than one document for each flow that ends inside them.
+that line; a document goes where its first byte lies. Large documents are laid out first; the small ones then fill what these have left, by
+a flow of their own, so new shards miss their capacities by a few small documents at most, unless a single document is larger than what is missing.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Blocks per old shard. The block totals (old shards x this) are all that the driver gets.
 BLOCKS = 256
+#: A document is large if it takes more than this share of an average new shard.
+LARGE = 1 / 200
 
 
 def min_cost_flow(supply: Sequence[int], capacity: Sequence[int], cost: Sequence[Sequence[int]]) -> list[list[int]]:
@@ -88,7 +90,7 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int
 
     ``old_shard`` gives 0 to ``old_shards - 1`` (null counts as 0), ``size`` a positive long, ``order`` a total order of the rows as
     far as they differ. Equal rows may swap places among themselves. An empty table gives an empty result. Extra columns
-    are kept; only the names ``old_shard``, ``shard``, ``slot`` and ``_size``, ``_block`` are taken.
+    are kept; only the names ``old_shard``, ``shard``, ``slot`` and those that begin with ``_`` are taken.
 
     Hot old shards are spread over ``blocks`` blocks by a hash of the order columns, so no window
     holds more than about 1/blocks of a shard.
@@ -96,37 +98,57 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int
     spark = docs.sparkSession
     rows = docs.withColumns({"old_shard": F.coalesce(old_shard, F.lit(0)).cast("int"), "_size": size.cast("long")})
     rows = rows.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int"))
-    totals = rows.groupBy("old_shard", "_block").agg(F.sum("_size").alias("bytes")).collect()  # at most old_shards x blocks rows
-    of = {(r["old_shard"], r["_block"]): r["bytes"] for r in totals}
-    olds = [sum(of.get((i, b), 0) for b in range(blocks)) for i in range(old_shards)]
-    flows = plan_transfers(olds, capacities or even_capacities(sum(olds), new_shards))
-    starts, at = [], 0  # where each block begins on one line through all old shards
-    for i in range(old_shards):
-        for b in range(blocks):
-            if (i, b) in of:
-                starts.append((i, b, at))
-                at += of[i, b]
-    cuts, at = [], 0
-    for i in range(old_shards):
-        # what stays comes first, so a shard that only gives away keeps a prefix of its files
-        for j in sorted(range(new_shards), key=lambda j: (j != i, j)):
-            if flows[i][j]:
-                cuts.append((at, at + flows[i][j], j))
-                at += flows[i][j]
-    line = spark.createDataFrame(starts, "old_shard int, _block int, _start long")
-    by_block = Window.partitionBy("old_shard", "_block").orderBy(*order)
-    placed = rows.join(F.broadcast(line), ["old_shard", "_block"]).withColumn("_at", F.col("_start") + F.sum("_size").over(by_block.rowsBetween(Window.unboundedPreceding, -1)).cast("long"))
-    placed = placed.withColumn("_at", F.coalesce("_at", "_start"))
-    if cuts:
-        ends = F.array(*(F.lit(c[1]) for c in cuts))
-        targets = F.array(*(F.lit(c[2]) for c in cuts))
-        placed = placed.withColumn("shard", F.element_at(targets, F.size(F.filter(ends, lambda e: e <= F.col("_at"))) + 1).cast("int"))
-    else:
-        placed = placed.withColumn("shard", F.lit(0))
-    counts = placed.groupBy("shard", "old_shard", "_block").agg(F.count("*").alias("n"))  # at most old_shards x blocks + flows rows
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("old_shard", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("old_shard", "_block", "shard").orderBy(*order)) - 1
-    out = placed.withColumn("_rank", rank).join(F.broadcast(offsets.drop("n")), ["shard", "old_shard", "_block"]).withColumn("slot", (F.col("_before") + F.col("_rank")).cast("long"))
+    total = rows.agg(F.sum("_size")).first()[0] or 0
+    rows = rows.withColumn("_small", (F.col("_size") <= total / new_shards * LARGE).cast("int"))
+    totals = rows.groupBy("old_shard", "_small", "_block").agg(F.sum("_size").alias("bytes")).collect()  # at most 2 x old_shards x blocks rows
+    of = {(r["old_shard"], r["_small"], r["_block"]): r["bytes"] for r in totals}
+    tiers = [[sum(of.get((i, small, b), 0) for b in range(blocks)) for i in range(old_shards)] for small in (0, 1)]
+    starts, line, at = [], [[0] * old_shards, [0] * old_shards], 0  # where each block begins on one line through all tiers and old shards
+    for small in (0, 1):
+        for i in range(old_shards):
+            line[small][i] = at
+            for b in range(blocks):
+                if (i, small, b) in of:
+                    starts.append((i, small, b, at))
+                    at += of[i, small, b]
+    by_block = Window.partitionBy("old_shard", "_small", "_block").orderBy(*order)
+    starts_frame = F.broadcast(spark.createDataFrame(starts, "old_shard int, _small int, _block int, _start long"))
+    along = rows.join(starts_frame, ["old_shard", "_small", "_block"]).withColumn("_at", F.col("_start") + F.coalesce(F.sum("_size").over(by_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+    def intervals(flows: list[list[int]], small: int) -> list[tuple[int, int]]:
+        """(end on the line, new shard) of each flow, stretched to the tier's bytes. What stays comes first, so a shard that only gives away keeps a prefix."""
+        out = []
+        for i, row in enumerate(flows):
+            whole, done = sum(row), 0
+            for j in sorted(range(new_shards), key=lambda j: (j != i, j)):
+                if row[j]:
+                    done += row[j]
+                    out.append((line[small][i] + done * tiers[small][i] // whole, j))
+        return out
+
+    def cut(frame: DataFrame, ends: list[tuple[int, int]]) -> DataFrame:
+        if not ends:
+            return frame.withColumn("shard", F.lit(0))
+        bounds, targets = (F.array(*(F.lit(e[k]) for e in ends)) for k in (0, 1))
+        return frame.withColumn("shard", F.element_at(targets, F.least(F.size(F.filter(bounds, lambda e: e <= F.col("_at"))) + 1, F.lit(len(ends)))).cast("int"))
+
+    room = list(capacities or even_capacities(total, new_shards))
+    ends = intervals(plan_transfers([a + b for a, b in zip(*tiers)], room), 0) if total else []
+    ends = [e for k, e in enumerate(ends) if e[0] > (ends[k - 1][0] if k else 0)]  # old shards without large documents
+    if ends and sum(tiers[1]):
+        taken = {r["shard"]: r["b"] for r in cut(along.where("_small = 0"), ends).groupBy("shard").agg(F.sum("_size").alias("b")).collect()}  # one row for each new shard
+        left = [max(0, c - taken.get(j, 0)) for j, c in enumerate(room)]
+        short = sum(tiers[1]) - sum(left)
+        left = [x + extra for x, extra in zip(left, even_capacities(max(0, short), new_shards))]
+        ends += intervals(plan_transfers(tiers[1], left), 1)
+    elif sum(tiers[1]):
+        ends = intervals(plan_transfers(tiers[1], room), 1)
+    placed = cut(along, ends)
+    place = ["old_shard", "_small", "_block"]
+    counts = placed.groupBy("shard", *place).agg(F.count("*").alias("n"))  # at most 2 x old_shards x blocks + flows rows
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy(*place, "shard").orderBy(*order)) - 1
+    out = placed.withColumn("_rank", rank).join(F.broadcast(offsets.drop("n")), ["shard", *place]).withColumn("slot", (F.col("_before") + F.col("_rank")).cast("long"))
     return out.select(*docs.columns, "old_shard", "shard", "slot")
 
 
