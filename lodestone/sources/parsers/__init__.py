@@ -10,7 +10,7 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestone.sources.parsers import markup, office, pdf, plain, rtf
+from lodestone.sources.parsers import markup, office, ole, pdf, plain, rtf
 from lodestone.sources.parsers.base import Block, ParseError
 
 #: The size beyond which a file isn't parsed, the seconds that a parser gets, and what error codes stand for.
@@ -30,6 +30,9 @@ PARSERS: dict[str, Callable[[bytes], list[Block]]] = {
     ".pptx": office.parse_pptx,
     **dict.fromkeys((".xlsx", ".xlsm"), office.parse_xlsx),
     ".odt": office.parse_odt,
+    ".doc": ole.parse_doc,
+    ".xls": ole.parse_xls,
+    ".msg": ole.parse_msg,
     ".pdf": pdf.parse_pdf,
     ".rtf": rtf.parse_rtf,
 }
