@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.schema import TEXT_EXTENSIONS, TEXT_PARSE_VERSION
 
 #: Extensions that have a parser.
-SUPPORTED_EXTENSIONS = (".txt", ".adoc", ".java", ".sql", ".js", ".xml", ".md", ".csv", ".html", ".htm", ".xhtml", ".mht", ".mhtml", ".docx", ".pptx", ".xlsx", ".xlsm", ".odt", ".pdf", ".rtf", ".doc", ".xls", ".msg", ".vsd")
+SUPPORTED_EXTENSIONS = (".txt", ".adoc", ".java", ".sql", ".js", ".xml", ".md", ".csv", ".html", ".htm", ".xhtml", ".mht", ".mhtml", ".docx", ".pptx", ".xlsx", ".xlsm", ".odt", ".pdf", ".rtf", ".doc", ".xls", ".msg")
 
 
 def needs_text_upgrade(extension: Column, status: Column, version: Column) -> Column:
