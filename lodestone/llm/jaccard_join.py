@@ -40,7 +40,11 @@ HOT_BUCKETS = 1 << 18
 #: Classes of a key group that all others in it are held against at first, and rows of a group that are looked at together.
 HUBS, HELD = 3, 200_000
 #: Members of a hub's group that one task verifies together, and classes in a block.
-SALT, BLOCK = 512, 1024
+SALT, BLOCK = 512, 8192
+#: Classes that are held against a block at a time, and those of one component's neighbours that one task gets, about.
+CHUNK, SLICE = 1024, 16_384
+#: Components in a group up to which classes are held against whole components; in groups of more, all classes are held against each other.
+FEW = 16
 #: Ids up to which (4 MB) a set of documents is looked up by broadcasting their ids; for more the texts are shuffled.
 BROADCAST_IDS = 500_000
 #: Rounds in which classes are held against one of their group's largest component.
@@ -349,37 +353,49 @@ def verify(sets: DataFrame, pairs: DataFrame, partitions: int) -> DataFrame:
     return sent.repartition(partitions, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("member").asc_nulls_first()).mapInArrow(compare, "a long, b long")
 
 
-def block_pairs(cls: np.ndarray, n: np.ndarray, sketches: list[bytes], minor: np.ndarray, most: float) -> set[tuple[int, int]]:
-    """Pairs of a minor and another class that sizes and sketches allow: for each minor one the first ``most`` in a fixed order. Has (0, 0) if it left any out."""
-    width = np.array([len(s) for s in sketches])
+class Sketched:
+    """Classes with their labels, sizes and sketches, as arrays by sketch length."""
+
+    def __init__(self, rows: list[tuple]):
+        cls, label, n, self.sketches = zip(*rows)
+        self.cls, self.label, self.n = (np.array(c, np.int64) for c in (cls, label, n))
+        self.width = np.array([len(s) for s in self.sketches])
+
+    def words(self, rows: np.ndarray) -> np.ndarray:
+        return np.frombuffer(b"".join(self.sketches[i] for i in rows), np.uint64).reshape(len(rows), -1)
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    return x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+
+
+def allowed_pairs(one: Sketched, two: Sketched, most: float) -> set[tuple[int, int]]:
+    """Pairs across the two with different labels that sizes and sketches allow: for each class of the first, the first ``most`` in a fixed order. Has (0, 0) if any were left out."""
     found_i, found_j = [], []
-    kinds = [(w, v) for w in np.unique(width[minor]) for v in (w // 2, w, 2 * w)]
-    for w, v in kinds:
-        small, large = np.flatnonzero(minor & (width == w)), np.flatnonzero(~minor & (width == v))
-        if not len(large):
-            continue
-        x, y = (np.frombuffer(b"".join(sketches[i] for i in rows), np.uint64).reshape(len(rows), -1) for rows in (small, large))
-        while x.shape[1] != y.shape[1]:
-            if x.shape[1] > y.shape[1]:
-                x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
-            else:
-                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
-        step = max(1, 500_000 // (len(large) * x.shape[1]))
-        for k in range(0, len(small), step):
-            i = small[k : k + step]
-            distance = np.bitwise_count(x[k : k + step, None, :] ^ y[None, :, :]).sum(2, dtype=np.int32)
-            total, least = n[i][:, None] + n[large][None, :], np.minimum(n[i][:, None], n[large][None, :])
-            a, b = np.nonzero((distance <= (DENOMINATOR - NUMERATOR) * total // (DENOMINATOR + NUMERATOR)) & (DENOMINATOR * least >= NUMERATOR * (total - least)))
-            found_i.append(i[a])
-            found_j.append(large[b])
-    if not found_i or not sum(map(len, found_i)):
+    for w in np.unique(one.width):
+        for v in (w // 2, w, 2 * w):
+            small, large = np.flatnonzero(one.width == w), np.flatnonzero(two.width == v)
+            if not len(large):
+                continue
+            x, y = one.words(small), two.words(large)
+            x, y = (_fold(x) if x.shape[1] > y.shape[1] else x), (_fold(y) if y.shape[1] > x.shape[1] else y)
+            step = max(1, 500_000 // (len(large) * x.shape[1]))
+            for k in range(0, len(small), step):
+                i = small[k : k + step]
+                distance = np.bitwise_count(x[k : k + step, None, :] ^ y[None, :, :]).sum(2, dtype=np.int32)
+                total, least = one.n[i][:, None] + two.n[large][None, :], np.minimum(one.n[i][:, None], two.n[large][None, :])
+                ok = (distance <= (DENOMINATOR - NUMERATOR) * total // (DENOMINATOR + NUMERATOR)) & (DENOMINATOR * least >= NUMERATOR * (total - least))
+                a, b = np.nonzero(ok & (one.label[i][:, None] != two.label[large][None, :]))
+                found_i.append(i[a])
+                found_j.append(large[b])
+    if not sum(map(len, found_i)):
         return set()
     x, y = np.concatenate(found_i), np.concatenate(found_j)
-    order = np.lexsort((mix(cls[x].view(np.uint64) ^ mix(cls[y].view(np.uint64))), x))
+    order = np.lexsort((mix(one.cls[x].view(np.uint64) ^ mix(two.cls[y].view(np.uint64))), x))
     x, y = x[order], y[order]
     start = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
     chosen = np.arange(len(x)) - np.repeat(start, np.diff(np.append(start, len(x)))) < most
-    a, b = cls[x[chosen]], cls[y[chosen]]
+    a, b = one.cls[x[chosen]], two.cls[y[chosen]]
     found = set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
     return found if chosen.all() else found | {(0, 0)}
 
@@ -394,44 +410,63 @@ def _round_pairs(groups: DataFrame, labelled: DataFrame, turn: int) -> DataFrame
 def _cross_pairs(groups: DataFrame, labelled: DataFrame, classes: DataFrame, partitions: int, most: float) -> DataFrame:
     """(a, b) of classes that aren't connected yet, as far as keys, sizes and sketches allow; ``most`` of them for a class and a block.
 
-    Of two components the smaller one's classes are looked at: those that share enough keys with the larger one as a whole are held against all of its
-    classes. A block of the larger component with these is one unit of work; sketches are sent once for each component, not for each key.
+    In groups of few components, of two components the smaller one's classes are looked at: those that share enough keys with the larger one as a whole are held
+    against all of its classes, so sketches are sent once for each component, not for each key. In groups of more components all classes are held against each
+    other. A pair that shares enough keys shares them in groups of the first kind, or has one in a group of the second.
     """
     rows = groups.select("grp", "cls", "keys").join(labelled.select("cls", "label", "size", "need"), "cls")
-    there = rows.select("grp", F.col("label").alias("other"), F.col("size").alias("larger")).distinct()
-    beside = rows.join(there, "grp").where("larger > size or larger = size and other > label")
-    wanted = beside.groupBy("cls", "other").agg(F.sum("keys").alias("c"), F.first("need").alias("need"), F.first("larger").alias("larger")).where("c >= need").select("cls", "other", "larger")
-    wanted = materialize(wanted, "wanted")
-    blocks = F.ceil(F.col("larger") / BLOCK).cast("int")
-    minors = wanted.select("cls", "other", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("unit"), F.lit(True).alias("minor"))
-    targets = wanted.groupBy("other").agg(F.first("larger").alias("larger"))
-    members = labelled.join(targets, labelled["label"] == targets["other"]).select("cls", "other", F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("unit"), F.lit(False).alias("minor"))
-    units = minors.union(members).join(classes.select("cls", "n", "sketch"), "cls").select("other", "unit", "minor", "cls", "n", "sketch")
+    kinds = rows.groupBy("grp").agg(F.count_distinct("label").alias("labels"), F.count("*").alias("rows")).where("labels > 1")
+    rows = rows.join(kinds, "grp")
+    few, many = rows.where(f"labels <= {FEW}"), rows.where(f"labels > {FEW}")
+    there = few.select("grp", F.col("label").alias("other"), F.col("size").alias("larger")).distinct()
+    beside = few.select("grp", "cls", "keys", "label", "size", "need").join(there, "grp").where("larger > size or larger = size and other > label")
+    wanted = beside.groupBy("cls", "other").agg(F.sum("keys").alias("c"), F.first("need").alias("need"), F.first("larger").alias("larger"), F.first("label").alias("label")).where("c >= need")
+    wanted = materialize(wanted.select("cls", "label", "other", "larger"), "wanted")
+    targets = wanted.groupBy("other").agg(F.first("larger").alias("larger"), F.count("*").alias("n"))
+    targets = targets.select("other", F.ceil(F.col("larger") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    one = lambda c: F.pmod(F.xxhash64("cls"), F.col(c)).cast("int")
+    minors = wanted.join(targets, "other").select("other", upto("blocks").alias("unit"), one("slices").alias("slice"), F.lit(1).alias("second"), "cls", "label")
+    members = labelled.join(targets, labelled["label"] == targets["other"]).select("other", one("blocks").alias("unit"), upto("slices").alias("slice"), F.lit(0).alias("second"), "cls", "label")
+    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    dealt = many.withColumn("blocks", blocks).withColumn("own", own).withColumn("to", upto("blocks"))
+    # every row is a member of its own block's units, and is held against all blocks
+    within = dealt.where("to = own").select(F.col("grp").alias("other"), F.col("own").alias("unit"), F.lit(-1).alias("slice"), F.lit(0).alias("second"), "cls", "label")
+    against = dealt.select(F.col("grp").alias("other"), F.col("to").alias("unit"), F.lit(-1).alias("slice"), F.lit(1).alias("second"), "cls", "label")
+    units = minors.union(members).union(within).union(against).join(classes.select("cls", "n", "sketch"), "cls").select("other", "unit", "slice", "second", "cls", "label", "n", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        at, members, chunk, block = None, [], [], None
         found: set[tuple[int, int]] = set()
 
-        def pairs() -> set[tuple[int, int]]:
-            minor, cls, n, sketch = zip(*held)
-            return block_pairs(np.array(cls, np.int64), np.array(n, np.int64), list(sketch), np.array(minor, bool), most)
+        def compare() -> None:
+            nonlocal block, chunk
+            if members and chunk:
+                block = block or Sketched(members)
+                found.update(allowed_pairs(Sketched(chunk), block, most))
+            chunk = []
 
         for batch in batches:
-            for other, unit, *row in zip(*(batch.column(c).to_pylist() for c in range(6))):
-                if (other, unit) != at:
-                    if len(held) > 1:
-                        found |= pairs()
-                        if len(found) > 100_000:
-                            yield _pair_batch(found)
-                            found = set()
-                    at, held = (other, unit), []
-                held.append(tuple(row))
-        if len(held) > 1:
-            found |= pairs()
+            for other, unit, part, second, *row in zip(*(batch.column(c).to_pylist() for c in range(8))):
+                if (other, unit, part) != at:
+                    compare()
+                    at, members, block = (other, unit, part), [], None
+                if not second:
+                    members.append(row)
+                    continue
+                chunk.append(row)
+                if len(chunk) >= CHUNK:
+                    compare()
+                    if len(found) > 100_000:
+                        yield _pair_batch(found)
+                        found.clear()
+        compare()
         if found:
             yield _pair_batch(found)
 
-    return units.repartition(partitions, "other", "unit").sortWithinPartitions("other", "unit").mapInArrow(run, "a long, b long").distinct()
+    keys = ["other", "unit", "slice"]
+    return units.repartition(partitions, *keys).sortWithinPartitions(*keys, "second").mapInArrow(run, "a long, b long").distinct()
 
 
 def _pair_batch(found: set[tuple[int, int]]) -> pa.RecordBatch:
