@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Names that are never listed, and those that aren't at the root of a Windows volume.
-BUILTIN_NAMES = (".git", "node_modules", ".localdocsearch")
+BUILTIN_NAMES = (".git", "node_modules", ".lodestone")
 BUILTIN_PREFIX = "~$"
 VOLUME_NAMES = ("$recycle.bin", "system volume information")
 

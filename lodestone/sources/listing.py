@@ -27,23 +27,23 @@ class Listing:
         return spark.createDataFrame(self.files, LISTING)
 
 
-def read_rules(folder: str) -> list[IgnoreRule]:
+def read_rules(folder: str, ignore_file: str = IGNORE_FILE) -> list[IgnoreRule]:
     """Rules of a folder's ignore file; none if there isn't one. Raises OSError if it can't be read."""
-    path = os.path.join(folder, IGNORE_FILE)
+    path = os.path.join(folder, ignore_file)
     if not os.path.lexists(path):
         return []
     with open(path, encoding="utf-8-sig") as file:
         return ignore_rules(file.read())
 
 
-def scan(root: str, *, start: str | None = None, extra_bases: list[str] = (), artifacts: list[str] = (), windows_volume: bool = False) -> Listing:
+def scan(root: str, *, start: str | None = None, extra_bases: list[str] = (), artifacts: list[str] = (), windows_volume: bool = False, ignore_file: str = IGNORE_FILE) -> Listing:
     """Regular files below ``start`` (the root if not given). Links aren't followed. Folders that can't be read become protected scopes.
 
     Rules of the root's ignore file and of further folders (roots that were merged into this one) hold for what lies below each. An entry that is
     left out counts once, in the first class that applies: builtin, ignored, link, other.
     """
     root = os.path.realpath(root)
-    rules = [(base, read_rules(base)) for base in dict.fromkeys([root, *extra_bases])]
+    rules = [(base, read_rules(base, ignore_file)) for base in dict.fromkeys([root, *extra_bases])]
     own = {os.path.realpath(a) for a in artifacts}
     out = Listing()
 

@@ -16,7 +16,7 @@ RECONCILE_FOREGROUND_MS, RECONCILE_BACKGROUND_MS = 300_000, 21_600_000
 QUEUE_LIMIT = 10_000
 RETRY_SECONDS = (1, 2, 5, 15, 30)
 FAILED_RETRY_MINUTES = (1, 5, 15)
-IGNORE_FILE = ".docsearchignore"
+IGNORE_FILE = ".lodestoneignore"
 
 
 def valid_debounce(ms: int) -> int:
@@ -28,7 +28,7 @@ def valid_debounce(ms: int) -> int:
 def routed(events: DataFrame) -> DataFrame:
     """Events (root, path, ...) that matter, with route: reconcile for those without a path, of the root itself or of its ignore file, else local."""
     inside = F.col("path").startswith(F.concat(F.col("root"), F.lit("/")))
-    hidden = F.col("path").rlike(r"(^|/)(\.git|node_modules|\.localdocsearch)(/|$)|(^|/)~\$")
+    hidden = F.col("path").rlike(r"(^|/)(\.git|node_modules|\.lodestone)(/|$)|(^|/)~\$")
     whole = F.col("path").isNull() | (F.col("path") == F.col("root")) | (F.col("path") == F.concat(F.col("root"), F.lit(f"/{IGNORE_FILE}")))
     return events.where(whole | (inside & ~hidden)).withColumn("route", F.when(whole, "reconcile").otherwise("local"))
 

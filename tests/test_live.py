@@ -16,9 +16,9 @@ def test_absorb(spark):
 
 
 def test_routes(spark):
-    rows = [(at(0), "/r", p, "change") for p in (None, "/r", "/r/.docsearchignore", "/r/a.txt", "/r/.git/x", "/r/n/~$a.doc", "/q/a")]
+    rows = [(at(0), "/r", p, "change") for p in (None, "/r", "/r/.lodestoneignore", "/r/a.txt", "/r/.git/x", "/r/n/~$a.doc", "/q/a")]
     got = [(r["path"], r["route"]) for r in live.routed(spark.createDataFrame(rows, S.EVENTS)).collect()]
-    assert got == [(None, "reconcile"), ("/r", "reconcile"), ("/r/.docsearchignore", "reconcile"), ("/r/a.txt", "local")]
+    assert got == [(None, "reconcile"), ("/r", "reconcile"), ("/r/.lodestoneignore", "reconcile"), ("/r/a.txt", "local")]
 
 
 def test_every_event_puts_the_end_off(spark):
