@@ -24,7 +24,7 @@ def test_scan(tmp_path):
     (tmp_path / "link.txt").symlink_to(tmp_path / "a.txt")
     (tmp_path / ".lodestoneignore").write_text("/skip/\n*.bak\n")
     found = scan(str(tmp_path))
-    assert [f[1] for f in found.files] == [".lodestoneignore", "b.txt", "a.txt", "f.md"]
+    assert [f[1] for f in found.files] == ["b.txt", ".lodestoneignore", "a.txt", "f.md"]
     assert dict(found.skipped) == {"builtin": 2, "ignored": 2, "link": 1}
     assert [f[1] for f in scan(str(tmp_path), start=str(tmp_path / "docs")).files] == ["f.md"]
     assert scan(str(tmp_path), start=str(tmp_path / "skip")).files == []
