@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize, settle
+from lodestone.llm.common import lean, materialize, settle
 from lodestone.llm.components import components
 from lodestone.llm.shingles import hashed_rows, mix, shingle_set
 
@@ -151,7 +151,7 @@ def describe(docs: DataFrame) -> DataFrame:
             none = pa.nulls(len(often), pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, pa.array(often), pa.array(counts[often]), pa.nulls(len(often), pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, n long, d1 long, d2 long, sketch binary")
 
 
 def _count(counts: np.ndarray, group: list[np.ndarray]) -> int:
@@ -197,7 +197,7 @@ def key_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
             if size:
                 yield _key_batch(keys, classes)
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(emit, "key long, cls long")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(lean(emit), "key long, cls long")
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], int | None]]:
@@ -242,7 +242,7 @@ def shared_rows(rows: DataFrame, partitions: int) -> DataFrame:
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(cls[keep])], names=["key", "cls"])
 
-    return rows.repartition(partitions, "key").sortWithinPartitions("key", "cls").mapInArrow(run, "key long, cls long")
+    return rows.repartition(partitions, "key").sortWithinPartitions("key", "cls").mapInArrow(lean(run), "key long, cls long")
 
 
 def grouped(rows: DataFrame, partitions: int) -> DataFrame:
@@ -274,7 +274,7 @@ def grouped(rows: DataFrame, partitions: int) -> DataFrame:
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (name.view(np.int64)[group], cls, *hubs)], names=["grp", "cls", *(f"h{k}" for k in range(HUBS))])
 
-    out = rows.repartition(partitions, "key").sortWithinPartitions("key", "n", "cls").mapInArrow(run, "grp long, cls long, " + ", ".join(f"h{k} long" for k in range(HUBS)))
+    out = rows.repartition(partitions, "key").sortWithinPartitions("key", "n", "cls").mapInArrow(lean(run), "grp long, cls long, " + ", ".join(f"h{k} long" for k in range(HUBS)))
     return out.groupBy("grp", "cls").agg(*(F.min(f"h{k}").alias(f"h{k}") for k in range(HUBS)), F.count("*").alias("keys"))
 
 
@@ -295,7 +295,7 @@ def _prune(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             kept = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(kept), b.filter(kept)], names=["hub", "member"])
 
-    return sized.select("a_rep", "b_rep", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(run, "hub long, member long")
+    return sized.select("a_rep", "b_rep", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(lean(run), "hub long, member long")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -314,7 +314,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["doc_id", "items"])
 
     few = ids.count() <= BROADCAST_IDS
-    return docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, items binary")
+    return docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(lean(run), "doc_id long, items binary")
 
 
 def verify(sets: DataFrame, pairs: DataFrame, partitions: int) -> DataFrame:
@@ -350,7 +350,7 @@ def verify(sets: DataFrame, pairs: DataFrame, partitions: int) -> DataFrame:
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return sent.repartition(partitions, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("member").asc_nulls_first()).mapInArrow(compare, "a long, b long")
+    return sent.repartition(partitions, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("member").asc_nulls_first()).mapInArrow(lean(compare), "a long, b long")
 
 
 class Sketched:
@@ -466,7 +466,7 @@ def _cross_pairs(groups: DataFrame, labelled: DataFrame, classes: DataFrame, par
             yield _pair_batch(found)
 
     keys = ["other", "unit", "slice"]
-    return units.repartition(partitions, *keys).sortWithinPartitions(*keys, "second").mapInArrow(run, "a long, b long").distinct()
+    return units.repartition(partitions, *keys).sortWithinPartitions(*keys, "second").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _pair_batch(found: set[tuple[int, int]]) -> pa.RecordBatch:

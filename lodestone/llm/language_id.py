@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import lean
+
 #: Labelled documents for each language that are counted, about. More are not needed: the trees are of order 3.
 SAMPLE_PER_LANGUAGE = 800
 #: Bytes of a sampled text that are counted; scoring always takes whole texts.
@@ -212,7 +214,7 @@ def identify(docs: DataFrame, model: PPM, *, group_bytes: int = 1 << 19) -> Data
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(rate)], names=[*kept, "lang_pred", "score", "bits_per_byte"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields), "lang_pred string, score double, bits_per_byte double"])
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def held_out() -> Column:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import lean
+
 from lodestone.llm import jpeg
 
 #: A payload is a positive multiple of this; it is filled up with FILL.
@@ -47,7 +49,7 @@ def store(docs: DataFrame, text: Column | None = None) -> DataFrame:
 
         yield from _batches(rows(), pa.schema([("doc_id", _arrow(key)), ("n_bytes", pa.int64()), ("media", pa.binary())]), lambda r: len(r[2]))
 
-    return docs.select("doc_id", (F.col("text") if text is None else text).cast("string").alias("text")).mapInArrow(run, f"doc_id {key}, n_bytes long, media binary")
+    return docs.select("doc_id", (F.col("text") if text is None else text).cast("string").alias("text")).mapInArrow(lean(run), f"doc_id {key}, n_bytes long, media binary")
 
 
 def _arrow(kind: str) -> pa.DataType:
@@ -70,7 +72,7 @@ def pixels(media: DataFrame) -> DataFrame:
 
         yield from _batches(rows(), pa.schema([("doc_id", _arrow(key)), ("width", pa.int32()), ("height", pa.int32()), ("rgb", pa.binary())]), lambda r: len(r[3] or b""))
 
-    return media.select("doc_id", "media").mapInArrow(run, f"doc_id {key}, width int, height int, rgb binary")
+    return media.select("doc_id", "media").mapInArrow(lean(run), f"doc_id {key}, width int, height int, rgb binary")
 
 
 def feature(rgb: np.ndarray) -> str:
@@ -101,4 +103,4 @@ def describe(media: DataFrame) -> DataFrame:
 
         yield from _batches(rows(), pa.schema([("doc_id", _arrow(key)), *fields]), lambda r: 300)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {key}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(lean(run), f"doc_id {key}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

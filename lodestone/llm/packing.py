@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from lodestone.llm.common import lean
+
 CAPACITY = 4096
 WHOLE_BELOW = 32
 END_OF_DOCUMENT = 2
 #: Words whose ids a worker remembers in each of two generations.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 
 _ENCODERS: dict[str, WordIds] = {}
 
@@ -170,7 +172,7 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[bytes], bytes]], *, ca
         if rows:
             yield table(rows, kind)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, {PIECE_SCHEMA}")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {key}, {PIECE_SCHEMA}")
 
 
 def word_encoder(path: str) -> Callable[[], Callable[[bytes], bytes]]:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import lean
+
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns. No match of ``ip`` can begin inside a run of digits, which the look-behind saves trying.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -253,6 +255,17 @@ def train(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> SkipChain:
     return SkipChain.fit(mentions([(k, t, base_spans(t)) for k, t in enumerate(texts)]))
 
 
+def _spans_of(texts: list[str | None], field: SkipChain) -> list[tuple[list[Span], list[Span]]]:
+    """(base spans, all spans) of each text."""
+    base = [base_spans(t) if t and _HINT.search(t) else [] for t in texts]
+    noted = [(k, t, base[k]) for k, t in enumerate(texts) if t and _HINT.search(t)]
+    more: dict[int, list[Span]] = {}
+    for at in range(0, len(noted), 200):
+        for k, span in field.added(mentions(noted[at : at + 200])):
+            more.setdefault(k, []).append(span)
+    return [(spans, sorted(spans + more.get(k, []), key=lambda s: (s[1], KINDS.index(s[0])))) for k, spans in enumerate(base)]
+
+
 def find(docs: DataFrame, field: SkipChain) -> DataFrame:
     """Adds base and spans (arrays of kind, start, end in code points) to docs; null texts have none. Columns of these names are replaced."""
     kept = [c for c in docs.columns if c not in ("base", "spans")]
@@ -261,25 +274,13 @@ def find(docs: DataFrame, field: SkipChain) -> DataFrame:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        as_rows = lambda lists: pa.array([[{"kind": s[0], "start": s[1], "end": s[2]} for s in x] for x in lists], kind)
         for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
-            base: list[list[Span]] = []
-            noted = []
-            for k, value in enumerate(batch.column(text_at)):
-                text = value.as_py() or ""
-                spans = base_spans(text) if _HINT.search(text) else []
-                base.append(spans)
-                if spans or _HINT.search(text):
-                    noted.append((k, text, spans))
-            more: dict[int, list[Span]] = {}
-            for at in range(0, len(noted), 200):
-                for k, span in field.added(mentions(noted[at : at + 200])):
-                    more.setdefault(k, []).append(span)
-            both = [sorted(spans + more.get(k, []), key=lambda s: (s[1], KINDS.index(s[0]))) for k, spans in enumerate(base)]
-            as_rows = lambda lists: pa.array([[{"kind": s[0], "start": s[1], "end": s[2]} for s in x] for x in lists], kind)
+            base, both = zip(*_spans_of(batch.column(text_at).to_pylist(), field))
             yield pa.RecordBatch.from_arrays([*batch.columns, as_rows(base), as_rows(both)], names=[*kept, "base", "spans"])
 
     span = "array<struct<kind:string,start:int,end:int>>"
-    return source.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields), f"base {span}", f"spans {span}"]))
+    return source.mapInArrow(lean(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields), f"base {span}", f"spans {span}"]))
 
 
 def report(docs: DataFrame, field: SkipChain) -> DataFrame:
@@ -291,32 +292,29 @@ def report(docs: DataFrame, field: SkipChain) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
 
 
+def redacted(text: str, spans: list[Span]) -> str:
+    """Each span replaced by its kind in angle brackets; spans that overlap are replaced together, by the first one's kind."""
+    out, end = [], 0
+    for kind, start, stop in spans:
+        if start >= end:
+            out += [text[end:start], f"<{kind.upper()}>"]
+        end = max(end, stop)
+    return "".join(out) + text[end:]
+
+
 def redact(docs: DataFrame, field: SkipChain) -> DataFrame:
-    """Texts with each span replaced by its kind in angle brackets; spans that overlap are replaced together by the first one's kind. n_chars follows if there is one."""
+    """docs with redacted texts. n_chars follows if there is one; all other columns stay as they are."""
     columns = docs.columns
+    text_at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = columns.index("text")
         for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
-            texts = []
-            for value, spans in zip(batch.column(at), batch.column(len(columns)).to_pylist()):
-                text = value.as_py()
-                if spans:
-                    out, end = [], 0
-                    for s in spans:
-                        if s["start"] >= end:
-                            out += [text[end : s["start"]], f"<{s['kind'].upper()}>"]
-                        end = max(end, s["end"])
-                    text = "".join(out) + text[end:]
-                texts.append(text)
-            arrays = list(batch.columns[: len(columns)])
-            arrays[at] = pa.array(texts, arrays[at].type)
+            texts = batch.column(text_at).to_pylist()
+            arrays = list(batch.columns)
+            arrays[text_at] = pa.array([redacted(t, spans) if spans else t for t, (_, spans) in zip(texts, _spans_of(texts, field))], arrays[text_at].type)
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    # columns of docs that have the names of find()'s own step aside
-    found = find(docs.select(*(F.col(c).alias(f"_own_{c}" if c in ("base", "spans") else c) for c in columns)), field)
-    found = found.select(*(f"_own_{c}" if c in ("base", "spans") else c for c in columns), F.col("spans").alias("_spans"))
-    out = found.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
+    out = docs.mapInArrow(lean(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
 
 

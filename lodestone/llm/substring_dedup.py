@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize, settle
+from lodestone.llm.common import lean, materialize, settle
 from lodestone.llm.shingles import RangeHash, hashed_rows, mix, signed
 
 WINDOW = 35
@@ -207,7 +207,7 @@ def _chunks_and_anchors(texts: DataFrame) -> DataFrame:
                 names=["kind", "a", "b", "k1", "k2", "start", "windows"],
             )
 
-    return texts.mapInArrow(run, "kind int, a long, b long, k1 long, k2 long, start long, windows long")
+    return texts.mapInArrow(lean(run), "kind int, a long, b long, k1 long, k2 long, start long, windows long")
 
 
 def _candidate_windows(texts: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def _candidate_windows(texts: DataFrame) -> DataFrame:
             w2 = RangeHash(mix(parse.words), _BASES[1]).of(start, start + WINDOW)
             yield pa.RecordBatch.from_arrays([pa.array(signed(c)) for c in (w1, w2, parse.x1[chunk], parse.x2[chunk])] + [pa.array((start - parse.chunk_start[chunk]).astype(np.int64))], names=["w1", "w2", "x1", "x2", "off"])
 
-    return texts.mapInArrow(run, "w1 long, w2 long, x1 long, x2 long, off long")
+    return texts.mapInArrow(lean(run), "w1 long, w2 long, x1 long, x2 long, off long")
 
 
 def removed(starts: list[tuple[int, int]], words: int, window: int = WINDOW) -> np.ndarray:
@@ -313,4 +313,4 @@ def remove_repeats(docs: DataFrame, *, keep_text: bool = False) -> DataFrame:
             columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, pa.string())] if keep_text else []), names=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text)
 
-    return joined.mapInArrow(run, f"doc_id {schema}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
+    return joined.mapInArrow(lean(run), f"doc_id {schema}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)

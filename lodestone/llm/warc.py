@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import remove, scratch
+from lodestone.llm.common import lean, remove, scratch
 
 CRLF = "\r\n"
 #: Fixed values of the format.
@@ -142,7 +142,7 @@ def read_archives(spark: SparkSession, path: str, *, keep_payload: bool = False)
                     yield pa.RecordBatch.from_arrays([pa.array(c, schema.field(n).type) for n, c in zip(names, zip(*rows))], schema=schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(parse, RECORD_SCHEMA)
+    return files.mapInArrow(lean(parse), RECORD_SCHEMA)
 
 
 def resolved_payloads(records: DataFrame) -> DataFrame:
