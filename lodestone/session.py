@@ -15,7 +15,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 #: Spark's own default of the last: where it still holds, ship() sets ours, as two workers and their JVM hold several batches at a time.
 _LARGE_BATCH = ("67108864b", "64m", "64MB", "67108864")
