@@ -50,7 +50,7 @@ BROADCAST_IDS = 500_000
 #: Rounds in which classes are held against one of their group's largest component.
 ROUNDS = 1
 #: Candidates of one class, outside its component, that are verified in turn. The last takes all that are left.
-RANKS = (8, float("inf"))
+RANKS = (2, 8, float("inf"))
 
 
 def max_difference(a: int, b: int) -> int:
