@@ -254,8 +254,10 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     seen = materialize(seen.select("x1", "x2", "again", "at.k1", "at.k2", "at.start"), "places")
     settle(spark)
     anchors = parsed.where("kind = 1").selectExpr("a as key", "b as signature", "k1 as x1")
-    shared = anchors.groupBy("key").agg(F.min("signature").alias("lo"), F.max("signature").alias("hi")).where("lo <> hi or key = 0").select("key")
-    wanted = anchors.join(shared, "key", "left_semi").select("key", "x1").distinct()
+    # windows without an anchor (key 0) are all candidates: no exchange by their key
+    named = anchors.where("key <> 0")
+    shared = named.groupBy("key").agg(F.min("signature").alias("lo"), F.max("signature").alias("hi")).where("lo <> hi").select("key")
+    wanted = named.join(shared, "key", "left_semi").union(anchors.where("key = 0").select("key", "signature", "x1")).select("key", "x1").distinct()
     wanted = wanted.join(seen.select("x1", "k1", "k2", "start"), "x1").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "key")).alias("wanted"))
     wanted = materialize(wanted, "wanted")
     settle(spark, parsed)
