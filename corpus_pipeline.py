@@ -13,6 +13,8 @@ from lodestone.llm.common import materialize, read
 from lodestone.llm.queries import REPETITION_LIMIT, tokenizer_path
 from lodestone.session import ship
 
+#: Words that a worker remembers while it packs; fewer than the packing query's, as the stages share their workers.
+CACHE_WORDS = 150_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -51,7 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 4096 tokens."""
     ship(spark)
-    return packing.pack(docs, packing.word_encoder(tokenizer_path()))
+    return packing.pack(docs, packing.word_encoder(tokenizer_path(), CACHE_WORDS))
 
 
 STAGES = [

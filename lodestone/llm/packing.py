@@ -23,9 +23,9 @@ CAPACITY = 4096
 WHOLE_BELOW = 32
 END_OF_DOCUMENT = 2
 #: Words whose ids a worker remembers in each of two generations.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 500_000
 
-_ENCODERS: dict[str, WordIds] = {}
+_ENCODERS: dict[tuple[str, int], WordIds] = {}
 
 PIECE_SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -37,15 +37,16 @@ class WordIds(dict):
     are put together from their parts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         super().__init__()
+        self.most = cache_words
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.older: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:  # words in use come back from the older generation
+        if len(self) >= self.most:  # words in use come back from the older generation
             self.older = dict(self)
             self.clear()
         if (known := self.older.get(word)) is not None:
@@ -175,7 +176,7 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[bytes], bytes]], *, ca
     return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {key}, {PIECE_SCHEMA}")
 
 
-def word_encoder(path: str) -> Callable[[], Callable[[bytes], bytes]]:
+def word_encoder(path: str, cache_words: int = CACHE_WORDS) -> Callable[[], Callable[[bytes], bytes]]:
     """An encoder for a tokenizer file whose normaliser lower-cases and whose pre-tokenizer drops white space.
 
     A worker process keeps its word ids from one task to the next.
@@ -184,8 +185,8 @@ def word_encoder(path: str) -> Callable[[], Callable[[bytes], bytes]]:
     def make() -> Callable[[bytes], bytes]:
         from lodestone.llm.packing import _ENCODERS as known  # the worker's own, not a copy sent along
 
-        if path not in known:
-            known[path] = WordIds(path)
-        return known[path].ids
+        if (path, cache_words) not in known:
+            known[path, cache_words] = WordIds(path, cache_words)
+        return known[path, cache_words].ids
 
     return make
