@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import fingerprints, jaccard_join, language_id, media, mixing, packing, pii, resharding, substring_dedup, warc
-from lodestone.llm.common import read
+from lodestone.llm.common import read, scratch, settle
 
 #: Old shards of the resharding query: a checksum of the source, so one of them is as hot as the hottest source.
 OLD_SHARDS = 16
@@ -41,15 +41,20 @@ def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select(
-        "doc_id",
-        "source",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-    )
+    """Shards that change are written to the shared folder and read back; what stays in an unchanged shard is read where it lies."""
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long")
+    checksum = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     old = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(OLD_SHARDS)).cast("int")
-    out = resharding.reshard(docs, old, OLD_SHARDS, NEW_SHARDS, size=F.col("size"), order=[F.col("doc_id"), F.col("size"), F.col("text_crc32")])
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text", size.alias("size"), checksum.alias("text_crc32"))
+    out = resharding.reshard(docs, old, OLD_SHARDS, NEW_SHARDS, size=F.col("size"), order=[F.col("doc_id"), F.col("size"), F.col("text_crc32")]).drop("size", "text_crc32")
+    path = scratch(spark, "shards")
+    affected = resharding.rewrite(out, path)
+    rows = out.drop("old_shard")
+    if affected:
+        written = spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
+        rows = written if set(range(max(OLD_SHARDS, NEW_SHARDS))) <= set(affected) else written.unionByName(rows.where(~F.col("shard").isin(affected)))
+        settle(spark)
+    return rows.select("doc_id", size.alias("size"), checksum.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), old.alias("old_shard"))
 
 
 def op6_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:

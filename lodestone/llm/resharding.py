@@ -15,6 +15,8 @@ from heapq import heappop, heappush
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import remove
+
 #: Blocks per old shard. The block totals (old shards x this) are all that the driver gets.
 BLOCKS = 256
 #: A document is large if it takes more than this share of an average new shard.
@@ -93,7 +95,7 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int
     are kept; only the names ``old_shard``, ``shard``, ``slot`` and those that begin with ``_`` are taken.
 
     Hot old shards are spread over ``blocks`` blocks by a hash of the order columns, so no window
-    holds more than about 1/blocks of a shard.
+    holds more than about 1/blocks of a shard. Rows are dealt to tasks by ranges of these blocks, so what a task holds goes to few new shards.
     """
     spark = docs.sparkSession
     rows = docs.withColumns({"old_shard": F.coalesce(old_shard, F.lit(0)).cast("int"), "_size": size.cast("long")})
@@ -113,7 +115,8 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int
                     at += of[i, small, b]
     by_block = Window.partitionBy("old_shard", "_small", "_block").orderBy(*order)
     starts_frame = F.broadcast(spark.createDataFrame(starts, "old_shard int, _small int, _block int, _start long"))
-    along = rows.join(starts_frame, ["old_shard", "_small", "_block"]).withColumn("_at", F.col("_start") + F.coalesce(F.sum("_size").over(by_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    dealt = rows.repartitionByRange("old_shard", "_block", "_small")  # the one exchange of whole rows; it serves both windows below
+    along = dealt.join(starts_frame, ["old_shard", "_small", "_block"]).withColumn("_at", F.col("_start") + F.coalesce(F.sum("_size").over(by_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
     def intervals(flows: list[list[int]], small: int) -> list[tuple[int, int]]:
         """(end on the line, new shard) of each flow, stretched to the tier's bytes. What stays comes first, so a shard that only gives away keeps a prefix."""
@@ -153,13 +156,20 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int
 
 
 def rewrite(sharded: DataFrame, path: str) -> list[int]:
-    """Writes the shards whose content changes to ``path/shard=N`` and returns their numbers.
+    """Writes the shards whose content changes to ``path/shard=N``, rows by slot, and returns their numbers.
 
-    A shard is affected if a row enters or leaves it; the files of all others stay as they are.
+    A shard is affected if a row enters or leaves it; the files of all others stay as they are. The folders of shards that are left without rows
+    go. Rows may come from ``path`` itself: its files are replaced when all new ones are written.
     """
+    spark = sharded.sparkSession
     moved = sharded.where("shard <> old_shard")
     rows = moved.select(F.explode(F.array("shard", "old_shard")).alias("s")).groupBy("s").count().collect()  # one row per shard
     affected = sorted(r["s"] for r in rows)
     if affected:
-        sharded.where(F.col("shard").isin(affected)).drop("old_shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+        changed = sharded.where(F.col("shard").isin(affected))
+        filled = {r["shard"] for r in changed.select("shard").distinct().collect()}  # one row per shard
+        changed.drop("old_shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+        for s in affected:
+            if s not in filled:
+                remove(spark, f"{path}/shard={s}")
     return affected

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import fingerprints, jaccard_join, jpeg, language_id, media, packing, pii, resharding, shingles, warc
+from lodestone.llm import fingerprints, jaccard_join, jpeg, language_id, media, packing, pii, queries, resharding, shingles, warc
 from lodestone.llm.queries import tokenizer_path
 
 ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "a b"), (4, "a b"), (None, "x y z"), (5, "ünï çødé 漢字 🧪"), (6, "word " * 30000), (7, "12 34"), (8, "a b")]
@@ -249,6 +249,32 @@ def test_reshard(spark, tmp_path):
     assert resharding.reshard(df.limit(0), F.lit(0), 4, 6, size=F.col("size"), order=[F.col("doc_id")]).count() == 0
 
 
+def test_rewrite_leaves_other_shards_and_clears_emptied_ones(spark, tmp_path):
+    path = str(tmp_path / "o")
+    before = [(k, f"text {k}", k % 4) for k in range(40)]
+    spark.createDataFrame([(k, t, s, k // 4) for k, t, s in before], "doc_id long, text string, shard int, slot long").write.partitionBy("shard").parquet(path)
+    kept = sorted((f.name, f.read_bytes()) for f in (tmp_path / "o" / "shard=0").iterdir() if f.suffix == ".parquet")
+    old = spark.read.schema("doc_id long, text string, slot long, shard int").parquet(path)
+    target = F.when(F.col("shard") == 3, 2).when(F.col("doc_id") == 1, 5).otherwise(F.col("shard"))
+    assert resharding.rewrite(old.select("doc_id", "text", "slot", F.col("shard").alias("old_shard"), target.alias("shard")), path) == [1, 2, 3, 5]
+    assert sorted((f.name, f.read_bytes()) for f in (tmp_path / "o" / "shard=0").iterdir() if f.suffix == ".parquet") == kept
+    assert not (tmp_path / "o" / "shard=3").exists()
+    got = {(r["doc_id"], r["text"], r["shard"]) for r in spark.read.parquet(path).collect()}
+    assert got == {(k, t, 5 if k == 1 else 2 if s == 3 else s) for k, t, s in before}
+
+
+def test_resharding_query_writes_texts_and_reads_them_back(spark, tmp_path):
+    rows = [*((i, t, f"s{k % 7}") for k, (i, t) in enumerate(ODD)), *((100 + k, f"document {k} " * (k % 40), f"s{k % 7}") for k in range(600))]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.op5_flow_resharding(spark, str(tmp_path))
+    raw = lambda t: (t or "").encode()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["old_shard"]) for r in out.collect()) == Counter((i, len(raw(t)) + 8, zlib.crc32(raw(t)), zlib.crc32(raw(s)) % 16) for i, t, s in rows)
+    shards = {f.rpartition("shard=")[2].partition("/")[0] for f in out.inputFiles() if "shard=" in f}
+    assert {str(r["shard"]) for r in out.where("shard <> old_shard").collect()} <= shards
+    spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert queries.op5_flow_resharding(spark, str(tmp_path / "none")).count() == 0
+
+
 # Media ----------------------------------------------------------------------------------------------------------------
 
 
