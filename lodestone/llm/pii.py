@@ -1,8 +1,8 @@
 """Personal data by fixed patterns and a skip-chain conditional random field.
 
 Base spans are what four patterns with their checks find. The field labels the number-like and address-like words of a document ("mentions") with a kind
-or none. Neighbouring mentions share a chain potential; mentions that repeat each other, or have the same shape, share a skip potential however far
-apart they are. Mentions inside base spans are observed; loopy message passing carries their labels to the others, so a
+or none. Neighbouring mentions share a chain potential; mentions of a document that repeat each other, or have the same shape, share a skip potential with a
+node of their group, however many they are and however far apart. Mentions inside base spans are observed; loopy message passing carries their labels to the others, so a
 card number whose check digit was mistyped takes the label of the same or similar ones elsewhere in its document. Base spans always stay.
 
 The field is trained by pseudo-likelihood on a bounded sample of documents, with the base spans as labels. Its features are shapes, never the
@@ -36,9 +36,13 @@ _MENTION = re.compile(r"[^\s]*[0-9@][^\s]*")
 _EDGES = ".,;:!?\"'<>[]{}#$%&*=|"
 #: Documents that the field is trained on, about.
 SAMPLE_DOCUMENTS = 3000
-ROUNDS, THRESHOLD = 8, 0.5
-#: Rows that are passed on together.
+THRESHOLD = 0.5
+#: Messages of a document are passed until none changes by more than SETTLED. If that takes more than SLOW rounds, damping rises; MOST_ROUNDS only
+#: ends what goes round in circles, as loopy message passing may.
+SETTLED, SLOW, MOST_ROUNDS = 1e-4, 100, 2000
+#: Rows that are passed on together; documents and their characters whose messages are.
 ROWS = 1000
+GROUP_DOCUMENTS, GROUP_CHARACTERS = 200, 1 << 20
 #: Agreement weights that training starts from and decays to: of mentions that repeat each other, and of those alike in shape.
 PRIOR = (2.0, 0.5)
 
@@ -103,7 +107,11 @@ FEATURES = 40
 
 @dataclass
 class Mentions:
-    """Mentions of one or more documents: places, features, observed labels (-1: none) and edges (first, second, 0 chain, 1 same, 2 alike)."""
+    """Mentions of one or more documents: places, features, observed labels (-1: none) and edges (first, second, 0 chain, 1 same, 2 alike).
+
+    Groups are nodes too, numbered after all mentions; ``groups`` has their documents. The second node of a same or alike edge is a group; the first one of an
+    alike edge is a mention or a group of same ones.
+    """
 
     document: np.ndarray
     start: np.ndarray
@@ -111,6 +119,7 @@ class Mentions:
     features: np.ndarray
     observed: np.ndarray
     edges: np.ndarray
+    groups: np.ndarray
 
 
 def _features(word: str, before: bool, after: bool) -> list[int]:
@@ -126,9 +135,11 @@ def _features(word: str, before: bool, after: bool) -> list[int]:
 
 
 def mentions(documents: list[tuple[int, str, list[Span]]]) -> Mentions:
-    """Of (number, text, base spans) per document. Edges per mention are three at most: to the one before it in the text if only one character lies between, to
-    the last one with the same letters and digits, and to the last one of the same shape."""
+    """Of (number, text, base spans) per document. A mention has a chain edge to the one before it in the text if only one character lies between. Those with the
+    same letters and digits share a group, and such groups, or mentions alone with theirs, share one with all others of the same shape."""
     doc, start, end, rows, observed, edges = [], [], [], [], [], []
+    groups: list[int] = []
+    tied: list[tuple[int, int, int]] = []  # edges to groups: these are numbered from -1 down until the mentions are known
     for number, text, spans in documents:
         places = []
         for m in _MENTION.finditer(text):
@@ -137,8 +148,8 @@ def mentions(documents: list[tuple[int, str, list[Span]]]) -> Mentions:
             word = word.rstrip(_EDGES)
             if word and len(word) <= 200:
                 places.append((a, a + len(word), word))
-        same: dict[str, int] = {}
-        alike: dict[str, int] = {}
+        same: dict[str, list[int]] = {}
+        shapes: dict[str, dict[str, int]] = {}  # by shape: the keys that have it, and the first mention of each
         at = 0
         for k, (a, b, word) in enumerate(places):
             here = len(doc)
@@ -153,16 +164,46 @@ def mentions(documents: list[tuple[int, str, list[Span]]]) -> Mentions:
                 edges.append((here - 1, here, 0))
             text_key = "".join(c for c in word.lower() if c.isalnum())
             shape = re.sub(r"[a-z]+", "a", re.sub(r"[0-9]", "9", word.lower()))
-            if text_key in same:
-                edges.append((same[text_key], here, 1))
-            if shape in alike and alike[shape] != same.get(text_key):
-                edges.append((alike[shape], here, 2))
-            same[text_key] = alike[shape] = here
+            same.setdefault(text_key, []).append(here)
+            shapes.setdefault(shape, {}).setdefault(text_key, here)
+        node: dict[str, int] = {}
+        for text_key, members in same.items():
+            if len(members) > 1:
+                groups.append(number)
+                node[text_key] = -len(groups)
+                tied += [(i, -len(groups), 1) for i in members]
+        for keys in shapes.values():
+            if len(keys) > 1:
+                groups.append(number)
+                tied += [(node.get(text_key, i), -len(groups), 2) for text_key, i in keys.items()]
+    edges += [tuple(i if i >= 0 else len(doc) - 1 - i for i in e[:2]) + e[2:] for e in tied]
     found = np.zeros((len(doc), FEATURES), np.float32)
     for k, row in enumerate(rows):
         found[k, row] = 1
     as_array = lambda x: np.array(x, np.int64)
-    return Mentions(as_array(doc), as_array(start), as_array(end), found, as_array(observed), as_array(edges).reshape(-1, 3))
+    return Mentions(as_array(doc), as_array(start), as_array(end), found, as_array(observed), as_array(edges).reshape(-1, 3), as_array(groups))
+
+
+def _votes(m: Mentions, truth: np.ndarray) -> list[np.ndarray]:
+    """By same and by alike: the share of each label among the other members of each mention's group. Those of an alike group are groups of same mentions, which
+    count once each, by their shares, and mentions alone."""
+    n, nodes = len(m.document), len(m.document) + len(m.groups)
+    u, v, kind = m.edges.T
+    share = np.zeros((nodes, truth.shape[1]))
+    share[:n] = truth
+    rest = []
+    for k in (1, 2):
+        a, b = u[kind == k], v[kind == k]
+        total, members = np.zeros_like(share), np.bincount(b, minlength=nodes)
+        np.add.at(total, b, share[a])
+        others = np.zeros_like(share)
+        np.add.at(others, a, (total[b] - share[a]) / (members[b] - 1)[:, None])
+        rest.append(others)
+        at = np.unique(b)
+        share[at] = total[at] / members[at, None]
+    a, b = u[kind == 1], v[kind == 1]
+    rest[1][a] += rest[1][b]  # what a group of same mentions hears from those alike goes to each of them
+    return [r[:n] for r in rest]
 
 
 @dataclass
@@ -175,7 +216,7 @@ class SkipChain:
 
     @classmethod
     def fit(cls, m: Mentions, steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> SkipChain:
-        """Pseudo-likelihood: each mention given its neighbours' labels. Without mentions the weights stay as they are at first."""
+        """Pseudo-likelihood: each mention given its neighbours' labels and those of its groups, as shares of the other members. Without mentions the weights stay as they are at first."""
         labels = len(LABELS)
         self = cls(np.zeros((FEATURES, labels)), np.zeros((labels, labels)), np.array(PRIOR))
         n = len(m.document)
@@ -185,12 +226,7 @@ class SkipChain:
         truth = np.eye(labels)[y]
         u, v, kind = m.edges.T
         chain = kind == 0
-        votes = []  # by same and by alike: counts of the neighbours' labels
-        for k in (1, 2):
-            count = np.zeros((n, labels))
-            np.add.at(count, u[kind == k], truth[v[kind == k]])
-            np.add.at(count, v[kind == k], truth[u[kind == k]])
-            votes.append(count)
+        votes = _votes(m, truth)
         left, right = np.zeros((n, labels)), np.zeros((n, labels))
         np.add.at(left, v[chain], truth[u[chain]])
         np.add.at(right, u[chain], truth[v[chain]])
@@ -205,28 +241,40 @@ class SkipChain:
         return self
 
     def marginals(self, m: Mentions) -> np.ndarray:
-        """Label probabilities of each mention after ROUNDS of message passing; observed mentions keep their label."""
-        score = m.features @ self.unary
-        seen = m.observed >= 0
+        """Label probabilities of each mention once messages have settled; observed mentions keep their label. Documents don't affect each other."""
+        n, labels = len(m.document), len(LABELS)
+        score = np.zeros((n + len(m.groups), labels))
+        score[:n] = m.features @ self.unary
+        seen = np.flatnonzero(m.observed >= 0)
         score[seen] = -50.0
         score[seen, m.observed[seen]] = 50.0
-        labels = len(LABELS)
         u, v, kind = m.edges.T
-        source, target = np.concatenate([u, v]), np.concatenate([v, u])
-        back = np.concatenate([np.arange(len(u)) + len(u), np.arange(len(u))])
         same = np.eye(labels)
         tables = np.stack([self.chain, self.agree[0] * same, self.agree[1] * same])
-        table = np.concatenate([tables[kind], tables[kind].transpose(0, 2, 1)])
-        message = np.zeros((len(source), labels))
+        owner = np.unique(np.concatenate([m.document, m.groups]), return_inverse=True)[1][u]  # a number for each edge's document
+        message = np.zeros((2, len(u), labels))  # forth and back along each edge
         belief = score.copy()
-        for _ in range(ROUNDS if len(source) else 0):
-            out = (belief[source] - message[back])[:, :, None] + table
-            top = out.max(1, keepdims=True)
-            fresh = np.log(np.exp(out - top).sum(1)) + top[:, 0]
-            fresh -= fresh.max(1, keepdims=True)
-            message = 0.5 * message + 0.5 * fresh
-            belief = score.copy()
-            np.add.at(belief, target, message)
+        busy = np.arange(len(u))
+        for k in range(MOST_ROUNDS):
+            if not len(busy):
+                break
+            a, b, along = u[busy], v[busy], tables[kind[busy]]
+            old = message[:, busy]
+            out = np.stack([(belief[a] - old[1])[:, :, None] + along, (belief[b] - old[0])[:, :, None] + along.transpose(0, 2, 1)])
+            top = out.max(2, keepdims=True)
+            fresh = np.log(np.exp(out - top).sum(2)) + top[:, :, 0]
+            fresh -= fresh.max(2, keepdims=True)
+            change = np.abs(fresh - old).max((0, 2))
+            keep = 0.5 if k < SLOW else 0.9
+            message[:, busy] = fresh = keep * old + (1 - keep) * fresh
+            nodes = np.unique(np.concatenate([a, b]))
+            belief[nodes] = score[nodes]
+            np.add.at(belief, b, fresh[0])
+            np.add.at(belief, a, fresh[1])
+            most = np.zeros(owner.max() + 1)
+            np.maximum.at(most, owner[busy], change)
+            busy = busy[most[owner[busy]] > SETTLED]
+        belief = belief[:n]
         p = np.exp(belief - belief.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
@@ -260,9 +308,13 @@ def _spans_of(texts: list[str | None], field: SkipChain) -> list[tuple[list[Span
     base = [base_spans(t) if t and _HINT.search(t) else [] for t in texts]
     noted = [(k, t, base[k]) for k, t in enumerate(texts) if t and _HINT.search(t)]
     more: dict[int, list[Span]] = {}
-    for at in range(0, len(noted), 200):
-        for k, span in field.added(mentions(noted[at : at + 200])):
-            more.setdefault(k, []).append(span)
+    group: list[tuple[int, str, list[Span]]] = []
+    for at, one in enumerate(noted):
+        group.append(one)
+        if at + 1 == len(noted) or len(group) >= GROUP_DOCUMENTS or sum(len(t) for _, t, _ in group) >= GROUP_CHARACTERS:
+            for k, span in field.added(mentions(group)):
+                more.setdefault(k, []).append(span)
+            group = []
     return [(spans, sorted(spans + more.get(k, []), key=lambda s: (s[1], KINDS.index(s[0])))) for k, spans in enumerate(base)]
 
 

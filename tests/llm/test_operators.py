@@ -166,6 +166,30 @@ def test_repeated_mentions_take_the_label_of_observed_ones():
     assert base == [("card", 5, 21)] and added == [("card", 28, 44)]
 
 
+def test_evidence_reaches_all_mentions_of_a_key_and_a_shape():
+    labels = len(pii.LABELS)
+    field = pii.SkipChain(np.zeros((pii.FEATURES, labels)), np.zeros((labels, labels)), np.array([2.0, 1.5]))
+    card = pii.LABELS.index("card")
+    text = "card 4111111111111111 then " + " and ".join(f"41111111111{k:05}" for k in range(11120, 11160))
+    text += " " + " or ".join(["4111111111111112"] * 40)
+    m = pii.mentions([(0, text, pii.base_spans(text)[:1])])
+    p = field.marginals(m)[m.observed < 0]
+    assert len(p) == 80 and (p.argmax(1) == card).all() and np.ptp(p[:40, card]) < 0.01 and np.ptp(p[40:, card]) < 0.01
+    assert len(m.edges) <= 3 * len(m.document)
+    both = field.marginals(pii.mentions([(0, text, pii.base_spans(text)[:1]), (1, "7 " * 300 + "a1 a1", []), (2, "x@y", [])]))
+    assert (both[: len(m.document)] == field.marginals(m)).all()  # documents settle by themselves
+
+
+def test_messages_settle_along_a_chain():
+    labels = len(pii.LABELS)
+    field = pii.SkipChain(np.zeros((pii.FEATURES, labels)), 6.0 * np.eye(labels), np.zeros(2))
+    text = "4111111111111111 " + " ".join(f"{k}" for k in range(30))
+    m = pii.mentions([(0, text, [("card", 0, 16)])])
+    p = field.marginals(m)[:, pii.LABELS.index("card")]
+    stay = np.exp(6.0) / (np.exp(6.0) + labels - 1)
+    assert np.abs(p[1:] - [1 / labels + (1 - 1 / labels) * ((labels * stay - 1) / (labels - 1)) ** k for k in range(1, 31)]).max() < 0.01
+
+
 def test_pii_report_and_redaction(spark):
     rows = [*ODD, (20, "mail a.b@c.example now 10.0.0.1 and é +44 20 7946 0958 x 4111 1111 1111 1111"), (21, "300.1.1.1")]
     df = frame(spark, rows).withColumn("n_chars", F.char_length("text").cast("long"))
