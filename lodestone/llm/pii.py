@@ -32,7 +32,10 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _HINT = re.compile(r"[0-9@]")
-_MENTION = re.compile(r"[^\s]*[0-9@][^\s]*")
+_RUN = re.compile(r"\S+")
+#: Runs of more characters than this aren't words: their number-like and address-like pieces are mentions of their own.
+LONG_RUN = 200
+_PIECE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*|\+?\(?[0-9](?:[().-]{0,2}[0-9])*")
 _EDGES = ".,;:!?\"'<>[]{}#$%&*=|"
 #: Documents that the field is trained on, about.
 SAMPLE_DOCUMENTS = 3000
@@ -103,6 +106,8 @@ def written(spans: list[Span]) -> str:
 
 LABELS = ("none", *KINDS)
 FEATURES = 40
+#: The feature that a mention has right after another one.
+BEFORE = 34
 
 
 @dataclass
@@ -134,20 +139,34 @@ def _features(word: str, before: bool, after: bool) -> list[int]:
     return out
 
 
+def _places(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, word) of each mention: white-space-free runs with a digit or an @, without what surrounds them; of long runs, their pieces."""
+    for m in _RUN.finditer(text):
+        if not _HINT.search(m[0]):
+            continue
+        word = m[0].lstrip(_EDGES)
+        a = m.end() - len(word)
+        word = word.rstrip(_EDGES)
+        if len(word) > LONG_RUN:
+            for piece in _PIECE.finditer(word):
+                yield a + piece.start(), a + piece.end(), piece[0]
+        elif word:
+            yield a, a + len(word), word
+
+
+def _next_to(text: str, end: int, start: int) -> bool:
+    """Whether nothing but one white-space character lies between."""
+    return start - end == 1 and text[end].isspace()
+
+
 def mentions(documents: list[tuple[int, str, list[Span]]]) -> Mentions:
-    """Of (number, text, base spans) per document. A mention has a chain edge to the one before it in the text if only one character lies between. Those with the
+    """Of (number, text, base spans) per document. A mention has a chain edge to the one before it in the text if only one white-space character lies between. Those with the
     same letters and digits share a group, and such groups, or mentions alone with theirs, share one with all others of the same shape."""
     doc, start, end, rows, observed, edges = [], [], [], [], [], []
     groups: list[int] = []
     tied: list[tuple[int, int, int]] = []  # edges to groups: these are numbered from -1 down until the mentions are known
     for number, text, spans in documents:
-        places = []
-        for m in _MENTION.finditer(text):
-            word = m[0].lstrip(_EDGES)
-            a = m.end() - len(word)
-            word = word.rstrip(_EDGES)
-            if word and len(word) <= 200:
-                places.append((a, a + len(word), word))
+        places = list(_places(text))
         same: dict[str, list[int]] = {}
         shapes: dict[str, dict[str, int]] = {}  # by shape: the keys that have it, and the first mention of each
         at = 0
@@ -156,8 +175,8 @@ def mentions(documents: list[tuple[int, str, list[Span]]]) -> Mentions:
             while at < len(spans) and max(s[2] for s in spans[at : at + 1]) <= a:
                 at += 1
             label = next((LABELS.index(s[0]) for s in spans[at : at + 8] if s[1] < b and a < s[2]), -1)
-            before = k > 0 and a - places[k - 1][1] <= 1
-            after = k + 1 < len(places) and places[k + 1][0] - b <= 1
+            before = k > 0 and _next_to(text, places[k - 1][1], a)
+            after = k + 1 < len(places) and _next_to(text, b, places[k + 1][0])
             rows.append(_features(word, before, after))
             doc.append(number), start.append(a), end.append(b), observed.append(label)
             if before:
@@ -286,7 +305,7 @@ class SkipChain:
         last = -2
         for i in np.flatnonzero((m.observed < 0) & (best > 0) & (p.max(1) > THRESHOLD)).tolist():
             kind = LABELS[best[i]]
-            if last == i - 1 and out[-1][0] == m.document[i] and out[-1][1][0] == kind and m.start[i] - out[-1][1][2] <= 1:
+            if last == i - 1 and out[-1][0] == m.document[i] and out[-1][1][0] == kind and m.features[i, BEFORE]:
                 out[-1] = (out[-1][0], (kind, out[-1][1][1], int(m.end[i])))
             else:
                 out.append((int(m.document[i]), (kind, int(m.start[i]), int(m.end[i]))))

@@ -180,6 +180,23 @@ def test_evidence_reaches_all_mentions_of_a_key_and_a_shape():
     assert (both[: len(m.document)] == field.marginals(m)).all()  # documents settle by themselves
 
 
+def test_long_runs_give_their_pieces():
+    wanted = ["4111111111111112", "4111-1111-1111-1111", "+1(555)010-9999", "10.0.0.1", "a.b+c@d.example"]
+    text = "é " + '{"k":"' + "x" * 300 + '","n":["' + '","'.join(wanted) + '"]}' + " 17, " + ",".join(wanted) + "," + "漢" * 300 + wanted[0]
+    base = pii.base_spans(text)
+    m = pii.mentions([(0, text, base)])
+    found = [text[a:b] for a, b in zip(m.start, m.end)]
+    assert found == [*wanted, "17", *wanted, wanted[0]] and [pii.LABELS[k] for k, w in zip(m.observed, found) if w == "a.b+c@d.example"] == ["email"] * 2
+    assert not (m.edges[:, 2] == 0).any()  # a comma parts them
+    labels = len(pii.LABELS)
+    field = pii.SkipChain(np.zeros((pii.FEATURES, labels)), np.zeros((labels, labels)), np.array([2.0, 0.5]))
+    field.unary[1 + 16, pii.LABELS.index("card")] = 3
+    added = [s for _, s in field.added(m)]
+    assert {text[a:b] for _, a, b in added} >= {"4111111111111112"} and sum(text[a:b] == wanted[0] for _, a, b in added) == 3
+    for run in ("a" * 300_000, "a." * 150_000, "+" * 300_000, "@" * 300_000, "(" * 300_000, "a@" * 100_000, "-." * 150_000 + "1"):
+        pii.mentions([(0, run, [])])  # in time
+
+
 def test_messages_settle_along_a_chain():
     labels = len(pii.LABELS)
     field = pii.SkipChain(np.zeros((pii.FEATURES, labels)), 6.0 * np.eye(labels), np.zeros(2))
