@@ -87,10 +87,14 @@ def feature(rgb: np.ndarray) -> str:
     return f"{width}x{height}:{means[0]}:{means[1]}:{means[2]}:{np.packbits(high.ravel()).tobytes().hex()}"
 
 
-def describe(media: DataFrame) -> DataFrame:
-    """What reading the stored bytes back gives, per row of (doc_id, n_bytes, media)."""
+_READ = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())]
+_READ_SQL = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+
+
+def tensors(media: DataFrame) -> DataFrame:
+    """What reading the stored bytes back gives, per row of (doc_id, n_bytes, media), and the full-resolution tensor: width, height, rgb."""
     key = media.schema["doc_id"].dataType.simpleString()
-    fields = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+    fields = [*_READ, ("width", pa.int32()), ("height", pa.int32()), ("rgb", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -98,9 +102,28 @@ def describe(media: DataFrame) -> DataFrame:
                 for doc_id, n, value in zip(*(batch.column(k) for k in range(3))):
                     raw = value.as_py()
                     image = jpeg.decode(raw)
-                    payload = jpeg.stored_payload(image)
-                    yield doc_id.as_py(), n.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(image.rgb())
+                    payload, rgb = jpeg.stored_payload(image), image.rgb()
+                    yield doc_id.as_py(), n.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), rgb.shape[1], rgb.shape[0], rgb.tobytes()
+
+        yield from _batches(rows(), pa.schema([("doc_id", _arrow(key)), *fields]), lambda r: len(r[-1]))
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(lean(run), f"doc_id {key}, {_READ_SQL}, width int, height int, rgb binary")
+
 
-        yield from _batches(rows(), pa.schema([("doc_id", _arrow(key)), *fields]), lambda r: 300)
+def featured(stored: DataFrame) -> DataFrame:
+    """Rows of tensors() with the feature of their tensor in its place."""
+    key = stored.schema["doc_id"].dataType.simpleString()
+    kept = ["doc_id", *(n for n, _ in _READ)]
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(lean(run), f"doc_id {key}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *columns, width, height, rgb = batch.columns
+            found = [feature(np.frombuffer(x.as_py(), np.uint8).reshape(h.as_py(), w.as_py(), 3)) for w, h, x in zip(width, height, rgb)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.string())], names=[*kept, "feature"])
+
+    return stored.select(*kept, "width", "height", "rgb").mapInArrow(lean(run), f"doc_id {key}, {_READ_SQL}, feature string")
+
+
+def describe(media: DataFrame) -> DataFrame:
+    """What reading the stored bytes back gives, per row of (doc_id, n_bytes, media): sizes, checksums and the feature of the tensor."""
+    return featured(tensors(media))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import fingerprints, jaccard_join, language_id, media, mixing, packing, pii, resharding, substring_dedup, warc
-from lodestone.llm.common import read, scratch, settle
+from lodestone.llm.common import materialize, read, scratch, settle
 
 #: Old shards of the resharding query: a checksum of the source, so one of them is as hot as the hottest source.
 OLD_SHARDS = 16
@@ -58,7 +58,9 @@ def op5_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.describe(media.store(read(spark, sf_dir, "documents")))
+    """The images and then their tensors are written to the shared folder; what is said of them comes from there."""
+    images = materialize(media.store(read(spark, sf_dir, "documents")), "media")
+    return media.featured(materialize(media.tensors(images), "tensors"))
 
 
 def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

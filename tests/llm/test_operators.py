@@ -328,6 +328,20 @@ def test_media_round_trip(spark):
     assert media.describe(media.store(frame(spark, []))).count() == 0
 
 
+def test_media_query_stores_images_and_tensors(spark, tmp_path):
+    frame(spark, ODD).write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.op6_progressive_jpeg(spark, str(tmp_path))
+    folder = out.inputFiles()[0].rpartition("/")[0]
+    assert "/tensors-" in folder
+    stored = spark.read.parquet(folder).collect()
+    got = out.collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in ODD)
+    assert all(len(r["rgb"]) == 3 * r["width"] * r["height"] for r in stored)
+    made = Counter(media.feature(np.frombuffer(r["rgb"], np.uint8).reshape(r["height"], r["width"], 3)) for r in stored)
+    assert made == Counter(r["feature"] for r in got)
+    assert sorted(got, key=repr) == sorted(media.describe(media.store(frame(spark, ODD))).collect(), key=repr)
+
+
 def test_pixels(spark):
     good = jpeg.encode_payload(bytes(range(256)) * 9)
     df = spark.createDataFrame([(1, good), (2, None), (3, b"nonsense"), (4, good[:-2]), (5, good[:400])], "doc_id long, media binary")
