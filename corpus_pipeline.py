@@ -47,7 +47,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once, and those of small sources again until no source is used more than REPETITION_LIMIT times."""
     ship(spark)
-    return mixing.mix(docs, mixing.word_count(F.col("text")), repetition_limit=REPETITION_LIMIT).select(*COLUMNS)
+    docs = materialize(mixing.counted(docs.select(*COLUMNS), packing.word_encoder(tokenizer_path(), CACHE_WORDS)), "counted")
+    return mixing.mix(docs, F.col("_count"), repetition_limit=REPETITION_LIMIT).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

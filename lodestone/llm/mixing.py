@@ -11,11 +11,15 @@ tasks as any other third.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import lean
+
 BLOCKS = 1024
 #: Rows of the block table up to which it is broadcast; beyond them the join shuffles.
 BROADCAST_ROWS = 100_000
@@ -75,10 +79,24 @@ def solve(tokens: dict, *, target_entropy: float | None = None, repetition_limit
 
 
 def word_count(text: Column) -> Column:
-    """Words as a stand-in for tokens; null has none."""
+    """Words as a stand-in for tokens; null has none. Texts without spaces count as few words, however many tokens they hold."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def counted(docs: DataFrame, encoder: Callable[[], Callable[[bytes], bytes]], name: str = "_count") -> DataFrame:
+    """docs with the number of token ids (unsigned 32-bit) that ``encoder`` of the packing operator gives for each text; null has none."""
+    columns = docs.columns
+    text_at = columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder()
+        for batch in batches:
+            counts = [len(encode(raw.encode())) // 4 if (raw := t.as_py()) else 0 for t in batch.column(text_at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], names=[*columns, name])
+
+    return docs.mapInArrow(lean(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"`{name}` long"]))
+
+
 def mix(docs: DataFrame, tokens: Column, *, seed: int = 0, blocks: int = BLOCKS, target_entropy: float | None = None, repetition_limit: float | None = None, budget: float | None = None) -> DataFrame:
     """Rows of docs, once for each use, with n_tokens, weight, epoch (from 0) and position (uses sort by it, then by doc_id, within their source).
 

@@ -64,8 +64,10 @@ def op6_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    mixed = mixing.mix(docs.select("doc_id", "source", "text"), mixing.word_count(F.col("text")), repetition_limit=REPETITION_LIMIT)
+    """Shares are of the packing query's tokens, counted once."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = materialize(mixing.counted(docs, packing.word_encoder(tokenizer_path())).drop("text"), "counted")
+    mixed = mixing.mix(docs, F.col("_count"), repetition_limit=REPETITION_LIMIT)
     return mixed.select("doc_id", "source", "n_tokens", "weight", "epoch", "position")
 
 

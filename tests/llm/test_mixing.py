@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from lodestone.llm import mixing as M
+from lodestone.llm import packing, queries
 
 
 def test_repetition_limit_is_met_exactly():
@@ -59,3 +60,14 @@ def test_odd_rows(spark):
     got = M.mix(docs, M.word_count(F.col("text")), repetition_limit=2.0).collect()
     assert Counter(r["doc_id"] for r in got)[2] == 1
     assert {r["doc_id"] for r in got} == {1, 2, 3, None}
+
+
+def test_shares_are_of_tokens(spark, tmp_path):
+    rows = [(k, "spaced", "two words") for k in range(50)] + [(100 + k, "unspaced", "漢字仮名交文" * 40) for k in range(50)] + [(200, None, None), (201, "spaced", "")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    encode = packing.word_encoder(queries.tokenizer_path())()
+    want = {k: len(encode((t or "").encode())) // 4 for k, _, t in rows}
+    got = queries.op7_temperature_mixing(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == want and want[100] > 100
+    plan = M.solve({"spaced": sum(want[k] for k in range(50)), "unspaced": sum(want[100 + k] for k in range(50))}, repetition_limit=queries.REPETITION_LIMIT)
+    assert all(abs(r["weight"] - plan.weight[r["source"]]) < 1e-9 for r in got if r["source"])
