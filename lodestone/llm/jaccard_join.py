@@ -1,19 +1,20 @@
 """N-gram Jaccard join by parity sketches.
 
 A document is the set of its distinct five-word shingles. Two documents A, B with Jaccard similarity of at least 3/4 differ in at most
-d = floor((|A| + |B|) / 7) shingles. Shingles are dealt by hash over the parts of a sketch (as many for all documents of a size band);
-each part is the XOR of its shingles' hashes. A differing shingle changes one part, so of the non-empty parts of A at
-most d differ from B's. In one global order of parts, the first l that they share are therefore among the first d + l of A and of B.
-Those are the join keys, with l a fixed share of the size, so a document that shares fewer than l keys with all others together is
-similar to none. The order puts parts of frequent shingles last, which changes the work but never the result.
+d = floor((|A| + |B|) / 7) shingles. Shingles are dealt by hash over the parts of a sketch (as many for all documents of a size band, fewer
+than shingles in large documents); each part is the XOR of its shingles' hashes. A differing shingle changes one part, so of the non-empty
+parts of A at most d differ from B's. In one global order of parts, the first l that they share are therefore among the first d + l of A and
+of B. Those are the join keys, with l a fixed share of the size, so a document that shares fewer than l keys with all others together is
+similar to none. The order puts parts of frequent shingles last, and parts of several shingles before those of one, as these hardly meet by
+chance; it changes the work but never the result.
 
 Candidates are then held against a parity bit sketch of 4 to 8 bits a shingle: the Hamming distance of two sketches is at most the symmetric
 difference, so pairs beyond d can be dropped. What is left is verified on the sets themselves.
 
 Only connectivity is asked for, so not all pairs are made: documents with equal sets are one class; in each key's
-group all classes are first held against a few of them, then, for some rounds, against one of the group's largest component. After that few
-classes are left that share enough keys with a larger component than their own; these are held against all of it, block by
-block of sketches, and only pairs that the sketches allow are verified: first a few for each class, then all that are left.
+group all classes are first held against a few of them. After that few classes are left that share enough keys with a larger component than
+their own; these are held against all of it, block by block of sketches, and only pairs that the sketches allow are verified: first
+a few for each class, then all that are left.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import lean, materialize, settle
@@ -39,18 +40,18 @@ SHARED = 16
 HOT_BUCKETS = 1 << 18
 #: Classes of a key group that all others in it are held against at first, and rows of a group that are looked at together.
 HUBS, HELD = 3, 200_000
-#: Members of a hub's group that one task verifies together, and classes in a block.
-SALT, BLOCK = 512, 8192
+#: Members of a hub's group that one task verifies together.
+SALT = 512
+#: Classes in a block, and shingles of all of them: a sketch has up to a byte for each.
+BLOCK, BLOCK_SHINGLES = 2048, 32_000_000
 #: Classes that are held against a block at a time, and those of one component's neighbours that one task gets, about.
-CHUNK, SLICE = 1024, 16_384
+CHUNK, SLICE = 1024, 4096
 #: Components in a group up to which classes are held against whole components; in groups of more, all classes are held against each other.
 FEW = 16
 #: Ids up to which (4 MB) a set of documents is looked up by broadcasting their ids; for more the texts are shuffled.
 BROADCAST_IDS = 500_000
-#: Rounds in which classes are held against one of their group's largest component.
-ROUNDS = 1
 #: Candidates of one class, outside its component, that are verified in turn. The last takes all that are left.
-RANKS = (2, 8, float("inf"))
+RANKS = (2, float("inf"))
 
 
 def max_difference(a: int, b: int) -> int:
@@ -68,15 +69,29 @@ def shared_keys(n: int) -> int:
 
 
 def band(n: int) -> tuple[int, int]:
-    """Upper size of n's band and the bits of its part numbers. Sets of up to 16 have parts of their own for all shingles."""
+    """Upper size of n's band and its number of parts. Sets of up to 16 have parts of their own for all shingles.
+
+    A set of n shingles fills more than d + shared_keys(n) parts: their expected number lies at least six standard deviations above that.
+    """
     if n <= 16:
-        return 16, 32
-    if n <= 512:
-        return 512, 12
-    upper, bits = 4096, 12
+        return 16, 1 << 32
+    upper = 64
     while upper < n:
-        upper, bits = upper * 8, bits + 3
-    return upper, bits
+        upper *= 4
+    return upper, {64: 96, 256: 192}.get(upper, upper * 5 // 8)
+
+
+def size_code(n: int) -> int:
+    """n, rounded down, in 16 bits that sort like it: 4 of exponent, 12 of mantissa. Sizes below 4096 are exact."""
+    exponent = min(max(0, n.bit_length() - 12), 15)
+    return exponent << 12 | min(n >> exponent, 4095)
+
+
+def size_bounds(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest size with these codes."""
+    exponent, mantissa = code >> 12, code & 4095
+    most = ((mantissa + 1) << exponent) - 1
+    return mantissa << exponent, np.where(code == 0xFFFF, np.int64(1) << 55, most)
 
 
 def bit_sketch(found: np.ndarray) -> bytes:
@@ -103,16 +118,15 @@ def join_keys(found: np.ndarray, hot: np.ndarray) -> np.ndarray:
     d = max_difference(n, most)
     if not d:
         return np.zeros(0, np.int64)  # similar sets of this size are equal
-    upper, bits = band(n)
+    upper, parts = band(n)
     size = d + shared_keys(n)
     out = []
-    for upper, bits in [(upper, bits)] + ([band(upper + 1)] if most > upper else []):
-        part = found >> np.uint64(64 - bits)
-        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    for upper, parts in [(upper, parts)] + ([band(upper + 1)] if most > upper else []):
+        part = ((found >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        first, count = _sized(np.concatenate([[True], part[1:] != part[:-1]]))
         word = mix(np.bitwise_xor.reduceat(found, first) + np.uint64(upper))
-        order = word >> np.uint64(16)
         level = np.minimum.reduceat(hot[(found & np.uint64(len(hot) - 1)).astype(np.int64)], first).astype(np.uint64)
-        order = order | (level << np.uint64(56))
+        order = word >> np.uint64(16) | (3 - np.minimum(count, 3)).astype(np.uint64) << np.uint64(48) | level << np.uint64(56)
         keep = np.partition(order, size - 1)[:size] if len(order) > size else order
         out.append((keep & np.uint64((1 << 48) - 1)).astype(np.int64))
     return np.concatenate(out)
@@ -126,17 +140,15 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, d1, d2, sketch) per document, and rows with n null that carry counts of frequent shingles: bucket in d1, count in d2."""
+    """(doc_id, n, d1, d2, sketch, text_key) per document, and rows with n null that carry counts of frequent shingles: bucket in d1, count in d2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, total = np.zeros(HOT_BUCKETS, np.int64), 0
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary()), ("text_key", pa.int64())])
         for batch in batches:
             rows, group = [], []
-            for doc_id, found in _sets(batch):
-                digest = xxhash.xxh3_128_digest(found.tobytes())
-                d1, d2 = np.frombuffer(digest, np.int64)
-                rows.append((doc_id, len(found), int(d1), int(d2), bit_sketch(found) if len(found) else None))
+            for (doc_id, found), text_key in zip(_sets(batch), batch.column(2).to_pylist()):
+                rows.append((doc_id, len(found), *class_of(found), bit_sketch(found) if len(found) else None, text_key))
                 group.append(found)
                 if len(rows) == 2000:
                     total += _count(counts, group)
@@ -149,9 +161,9 @@ def describe(docs: DataFrame) -> DataFrame:
         often = np.flatnonzero(counts > 3 * mean + 8)
         if len(often):
             none = pa.nulls(len(often), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(often), pa.array(counts[often]), pa.nulls(len(often), pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(often), pa.array(counts[often]), pa.nulls(len(often), pa.binary()), none], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, n long, d1 long, d2 long, sketch binary")
+    return docs.select("doc_id", "text", "text_key").mapInArrow(lean(run), "doc_id long, n long, d1 long, d2 long, sketch binary, text_key long")
 
 
 def _count(counts: np.ndarray, group: list[np.ndarray]) -> int:
@@ -168,12 +180,8 @@ def _hot_levels(described: DataFrame) -> np.ndarray:
     return levels
 
 
-def _hub_order(cls: np.ndarray, turn: int) -> np.ndarray:
-    return mix(cls.view(np.uint64) + np.uint64(turn + 1))
-
-
 def key_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(key, cls) of all classes; a class that several tasks meet comes from each."""
+    """(key, cls) of all classes, the key with the class's size code in its lowest 16 bits; a class that several tasks meet comes from each."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)  # HOT_BUCKETS bytes
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,13 +190,13 @@ def key_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
         for batch in batches:
             keys, classes, size = [], [], 0
             for _, found in _sets(batch):
-                cls = int(np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)[0])
+                cls = class_of(found)[0]
                 if cls in seen:
                     continue
                 if len(seen) >= 1_000_000:
                     seen.clear()
                 seen.add(cls)
-                keys.append(join_keys(found, levels))
+                keys.append(join_keys(found, levels) << 16 | size_code(len(found)))
                 classes.append(cls)
                 size += len(keys[-1])
                 if size > 200_000:
@@ -200,30 +208,40 @@ def key_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(lean(emit), "key long, cls long")
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], int | None]]:
-    """Columns (key, ..., cls) of sorted rows without repeats, in whole groups of a key, and the key of a group that is so long that it comes in several stretches."""
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int | None]]:
+    """Of rows (key, cls) sorted by both, without repeats and in whole groups of a key: the key without and with its size code, the code, the class; last, the key
+    of a group that is so long that it comes in several stretches.
+
+    A key's classes are parted where the next one is too large to be similar to the one before it, except in such long groups.
+    """
     held, long = None, None
+
+    def split(coded: np.ndarray, cls: np.ndarray):
+        fresh = np.concatenate([[True], (coded[1:] != coded[:-1]) | (cls[1:] != cls[:-1])])
+        coded, cls = coded[fresh], cls[fresh]
+        key, code = (coded.view(np.uint64) >> np.uint64(16)).view(np.int64), coded & 0xFFFF
+        low, high = size_bounds(code)
+        apart = (DENOMINATOR * high[:-1] < NUMERATOR * low[1:]) & (key[1:] != (-1 if long is None else long))
+        first, size = _sized(np.concatenate([[True], (key[1:] != key[:-1]) | apart]))
+        keep = (size > 1) | (key[first] == (-1 if long is None else long))
+        kept = np.repeat(keep, size)
+        return coded[kept], key[kept], code[kept], cls[kept], size[keep], long
+
     for batch in batches:
         columns = [c.to_numpy() for c in batch.columns]
         if held is not None:
             columns = [np.concatenate(pair) for pair in zip(held, columns)]
-        key = columns[0]
+        key = columns[0].view(np.uint64) >> np.uint64(16)
         if not len(key):
             continue
         whole = int(np.searchsorted(key, key[-1]))  # the last group may go on
         if len(key) - whole > HELD:
             whole, long = len(key), int(key[-1])
         if whole:
-            yield _unique([c[:whole] for c in columns]), long
+            yield split(*(c[:whole] for c in columns))
         held = [c[whole:] for c in columns]
     if held is not None and len(held[0]):
-        yield _unique(held), long
-
-
-def _unique(columns: list[np.ndarray]) -> list[np.ndarray]:
-    key, cls = columns[0], columns[-1]
-    fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
-    return [c[fresh] for c in columns]
+        yield split(*held)
 
 
 def _sized(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,34 +250,45 @@ def _sized(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(starts)))
 
 
+def _by_key(rows: DataFrame, partitions: int) -> DataFrame:
+    """Rows (key, cls) of a key together, ordered by size and class."""
+    return rows.select("key", "cls").repartition(partitions, F.shiftrightunsigned("key", 16)).sortWithinPartitions("key", "cls")
+
+
 def shared_rows(rows: DataFrame, partitions: int) -> DataFrame:
-    """(key, cls) of keys that two classes have at least."""
+    """(key, cls) of keys that two classes of similar size have at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, cls), long in _stretches(batches):
-            first, size = _sized(np.concatenate([[True], key[1:] != key[:-1]]))
-            keep = np.repeat((size > 1) | (key[first] == (long if long is not None else key[first] + 1)), size)
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(cls[keep])], names=["key", "cls"])
+        for coded, _, _, cls, _, _ in _stretches(batches):
+            if len(coded):
+                yield pa.RecordBatch.from_arrays([pa.array(coded), pa.array(cls)], names=["key", "cls"])
 
-    return rows.repartition(partitions, "key").sortWithinPartitions("key", "cls").mapInArrow(lean(run), "key long, cls long")
+    return _by_key(rows, partitions).mapInArrow(lean(run), "key long, cls long")
 
 
-def grouped(rows: DataFrame, partitions: int) -> DataFrame:
-    """(grp, cls, h0 .. h2, keys): the groups of (key, n, cls), those of the same classes only once, with the number of their keys.
+def sharing_enough(shared: DataFrame) -> DataFrame:
+    """The rows of classes that have as many shared keys as one pair of similar documents needs. The size of the smallest partner decides how many."""
+    n = F.expr("shiftleft(key & 4095, cast(shiftright(key, 12) & 15 as int))")
+    return shared.withColumn("c", F.count("*").over(Window.partitionBy("cls"))).where(F.col("c") >= _need(n)).select("key", "cls")
 
-    A key's classes are sorted by size and parted where the next one is too large to be similar to the one before it.
+
+def _need(n: Column) -> Column:
+    return F.greatest(F.lit(1), F.floor(F.floor(n * NUMERATOR / DENOMINATOR) / SHARED)).cast("long")
+
+
+def grouped(rows: DataFrame, partitions: int) -> DataFrame:
+    """(grp, cls, n, h0 .. h2, keys): the groups of (key, cls), those of the same classes only once, with the number of their keys.
 
     The hubs are the group's first classes in HUBS orders that are the same for all groups; a group of over HELD rows has hubs for each stretch of it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, n, cls), long in _stretches(batches):
-            apart = DENOMINATOR * n[:-1] < NUMERATOR * n[1:]
-            if long is not None:
-                apart &= key[1:] != long
-            first, size = _sized(np.concatenate([[True], (key[1:] != key[:-1]) | apart]))
-            group = np.repeat(np.arange(len(first)), size)
+        for _, key, code, cls, size, long in _stretches(batches):
+            # a long group's stretch ends with its key, other groups are whole
+            if not len(key):
+                continue
+            first = np.concatenate([[0], np.cumsum(size)[:-1]])
+            group = np.repeat(np.arange(len(size)), size)
             name = mix(np.add.reduceat(mix(cls.view(np.uint64)), first) + size.astype(np.uint64))
             if long is not None:
                 name = np.where(key[first] == long, mix(key[first].view(np.uint64)), name)
@@ -270,12 +299,11 @@ def grouped(rows: DataFrame, partitions: int) -> DataFrame:
                 hub = np.empty(len(first), np.int64)
                 hub[group[at]] = cls[at]
                 hubs.append(hub[group])
-            keep = (size > 1)[group] | (key == (long if long is not None else 0)) & (long is not None)
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (name.view(np.int64)[group], cls, *hubs)], names=["grp", "cls", *(f"h{k}" for k in range(HUBS))])
+            columns = (name.view(np.int64)[group], cls, size_bounds(code)[0], *hubs)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["grp", "cls", "n", *(f"h{k}" for k in range(HUBS))])
 
-    out = rows.repartition(partitions, "key").sortWithinPartitions("key", "n", "cls").mapInArrow(lean(run), "grp long, cls long, " + ", ".join(f"h{k} long" for k in range(HUBS)))
-    return out.groupBy("grp", "cls").agg(*(F.min(f"h{k}").alias(f"h{k}") for k in range(HUBS)), F.count("*").alias("keys"))
+    out = _by_key(rows, partitions).mapInArrow(lean(run), "grp long, cls long, n long, " + ", ".join(f"h{k} long" for k in range(HUBS)))
+    return out.groupBy("grp", "cls").agg(F.first("n").alias("n"), *(F.min(f"h{k}").alias(f"h{k}") for k in range(HUBS)), F.count("*").alias("keys"))
 
 
 def _key_batch(keys: list[np.ndarray], classes: list[int]) -> pa.RecordBatch:
@@ -283,8 +311,8 @@ def _key_batch(keys: list[np.ndarray], classes: list[int]) -> pa.RecordBatch:
 
 
 def _prune(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(hub, member) as representatives of those class pairs (a, b) that sizes and bit sketches allow."""
-    side = lambda s: classes.select(F.col("cls").alias(s), F.col("rep").alias(f"{s}_rep"), F.col("n").alias(f"{s}_n"), F.col("sketch").alias(f"{s}_sketch"))
+    """(hub, member) of those class pairs (a, b) that sizes and bit sketches allow."""
+    side = lambda s: classes.select(F.col("cls").alias(s), F.col("n").alias(f"{s}_n"), F.col("sketch").alias(f"{s}_sketch"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     sized = both.where(f"least(a_n, b_n) * {DENOMINATOR} >= greatest(a_n, b_n) * {NUMERATOR}")
 
@@ -295,38 +323,44 @@ def _prune(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             kept = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(kept), b.filter(kept)], names=["hub", "member"])
 
-    return sized.select("a_rep", "b_rep", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(lean(run), "hub long, member long")
+    return sized.select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(lean(run), "hub long, member long")
+
+
+def class_of(found: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set; the first half is its class."""
+    one, two = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)
+    return int(one), int(two)
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, items) of the documents in ``ids`` (doc_id): 48 bits of each shingle's hash."""
+    """(cls, items) of the documents in ``ids`` (doc_id): 48 bits of each shingle's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, size = [], 0
-            for doc_id, found in _sets(batch):
-                rows.append((doc_id, found.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()))
+            for _, found in _sets(batch):
+                rows.append((class_of(found)[0], found.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()))
                 size += len(rows[-1][1])
                 if size > 4_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["doc_id", "items"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["cls", "items"])
                     rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["doc_id", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["cls", "items"])
 
     few = ids.count() <= BROADCAST_IDS
-    return docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(lean(run), "doc_id long, items binary")
+    return docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(lean(run), "cls long, items binary")
 
 
 def verify(sets: DataFrame, pairs: DataFrame, partitions: int) -> DataFrame:
-    """The pairs (hub, member) of doc_ids whose sets are similar, as (a, b).
+    """The pairs (hub, member) of classes whose sets (cls, items) are similar, as (a, b).
 
     A member's set goes to its hubs; a hub's set goes to as many tasks as its members need, so no task holds more than one hub's set and
     one member's at a time.
     """
     salts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
-    own = sets.join(salts, sets["doc_id"] == salts["hub"]).select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("member"), "items")
+    own = sets.join(salts, sets["cls"] == salts["hub"]).select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("member"), "items")
     to = pairs.join(salts, "hub").withColumn("salt", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int")).select("hub", "salt", "member")
-    sent = own.union(sets.join(to, sets["doc_id"] == to["member"]).select("hub", "salt", "member", "items"))
+    sent = own.union(sets.join(to, sets["cls"] == to["member"]).select("hub", "salt", "member", "items"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = lambda raw: np.sort(np.pad(np.frombuffer(raw, np.uint8).reshape(-1, 6), ((0, 0), (0, 2))).view(np.uint64).ravel())
@@ -353,6 +387,10 @@ def verify(sets: DataFrame, pairs: DataFrame, partitions: int) -> DataFrame:
     return sent.repartition(partitions, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("member").asc_nulls_first()).mapInArrow(lean(compare), "a long, b long")
 
 
+#: What a class is in a unit, in the order in which they come: held in the block, held in it and against it, held against it.
+MEMBER, BOTH, AGAINST = 0, 1, 2
+
+
 class Sketched:
     """Classes with their labels, sizes and sketches, as arrays by sketch length."""
 
@@ -400,11 +438,8 @@ def allowed_pairs(one: Sketched, two: Sketched, most: float) -> set[tuple[int, i
     return found if chosen.all() else found | {(0, 0)}
 
 
-def _round_pairs(groups: DataFrame, labelled: DataFrame, turn: int) -> DataFrame:
-    """(a, b): in each group the classes outside its largest component, and one class of that component; which one changes with the turn."""
-    rows = groups.select("grp", "cls").join(labelled.select("cls", "label", "size"), "cls")
-    hub = rows.groupBy("grp").agg(F.max(F.struct("size", "label", F.xxhash64(F.lit(turn), "cls").alias("turn"), "cls")).alias("hub"))
-    return rows.join(hub, "grp").where("label <> hub.label").select(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).distinct()
+def _blocks(rows: str, shingles: str) -> Column:
+    return F.greatest(F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("int")
 
 
 def _cross_pairs(groups: DataFrame, labelled: DataFrame, classes: DataFrame, partitions: int, most: float) -> DataFrame:
@@ -412,29 +447,26 @@ def _cross_pairs(groups: DataFrame, labelled: DataFrame, classes: DataFrame, par
 
     In groups of few components, of two components the smaller one's classes are looked at: those that share enough keys with the larger one as a whole are held
     against all of its classes, so sketches are sent once for each component, not for each key. In groups of more components all classes are held against each
-    other. A pair that shares enough keys shares them in groups of the first kind, or has one in a group of the second.
+    other, a group beyond a block's size in several blocks. A pair that shares enough keys shares them in groups of the first kind, or has one in a group of the second.
     """
-    rows = groups.select("grp", "cls", "keys").join(labelled.select("cls", "label", "size", "need"), "cls")
-    kinds = rows.groupBy("grp").agg(F.count_distinct("label").alias("labels"), F.count("*").alias("rows")).where("labels > 1")
+    rows = groups.select("grp", "cls", "n", "keys").join(labelled.select("cls", "label", "size", "blocks"), "cls")
+    kinds = rows.groupBy("grp").agg(F.count_distinct("label").alias("labels"), F.count("*").alias("rows"), F.sum("n").alias("shingles")).where("labels > 1")
     rows = rows.join(kinds, "grp")
     few, many = rows.where(f"labels <= {FEW}"), rows.where(f"labels > {FEW}")
-    there = few.select("grp", F.col("label").alias("other"), F.col("size").alias("larger")).distinct()
-    beside = few.select("grp", "cls", "keys", "label", "size", "need").join(there, "grp").where("larger > size or larger = size and other > label")
-    wanted = beside.groupBy("cls", "other").agg(F.sum("keys").alias("c"), F.first("need").alias("need"), F.first("larger").alias("larger"), F.first("label").alias("label")).where("c >= need")
-    wanted = materialize(wanted.select("cls", "label", "other", "larger"), "wanted")
-    targets = wanted.groupBy("other").agg(F.first("larger").alias("larger"), F.count("*").alias("n"))
-    targets = targets.select("other", F.ceil(F.col("larger") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
+    there = few.select("grp", F.col("label").alias("other"), F.col("size").alias("larger"), F.col("blocks").alias("there")).distinct()
+    beside = few.select("grp", "cls", "n", "keys", "label", "size").join(there, "grp").where("larger > size or larger = size and other > label")
+    wanted = beside.groupBy("cls", "other").agg(F.sum("keys").alias("c"), F.first("n").alias("n"), F.first("there").alias("there"), F.first("label").alias("label")).where(F.col("c") >= _need(F.col("n")))
+    wanted = materialize(wanted.select("cls", "label", "other", "there"), "wanted")
+    targets = wanted.groupBy("other").agg(F.first("there").alias("there"), F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     one = lambda c: F.pmod(F.xxhash64("cls"), F.col(c)).cast("int")
-    minors = wanted.join(targets, "other").select("other", upto("blocks").alias("unit"), one("slices").alias("slice"), F.lit(1).alias("second"), "cls", "label")
-    members = labelled.join(targets, labelled["label"] == targets["other"]).select("other", one("blocks").alias("unit"), upto("slices").alias("slice"), F.lit(0).alias("second"), "cls", "label")
-    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    dealt = many.withColumn("blocks", blocks).withColumn("own", own).withColumn("to", upto("blocks"))
-    # every row is a member of its own block's units, and is held against all blocks
-    within = dealt.where("to = own").select(F.col("grp").alias("other"), F.col("own").alias("unit"), F.lit(-1).alias("slice"), F.lit(0).alias("second"), "cls", "label")
-    against = dealt.select(F.col("grp").alias("other"), F.col("to").alias("unit"), F.lit(-1).alias("slice"), F.lit(1).alias("second"), "cls", "label")
-    units = minors.union(members).union(within).union(against).join(classes.select("cls", "n", "sketch"), "cls").select("other", "unit", "slice", "second", "cls", "label", "n", "sketch")
+    minors = wanted.join(targets.select("other", "slices"), "other").select("other", upto("there").alias("unit"), one("slices").alias("slice"), F.lit(AGAINST).alias("role"), "cls", "label")
+    members = labelled.join(targets, labelled["label"] == targets["other"]).select("other", one("there").alias("unit"), upto("slices").alias("slice"), F.lit(MEMBER).alias("role"), "cls", "label")
+    many = many.withColumn("many", _blocks("rows", "shingles"))
+    whole = many.where("many = 1").select(F.col("grp").alias("other"), F.lit(0).alias("unit"), F.lit(-1).alias("slice"), F.lit(BOTH).alias("role"), "cls", "label")
+    dealt = many.where("many > 1").withColumn("own", one("many")).withColumn("unit", upto("many"))
+    dealt = dealt.select(F.col("grp").alias("other"), "unit", F.lit(-1).alias("slice"), F.when(F.col("unit") == F.col("own"), BOTH).otherwise(AGAINST).alias("role"), "cls", "label")
+    units = minors.union(members).union(whole).union(dealt).join(classes.select("cls", "n", "sketch"), "cls").select("other", "unit", "slice", "role", "cls", "label", "n", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, members, chunk, block = None, [], [], None
@@ -447,26 +479,36 @@ def _cross_pairs(groups: DataFrame, labelled: DataFrame, classes: DataFrame, par
                 found.update(allowed_pairs(Sketched(chunk), block, most))
             chunk = []
 
+        def end() -> None:
+            nonlocal chunk
+            compare()
+            for k in range(0, len(both), CHUNK):
+                chunk = both[k : k + CHUNK]
+                compare()
+
+        both: list[list] = []
         for batch in batches:
-            for other, unit, part, second, *row in zip(*(batch.column(c).to_pylist() for c in range(8))):
+            for other, unit, part, role, *row in zip(*(batch.column(c).to_pylist() for c in range(8))):
                 if (other, unit, part) != at:
-                    compare()
-                    at, members, block = (other, unit, part), [], None
-                if not second:
+                    end()
+                    at, members, both, block = (other, unit, part), [], [], None
+                if role != AGAINST:
                     members.append(row)
+                    if role == BOTH:
+                        both.append(row)
                     continue
                 chunk.append(row)
                 if len(chunk) >= CHUNK:
                     compare()
-                    if len(found) > 100_000:
-                        yield _pair_batch(found)
-                        found.clear()
-        compare()
+            if len(found) > 100_000:
+                yield _pair_batch(found)
+                found.clear()
+        end()
         if found:
             yield _pair_batch(found)
 
     keys = ["other", "unit", "slice"]
-    return units.repartition(partitions, *keys).sortWithinPartitions(*keys, "second").mapInArrow(lean(run), "a long, b long").distinct()
+    return units.repartition(partitions, *keys).sortWithinPartitions(*keys, "role").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _pair_batch(found: set[tuple[int, int]]) -> pa.RecordBatch:
@@ -475,63 +517,79 @@ def _pair_batch(found: set[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row of docs (doc_id, text; other columns are dropped).
+    """(doc_id, n_shingles, component_id) per row of docs (doc_id, text): see near_duplicate_rows."""
+    return near_duplicate_rows(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def near_duplicate_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, component, text_key) per row of docs (doc_id, text; other columns are dropped).
 
     component_id is the smallest doc_id that can be reached by links, the document's own included. Documents without a shingle (null, empty or blank
     text) are linked with nothing. Repeated rows are copies of each other. Rows with a null doc_id get their n_shingles and a null
-    component. If a doc_id repeats with different texts, each row goes by its own text. An empty table gives an empty result.
+    component. If a doc_id repeats with different texts, each row goes by its own text: ``component`` tells components with the same component_id apart, and
+    text_key, a checksum of the text, tells such rows apart. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     described = materialize(describe(docs), "described")
     rows = described.where("n is not null")
     classes = rows.where("n > 0 and doc_id is not null").groupBy(F.col("d1").alias("cls"), "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = materialize(classes, "classes")
     shared = materialize(shared_rows(key_rows(docs, _hot_levels(described)), partitions), "shared")
     settle(spark)
-    # the size of the smallest partner decides how many keys have to be shared
-    need = F.expr(f"greatest(1, floor(floor(n * {NUMERATOR} / {DENOMINATOR}) / {SHARED}))")
-    enough = shared.groupBy("cls").agg(F.count("*").alias("c")).join(classes.select("cls", "n", need.alias("need")), "cls").where("c >= need")
-    enough = enough.groupBy("cls").agg(F.max("n").alias("n"))
-    groups = materialize(grouped(shared.join(enough, "cls").select("key", "n", "cls"), partitions), "groups")
+    groups = materialize(grouped(sharing_enough(shared), partitions), "groups")
     settle(spark, shared)
-    sets = labels = tested = None
+    done, sets, labels, tested = [groups], None, None, None
 
-    def settle_pairs(candidates: DataFrame) -> bool:
-        """Verifies pairs of classes that haven't been and merges components; whether there was a pair."""
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        done.append(materialize(df, name))
+        return done[-1]
+
+    def settle_pairs(pairs: DataFrame) -> None:
+        """Verifies pairs (hub, member) of classes and merges components."""
         nonlocal sets, labels, tested
-        pairs = _prune(candidates, classes)
-        pairs = materialize(pairs if tested is None else pairs.join(tested, ["hub", "member"], "left_anti"), "pairs")
+        pairs = kept(pairs if tested is None else pairs.join(tested, ["hub", "member"], "left_anti"), "pairs")
         if tested is not None and pairs.isEmpty():
-            return False
-        ids = pairs.select(F.explode(F.array("hub", "member")).alias("doc_id")).distinct()
-        ids = materialize(ids if sets is None else ids.join(sets, "doc_id", "left_anti"), "ids")
+            return
+        cls = pairs.select(F.explode(F.array("hub", "member")).alias("cls")).distinct()
+        ids = kept((cls if sets is None else cls.join(sets, "cls", "left_anti")).join(classes.select("cls", "rep"), "cls").select(F.col("rep").alias("doc_id")).distinct(), "ids")
         if sets is None or not ids.isEmpty():
-            new = materialize(sets_of(docs, ids), "sets")
+            new = kept(sets_of(docs, ids), "sets")
             sets = new if sets is None else sets.union(new)
-        links = materialize(verify(sets, pairs, partitions), "links")
+        links = kept(verify(sets, pairs, partitions), "links")
         settle(spark)
-        labels = materialize(components(links if labels is None else links.union(labels.select("node", "label"))), "labels")
+        labels = components(links if labels is None else links.union(labels.select("node", "label")))
         tested = pairs if tested is None else tested.union(pairs)
-        return True
 
     def labelled() -> DataFrame:
-        """(cls, need, label, size) of the classes in groups: their component and its classes."""
-        rows = classes.select("cls", "rep", need.alias("need")).join(named, "cls", "left_semi").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        rows = rows.select("cls", "need", F.coalesce("label", "rep").alias("label"))
-        return materialize(rows.join(rows.groupBy("label").agg(F.count("*").alias("size")), "label"), "labelled")
-
-    named = groups.select("cls").distinct()
-    settle_pairs(groups.select(F.explode(F.array(*(f"h{k}" for k in range(HUBS)))).alias("a"), F.col("cls").alias("b")).where("a <> b").distinct())
-    for turn in range(ROUNDS):
-        if not settle_pairs(_round_pairs(groups, labelled(), turn)):
-            break
+        """(cls, label, size, blocks) of the classes in groups: their component, its classes and the blocks these make."""
+        rows = groups.groupBy("cls").agg(F.first("n").alias("n")).join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+        rows = rows.select("cls", "n", F.coalesce("label", "cls").alias("label"))
+        sizes = rows.groupBy("label").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+        return kept(rows.join(sizes, "label").select("cls", "label", "size", _blocks("size", "shingles").alias("blocks")), "labelled")
+
+    hubs = groups.select(F.explode(F.array(*(f"h{k}" for k in range(HUBS)))).alias("a"), F.col("cls").alias("b")).where("a <> b").distinct()
+    settle_pairs(_prune(hubs, classes))
     for most in RANKS:
-        crossing = materialize(_cross_pairs(groups, labelled(), classes, partitions, most), "crossing")
-        settle_pairs(crossing.where("a <> b"))
+        crossing = kept(_cross_pairs(groups, labelled(), classes, partitions, most), "crossing")
+        settle_pairs(crossing.where("a <> b").select(F.col("a").alias("hub"), F.col("b").alias("member")))
         if crossing.where("a = 0 and b = 0").isEmpty():
             break
-    final = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("cls").alias("d1"), "d2", F.coalesce("label", "rep").alias("component"))
-    own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
-    return rows.select("doc_id", "n", "d1", "d2").join(final, ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    linked = labels.withColumnRenamed("node", "cls").join(classes.select("cls", "rep"), "cls")
+    least = linked.groupBy("label").agg(F.min("rep").alias("least"))
+    linked = materialize(linked.join(least, "label").select("cls", "label", "least"), "linked")
+    settle(spark, *done)
+    final = classes.join(linked, "cls", "left").select(F.col("cls").alias("d1"), "d2", F.coalesce("least", "rep").alias("least"), F.coalesce("label", "cls").alias("label"))
+    named = F.col("doc_id").isNotNull()
+    return (
+        rows.select("doc_id", "n", "d1", "d2", "text_key")
+        .join(final, ["d1", "d2"], "left")
+        .select(
+            "doc_id",
+            F.col("n").alias("n_shingles"),
+            F.when(named, F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))).alias("component_id"),
+            F.when(named & (F.col("n") > 0), F.col("label")).alias("component"),
+            "text_key",
+        )
+    )
