@@ -16,6 +16,8 @@ from lodestone.session import ship
 #: Words that a worker remembers while it packs; fewer than the packing query's, as the stages share their workers.
 CACHE_WORDS = 150_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A character of a word: anything but ASCII white space.
+HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,16 +28,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near duplicates. Documents without a doc_id all stay."""
+    """Keeps one row of each group of near duplicates: one with the smallest doc_id. Rows without a doc_id or a word are near nothing and stay."""
     ship(spark)
-    found = materialize(jaccard_join.near_duplicates(docs.select("doc_id", "text")), "near")
-    keep = found.where("doc_id = component_id").select("doc_id")
-    repeated = keep.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(keep.distinct(), "doc_id", "left_semi")
-    if not repeated.isEmpty():  # rows that repeat a doc_id: one of each stays
-        again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(again)
-    return kept.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    found = materialize(jaccard_join.near_duplicate_rows(docs.select("doc_id", "text")), "near")
+    least = found.where("n_shingles > 0 and doc_id = component_id")
+    chosen = least.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("row"), F.count("*").alias("_rows")).select("row.*", "_rows")
+    kept = docs.withColumn("text_key", F.xxhash64("text")).join(chosen, ["doc_id", "text_key"])
+    if not chosen.where("_rows > 1").isEmpty():  # several rows have that doc_id: repeated ones among them give one
+        kept = kept.where("_rows > 1").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("_rows = 1"))
+    alone = docs.where(F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(HAS_WORD), F.lit(False)))
+    return kept.select(*COLUMNS).unionByName(alone.select(*COLUMNS))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
