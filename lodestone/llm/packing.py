@@ -1,10 +1,10 @@
 """Harmonic packing of tokenised documents into sequences of a fixed capacity.
 
-Pieces are classed by the reciprocal of the capacity that they fill: class k takes pieces of at most capacity / k
-tokens, and each of its bins holds exactly k pieces. Every worker fills the bins of its own partition, so there is no shuffle and no
-shared state. Only powers of two serve as k. A document is cut so that almost all its pieces fill their class's share exactly:
-full sequences first, then the largest share that still fits, until less than ``whole_below`` tokens are left, which stay whole.
-What bins are still open at the end of a partition are laid end to end and cut at powers of two, where no padding is needed.
+Pieces are classed by the reciprocal of the capacity that they fill: class k takes pieces of at most capacity / k and more than
+capacity / (k + 1) tokens, and each of its bins holds exactly k of them. Every worker fills the bins of its own partition, so there is no shuffle and no
+shared state. A document gives full sequences first; what is left of it is one piece. Only what a bin of k pieces still lacks is cut: it is topped up with the first
+tokens of the documents that come next, and what these have left is classed again. What bins are still open at the end of a partition is laid end to end and cut at
+powers of two, where no padding is needed.
 """
 
 from __future__ import annotations
@@ -66,24 +66,14 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.lower().split()))
 
 
-def cut(tokens: int, capacity: int = CAPACITY, whole_below: int = WHOLE_BELOW) -> list[int]:
-    """Lengths of the pieces of a document, in order."""
-    pieces = [capacity] * (tokens // capacity)
-    rest, share = tokens % capacity, capacity
-    while rest >= whole_below:
-        share //= 2
-        if rest >= share:
-            pieces.append(share)
-            rest -= share
-    return pieces + [rest] * (rest > 0)
+def cut(tokens: int, capacity: int = CAPACITY) -> list[int]:
+    """Lengths of a document's full sequences and of what is left."""
+    return [capacity] * (tokens // capacity) + [tokens % capacity] * (tokens % capacity > 0)
 
 
 def class_of(length: int, capacity: int = CAPACITY) -> int:
-    """Pieces to a bin: the largest power of two k with length <= capacity / k."""
-    k = 1
-    while length * k * 2 <= capacity:
-        k *= 2
-    return k
+    """Pieces to a bin: the largest k with length <= capacity / k."""
+    return capacity // length
 
 
 def power_cuts(total: int, capacity: int = CAPACITY) -> list[int]:
@@ -96,24 +86,52 @@ def power_cuts(total: int, capacity: int = CAPACITY) -> list[int]:
 
 
 class Packer:
-    """Fills the bins of one partition. Rows are (key, start, ids, doc_tokens); emits (key, start, length, crc, doc_tokens, sequence, offset)."""
+    """Fills the bins of one partition. Rows are (key, start, ids, doc_tokens); emits (key, start, length, crc, doc_tokens, sequence, offset).
+
+    It holds a bin at most for each class, so no more than about 2 * sqrt(capacity) sequences.
+    """
 
     def __init__(self, first_sequence: int, capacity: int = CAPACITY, whole_below: int = WHOLE_BELOW):
         self.next, self.capacity, self.whole_below = first_sequence, capacity, whole_below
         self.open: dict[int, list[tuple]] = {}
+        self.short: list[tuple[list[tuple], int]] = []  # bins with all their pieces, and the tokens that they lack
 
     def add(self, key, ids: bytes) -> Iterator[tuple]:
         """ids: unsigned 32-bit little-endian."""
-        start, n = 0, len(ids) // 4
-        for length in cut(n, self.capacity, self.whole_below):
+        n = len(ids) // 4
+        start = 0
+        for length in cut(n, self.capacity):
             piece = (key, start, length, ids[4 * start : 4 * (start + length)], n)
             start += length
-            k = class_of(length, self.capacity)
-            bin_ = self.open.setdefault(k, [])
-            bin_.append(piece)
-            if len(bin_) == k:
+            if length == self.capacity:
+                yield from self.lay([piece])
+            else:
+                yield from self.place(piece)
+
+    def place(self, piece: tuple) -> Iterator[tuple]:
+        """Tops up bins that lack tokens and classes what is left. Pieces of less than ``whole_below`` tokens top up only where they fit as a whole."""
+        key, start, length, ids, n = piece
+        while self.short and length and (length >= self.whole_below or length <= self.short[-1][1]):
+            bin_, room = self.short.pop()
+            take = min(length, room)
+            bin_.append((key, start, take, ids[: 4 * take], n))
+            start, length, ids = start + take, length - take, ids[4 * take :]
+            if take == room:
+                yield from self.lay(bin_)
+            else:
+                self.short.append((bin_, room - take))
+        if not length:
+            return
+        k = class_of(length, self.capacity)
+        bin_ = self.open.setdefault(k, [])
+        bin_.append((key, start, length, ids, n))
+        if len(bin_) == k:
+            del self.open[k]
+            room = self.capacity - sum(p[2] for p in bin_)
+            if room:
+                self.short.append((bin_, room))
+            else:
                 yield from self.lay(bin_)
-                self.open[k] = []
 
     def lay(self, pieces: list[tuple]) -> Iterator[tuple]:
         offset = 0
@@ -124,7 +142,7 @@ class Packer:
 
     def close(self) -> Iterator[tuple]:
         """Open bins of all classes, largest pieces first, cut where the sequences end."""
-        left = [p for k in sorted(self.open) for p in self.open[k]]
+        left = [p for bin_, _ in self.short for p in bin_] + [p for k in sorted(self.open) for p in self.open[k]]
         sizes = power_cuts(sum(p[2] for p in left), self.capacity)
         row: list[tuple] = []
         room = sizes.pop(0) if sizes else 0
@@ -136,14 +154,15 @@ class Packer:
                 if not room:
                     yield from self.lay(row)
                     row, room = [], sizes.pop(0) if sizes else 0
-        self.open = {}
+        self.open, self.short = {}, []
 
 
 def pack(docs: DataFrame, encoder: Callable[[], Callable[[bytes], bytes]], *, capacity: int = CAPACITY, whole_below: int = WHOLE_BELOW) -> DataFrame:
     """Packs the documents (doc_id, text) and returns one row per piece: doc_id and PIECE_SCHEMA.
 
     ``encoder()`` makes, on the worker, a function from UTF-8 text to token ids (unsigned 32-bit, without the closing id). Null texts are empty: their
-    only token is the closing id. Null and repeated doc_ids are packed like any others. Other columns are dropped. The sequence number is the partition's number and a count within it, so a
+    only token is the closing id; texts of any length are cut into full sequences. Null and repeated doc_ids and repeated rows are packed like any others. Other columns
+    are dropped. An empty table gives an empty result. The sequence number is the partition's number and a count within it, so a
     partition that is run again on the same rows gives the same sequences.
     """
     key = docs.schema["doc_id"].dataType.simpleString()
