@@ -81,6 +81,13 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return wrapped
 
 
+def apart(docs: DataFrame, *needed: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with every column but the needed ones renamed to ``other 0``, ``other 1``, ..., and {new name: name}: work columns then can't clash with a caller's."""
+    names = {f"other {k}": c for k, c in enumerate(docs.columns) if c not in needed}
+    back = {c: n for n, c in names.items()}
+    return docs.select(*(F.col(f"`{c}`").alias(back.get(c, c)) for c in docs.columns)), names
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(text, UPPER, LOWER)

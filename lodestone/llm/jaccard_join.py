@@ -208,9 +208,9 @@ def key_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(lean(emit), "key long, cls long")
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int | None]]:
+def _stretches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int | None]]:
     """Of rows (key, cls) sorted by both, without repeats and in whole groups of a key: the key without and with its size code, the code, the class; last, the key
-    of a group that is so long that it comes in several stretches.
+    of a group of over ``most`` rows, which comes in several stretches.
 
     A key's classes are parted where the next one is too large to be similar to the one before it, except in such long groups.
     """
@@ -235,7 +235,7 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
         if not len(key):
             continue
         whole = int(np.searchsorted(key, key[-1]))  # the last group may go on
-        if len(key) - whole > HELD:
+        if len(key) - whole > most:
             whole, long = len(key), int(key[-1])
         if whole:
             yield split(*(c[:whole] for c in columns))
@@ -259,7 +259,7 @@ def shared_rows(rows: DataFrame, partitions: int) -> DataFrame:
     """(key, cls) of keys that two classes of similar size have at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for coded, _, _, cls, _, _ in _stretches(batches):
+        for coded, _, _, cls, _, _ in _stretches(batches, HELD):
             if len(coded):
                 yield pa.RecordBatch.from_arrays([pa.array(coded), pa.array(cls)], names=["key", "cls"])
 
@@ -283,7 +283,7 @@ def grouped(rows: DataFrame, partitions: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, key, code, cls, size, long in _stretches(batches):
+        for _, key, code, cls, size, long in _stretches(batches, HELD):
             # a long group's stretch ends with its key, other groups are whole
             if not len(key):
                 continue

@@ -23,8 +23,7 @@ from lodestone.llm.common import lean
 
 #: Labelled documents for each language that are counted, about. More are not needed: the trees are of order 3.
 SAMPLE_PER_LANGUAGE = 800
-#: Bytes of a sampled text that are counted; scoring always takes whole texts.
-SAMPLE_BYTES = 20_000
+#: The language of texts without one.
 UNKNOWN = "und"
 #: Rows that are passed on together.
 ROWS = 1000
@@ -154,15 +153,15 @@ class PPM:
 
 
 def sample(docs: DataFrame, learn: Column, per_language: int = SAMPLE_PER_LANGUAGE) -> dict[str, list[bytes]]:
-    """About per_language labelled texts for each language (all where there are fewer), chosen by a hash of doc_id and text."""
-    labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)).alias("h"))
+    """About per_language whole labelled texts for each language (all where there are fewer), chosen by a hash of doc_id and text."""
+    labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)).alias("h"))
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row per language
     if not counts:
         return {}
     chosen = F.lit(False)
     for lang, n in counts.items():
         chosen = chosen | ((F.col("lang") == lang) & (F.col("h") < int(1_000_000 * min(1.0, per_language / n)) + 1))
-    rows = labelled.where(chosen).select("lang", F.substring("text", 1, SAMPLE_BYTES).alias("text")).collect()
+    rows = labelled.where(chosen).select("lang", "text").collect()
     out: dict[str, list[bytes]] = {lang: [] for lang in counts}
     for r in sorted(rows, key=lambda r: (r["lang"], r["text"])):
         out[r["lang"]].append(r["text"].encode())

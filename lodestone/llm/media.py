@@ -53,7 +53,10 @@ def store(docs: DataFrame, text: Column | None = None) -> DataFrame:
 
 
 def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    simple = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "binary": pa.binary(), "date": pa.date32()}
+    if kind.startswith("decimal"):
+        return pa.decimal128(*(int(x) for x in kind[8:-1].split(",")))
+    return simple[kind]
 
 
 def pixels(media: DataFrame) -> DataFrame:

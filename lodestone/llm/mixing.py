@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import lean
+from lodestone.llm.common import apart, lean
 
 BLOCKS = 1024
 #: Rows of the block table up to which it is broadcast; beyond them the join shuffles.
@@ -104,9 +104,11 @@ def mix(docs: DataFrame, tokens: Column, *, seed: int = 0, blocks: int = BLOCKS,
     one. An empty table gives an empty result. Columns of docs with the new names are replaced.
     """
     new = ("n_tokens", "weight", "epoch", "position")
-    kept = [c for c in docs.columns if c not in new]
+    rows = docs.withColumn("tokens of a row", tokens.cast("long")).drop(*new)
+    rows, names = apart(rows, "doc_id", "source", "tokens of a row")
+    kept = [c for c in rows.columns if c != "tokens of a row"]
     named = F.concat(F.when(F.col("source").isNull(), "-").otherwise("+"), F.coalesce(F.col("source").cast("string"), F.lit("")))
-    rows = docs.select(*kept, tokens.cast("long").alias("n_tokens"), named.alias("_source"))
+    rows = rows.select(*(F.col(f"`{c}`") for c in kept), F.col("`tokens of a row`").alias("n_tokens"), named.alias("_source"))
     rows = rows.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "n_tokens"), F.lit(blocks)).cast("int"))
     totals = {r["_source"]: r["n"] for r in rows.groupBy("_source").agg(F.sum("n_tokens").alias("n")).collect()}  # a row for each source
     plan = solve(totals, target_entropy=target_entropy, repetition_limit=repetition_limit, budget=budget)
@@ -126,4 +128,4 @@ def mix(docs: DataFrame, tokens: Column, *, seed: int = 0, blocks: int = BLOCKS,
     out = rows.join(table, ["_source", "_block"]).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_uses") - 1)))
     # epochs follow each other; within one, blocks come in its permutation
     place = F.shiftleft(F.col("epoch").cast("long"), 48) + F.shiftrightunsigned(turn(F.col("epoch").cast("long")), 16)
-    return out.select(*kept, "n_tokens", "weight", "epoch", place.alias("position"))
+    return out.select(*(F.col(f"`{c}`").alias(names.get(c, c)) for c in kept), "n_tokens", "weight", "epoch", place.alias("position"))

@@ -172,9 +172,14 @@ def mentions(documents: list[tuple[int, str, list[Span]]]) -> Mentions:
         at = 0
         for k, (a, b, word) in enumerate(places):
             here = len(doc)
-            while at < len(spans) and max(s[2] for s in spans[at : at + 1]) <= a:
+            while at < len(spans) and spans[at][2] <= a:
                 at += 1
-            label = next((LABELS.index(s[0]) for s in spans[at : at + 8] if s[1] < b and a < s[2]), -1)
+            label, next_span = -1, at
+            while next_span < len(spans) and spans[next_span][1] < b:
+                if a < spans[next_span][2]:
+                    label = LABELS.index(spans[next_span][0])
+                    break
+                next_span += 1
             before = k > 0 and _next_to(text, places[k - 1][1], a)
             after = k + 1 < len(places) and _next_to(text, b, places[k + 1][0])
             rows.append(_features(word, before, after))
@@ -314,11 +319,11 @@ class SkipChain:
 
 
 def train(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> SkipChain:
-    """Fits the field on about ``documents`` texts with a mention, chosen by a hash of doc_id and text."""
+    """Fits the field on about ``documents`` whole texts with a mention, chosen by a hash of doc_id and text."""
     some = docs.where(F.col("text").rlike("[0-9@]")).select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)).alias("h"))
     n = some.count()
     rows = some.where(F.col("h") < int(1_000_000 * min(1.0, documents / max(n, 1))) + 1).collect()
-    texts = sorted(r["text"][:50_000] for r in rows)
+    texts = sorted(r["text"] for r in rows)
     return SkipChain.fit(mentions([(k, t, base_spans(t)) for k, t in enumerate(texts)]))
 
 

@@ -92,13 +92,17 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int
 
     ``old_shard`` gives 0 to ``old_shards - 1`` (null counts as 0), ``size`` a positive long, ``order`` a total order of the rows as
     far as they differ. Equal rows may swap places among themselves. An empty table gives an empty result. Extra columns
-    are kept; only the names ``old_shard``, ``shard``, ``slot`` and those that begin with ``_`` are taken.
+    are kept, but for those named ``old_shard``, ``shard`` and ``slot``, which are replaced. Equal texts go wherever their bytes lie: the law ``bytes`` asks for even sizes, not
+    for copies to stay together.
 
     Hot old shards are spread over ``blocks`` blocks by a hash of the order columns, so no window
     holds more than about 1/blocks of a shard. Rows are dealt to tasks by ranges of these blocks, so what a task holds goes to few new shards.
     """
     spark = docs.sparkSession
-    rows = docs.withColumns({"old_shard": F.coalesce(old_shard, F.lit(0)).cast("int"), "_size": size.cast("long")})
+    columns = [c for c in docs.columns if c not in ("old_shard", "shard", "slot")]
+    by = [f"order {k}" for k in range(len(order))]
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"kept {k}") for k, c in enumerate(columns)), F.coalesce(old_shard, F.lit(0)).cast("int").alias("old_shard"), size.cast("long").alias("_size"), *(o.alias(b) for o, b in zip(order, by)))
+    order = [F.col(f"`{b}`") for b in by]
     rows = rows.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int"))
     total = rows.agg(F.sum("_size")).first()[0] or 0
     rows = rows.withColumn("_small", (F.col("_size") <= total / new_shards * LARGE).cast("int"))
@@ -152,7 +156,7 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int
     offsets = counts.withColumn("_before", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rank = F.row_number().over(Window.partitionBy(*place, "shard").orderBy(*order)) - 1
     out = placed.withColumn("_rank", rank).join(F.broadcast(offsets.drop("n")), ["shard", *place]).withColumn("slot", (F.col("_before") + F.col("_rank")).cast("long"))
-    return out.select(*docs.columns, "old_shard", "shard", "slot")
+    return out.select(*(F.col(f"`kept {k}`").alias(c) for k, c in enumerate(columns)), "old_shard", "shard", "slot")
 
 
 def rewrite(sharded: DataFrame, path: str) -> list[int]:

@@ -12,7 +12,7 @@ have equal anchors. Windows without any (in long periodic stretches) are always
 Symbols of a high round cut the documents into chunks. A chunk, with the words that its last window reaches into, fixes all windows that
 begin in it, so of equal chunks only one takes part in the search for equal windows, and windows of a chunk that
 occurs twice are repeated by that alone. Windows of other chunks are candidates if their anchor occurs elsewhere; they are settled by
-128-bit hashes of their words.
+128-bit hashes of their words' 64-bit hashes.
 """
 
 from __future__ import annotations

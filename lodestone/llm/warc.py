@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import lean, remove, scratch
+from lodestone.llm.common import apart, lean, remove, scratch
 
 CRLF = "\r\n"
 #: Fixed values of the format.
@@ -39,14 +39,20 @@ def resolve_revisits(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     Only digests are aggregated, with a map-side combine, so a payload that a third of all pages
     share arrives as one row per task; the join back splits hot digests (AQE skew join), as its other side holds each digest once.
     Null html counts as empty. Rows with a null page_id are always responses. Repeated rows of the smallest page_id are all responses.
+    Payloads of any length are digested whole. Extra columns are kept, but for those with the four new names, which are replaced. An empty table gives an empty result.
     """
+    new = ("payload_bytes", "payload_digest", "record_type", "refers_to")
+    order = [c for c in pages.columns if c not in new]
     payload = F.coalesce(F.col("html"), F.lit(""))
+    pages, names = apart(pages.drop(*new), "page_id", "url", "html")
     rows = pages.withColumns({"payload_bytes": F.octet_length(payload).cast("long"), "payload_digest": F.sha2(payload, 256)})
     first = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count("page_id").alias("_n"))
     first = first.where("_n > 1").drop("_n")
     seen = rows.join(first, "payload_digest", "left")
     again = F.coalesce(F.col("page_id") > F.col("_first"), F.lit(False))
-    return seen.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("_first"))}).drop("_first")
+    out = seen.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("_first"))})
+    back = {c: n for n, c in names.items()}
+    return out.select(*(F.col(f"`{back.get(c, c)}`").alias(c) for c in order), *new)
 
 
 def record_text(date: str) -> Column:

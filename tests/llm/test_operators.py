@@ -261,6 +261,26 @@ def test_cuts():
     assert packing.power_cuts(4096 + 3000) == [4096, 2048, 512, 256, 128, 32, 16, 8]
 
 
+def test_bins_hold_as_many_pieces_as_their_class():
+    r = random.Random(2)
+    packer = packing.Packer(0)
+    rows = []
+    lengths = [r.choice([1, 20, 31, 90, 400, 900, 1500, 2100, 4000, 4096, 9000]) for _ in range(600)]
+    for k, n in enumerate(lengths):
+        rows += packer.add(k, np.full(n, k, np.uint32).tobytes())
+    early = len({x[5] for x in rows})
+    rows += packer.close()
+    by = {}
+    for row in rows:
+        by.setdefault(row[5], []).append(row)
+    assert sum(x[2] for x in rows) == sum(lengths) and len(rows) <= 1.6 * len(lengths)
+    for number in range(early):  # bins closed in time are full, and hold the pieces of one class but for what tops them up
+        length = sum(x[2] for x in by[number])
+        assert length == packing.CAPACITY
+        k = packing.class_of(by[number][0][2])
+        assert len(by[number]) >= k and all(packing.class_of(x[2]) == k for x in by[number][:k])
+
+
 # Resharding -----------------------------------------------------------------------------------------------------------
 
 
@@ -537,3 +557,61 @@ def test_language_identification(spark):
     none = language_id.identify_documents(frame(spark, [(1, "abc")]).withColumn("lang", F.lit(None).cast("string"))).first()
     assert (none["lang_pred"], none["score"]) == ("und", 0.0)
     assert language_id.identify_documents(frame(spark, [])).count() == 0
+
+
+# Clashing columns -----------------------------------------------------------------------------------------------------
+
+
+def test_work_columns_never_clash(spark):
+    from lodestone.llm import mixing
+
+    docs = frame(spark, [(1, "a b c"), (2, "d e")]).withColumn("source", F.lit("s"))
+    for name in ("_source", "_block", "_tokens", "_uses", "_first", "_size", "_at", "_rank", "other 0"):
+        own = docs.withColumn(name, F.concat(F.lit("own "), F.col("text")))
+        mixed = mixing.mix(own, F.length("text"), repetition_limit=2.0)
+        assert {r[name] for r in mixed.collect()} == {"own a b c", "own d e"}
+        pages = own.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"), name)
+        assert {r[name] for r in warc.resolve_revisits(pages).collect()} == {"own a b c", "own d e"}
+        moved = resharding.reshard(own, F.lit(0), 2, 2, size=F.length("text"), order=[F.col("doc_id")])
+        assert {r[name] for r in moved.collect()} == {"own a b c", "own d e"} and moved.columns == [*own.columns, "old_shard", "shard", "slot"]
+
+
+def test_large_groups_are_joined_as_small_ones_are(spark, monkeypatch):
+    """All branches for long groups, several blocks and slices, and candidates in turn."""
+    for name, value in (("HELD", 12), ("FEW", 2), ("BLOCK", 4), ("CHUNK", 3), ("SLICE", 3), ("HUBS", 1), ("RANKS", (1, float("inf"))), ("SALT", 2), ("BROADCAST_IDS", 0)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    r = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    base = [r.choice(vocabulary) for _ in range(120)]
+    rows = []
+    for k in range(70):  # one large group, similarities around the threshold
+        words = list(base)
+        for _ in range(r.randint(2, 4)):
+            words[r.randrange(len(words))] = r.choice(vocabulary)
+        rows.append((k, " ".join(words)))
+    for k in range(20):
+        rows.append((100 + k, " ".join(base[:80] + [r.choice(vocabulary) for _ in range(40)])))
+    got = jaccard_join.near_duplicates(frame(spark, rows)).collect()
+    assert sorted(tuple(x) for x in got) == sorted(linked(rows))
+
+
+def test_repeated_ids_go_by_their_own_texts(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(30)) for c in "abc"]
+    rows = [(7, texts[0]), (7, texts[1]), (8, texts[1]), (9, texts[2])]
+    got = jaccard_join.near_duplicate_rows(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(7, 7), (7, 7), (8, 7), (9, 9)]
+    assert len({r["component"] for r in got}) == 3
+
+
+@pytest.mark.parametrize("name", ["op1_recompression_dedup", "op8_jaccard_join", "op9_warc_revisits"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    found = con.execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(repr(tuple(r)) for r in df.select(*names).collect()) == sorted(repr(r) for r in found.fetchall())
