@@ -55,7 +55,7 @@ def main(argv: list[str] | None = None) -> int:
             page = SearchSession(index, args.query, all_terms=args.all_terms, scope=_scope(index, args)).page(args.page, args.page_size)
             print(f"{page.start}-{page.end} / {page.total}")
             for r in page.rows.collect():
-                print(terminal_text(f"{r['position']}. [{r['reason']}] {r['path']}\n   {r['snippet']['text']}"))
+                print(f"{r['position']}. [{r['reason']}] {terminal_text(r['path'])}\n   {terminal_text(r['snippet']['text'])}")
         elif args.verb == "context":
             rows = context.bundle(index.documents, index.blocks, args.query, limit=min(args.page_size, context.MOST_SELECTED), scope=_scope(index, args)).collect()
             print(context.markdown([r.asDict(True) for r in rows], [args.query]))

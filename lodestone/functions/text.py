@@ -70,8 +70,8 @@ def utf8_prefix(text: str, limit: int) -> str:
     return text.encode()[: max(limit, 0)].decode("utf-8", "ignore")
 
 
-#: Characters that could move or hide text on a terminal: controls but for tab and newline, and direction marks.
-_UNSAFE = re.compile("[\u0000-\u0008\u000b-\u001f\u007f-\u009f؜‎‏‪-‮⁦-⁩]")
+#: Characters that could move or hide text on a terminal, namely controls and direction marks.
+_UNSAFE = re.compile("[\u0000-\u001f\u007f-\u009f\u202a-\u202e\u2066-\u2069]")
 
 
 def terminal_text(text: str) -> str:

@@ -67,7 +67,7 @@ def markdown(rows: list[dict], queries: list[str]) -> str:
     for row in rows:
         out.append(f"\n## {terminal_text(row['filename'])}\n\n`{terminal_text(row['path'])}` ({row['reference']})")
         for p in row["passages"]:
-            out.append(f"\n**{terminal_text(p['heading'] or p['location_value'] or '')}**\n\n" + "\n".join(f"> {line}" for line in terminal_text(p["content"] or "").split("\n")))
+            out.append(f"\n**{terminal_text(p['heading'] or p['location_value'] or '')}**\n\n" + "\n".join(f"> {terminal_text(line)}" for line in (p["content"] or "").split("\n")))
     text = "\n".join(out) + "\n"
     if len(text.encode()) > MOST_BYTES:
         raise ValueError(f"the bundle takes more than {MOST_BYTES} bytes")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+#: What documents, blocks and comparisons can be.
 STATUSES = ("indexed", "no_text", "unsupported", "too_large", "encrypted", "error")
 LOCATION_KINDS = ("section", "line", "slide", "sheet_cell", "page")
 REASONS = ("rebuild", "added", "source-changed", "error-retry", "text-upgrade", "unsupported-retry", "unchanged")
-#: Extensions whose parse version counts, and the version.
+#: Extensions whose parse version counts, and the version.
 TEXT_EXTENSIONS = (".txt", ".adoc", ".java", ".sql", ".js", ".xml", ".md")
 TEXT_PARSE_VERSION = 1
 

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from lodestone.sources.parsers import markup, office, ole, pdf, plain, rtf
 from lodestone.sources.parsers.base import Block, ParseError
 
-#: The size beyond which a file isn't parsed, the seconds that a parser gets, and what error codes stand for.
+#: The size beyond which a file isn't parsed, the seconds that a parser gets, and what error codes stand for. The codes that parsers raise are fixed values too, as
+#: they are part of the results.
 LARGEST_FILE = 100 * 1024 * 1024
 DEADLINE_SECONDS = 30
 ENCRYPTED_CODES = ("PDF_ENCRYPTED", "DOC_ENCRYPTED", "XLS_ENCRYPTED", "ODT_ENCRYPTED")
@@ -71,7 +72,7 @@ def parse_document(filename: str, content: bytes | None) -> tuple[str, str | Non
     if parser is None:
         return "unsupported", None, None, []
     if content is None:
-        return "error", "READ_ERROR", "the file can't be read", []
+        return "error", "FILE_READ_FAILED", "the file can't be read", []
     if len(content) > LARGEST_FILE:
         return "too_large", "FILE_TOO_LARGE", f"over {LARGEST_FILE} bytes", []
     try:

@@ -8,7 +8,6 @@ import re
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
-from urllib.parse import unquote
 from xml.etree import ElementTree
 
 from lodestone.functions.text import SPACES, trim
@@ -48,7 +47,7 @@ class Package:
         try:
             self.zip = zipfile.ZipFile(io.BytesIO(data))
         except zipfile.BadZipFile:
-            raise ParseError("OFFICE_FORMAT_ERROR", "not a package") from None
+            raise ParseError("OFFICE_CORRUPT", "not a package") from None
         if sum(i.file_size for i in self.zip.infolist()) > LARGEST_PACKAGE:
             raise ParseError("OFFICE_TOO_LARGE", f"over {LARGEST_PACKAGE} bytes unpacked")
         self.names = self.zip.namelist()
@@ -61,11 +60,11 @@ class Package:
         with self.zip.open(part) as file:
             raw = file.read(LARGEST_PACKAGE + 1)
         if b"<!DOCTYPE" in raw[:4096] or b"<!ENTITY" in raw[:4096]:
-            raise ParseError("OFFICE_XML_ERROR", "document types aren't allowed")
+            raise ParseError("OFFICE_CORRUPT_XML", "document types aren't allowed")
         try:
             return ElementTree.fromstring(raw)
         except ElementTree.ParseError as error:
-            raise ParseError("OFFICE_XML_ERROR", str(error)) from None
+            raise ParseError("OFFICE_CORRUPT_XML", str(error)) from None
 
     def relations(self, part: str, links_only: bool = False) -> dict[str, str]:
         """Targets by id of a part's relationships."""
@@ -87,16 +86,40 @@ class Package:
     def resolve(part: str, target: str) -> str:
         path = posixpath.normpath(target.lstrip("/") if target.startswith("/") else posixpath.join(posixpath.dirname(part), target))
         if path.startswith(".."):
-            raise ParseError("OFFICE_PATH_ERROR", f"{target!r} leaves the package")
+            raise ParseError("OFFICE_CORRUPT", f"{target!r} leaves the package")
         return path
 
 
+#: Characters whose escapes stay when a link is decoded, as they would change what it means.
+RESERVED = ";/?:@&=+$,#"
+_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+
+
+def decode_link(target: str) -> str | None:
+    """The link with its escapes decoded but for those of reserved characters; None if an escape is broken or isn't UTF-8."""
+    if re.search(r"%(?![0-9A-Fa-f]{2})", target):
+        return None
+
+    def plain(run: re.Match) -> str:
+        text = bytes.fromhex(run[0].replace("%", "")).decode("utf-8")
+        written = iter(run[0][k : k + 3] for k in range(0, len(run[0]), 3))
+        out = []
+        for c in text:
+            escapes = [next(written) for _ in c.encode()]
+            out.append(escapes[0] if c in RESERVED else c)
+        return "".join(out)
+
+    try:
+        return _ESCAPES.sub(plain, target)
+    except UnicodeDecodeError:
+        return None
+
+
 def link_texts(targets: list[str]) -> list[str]:
-    """Targets worth finding, each once, as written and decoded; scripts and embedded data aren't."""
+    """Targets worth finding, each once, as written and decoded."""
     out: list[str] = []
-    for t in (trim(t) for t in targets):
-        if t and not t.lower().startswith(("javascript:", "data:")):
-            out += [t, unquote(t)]
+    for t in filter(None, map(trim, targets)):
+        out += [t, decode_link(t) or t]
     return list(dict.fromkeys(out))
 
 

@@ -113,10 +113,10 @@ def parse_msg(data: bytes) -> list[Block]:
     kind = text("001A").lower()
     if not any(p.startswith(("__substg1.0_", "__properties")) for p in file.streams):
         raise ParseError("MSG_FORMAT_ERROR", "not a message")
-    if kind.startswith("ipm.note.smime"):
-        raise ParseError("MSG_ENCRYPTED_UNSUPPORTED", "a signed or encrypted message")
-    if kind and not kind.startswith("ipm.note"):
-        raise ParseError("MSG_NOT_MAIL", f"a message of class {kind}")
+    if re.search(r"\.smime(?:\.|$)", kind):
+        raise ParseError("MSG_SMIME_UNSUPPORTED", "a signed or encrypted message")
+    if kind and not re.match(r"ipm\.note(?:\.|$)", kind):
+        raise ParseError("MSG_ITEM_UNSUPPORTED", f"a message of class {kind}")
     people = sorted({p.partition("/")[0] for p in file.streams if p.startswith("__recip_version1.0_")})
     named = lambda name, address: " ".join(dict.fromkeys(filter(None, (name, f"<{address}>" if address else "")))).strip()
     head = [("主旨", text("0037")), ("寄件者", named(text("0C1A"), text("5D01") or text("0C1F")))]
@@ -139,10 +139,10 @@ def parse_msg(data: bytes) -> list[Block]:
 
 def parse_doc(data: bytes) -> list[Block]:
     """The text of body, notes, headers, annotations and text boxes by the piece table; fields show their result and their link."""
-    file = Compound(data, "DOC_PARSE_ERROR")
+    file = Compound(data, "DOC_FORMAT_ERROR")
     main = file.read("WordDocument")
     if main is None or len(main) < 0x1AA or struct.unpack_from("<H", main)[0] not in (0xA5EC, 0xA5DC):
-        raise ParseError("DOC_PARSE_ERROR", "no Word document")
+        raise ParseError("DOC_FORMAT_ERROR", "no Word document")
     flags = struct.unpack_from("<H", main, 10)[0]
     if flags & 0x0100:
         raise ParseError("DOC_ENCRYPTED", "the document is encrypted")
@@ -246,10 +246,10 @@ def _packed(value: int) -> float:
 
 def parse_xls(data: bytes) -> list[Block]:
     """A block for each cell with a value, row by row, under its sheet's name. Numbers are shown as stored."""
-    file = Compound(data, "XLS_PARSE_ERROR")
+    file = Compound(data, "XLS_FORMAT_ERROR")
     book = file.read("Workbook") or file.read("Book")
     if not book:
-        raise ParseError("XLS_PARSE_ERROR", "no workbook")
+        raise ParseError("XLS_FORMAT_ERROR", "no workbook")
     sheets: dict[int, str] = {}
     strings: list[str] = []
     parts: list[bytes] = []

@@ -112,7 +112,7 @@ class Reader:
 class Document:
     def __init__(self, data: bytes):
         if b"%PDF-" not in data[:1024]:
-            raise ParseError("PDF_PARSE_ERROR", "no PDF signature")
+            raise ParseError("PDF_CORRUPT", "no PDF signature")
         self.data, self.unpacked = data, 0
         self.places = {int(m[1]): m.end() for m in _OBJECT.finditer(data)}  # later ones win, as in updated files
         self.packed: dict[int, object] = {}
@@ -322,6 +322,6 @@ def parse_pdf(data: bytes) -> list[Block]:
     document = Document(data)
     pages = document.pages()
     if not pages:
-        raise ParseError("PDF_PARSE_ERROR", "no pages")
+        raise ParseError("PDF_CORRUPT", "no pages")
     texts = [page_text(document, p) for p in pages]
     return [Block(n, None, text, "page", f"第 {k} 頁") for n, (k, text) in enumerate((k, t) for k, t in enumerate(texts, 1) if t)]

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 
-from lodestone.functions.text import trim
+from lodestone.functions.text import SPACE_CHARS, trim
 from lodestone.sources.parsers.decode import decode_text, decode_xml
 from lodestone.sources.parsers.base import Block, ParseError
 
 _LINES = re.compile(r"\r\n|\n|\r")
-_HEADING = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
+_HEADING = re.compile(rf"#{{1,6}}[{SPACE_CHARS}]+(.+)")
 
 
 def lines(text: str) -> list[Block]:
@@ -26,19 +26,16 @@ def parse_xml(data: bytes) -> list[Block]:
 
 
 def parse_markdown(data: bytes) -> list[Block]:
-    """A block for each section, its heading line included; fenced code holds no headings."""
+    """A block for each section that isn't blank, its heading line included. Any line of one to six # in the first column, white space and a text begins one, inside fences
+    too, and keeps its closing #s."""
     sections: list[tuple[int, str | None, list[str]]] = [(0, None, [])]
-    fence = None
     for k, line in enumerate(_LINES.split(decode_text(data))):
-        mark = re.match(r" {0,3}(`{3,}|~{3,})", line)
-        if mark and (fence is None or line.strip().startswith(fence) and not line.strip().strip(fence[0])):
-            fence = mark[1] if fence is None else None
-        found = _HEADING.match(line) if fence is None and not mark else None
-        if found and trim(found[2] or ""):
-            sections.append((k, trim(found[2]), []))
+        found = _HEADING.fullmatch(line)
+        if found:
+            sections.append((k, trim(found[1]), []))
         sections[-1][2].append(line)
-    kept = [(at, heading, "\n".join(body)) for at, heading, body in sections if trim("\n".join(body))]
-    return [Block(n, heading, trim(text), "section", f"第 {at + 1} 行") for n, (at, heading, text) in enumerate(kept)]
+    kept = [(at, heading, trim("\n".join(body))) for at, heading, body in sections]
+    return [Block(n, heading, text, "section", f"第 {at + 1} 行") for n, (at, heading, text) in enumerate(x for x in kept if x[2])]
 
 
 def column_name(index: int) -> str:

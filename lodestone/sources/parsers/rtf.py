@@ -17,9 +17,9 @@ _LINK = re.compile(r'HYPERLINK\s+(?:\\l\s+)?"([^"]+)"')
 
 def rtf_text(data: bytes) -> str:
     if len(data) > LARGEST:
-        raise ParseError("RTF_TOO_LARGE", f"over {LARGEST} bytes")
+        raise ParseError("RTF_LIMIT", f"over {LARGEST} bytes")
     if not data.lstrip().startswith(b"{\\rtf"):
-        raise ParseError("RTF_FORMAT_ERROR", "no RTF signature")
+        raise ParseError("RTF_INVALID", "no RTF signature")
     out: list[str] = []
     page = "cp1252"
     # of each open group: whether it is skipped, whether it is a field's instruction, and the stand-ins after a Unicode character
@@ -62,10 +62,10 @@ def rtf_text(data: bytes) -> str:
         if brace == b"{":
             stack.append((skip, field, stand_ins))
             if len(stack) > DEEPEST:
-                raise ParseError("RTF_TOO_DEEP", f"over {DEEPEST} groups deep")
+                raise ParseError("RTF_LIMIT", f"over {DEEPEST} groups deep")
         elif brace == b"}":
             if not stack:
-                raise ParseError("RTF_FORMAT_ERROR", "a group ends that didn't begin")
+                raise ParseError("RTF_INVALID", "a group ends that didn't begin")
             was = field
             skip, field, stand_ins = stack.pop()
             if was and not field:
@@ -106,7 +106,7 @@ def rtf_text(data: bytes) -> str:
                 emit(CHARACTERS[name])
     flush()
     if stack:
-        raise ParseError("RTF_FORMAT_ERROR", "a group doesn't end")
+        raise ParseError("RTF_INVALID", "a group doesn't end")
     return "".join(out).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 

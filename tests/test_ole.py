@@ -64,7 +64,7 @@ def test_msg():
     blocks = parse_document("m.msg", data)[3]
     assert [(b.heading, b.content, b.location_value) for b in blocks] == [(None, "Sub", "主旨"), (None, "Ann <a@x>", "寄件者"), (None, "Bob", "收件者"), ("Sub", "one", "內文 4"), ("Sub", "two", "內文 5")]
     assert parse_document("m.msg", b"x")[1] == "MSG_FORMAT_ERROR"
-    assert parse_document("m.msg", compound({"__substg1.0_001A001F": text("IPM.Contact")}))[1] == "MSG_NOT_MAIL"
+    assert parse_document("m.msg", compound({"__substg1.0_001A001F": text("IPM.Contact")}))[1] == "MSG_ITEM_UNSUPPORTED"
 
 
 def test_doc():

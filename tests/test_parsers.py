@@ -45,7 +45,8 @@ def test_lines_keep_their_numbers():
 
 def test_markdown_sections():
     blocks = parse_document("a.md", b"intro\n\n# One\ntext\n```\n# not\n```\n## Two ##\n")[3]
-    assert [(b.heading, b.content.split("\n")[0], b.location_value) for b in blocks] == [(None, "intro", "第 1 行"), ("One", "# One", "第 3 行"), ("Two", "## Two ##", "第 8 行")]
+    assert [(b.heading, b.content.split("\n")[0], b.location_value) for b in blocks] == [(None, "intro", "第 1 行"), ("One", "# One", "第 3 行"), ("not", "# not", "第 6 行"), ("Two ##", "## Two ##", "第 8 行")]
+    assert [b.heading for b in parse_document("a.md", b" # indented\n#no\n####### seven\n#\tTab\n")[3]] == [None, "Tab"]
 
 
 def test_csv():
@@ -76,7 +77,7 @@ def test_docx():
     got = [(b.heading, b.content, b.location_value) for b in parse_document("a.docx", data)[3]]
     assert got == [("Head", "Head", "第 1 段"), ("Head", "see\nhttp://e/", "第 3 段"), ("Head", "field\nhttp://f/x%20y\nhttp://f/x y", "第 4 段"), ("Head", "c1", "表格 1，第 1 列第 1 欄"), ("Head", "c2", "表格 1，第 1 列第 2 欄"), (None, "http://left/", "超連結目標（word/document.xml）")]
     assert parse_document("a.docx", b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1")[1] == "OFFICE_ENCRYPTED_OR_LEGACY"
-    assert parse_document("a.docx", b"nope")[1] == "OFFICE_FORMAT_ERROR"
+    assert parse_document("a.docx", b"nope")[1] == "OFFICE_CORRUPT"
 
 
 def test_pptx_order_and_notes():
@@ -116,7 +117,7 @@ def test_odt():
 def test_rtf():
     data = rb'{\rtf1\ansi\ansicpg1252{\fonttbl{\f0 Arial;}}{\*\generator x;}Caf' rb"\'e9" rb' \u28450?\par two{\field{\*\fldinst HYPERLINK "http://l/"}{\fldrslt here}}\par {\object secret}end}'
     assert [b.content for b in parse_document("a.rtf", data)[3]] == ["Café 漢", "two http://l/ here", "end"]
-    assert parse_document("a.rtf", rb"{\rtf1 {")[1] == "RTF_FORMAT_ERROR"
+    assert parse_document("a.rtf", rb"{\rtf1 {")[1] == "RTF_INVALID"
 
 
 @pytest.mark.parametrize("data, wanted", [("é".encode(), "é"), ("é".encode("utf-16"), "é"), (b"\xef\xbb\xbfx", "x"), ("中文".encode("big5"), "中文")])
@@ -129,9 +130,23 @@ def test_decode_xml():
     assert decode.decode_xml('<?xml version="1.0"?><a>é</a>'.encode("utf-16-le")).endswith("é</a>")
     with pytest.raises(ParseError) as error:
         decode.decode_xml(b'<?xml version="1.0" encoding="nonsense"?><a/>')
-    assert error.value.code == "TEXT_ENCODING_UNSUPPORTED"
-    with pytest.raises(ParseError):
+    assert error.value.code == "XML_ENCODING_UNSUPPORTED"
+    with pytest.raises(ParseError) as error:
         decode.decode_xml('<?xml version="1.0" encoding="utf-8"?><a>é</a>'.encode("latin-1"))
+    assert error.value.code == "XML_DECODE_ERROR"
+    for label in ("Big5", "cp950", "windows-950", "csBig5", "cn_big5", "x-x-big5"):
+        assert "中文" in decode.decode_xml(f'<?xml version="1.0" encoding="{label}"?><a>中文</a>'.encode("big5"))
+    with pytest.raises(ParseError) as error:
+        decode.decode_text(b"\xff\xff\xff\x80")
+    assert error.value.code == "TEXT_DECODE_ERROR"
+    assert parse_document("a.html", b'<meta charset="nonsense">x')[1] == "ENCODING_UNSUPPORTED"
+
+
+def test_links_are_found_as_written_and_decoded():
+    assert office.link_texts([" http://x/%E4%B8%AD%2Fa ", "javascript:q", "data:,a", "%zz", "%E4"]) == ["http://x/%E4%B8%AD%2Fa", "http://x/中%2Fa", "javascript:q", "data:,a", "%zz", "%E4"]
+
+
+def test_decode_xml_keeps_lines():
     assert [b.content for b in parse_document("a.xml", b"<a b='c'>\n<d/>")[3]] == ["<a b='c'>", "<d/>"]
 
 
@@ -139,4 +154,4 @@ def test_column_of_files(spark):
     files = [(1, "a.txt", b"x\ny"), (2, "b.csv", b'"'), (3, "c.bin", b"\0"), (4, "d.txt", None), (5, "e.txt", b"")]
     got = parse_column(spark.createDataFrame(files, "document_id long, filename string, content binary")).collect()
     assert sorted((r["document_id"], r["status"], r["error_code"], r["content"]) for r in got if r["content"]) == [(1, "indexed", None, "x"), (1, "indexed", None, "y")]
-    assert {r["document_id"]: (r["status"], r["error_code"]) for r in got} == {1: ("indexed", None), 2: ("error", "CSV_FORMAT_ERROR"), 3: ("unsupported", None), 4: ("error", "READ_ERROR"), 5: ("no_text", None)}
+    assert {r["document_id"]: (r["status"], r["error_code"]) for r in got} == {1: ("indexed", None), 2: ("error", "CSV_FORMAT_ERROR"), 3: ("unsupported", None), 4: ("error", "FILE_READ_FAILED"), 5: ("no_text", None)}

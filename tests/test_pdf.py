@@ -42,8 +42,8 @@ def test_pages():
 
 
 def test_codes():
-    assert parse_document("a.pdf", b"nothing")[:2] == ("error", "PDF_PARSE_ERROR")
-    assert parse_document("a.pdf", pdf({1: b"<< /Type /Catalog >>"}))[:2] == ("error", "PDF_PARSE_ERROR")
+    assert parse_document("a.pdf", b"nothing")[:2] == ("error", "PDF_CORRUPT")
+    assert parse_document("a.pdf", pdf({1: b"<< /Type /Catalog >>"}))[:2] == ("error", "PDF_CORRUPT")
     assert parse_document("a.pdf", pdf({1: b"<< /Type /Catalog >>", 2: b"<< >>"}, b"/Encrypt 2 0 R"))[:2] == ("encrypted", "PDF_ENCRYPTED")
     assert parse_document("a.pdf", pdf({1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R] >>", 3: b"<< /Type /Page >>"}))[0] == "no_text"
 

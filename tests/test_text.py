@@ -37,7 +37,7 @@ def test_utf8_prefix_and_display():
     assert T.utf8_prefix("aé漢🧪", 9) == "aé漢"
     assert T.display_width("a漢e\u0301") == 4
     assert T.clip_width("漢字漢字", 5) == "漢字…"
-    assert T.terminal_text("a\x1b[0m\u202eb\n") == "a\\u001b[0m\\u202eb\n"
+    assert T.terminal_text("a\x1b[0m\u202eb\n\t") == "a\\u001b[0m\\u202eb\\u000a\\u0009"
     assert T.format_mib(1572864) == "1.50 MiB"
     assert T.format_percent(99999, 100000) == "99.99%" and T.format_percent(5, 5) == "100.00%"
     assert T.format_elapsed(3_723_000) == "1:02:03"
