@@ -1,35 +1,87 @@
-"""Candidate pruning by trigrams: a superset of the documents whose blocks can match. Exact predicates always run after it."""
+"""Candidate pruning by trigrams: a superset of the documents whose blocks can match. Exact predicates always run after it.
+
+Postings are worked out once, when blocks are written, and stored sorted by gram, so a query reads the row groups of its own grams only.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import query_terms
 
-GRAM = 3
+GRAM, BITS = 3, 21
+#: Characters of blocks that a task takes together.
+TOGETHER = 1 << 20
 
 
-def grams(text: Column) -> Column:
-    """Distinct runs of GRAM characters; shorter texts have none."""
-    size = F.char_length(text)
-    many = F.transform(F.sequence(F.lit(1), size - GRAM + 1), lambda i: F.substring(text, i, F.lit(GRAM)))
-    return F.array_distinct(F.when(size >= GRAM, many).otherwise(F.array().cast("array<string>")))
+def gram_code(gram: str) -> int:
+    """A gram as one number: the code points of its characters, BITS bits each."""
+    return sum(ord(c) << BITS * (GRAM - 1 - k) for k, c in enumerate(gram))
 
 
-def postings(blocks: DataFrame) -> DataFrame:
-    """(gram, document_id), each once: of contents and headings, never across their border.
+@F.pandas_udf("string")
+def gram_text(codes: pd.Series) -> pd.Series:
+    """The gram that a number stands for."""
+    return codes.map(lambda code: "".join(chr(code >> BITS * (GRAM - 1 - k) & (1 << BITS) - 1) for k in range(GRAM)))
 
-    Grams of a block are made distinct before they are exploded, and again map-side before the shuffle.
-    """
-    both = F.array_union(grams(F.coalesce("norm_heading", F.lit(""))), grams(F.coalesce("norm_content", F.lit(""))))
-    return blocks.select("document_id", F.explode(both).alias("gram")).distinct()
 
+def _grams(ids: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, document), each once, of texts laid end to end; grams never reach over a border."""
+    points = np.frombuffer("\0".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    lengths = np.array([len(t) for t in texts])
+    if len(points) < GRAM:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes = sum(points[k : len(points) - GRAM + 1 + k] << BITS * (GRAM - 1 - k) for k in range(GRAM))
+    starts = np.cumsum(lengths + 1) - (lengths + 1)
+    inside = np.zeros(len(points) + 1, np.int64)
+    whole = lengths >= GRAM
+    np.add.at(inside, starts[whole], 1)
+    np.add.at(inside, (starts + lengths - GRAM + 1)[whole], -1)
+    at = np.flatnonzero(np.cumsum(inside)[: len(codes)] > 0)
+    document = ids[np.searchsorted(starts, at, "right") - 1]
+    codes = codes[at]
+    order = np.lexsort((document, codes))
+    codes, document = codes[order], document[order]
+    fresh = np.concatenate([[True], (codes[1:] != codes[:-1]) | (document[1:] != document[:-1])]) if len(codes) else np.zeros(0, bool)
+    return codes[fresh], document[fresh]
 
-def query_grams(term: str) -> list[str]:
-    return sorted({term[k : k + GRAM] for k in range(len(term) - GRAM + 1)})
+
+def postings(blocks: DataFrame) -> DataFrame:
+    """(gram, document_id), each once: of contents and headings (norm_heading, norm_content), never across their border. Most repeats go before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[int] = []
+        texts: list[str] = []
+        size = 0
+
+        def table() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in _grams(np.array(ids, np.int64), texts)], names=["gram", "document_id"])
+
+        for batch in batches:
+            document = batch.column(0).to_pylist()
+            for column in (1, 2):
+                for ident, text in zip(document, batch.column(column).to_pylist()):
+                    if text and len(text) >= GRAM:
+                        ids.append(ident), texts.append(text)
+                        size += len(text)
+            if size >= TOGETHER:
+                yield table()
+                ids, texts, size = [], [], 0
+        if ids:
+            yield table()
+
+    return blocks.select(F.col("document_id").cast("long"), "norm_heading", "norm_content").mapInArrow(run, "gram long, document_id long").distinct()
+
+
+def query_grams(term: str) -> list[int]:
+    return sorted({gram_code(term[k : k + GRAM]) for k in range(len(term) - GRAM + 1)})
 
 
 def term_candidates(posted: DataFrame, term: str) -> DataFrame | None:

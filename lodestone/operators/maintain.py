@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.paths import ancestors, below
+from lodestone.functions.paths import ancestors, below, parts
+from lodestone.sources.tables import stored
 
 
 def covered_by(rows: DataFrame, scopes: DataFrame, how: str, path: str = "path") -> DataFrame:
@@ -16,6 +17,12 @@ def covered_by(rows: DataFrame, scopes: DataFrame, how: str, path: str = "path")
     return rows.join(inside, path, how)
 
 
+def covering_roots(documents: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, root): the most specific root (root) that covers each document; those that none covers are left out. An equality join on ancestors."""
+    steps = documents.select("id", F.explode(ancestors(F.col("path"))).alias("root"))
+    return steps.join(roots, "root").groupBy("id").agg(F.max_by("root", F.size(parts(F.col("root")))).alias("root"))
+
+
 def remove_missing(documents: DataFrame, listed: DataFrame, *, root: str, subtree: str | None = None, protected: DataFrame | None = None) -> DataFrame:
     """documents with outcome: kept, deleted (not listed any more) or protected (not listed, but in a scope that couldn't be read). Rows outside the root and subtree are kept."""
     in_scope = F.col("root_path") == root
@@ -31,9 +38,9 @@ def remove_missing(documents: DataFrame, listed: DataFrame, *, root: str, subtre
 
 
 def next_ids(new: DataFrame, first: int, order: Column, ident: str = "id") -> DataFrame:
-    """new rows with ids from ``first`` on, gapless in the given order: counted in hash ranges and shifted, so no task numbers all rows."""
-    parts = int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = new.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(parts)))
+    """new rows with ids from ``first`` on, gapless and ascending in the given order: sorted in ranges, counted in each and shifted, so no task numbers all rows."""
+    placed = new.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    placed = stored(placed, "numbered")  # ranges are drawn from a sample: they have to be the same for counts and rows
     sizes = placed.groupBy("_part").count()
     before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))  # one row for each part
     row = F.row_number().over(Window.partitionBy("_part").orderBy(order))

@@ -14,6 +14,12 @@ from lodestone.functions.text import query_terms
 DEFAULT_PASSAGES, MOST_PASSAGES = 3, 10
 
 
+def running_headings(blocks: DataFrame, ident: str, ordinal: str, heading: str) -> DataFrame:
+    """blocks with heading, the last own one so far, and section, how many there have been."""
+    so_far = Window.partitionBy(ident).orderBy(ordinal).rowsBetween(Window.unboundedPreceding, 0)
+    return blocks.withColumns({"section": F.count(heading).over(so_far), "heading": F.last(heading, True).over(so_far)})
+
+
 def passage_candidates(blocks: DataFrame, terms: list[str]) -> DataFrame:
     """Blocks that hold a term: rank 2 by their heading, else 1 by their content, and which terms (array of 0/1)."""
     heading, content = F.coalesce("norm_heading", F.lit("")), F.coalesce("norm_content", F.lit(""))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.paths import below, utf16_order
 from lodestone.functions.text import query_terms
+from lodestone.sources.tables import stored
 
 #: The labels of the four ranks, and what is added to those of a search for all terms.
 RANK_LABELS = {4: "檔名完全符合", 3: "檔名包含", 2: "標題", 1: "內容"}
@@ -81,6 +82,18 @@ def rank(documents: DataFrame, blocks: DataFrame, raw_query: str, *, all_terms:
     return named.unionByName(joined.select(*documents.columns, level.alias("rank"), kind.alias("source_kind"), place.cast("int").alias("ordinal")))
 
 
+def representatives(blocks: DataFrame, raw_query: str) -> DataFrame:
+    """(document_id, ordinal, content) of each document's first block whose content holds the phrase."""
+    phrase = query_terms(raw_query)[0]
+    hits = blocks.where(F.contains(F.col("norm_content"), F.lit(phrase)))
+    return hits.groupBy("document_id").agg(F.min("ordinal").alias("ordinal"), F.min_by("content", "ordinal").alias("content"))
+
+
+def by_place(documents: DataFrame, *, paths: tuple[str, ...] = (), ids: tuple[int, ...] = ()) -> DataFrame:
+    """The documents with these paths or ids."""
+    return documents.where(F.col("path").isin(*paths) | F.col("id").isin(*ids))
+
+
 def reason(rank_column: Column, all_terms: bool = False) -> Column:
     suffix = ALL_TERMS_SUFFIX if all_terms else ""
     label = F.lit(None)
@@ -106,6 +119,7 @@ def numbered(hits: DataFrame) -> DataFrame:
     Positions need one total order. Hits are dealt into ranges by rank and by approximate percentiles of the time of change (a few numbers on
     the driver); each range is numbered on its own and shifted by the counts of those before it, so no task holds more than a range.
     """
+    hits = stored(hits, "hits")  # ids, paths and times: looked at three times
     parts = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = hits.agg(F.percentile_approx("modified_at_ms", [k / parts for k in range(1, parts)] or [0.5], 100 * parts).alias("q")).first()["q"]
     bounds = F.array(*(F.lit(c) for c in sorted(set(cuts or [])))).cast("array<double>")

@@ -63,9 +63,9 @@ def slowest(rows: DataFrame, value: str, tie: str, n: int = SLOWEST) -> DataFram
     return rows.orderBy(F.desc(value), F.asc(tie)).limit(n)
 
 
-def storage_total(files: DataFrame) -> DataFrame:
-    """One row: files, and bytes or null if the size of any file isn't known."""
-    return files.agg(F.count("*").alias("files"), F.when(F.count_if(F.col("size_bytes").isNull()) == 0, F.coalesce(F.sum("size_bytes"), F.lit(0))).alias("bytes"))
+def storage_total(files: DataFrame, *by: str) -> DataFrame:
+    """One row (or one for each value of ``by``): files, and bytes or null if the size of any file isn't known."""
+    return files.groupBy(*by).agg(F.count("*").alias("files"), F.when(F.count_if(F.col("size_bytes").isNull()) == 0, F.coalesce(F.sum("size_bytes"), F.lit(0))).alias("bytes"))
 
 
 def phase_totals(phases: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths
@@ -14,6 +14,7 @@ from lodestone.operators import candidates, classify, maintain, passages, search
 from lodestone.plans import context
 from lodestone.sources import corpus
 from lodestone.sources.parsers import parse_column
+from lodestone.sources.tables import stored
 from lodestone.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,7 +58,8 @@ _ORDER = "ORDER BY rank DESC, modified_at_ms DESC, path"
 
 
 def _corpus(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return corpus.corpus_documents(spark, sf), corpus.corpus_blocks(spark, sf)
+    """Documents and blocks of the stored index."""
+    return corpus.indexed(spark, sf)[:2]
 
 
 # Text and blocks ------------------------------------------------------------------------------------------------------
@@ -152,7 +154,7 @@ two AS (SELECT document_id, min(ordinal) AS ordinal FROM b WHERE contains(lower(
 SELECT one.id, one.path, one.position, CAST(1 AS BIGINT) AS rank, CAST(two.ordinal AS BIGINT) AS ordinal FROM one JOIN two ON two.document_id = one.id""")
 def search_refine_two_layers(spark: SparkSession, sf: str) -> DataFrame:
     docs, blocks = _corpus(spark, sf)
-    first = search.numbered(search.search(docs, blocks, "the", limit=None))
+    first = stored(search.numbered(search.search(docs, blocks, "the", limit=None)).select("id", "position"), "layer")
     return search.refine(first, docs, blocks, "and").select("id", "path", "position", F.col("rank").cast("long").alias("rank"), F.col("ordinal").cast("long").alias("ordinal"))
 
 
@@ -164,14 +166,13 @@ def search_window_500(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_BLOCKS} SELECT document_id, CAST(ordinal AS BIGINT) AS ordinal, content FROM b WHERE contains(lower(content), 'of the') QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY ordinal) = 1")
 def representative_block(spark: SparkSession, sf: str) -> DataFrame:
-    blocks = corpus.corpus_blocks(spark, sf).where(F.contains("norm_content", F.lit("of the")))
-    return blocks.groupBy("document_id").agg(F.min("ordinal").cast("long").alias("ordinal"), F.min_by("content", "ordinal").alias("content"))
+    return search.representatives(_corpus(spark, sf)[1], "of the").withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
 @query(f"""WITH {_BLOCKS}, r AS (SELECT document_id, ordinal, row_number() OVER (PARTITION BY document_id ORDER BY ordinal) AS passage_no FROM b WHERE contains(lower(content), 'the'))
 SELECT document_id, CAST(ordinal AS BIGINT) AS ordinal, CAST(1 AS BIGINT) AS rank, passage_no FROM r WHERE passage_no <= 3""")
 def matching_passages(spark: SparkSession, sf: str) -> DataFrame:
-    found = passages.phrase_passages(corpus.corpus_blocks(spark, sf), "the")
+    found = passages.phrase_passages(_corpus(spark, sf)[1], "the")
     return found.select("document_id", F.col("ordinal").cast("long").alias("ordinal"), F.col("rank").cast("long").alias("rank"), F.col("passage_no").cast("long").alias("passage_no"))
 
 
@@ -192,8 +193,7 @@ def snippet_page(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_DOCS} SELECT id, path, status FROM (SELECT *, 'indexed' AS status FROM d) WHERE path = '/corpus/en/src7/doc-7-en.adoc' OR id = 10")
 def document_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    docs = corpus.corpus_documents(spark, sf)
-    return docs.where((F.col("path") == "/corpus/en/src7/doc-7-en.adoc") | (F.col("id") == 10)).select("id", "path", "status")
+    return search.by_place(_corpus(spark, sf)[0], paths=("/corpus/en/src7/doc-7-en.adoc",), ids=(10,)).select("id", "path", "status")
 
 
 # Candidate pruning ----------------------------------------------------------------------------------------------------
@@ -203,18 +203,19 @@ _GRAMS = f"""{_BLOCKS}, p AS (SELECT DISTINCT document_id, unnest(list_transform
 
 @query(f"WITH {_GRAMS} SELECT gram, count(*) AS documents FROM p GROUP BY gram")
 def trigram_postings(spark: SparkSession, sf: str) -> DataFrame:
-    return candidates.postings(corpus.corpus_blocks(spark, sf)).groupBy("gram").agg(F.count("*").alias("documents"))
+    counts = corpus.indexed(spark, sf).postings.groupBy("gram").agg(F.count("*").alias("documents"))
+    return counts.select(candidates.gram_text("gram").alias("gram"), "documents")
 
 
 @query(f"WITH {_GRAMS} SELECT document_id FROM p WHERE gram IN ('ter', 'ers', 'rst', 'sta', 'tan', 'and') GROUP BY document_id HAVING count(*) = 6")
 def trigram_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return candidates.candidates(candidates.postings(corpus.corpus_blocks(spark, sf)), "terstand")
+    return candidates.candidates(corpus.indexed(spark, sf).postings, "terstand")
 
 
 @query(_phrase_sql("license"))
 def search_pruned(spark: SparkSession, sf: str) -> DataFrame:
-    docs, blocks = _corpus(spark, sf)
-    return _hits(search.search(docs, blocks, "license", limit=None, candidates=candidates.candidates(candidates.postings(blocks), "license")))
+    docs, blocks, posted = corpus.indexed(spark, sf)
+    return _hits(search.search(docs, blocks, "license", limit=None, candidates=candidates.candidates(posted, "license")))
 
 
 # Incremental indexing -------------------------------------------------------------------------------------------------
@@ -273,14 +274,14 @@ def remove_missing_protected(spark: SparkSession, sf: str) -> DataFrame:
     return maintain.remove_missing(docs, docs.where("id % 10 <> 3"), root="/corpus", protected=scopes).select("id", "outcome")
 
 
-@query(f"""WITH {_DOCS}, o AS (SELECT id, path, size_bytes FROM d WHERE id % 4 <> 0), c AS (SELECT path, size_bytes + 1 AS size_bytes FROM d WHERE id % 4 = 0 OR id % 6 = 1)
-SELECT coalesce(o.id, (SELECT max(id) FROM o) + CASE WHEN o.id IS NULL THEN 1 END) AS known, path, coalesce(c.size_bytes, o.size_bytes) AS size_bytes FROM o FULL JOIN c USING (path)""")
+@query(f"""WITH {_DOCS}, o AS (SELECT id, path, size_bytes FROM d WHERE id % 4 <> 0), c AS (SELECT path, size_bytes + 1 AS size_bytes FROM d WHERE id % 4 = 0 OR id % 6 = 1),
+  n AS (SELECT path, row_number() OVER (ORDER BY path) + (SELECT max(id) FROM o) AS id FROM c WHERE path NOT IN (SELECT path FROM o))
+SELECT coalesce(o.id, n.id) AS id, path, coalesce(c.size_bytes, o.size_bytes) AS size_bytes FROM o FULL JOIN c USING (path) LEFT JOIN n USING (path)""")
 def merge_upsert_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """The merged snapshot is written and read back; new paths have gapless ids in the order of their paths."""
     docs = corpus.corpus_documents(spark, sf).select("id", "path", "size_bytes")
-    old = docs.where("id % 4 <> 0")
-    merged = maintain.upsert(old, docs.where("id % 4 = 0 or id % 6 = 1").select("path", (F.col("size_bytes") + 1).alias("size_bytes")))
-    top = old.agg(F.max("id")).first()[0]
-    return merged.select(F.least("id", F.lit(top + 1)).alias("known"), "path", "size_bytes")
+    changed = docs.where("id % 4 = 0 or id % 6 = 1").select("path", (F.col("size_bytes") + 1).alias("size_bytes"))
+    return stored(maintain.upsert(docs.where("id % 4 <> 0"), changed), "snapshot")
 
 
 @query(f"WITH {_DOCS} SELECT id, CASE WHEN id % 3 = 2 THEN '/old/c' WHEN id % 3 = 1 THEN '/corpus' ELSE '/corpus' END AS root_path FROM d")
@@ -369,7 +370,7 @@ def slowest_files(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_DOCS} SELECT extension, count(*) AS files, CASE WHEN count(*) FILTER (id % 50 = 0) = 0 THEN CAST(sum(size_bytes) AS BIGINT) END AS bytes FROM d GROUP BY extension")
 def storage_totals(spark: SparkSession, sf: str) -> DataFrame:
     files = corpus.corpus_documents(spark, sf).withColumn("size_bytes", F.when(F.col("id") % 50 != 0, F.col("size_bytes")))
-    return files.groupBy("extension").agg(F.count("*").alias("files"), F.when(F.count_if(F.col("size_bytes").isNull()) == 0, F.sum("size_bytes")).alias("bytes"))
+    return stats.storage_total(files, "extension")
 
 
 # Paths and roots ------------------------------------------------------------------------------------------------------
@@ -379,15 +380,14 @@ def storage_totals(spark: SparkSession, sf: str) -> DataFrame:
 def ignore_rules_applied(spark: SparkSession, sf: str) -> DataFrame:
     rules = paths.ignore_rules("# rules\nDOC-1*.sql\n/corpus/en/src3/\ncorpus/*/src1?/\n")
     docs = corpus.corpus_documents(spark, sf)
-    return docs.select("id", (~paths.ignored(F.substring("path", 2, 10_000), F.lit(False), rules)).alias("listed"))
+    return docs.select("id", (~paths.ignored(F.expr("substring(path, 2)"), F.lit(False), rules)).alias("listed"))
 
 
 @query(f"""WITH {_DOCS} SELECT id, CASE WHEN starts_with(path, '/corpus/en/src1/') THEN '/corpus/en/src1' WHEN starts_with(path, '/corpus/en/') THEN '/corpus/en' ELSE '/corpus' END AS root FROM d""")
 def path_cover_join(spark: SparkSession, sf: str) -> DataFrame:
     """The most specific covering root of each document: an equality join on its ancestors."""
     roots = spark.createDataFrame([("/corpus",), ("/corpus/en",), ("/corpus/en/src1",), ("/corpus/e",)], "root string")
-    steps = corpus.corpus_documents(spark, sf).select("id", F.explode(paths.ancestors(F.col("path"))).alias("root"))
-    return steps.join(roots, "root").groupBy("id").agg(F.max_by("root", F.size(paths.parts(F.col("root")))).alias("root"))
+    return maintain.covering_roots(corpus.corpus_documents(spark, sf), roots)
 
 
 def _history(spark: SparkSession, sf: str) -> DataFrame:
@@ -410,10 +410,10 @@ def merged_ignore_scopes(spark: SparkSession, sf: str) -> DataFrame:
 # Live updates ---------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {_DOCS}, p AS (SELECT DISTINCT CASE WHEN id % 40 = 0 THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE path END AS path FROM d WHERE id % 3 = 0)
+@query(f"""WITH {_DOCS}, p AS (SELECT DISTINCT CASE WHEN id % 40 = 0 THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE path END AS path FROM d)
 SELECT path FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE starts_with(p.path, q.path || '/'))""")
 def absorb_pending_paths(spark: SparkSession, sf: str) -> DataFrame:
-    docs = corpus.corpus_documents(spark, sf).where("id % 3 = 0")
+    docs = corpus.corpus_documents(spark, sf)
     return live.absorb(docs.select(F.when(F.col("id") % 40 == 0, F.regexp_extract("path", "^(.*)/[^/]*$", 1)).otherwise(F.col("path")).alias("path")))
 
 
@@ -434,9 +434,8 @@ def queue_overflow(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH t AS (SELECT conv_id, turn, text, CASE WHEN role = 'user' THEN text END AS h FROM conversations)
 SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, last_value(h IGNORE NULLS) OVER w AS heading, CAST(count(h) OVER w AS BIGINT) AS section FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)""")
 def running_heading(spark: SparkSession, sf: str) -> DataFrame:
-    turns = corpus.table(spark, sf, "conversations").withColumn("h", F.when(F.col("role") == "user", F.col("text")))
-    so_far = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.last("h", True).over(so_far).alias("heading"), F.count("h").over(so_far).alias("section"))
+    turns = corpus.table(spark, sf, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.when(F.col("role") == "user", F.col("text")).alias("own"))
+    return passages.running_headings(turns, "conv_id", "turn", "own").drop("own")
 
 
 # Formats and context --------------------------------------------------------------------------------------------------

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import is_blank, norm
+from lodestone.operators.candidates import postings
+from lodestone.sources.tables import modified, shared_dir, stored
 
 #: Where a source line begins.
 LINE_END = r"\r\n|\n|\r"
@@ -48,6 +53,27 @@ def corpus_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+class Indexed(NamedTuple):
+    """An indexed corpus: normalised once, blocks sorted by document, postings by gram."""
+
+    documents: DataFrame
+    blocks: DataFrame
+    postings: DataFrame
+
+
+def indexed(spark: SparkSession, folder: str) -> Indexed:
+    """The table ``documents`` as an index, built at its first use in a session and again if the table has changed since."""
+    known = spark.sparkContext.__dict__.setdefault("_lodestone_indexes", {})
+    key = folder, modified(spark, f"{folder}/documents.parquet")
+    if key not in known:
+        path = f"{shared_dir(spark)}/lodestone/index-{uuid.uuid4().hex}"
+        documents = stored(corpus_documents(spark, folder), "documents", f"{path}/documents")
+        blocks = stored(corpus_blocks(spark, folder).sortWithinPartitions("document_id", "ordinal"), "blocks", f"{path}/blocks")
+        posted = stored(postings(blocks).repartitionByRange("gram", "document_id").sortWithinPartitions("gram", "document_id"), "postings", f"{path}/postings")
+        known[key] = Indexed(documents, blocks, posted)
+    return known[key]
+
+
 def corpus_blocks(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select((F.col("doc_id") + 1).alias("document_id"), "text")
     return with_norms(line_blocks(docs))
