@@ -11,7 +11,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import query_terms
@@ -26,10 +26,14 @@ def gram_code(gram: str) -> int:
     return sum(ord(c) << BITS * (GRAM - 1 - k) for k, c in enumerate(gram))
 
 
-@F.pandas_udf("string")
-def gram_text(codes: pd.Series) -> pd.Series:
+def gram_text(code: Column) -> Column:
     """The gram that a number stands for."""
-    return codes.map(lambda code: "".join(chr(code >> BITS * (GRAM - 1 - k) & (1 << BITS) - 1) for k in range(GRAM)))
+
+    @F.pandas_udf("string")
+    def text(codes: pd.Series) -> pd.Series:
+        return codes.map(lambda c: "".join(chr(c >> BITS * (GRAM - 1 - k) & (1 << BITS) - 1) for k in range(GRAM)))
+
+    return text(code)
 
 
 def _grams(ids: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

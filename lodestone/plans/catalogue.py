@@ -204,7 +204,7 @@ _GRAMS = f"""{_BLOCKS}, p AS (SELECT DISTINCT document_id, unnest(list_transform
 @query(f"WITH {_GRAMS} SELECT gram, count(*) AS documents FROM p GROUP BY gram")
 def trigram_postings(spark: SparkSession, sf: str) -> DataFrame:
     counts = corpus.indexed(spark, sf).postings.groupBy("gram").agg(F.count("*").alias("documents"))
-    return counts.select(candidates.gram_text("gram").alias("gram"), "documents")
+    return counts.select(candidates.gram_text(F.col("gram")).alias("gram"), "documents")
 
 
 @query(f"WITH {_GRAMS} SELECT document_id FROM p WHERE gram IN ('ter', 'ers', 'rst', 'sta', 'tan', 'and') GROUP BY document_id HAVING count(*) = 6")
