@@ -23,12 +23,17 @@ def covering_roots(documents: DataFrame, roots: DataFrame) -> DataFrame:
     return steps.join(roots, "root").groupBy("id").agg(F.max_by("root", F.size(parts(F.col("root")))).alias("root"))
 
 
-def remove_missing(documents: DataFrame, listed: DataFrame, *, root: str, subtree: str | None = None, protected: DataFrame | None = None) -> DataFrame:
-    """documents with outcome: kept, deleted (not listed any more) or protected (not listed, but in a scope that couldn't be read). Rows outside the root and subtree are kept."""
+def remove_missing(documents: DataFrame, listed: DataFrame, *, root: str, subtree: str | None = None, scopes: DataFrame | None = None, protected: DataFrame | None = None) -> DataFrame:
+    """documents with outcome: kept, deleted (not listed any more) or protected (not listed, but in a scope that couldn't be read). Rows outside the root, the subtree
+    and the scopes (path; in or below one of them), where these are given, are kept."""
     in_scope = F.col("root_path") == root
     if subtree is not None:
         in_scope = in_scope & below(F.col("path"), subtree)
     marked = documents.join(listed.select("path").distinct().withColumn("_listed", F.lit(True)), "path", "left")
+    if scopes is not None:
+        looked_at = covered_by(documents.where(in_scope).select("path"), scopes, "left_semi").select("path").distinct().withColumn("_scoped", F.lit(True))
+        marked = marked.join(looked_at, "path", "left")
+        in_scope = in_scope & F.coalesce(F.col("_scoped"), F.lit(False))
     gone = F.coalesce(in_scope, F.lit(False)) & F.col("_listed").isNull()
     if protected is None:
         return marked.withColumn("outcome", F.when(gone, "deleted").otherwise("kept")).drop("_listed").select(*documents.columns, "outcome")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +13,17 @@ from pyspark.sql import functions as F
 from lodestone import schema as S
 from lodestone.functions.text import iso_time, norm
 from lodestone.operators import classify, maintain, stats
-from lodestone.plans.roots import plan_root
-from lodestone.sources.listing import scan
+from lodestone.operators.candidates import candidates
+from lodestone.plans.roots import RootPlan, plan_root
+from lodestone.sources.listing import Listing, scan
 from lodestone.sources.parsers import LARGEST_FILE, parse_column
 from lodestone.sources.store import Store
 
 
+#: Milliseconds in which a file mustn't change to be taken.
+STABLE_MS = 100
+
+
 def read_files(files: DataFrame) -> DataFrame:
     """(document_id, filename, content) of (document_id, path, filename, size_bytes): read on the workers, one file at a time. Files over the limit come as an empty value of that size's class
     and those that can't be read as null."""
@@ -35,6 +40,32 @@ def read_files(files: DataFrame) -> DataFrame:
     return files.select("document_id", "path", "filename", "size_bytes").mapInArrow(run, "document_id long, filename string, content binary")
 
 
+def stable(path: str) -> bool:
+    """Whether a path is gone, a folder, or a file whose size and time of change stay as they are for STABLE_MS."""
+    look = lambda: (lambda s: (s.st_size, s.st_mtime_ns))(os.stat(path, follow_symlinks=False))
+    try:
+        if not os.path.isfile(path):
+            return True
+        before = look()
+        time.sleep(STABLE_MS / 1000)
+        return look() == before
+    except FileNotFoundError:
+        return True
+
+
+def listing_of(root: str, scopes: list[str], extra_bases: list[str], artifacts: list[str]) -> Listing:
+    """What a scan finds in and below the scopes, files or folders; those that are gone give nothing."""
+    out = Listing()
+    for scope in scopes:
+        there = os.path.lexists(scope)
+        one = scan(root, start=scope if os.path.isdir(scope) else os.path.dirname(scope), extra_bases=extra_bases, artifacts=artifacts, only=None if os.path.isdir(scope) else os.path.basename(scope)) if there or scope == root else Listing()
+        out.files += one.files
+        out.protected += one.protected
+        out.diagnostics += one.diagnostics
+        out.skipped.update(one.skipped)
+    return out
+
+
 class Index:
     """Documents and blocks of a store, pinned to the snapshot that was current when it was opened."""
 
@@ -57,60 +88,111 @@ class Index:
     def meta(self) -> dict:
         return self.store.meta(self.number)
 
-    def sync(self, folder: str, *, rebuild: bool = False) -> dict:
+    @property
+    def postings(self) -> DataFrame:
+        return self.store.table("postings", self.number)
+
+    def candidates(self, raw_query: str, all_terms: bool = False) -> DataFrame | None:
+        """document_id of a superset of the documents whose blocks match; None if the query is too short to prune."""
+        if not self.store.manifest(self.number)["tables"]["postings"]:
+            return None
+        return candidates(self.postings, raw_query, self.documents if all_terms else None)
+
+    def sync(self, folder: str, *, rebuild: bool = False, wait: bool = False, progress: Callable[[str, dict], None] | None = None) -> dict:
         """Brings the index up to date with a folder and returns the report. Only files that need it are read; a snapshot is committed at the end, or
-        nothing is. Below folders that can't be read nothing is deleted."""
+        nothing is. Below folders that can't be read nothing is deleted. ``progress(phase, numbers)`` is told of each phase."""
+        with self.store.writing(wait):
+            meta = self.store.meta(self.store.current())
+            plan = plan_root(list(meta["roots"]), os.path.realpath(folder))
+            return self._bring_up(plan, [plan.subtree or plan.root], rebuild, progress or (lambda *_: None))
+
+    def apply(self, root: str, paths: list[str] | None, *, wait: bool = True) -> dict:
+        """Brings the given paths of an indexed root up to date: files that are there are indexed, what is gone is removed with all below it, folders are
+        looked through. None: the whole root. Files that are still being written (size or time change within STABLE_MS) are left for the next time, listed as ``unstable``."""
+        with self.store.writing(wait):
+            meta = self.store.meta(self.store.current())
+            if root not in meta["roots"]:
+                raise LookupError(f"{root} isn't indexed")
+            plan = RootPlan("existing", root)
+            if paths is None:
+                return self._bring_up(plan, [root], False, lambda *_: None)
+            steady = [p for p in paths if stable(p)]
+            report = self._bring_up(plan, steady, False, lambda *_: None) if steady else {"found": 0, "removed": 0}
+            return report | {"unstable": sorted(set(paths) - set(steady))}
+
+    def _bring_up(self, plan: RootPlan, scopes: list[str], rebuild: bool, progress: Callable[[str, dict], None]) -> dict:
+        """Compares what lies in and below the scopes with the index and commits the difference."""
         began = time.time()
         spark = self.store.spark
+        number = self.store.current()
+        meta = self.store.meta(number)
+        documents = self.store.table("documents", number)
+        moved = [tuple(x) for x in meta["ignore_scopes"]]
+        if plan.kind == "merge":
+            documents = maintain.merge_roots(documents, plan.root, list(plan.children))
+            moved = list(dict.fromkeys([(plan.root if r in plan.children else r, b) for r, b in moved] + [(plan.root, c) for c in plan.children]))
+            meta["history"] = [*meta["history"], *([c, plan.root] for c in plan.children)]
+            meta["roots"] = {r: v for r, v in meta["roots"].items() if r not in plan.children}
+        found = listing_of(plan.root, scopes, [b for r, b in moved if r == plan.root], self.store.artifacts())
+        progress("listed", {"files": len(found.files)})
+        listed = found.frame(spark)
+        inside = spark.createDataFrame([(p,) for p in scopes], "path string")
+        known = maintain.covered_by(documents.where(F.col("root_path") == plan.root), inside, "left_semi")
+        compared = classify.compare(listed, known, rebuild).persist()
+        totals = classify.sync_totals(compared).first().asDict()
+        totals["reasons"] = {r["reason"]: r["files"] for r in classify.reason_counts(compared).collect()}
+        progress("compared", totals)
+        top = documents.agg(F.max("id")).first()[0] or 0
+        now = int(began * 1000)
+        todo = compared.where("action <> 'skip'").join(documents.select("path", "id"), "path", "left")
+        todo = todo.where("id is not null").unionByName(maintain.next_ids(todo.where("id is null").drop("id"), top + 1, F.col("path"))).persist()
+        parsed = parse_column(read_files(todo.where("action = 'parse'").select(F.col("id").alias("document_id"), "path", "filename", "size_bytes"))).persist()
+        outcome = parsed.groupBy("document_id").agg(F.first("status").alias("status"), F.first("error_code").alias("error_code"), F.first("error_message").alias("error_message"))
+        changed = todo.join(outcome, todo["id"] == outcome["document_id"], "left")
+        large = F.col("size_bytes") > LARGEST_FILE
+        version = F.when(F.col("extension").isin(*S.TEXT_EXTENSIONS), S.TEXT_PARSE_VERSION).cast("int")
+        changed = changed.select(
+            "id", F.lit(plan.root).alias("root_path"), "path", "filename", "extension", "size_bytes", "modified_at_ms", F.lit(now).cast("long").alias("indexed_at_ms"),
+            F.when(large & (F.col("action") == "parse"), "too_large").otherwise(F.coalesce("status", F.lit("unsupported"))).alias("status"),
+            F.when(large & (F.col("action") == "parse"), "FILE_TOO_LARGE").otherwise(F.col("error_code")).alias("error_code"), "error_message", version.alias("parse_version"), "reason",
+        ).persist()
+        totals["committed"] = {r["reason"]: r["count"] for r in changed.where("status <> 'error'").groupBy("reason").count().collect()}
+        merged = documents.join(changed.select("path"), "path", "left_anti").unionByName(changed.select(*documents.columns))
+        protected = spark.createDataFrame([(p,) for p in found.protected], "path string") if found.protected else None
+        judged = maintain.remove_missing(merged, listed, root=plan.root, scopes=inside, protected=protected).persist()
+        outcomes = {r["outcome"]: r["count"] for r in judged.groupBy("outcome").count().collect()}
+        kept = judged.where("outcome <> 'deleted'").drop("outcome")
+        gone = judged.where("outcome = 'deleted'").select(F.col("id").alias("document_id"))
+        stale = todo.where("action = 'parse'").select(F.col("id").alias("document_id")).union(gone)
+        touched = None
+        if plan.kind != "merge":  # at most one row for each part
+            ids = todo.select(F.col("id").alias("document_id")).union(gone)
+            touched = [r[0] for r in ids.select(self.store.part_of(F.col("document_id"), number)).distinct().collect()]
+        progress("parsed", {"parts": len(touched) if touched is not None else None})
+        fresh = parsed.where("ordinal is not null").select("document_id", "ordinal", "heading", "content", "location_kind", "location_value").withColumns({"norm_heading": norm(F.col("heading")), "norm_content": norm(F.col("content"))})
+        blocks = self.store.table("blocks", number, touched)
+        new_blocks = maintain.replace_blocks(blocks, stale, fresh.select(*blocks.columns)).join(gone, "document_id", "left_anti")
+        complete = not found.diagnostics
+        report = totals | {"removed": outcomes.get("deleted", 0), "protected": outcomes.get("protected", 0), "skipped": dict(found.skipped), "complete": complete, "elapsed_ms": int((time.time() - began) * 1000)}
+        if scopes == [plan.root]:
+            before = meta["roots"].get(plan.root) or {}
+            report["successful_at_ms"] = now if complete else before.get("successful_at_ms")
+            meta["roots"][plan.root] = report
+        meta["ignore_scopes"] = [list(x) for x in moved]
+        self.number = self.store.commit(kept, new_blocks, meta, touched)
+        for frame in (compared, todo, parsed, judged, changed):
+            frame.unpersist()
+        progress("committed", {"snapshot": self.number})
+        return report
+
+    def clear(self) -> int:
+        """Drops all documents; roots stay known. Returns how many documents went."""
         with self.store.writing():
             number = self.store.current()
-            meta = self.store.meta(number)
-            plan = plan_root(list(meta["roots"]), os.path.realpath(folder))
             documents, blocks = self.store.table("documents", number), self.store.table("blocks", number)
-            scopes = [tuple(x) for x in meta["ignore_scopes"]]
-            if plan.kind == "merge":
-                documents = maintain.merge_roots(documents, plan.root, list(plan.children))
-                scopes = list(dict.fromkeys([(plan.root if r in plan.children else r, b) for r, b in scopes] + [(plan.root, c) for c in plan.children]))
-                meta["history"] = [*meta["history"], *([c, plan.root] for c in plan.children)]
-                meta["roots"] = {r: v for r, v in meta["roots"].items() if r not in plan.children}
-            found = scan(plan.root, start=plan.subtree, extra_bases=[b for r, b in scopes if r == plan.root], artifacts=self.store.artifacts())
-            compared = classify.compare(found.frame(spark), documents.where(F.col("root_path") == plan.root), rebuild).persist()
-            totals = classify.sync_totals(compared).first().asDict()
-            totals["reasons"] = {r["reason"]: r["files"] for r in classify.reason_counts(compared).collect()}
-            top = documents.agg(F.max("id")).first()[0] or 0
-            now = int(began * 1000)
-            todo = compared.where("action <> 'skip'").join(documents.select("path", "id"), "path", "left")
-            todo = todo.where("id is not null").unionByName(maintain.next_ids(todo.where("id is null").drop("id"), top + 1, F.col("path"))).persist()
-            parsed = parse_column(read_files(todo.where("action = 'parse'").select(F.col("id").alias("document_id"), "path", "filename", "size_bytes"))).persist()
-            outcome = parsed.groupBy("document_id").agg(F.first("status").alias("status"), F.first("error_code").alias("error_code"), F.first("error_message").alias("error_message"))
-            changed = todo.join(outcome, todo["id"] == outcome["document_id"], "left")
-            large = F.col("size_bytes") > LARGEST_FILE
-            version = F.when(F.col("extension").isin(*S.TEXT_EXTENSIONS), S.TEXT_PARSE_VERSION).cast("int")
-            changed = changed.select(
-                "id", F.lit(plan.root).alias("root_path"), "path", "filename", "extension", "size_bytes", "modified_at_ms", F.lit(now).cast("long").alias("indexed_at_ms"),
-                F.when(large & (F.col("action") == "parse"), "too_large").otherwise(F.coalesce("status", F.lit("unsupported"))).alias("status"),
-                F.when(large & (F.col("action") == "parse"), "FILE_TOO_LARGE").otherwise(F.col("error_code")).alias("error_code"), "error_message", version.alias("parse_version"),
-            )
-            merged = documents.join(changed.select("path"), "path", "left_anti").unionByName(changed.select(*documents.columns))
-            protected = spark.createDataFrame([(p,) for p in found.protected], "path string") if found.protected else None
-            judged = maintain.remove_missing(merged, found.frame(spark), root=plan.root, subtree=plan.subtree, protected=protected).persist()
-            outcomes = {r["outcome"]: r["count"] for r in judged.groupBy("outcome").count().collect()}
-            kept = judged.where("outcome <> 'deleted'").drop("outcome")
-            fresh = parsed.where("ordinal is not null").select("document_id", "ordinal", "heading", "content", "location_kind", "location_value").withColumns({"norm_heading": norm(F.col("heading")), "norm_content": norm(F.col("content"))})
-            gone = judged.where("outcome = 'deleted'").select(F.col("id").alias("document_id"))
-            stale = todo.where("action = 'parse'").select(F.col("id").alias("document_id")).union(gone)
-            new_blocks = maintain.replace_blocks(blocks, stale, fresh.select(*blocks.columns)).join(gone, "document_id", "left_anti")
-            complete = not found.diagnostics
-            report = totals | {"removed": outcomes.get("deleted", 0), "protected": outcomes.get("protected", 0), "skipped": dict(found.skipped), "complete": complete, "elapsed_ms": int((time.time() - began) * 1000)}
-            if plan.subtree is None:
-                before = meta["roots"].get(plan.root) or {}
-                report["successful_at_ms"] = now if complete else before.get("successful_at_ms")
-                meta["roots"][plan.root] = report
-            meta["ignore_scopes"] = [list(x) for x in scopes]
-            self.number = self.store.commit(kept, new_blocks, meta)
-            for frame in (compared, todo, parsed, judged):
-                frame.unpersist()
-        return report
+            n = documents.count()
+            self.number = self.store.commit(documents.limit(0), blocks.limit(0), self.store.meta(number))
+        return n
 
     def remove_root(self, root: str) -> int:
         """Drops a root with its documents and blocks; returns how many documents went."""

@@ -18,7 +18,7 @@ class SearchSession:
     def __init__(self, index: Index, raw_query: str, *, all_terms: bool = False, scope: Scope = Scope()):
         self.store, self.number, self.all_terms = index.store, index.number, all_terms
         self.documents, self.blocks = index.documents, index.blocks  # of this snapshot
-        found = rank(scope.apply(self.documents), self.blocks, raw_query, all_terms=all_terms)
+        found = rank(scope.apply(self.documents), self.blocks, raw_query, all_terms=all_terms, candidates=index.candidates(raw_query, all_terms))
         self.layers: list[tuple[str, DataFrame]] = [(raw_query, numbered(found).persist())]
 
     def _check(self) -> None:

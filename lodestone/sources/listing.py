@@ -36,11 +36,11 @@ def read_rules(folder: str, ignore_file: str = IGNORE_FILE) -> list[IgnoreRule]:
         return ignore_rules(file.read())
 
 
-def scan(root: str, *, start: str | None = None, extra_bases: list[str] = (), artifacts: list[str] = (), windows_volume: bool = False, ignore_file: str = IGNORE_FILE) -> Listing:
+def scan(root: str, *, start: str | None = None, extra_bases: list[str] = (), artifacts: list[str] = (), windows_volume: bool = False, ignore_file: str = IGNORE_FILE, only: str | None = None) -> Listing:
     """Regular files below ``start`` (the root if not given). Links aren't followed. Folders that can't be read become protected scopes.
 
     Rules of the root's ignore file and of further folders (roots that were merged into this one) hold for what lies below each. An entry that is
-    left out counts once, in the first class that applies: builtin, ignored, link, other.
+    left out counts once, in the first class that applies: builtin, ignored, link, other. ``only``: just the entry of that name in ``start``.
     """
     root = os.path.realpath(root)
     rules = [(base, read_rules(base, ignore_file)) for base in dict.fromkeys([root, *extra_bases])]
@@ -64,6 +64,8 @@ def scan(root: str, *, start: str | None = None, extra_bases: list[str] = (), ar
         if why := left_out(path, steps[k], True, k == 0):
             out.skipped[why] += 1
             return out
+    if only is not None and begin != root and not begin.startswith(root.rstrip("/") + "/"):
+        return out
     todo = [begin]
     while todo:
         folder = todo.pop()
@@ -75,6 +77,8 @@ def scan(root: str, *, start: str | None = None, extra_bases: list[str] = (), ar
             out.diagnostics.append(("scan", folder, error.strerror or "OSError", str(error)))
             continue
         for e in entries:
+            if only is not None and e.name != only:
+                continue
             is_folder = e.is_dir(follow_symlinks=False)
             if why := left_out(e.path, e.name, is_folder, folder == root):
                 out.skipped[why] += 1

@@ -1,4 +1,7 @@
-"""Versioned snapshots of an index: Parquet tables in numbered folders, a pointer that is replaced at once, and one writer at a time."""
+"""Versioned snapshots of an index: Parquet tables in parts by document, a pointer that is replaced at once, and one writer at a time.
+
+A commit writes only the parts whose documents changed; the manifest of a snapshot says for each part in which commit it was written.
+"""
 
 from __future__ import annotations
 
@@ -6,20 +9,31 @@ import json
 import os
 import re
 import shutil
+import socket
 import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone import schema as S
+from lodestone.operators.candidates import postings
 
-#: Versions of the layout, and seconds between tries for the writer's lock.
-FORMAT_VERSION = 2
+#: The version of the layout, and seconds between tries for the writer's lock.
+FORMAT_VERSION = 3
 LOCK_BACKOFF = (1, 2, 5, 10, 30)
 KEPT_SNAPSHOTS = 2
+#: Parts of a new index. An index keeps its number.
+PARTS = 8
+#: Seconds after which a lock of another host counts as given up unless it is renewed.
+LEASE_SECONDS = 3600
 
-TABLES = {"documents": S.DOCUMENTS, "blocks": S.BLOCKS}
+POSTINGS = T.StructType([T.StructField("gram", T.LongType()), T.StructField("document_id", T.LongType())])
+TABLES = {"documents": S.DOCUMENTS, "blocks": S.BLOCKS, "postings": POSTINGS}
+#: By table: the column that names the document, and the order within a part.
+_KEYS = {"documents": ("id", ["id"]), "blocks": ("document_id", ["document_id", "ordinal"]), "postings": ("document_id", ["gram", "document_id"])}
 
 
 class LockedError(RuntimeError):
@@ -30,11 +44,15 @@ class SnapshotChanged(RuntimeError):
     """The index has changed since a result was made."""
 
 
+class FormatError(RuntimeError):
+    """The index was written by a later version."""
+
+
 class Store:
-    """An index folder: snapshots/<number>/{documents,blocks,meta.json}, CURRENT and writer.lock. Readers stay on the snapshot that they began with."""
+    """An index folder: tables/<table>/<commit>/part=<k>, snapshots/<number>.json, CURRENT and writer.lock. Readers stay on the snapshot that they began with."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, os.path.abspath(folder)
+    def __init__(self, spark: SparkSession, folder: str, parts: int = PARTS):
+        self.spark, self.folder, self._parts = spark, os.path.abspath(folder), parts
         os.makedirs(os.path.join(self.folder, "snapshots"), exist_ok=True)
 
     def current(self) -> int:
@@ -45,75 +63,159 @@ class Store:
         except FileNotFoundError:
             return 0
 
-    def path(self, number: int, name: str = "") -> str:
-        return os.path.join(self.folder, "snapshots", f"{number:08d}", name)
+    def _manifest_path(self, number: int) -> str:
+        return os.path.join(self.folder, "snapshots", f"{number:08d}.json")
 
-    def meta(self, number: int | None = None) -> dict:
-        number = self.current() if number is None else number
+    def manifest(self, number: int) -> dict:
+        """{meta, parts, tables: {table: {part: commit}}} of a snapshot. Layouts of a later version are refused, those of earlier ones brought up to date as they are read."""
         if not number:
-            return {"format": FORMAT_VERSION, "roots": {}, "ignore_scopes": [], "history": []}
-        with open(self.path(number, "meta.json"), encoding="utf-8") as file:
-            return json.load(file)
+            return {"meta": {"format": FORMAT_VERSION, "roots": {}, "ignore_scopes": [], "history": []}, "parts": self._parts, "tables": {name: {} for name in TABLES}}
+        with open(self._manifest_path(number), encoding="utf-8") as file:
+            found = json.load(file)
+        if found["meta"]["format"] > FORMAT_VERSION:
+            raise FormatError(f"layout {found['meta']['format']} is later than {FORMAT_VERSION}")
+        return upgraded(found)
 
-    def table(self, name: str, number: int | None = None) -> DataFrame:
-        number = self.current() if number is None else number
+    def meta(self, number: int | None = None) -> dict:
+        return self.manifest(self.current() if number is None else number)["meta"]
+
+    def format_status(self) -> dict:
+        """The layout of the current snapshot, the one that is written now, and tables that the next full commit has to fill."""
+        number = self.current()
         if not number:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(self.path(number, name))
+            return {"format": None, "current": FORMAT_VERSION, "pending": []}
+        with open(self._manifest_path(number), encoding="utf-8") as file:
+            found = json.load(file)
+        return {"format": found["meta"]["format"], "current": FORMAT_VERSION, "pending": [t for t in TABLES if t not in found["tables"]]}
+
+    def table(self, name: str, number: int | None = None, parts: list[int] | None = None) -> DataFrame:
+        """A table of a snapshot, or the given parts of it."""
+        manifest = self.manifest(self.current() if number is None else number)
+        at = manifest["tables"][name]
+        paths = [self._part_path(name, commit, int(part)) for part, commit in sorted(at.items()) if parts is None or int(part) in parts]
+        return self.spark.read.schema(TABLES[name]).parquet(*paths) if paths else self.spark.createDataFrame([], TABLES[name])
+
+    def _part_path(self, name: str, commit: int, part: int) -> str:
+        return os.path.join(self.folder, "tables", name, f"{commit:08d}", f"part={part}")
+
+    def part_of(self, ident: Column, number: int | None = None) -> Column:
+        """The part in which a document lies."""
+        return F.pmod(F.xxhash64(ident.cast("long")), F.lit(self.manifest(self.current() if number is None else number)["parts"])).cast("int")
 
     @contextmanager
     def writing(self, wait: bool = False) -> Iterator[None]:
-        """Holds the writer's lock. Without ``wait`` a held lock is an error at once; locks of processes that are gone are taken over."""
+        """Holds the writer's lock. Without ``wait`` a held lock is an error at once; locks of processes that are gone, or of other hosts and older than LEASE_SECONDS, are taken over."""
         path = os.path.join(self.folder, "writer.lock")
         pauses = list(LOCK_BACKOFF if wait else ())
-        while True:
-            try:
-                handle = os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
-                break
-            except FileExistsError:
-                if self._stale(path):
-                    continue
-                if not pauses:
-                    raise LockedError(f"{path} is held") from None
-                time.sleep(pauses.pop(0))
+        while not self._take(path):
+            if self._abandoned(path):
+                continue
+            if not pauses:
+                raise LockedError(f"{path} is held")
+            time.sleep(pauses.pop(0))
         try:
-            os.write(handle, str(os.getpid()).encode())
-            os.close(handle)
             yield
         finally:
             os.unlink(path)
 
     @staticmethod
-    def _stale(path: str) -> bool:
+    def _take(path: str) -> bool:
         try:
-            with open(path, encoding="ascii") as file:
-                owner = int(file.read() or 0)
-            if owner:
-                os.kill(owner, 0)
+            handle = os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+        except FileExistsError:
             return False
-        except ProcessLookupError:
-            os.unlink(path)
+        os.write(handle, json.dumps({"host": socket.gethostname(), "pid": os.getpid(), "at": time.time()}).encode())
+        os.close(handle)
+        return True
+
+    @classmethod
+    def _abandoned(cls, path: str) -> bool:
+        """Removes the lock if its owner is gone. Only one process at a time may judge, so none removes a lock that another has just taken."""
+        judge = path + ".judge"
+        if not cls._take(judge):
+            return False
+        try:
+            with open(path, encoding="utf-8") as file:
+                owner = json.loads(file.read() or "0")
+            owner = owner if isinstance(owner, dict) else {"host": socket.gethostname(), "pid": int(owner), "at": time.time()}
+            if owner["host"] == socket.gethostname():
+                gone = False
+                try:
+                    os.kill(owner["pid"], 0) if owner["pid"] else None
+                except ProcessLookupError:
+                    gone = True
+                except PermissionError:
+                    pass
+            else:
+                gone = time.time() - owner["at"] > LEASE_SECONDS
+            if gone:
+                os.unlink(path)
+            return gone
+        except FileNotFoundError:
             return True
-        except (OSError, ValueError):
+        except (OSError, ValueError, KeyError):
             return False
-
-    def commit(self, documents: DataFrame, blocks: DataFrame, meta: dict) -> int:
-        """Writes a snapshot and makes it the current one; blocks lie sorted by document. Readers of the one before keep it until the next commit."""
-        number = max([self.current(), *(int(n) for n in os.listdir(os.path.join(self.folder, "snapshots")) if re.fullmatch(r"\d{8}", n))]) + 1
-        documents.select(*S.DOCUMENTS.names).write.parquet(self.path(number, "documents"))
-        blocks.select(*S.BLOCKS.names).sortWithinPartitions("document_id", "ordinal").write.parquet(self.path(number, "blocks"))
-        with open(self.path(number, "meta.json"), "x", encoding="utf-8") as file:
-            json.dump(meta | {"format": FORMAT_VERSION}, file, ensure_ascii=False)
+        finally:
+            os.unlink(judge)
+
+    def commit(self, documents: DataFrame, blocks: DataFrame, meta: dict, parts: list[int] | None = None) -> int:
+        """Writes a snapshot and makes it the current one. ``parts``: those in which something has changed (None: all); of the others the files of the snapshot before stay.
+
+        Blocks lie sorted by document; postings are worked out from the blocks as written and lie sorted by gram.
+        """
+        before = self.manifest(self.current())
+        number = max([self.current(), *(int(n[:8]) for n in os.listdir(os.path.join(self.folder, "snapshots")) if re.fullmatch(r"\d{8}\.json", n))]) + 1
+        touched = list(range(before["parts"])) if parts is None else sorted(parts)
+        tables = {name: {p: c for p, c in before["tables"].get(name, {}).items() if int(p) not in touched} for name in TABLES}
+        for name, df in (("documents", documents.select(*S.DOCUMENTS.names)), ("blocks", blocks.select(*S.BLOCKS.names)), ("postings", None)):
+            if df is None:
+                written = [self._part_path("blocks", number, int(p)) for p, c in tables["blocks"].items() if c == number]
+                df = postings(self.spark.read.schema(S.BLOCKS).parquet(*written)) if written else self.spark.createDataFrame([], POSTINGS)
+            ident, order = _KEYS[name]
+            path = os.path.join(self.folder, "tables", name, f"{number:08d}")
+            placed = df.withColumn("part", F.pmod(F.xxhash64(F.col(ident)), F.lit(before["parts"])).cast("int"))
+            if parts is not None:
+                placed = placed.where(F.col("part").isin(*touched) if touched else F.lit(False))
+            placed.repartition("part").sortWithinPartitions("part", *order).write.partitionBy("part").parquet(path)
+            tables[name] |= {n[5:]: number for n in os.listdir(path) if n.startswith("part=")}
+        with open(self._manifest_path(number), "x", encoding="utf-8") as file:
+            json.dump({"meta": meta | {"format": FORMAT_VERSION}, "parts": before["parts"], "tables": tables}, file, ensure_ascii=False)
         pointer = os.path.join(self.folder, f"CURRENT.{os.getpid()}")
         with open(pointer, "w", encoding="ascii") as file:
             file.write(str(number))
             file.flush()
             os.fsync(file.fileno())
         os.replace(pointer, os.path.join(self.folder, "CURRENT"))
-        for name in sorted(os.listdir(os.path.join(self.folder, "snapshots")))[:-KEPT_SNAPSHOTS]:
-            shutil.rmtree(os.path.join(self.folder, "snapshots", name), ignore_errors=True)
+        self._clean()
         return number
 
+    def _clean(self) -> None:
+        """Drops the oldest snapshots and the parts that only they name; the last KEPT_SNAPSHOTS stay for their readers."""
+        folder = os.path.join(self.folder, "snapshots")
+        names = sorted(n for n in os.listdir(folder) if n.endswith(".json"))
+        for name in names[:-KEPT_SNAPSHOTS]:
+            os.unlink(os.path.join(folder, name))
+        used = set()
+        for name in names[-KEPT_SNAPSHOTS:]:
+            with open(os.path.join(folder, name), encoding="utf-8") as file:
+                used |= {(table, commit, int(part)) for table, at in json.load(file)["tables"].items() for part, commit in at.items()}
+        for table in TABLES:
+            top = os.path.join(self.folder, "tables", table)
+            for commit in os.listdir(top):
+                inside = os.path.join(top, commit)
+                left = [n for n in os.listdir(inside) if n.startswith("part=")]
+                for n in left:
+                    if (table, int(commit), int(n[5:])) not in used:
+                        shutil.rmtree(os.path.join(inside, n), ignore_errors=True)
+                if not any((table, int(commit), int(n[5:])) in used for n in left):
+                    shutil.rmtree(inside, ignore_errors=True)
+
     def artifacts(self) -> list[str]:
         """Paths that a listing leaves out."""
         return [self.folder]
+
+
+def upgraded(manifest: dict) -> dict:
+    """A manifest of an earlier layout as one of this: layout 2 had no postings, and its meta may lack keys; the postings come with the next full commit."""
+    meta = {"roots": {}, "ignore_scopes": [], "history": []} | manifest["meta"]
+    return manifest | {"meta": meta, "tables": {name: manifest["tables"].get(name, {}) for name in TABLES}}
