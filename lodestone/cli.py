@@ -57,7 +57,7 @@ def main(argv: list[str] | None = None) -> int:
             for r in page.rows.collect():
                 print(f"{r['position']}. [{r['reason']}] {terminal_text(r['path'])}\n   {terminal_text(r['snippet']['text'])}")
         elif args.verb == "context":
-            rows = context.bundle(index.documents, index.blocks, args.query, limit=min(args.page_size, context.MOST_SELECTED), scope=_scope(index, args)).collect()
+            rows = context.bundle(index.documents, index.blocks, args.query, limit=min(args.page_size, context.MOST_SELECTED), scope=_scope(index, args), all_terms=args.all_terms).collect()
             print(context.markdown([r.asDict(True) for r in rows], [args.query]))
         elif args.verb == "roots":
             print(json.dumps(index.meta["roots"], ensure_ascii=False, indent=1))
