@@ -112,3 +112,14 @@ def candidates(posted: DataFrame, raw_query: str, documents: DataFrame | None =
         if one is not None:
             found.append(one)
     return reduce(lambda a, b: a.join(b, "document_id", "left_semi"), found) if found else None
+
+
+def without_postings(documents: DataFrame, posted: DataFrame) -> DataFrame:
+    """Documents (id) that no posting names: those with too little text, or those that an interrupted upgrade has left out."""
+    return documents.join(posted.select(F.col("document_id").alias("id")).distinct(), "id", "left_anti")
+
+
+def may_contain_any(posted: DataFrame, terms: list[str]) -> DataFrame | None:
+    """document_id of those that may hold at least one of the terms; None if a term is too short to tell."""
+    found = [term_candidates(posted, t) for t in terms]
+    return None if any(f is None for f in found) else reduce(DataFrame.union, found).distinct()

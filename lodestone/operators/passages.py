@@ -80,3 +80,9 @@ def all_terms_passages(documents: DataFrame, blocks: DataFrame, raw_query: str,
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     return gathered.select(F.col("document_id").cast("long"), "found").mapInArrow(run, "document_id long, passage_no int, ordinal int, rank int, matched int, terms int")
+
+
+def within_budget(rows: DataFrame, by: str, order: str, text: str, limit: int) -> DataFrame:
+    """Of each group the first rows whose texts take ``limit`` UTF-8 bytes at most together, with used, the bytes up to each."""
+    so_far = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("used", F.sum(F.octet_length(F.coalesce(text, F.lit("")))).over(so_far)).where(F.col("used") <= limit)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.paths import below, utf16_order
-from lodestone.functions.text import query_terms
+from lodestone.functions.text import document_reference, iso_time, query_terms
 from lodestone.sources.tables import stored
 
 #: The labels of the four ranks, and what is added to those of a search for all terms.
@@ -167,3 +167,13 @@ def refine(previous: DataFrame, documents: DataFrame, blocks: DataFrame, raw_que
     among = documents.join(previous.select("id"), "id", "left_semi")
     found = rank(among, blocks.join(previous.select(F.col("id").alias("document_id")), "document_id", "left_semi"), raw_query, all_terms=all_terms)
     return found.join(previous.select("id", "position"), "id")
+
+
+def search_page(documents: DataFrame, blocks: DataFrame, raw_query: str, page: int, page_size: int, *, all_terms: bool = False, scope: Scope = Scope(), candidates: DataFrame | None = None) -> DataFrame:
+    """A page of the accessible window: position, reference, path, reason, modified_at, total_hits, truncated. Beyond the window's last page there are no rows."""
+    if page < 1 or not 1 <= page_size <= PAGE_LIMIT:
+        raise ValueError(f"pages begin at 1 and have 1 to {PAGE_LIMIT} rows")
+    hits = windowed(stored(rank(scope.apply(documents), blocks, raw_query, all_terms=all_terms, candidates=candidates), "hits"))
+    placed = hits.withColumn("position", F.row_number().over(Window.orderBy(*result_order())).cast("long"))  # at most WINDOW_ROWS rows
+    rows = placed.where((F.col("position") > (page - 1) * page_size) & (F.col("position") <= page * page_size))
+    return rows.select("position", document_reference(F.col("id"), F.col("path")).alias("reference"), "path", reason(F.col("rank"), all_terms).alias("reason"), iso_time(F.col("modified_at_ms")).alias("modified_at"), "total_hits", "truncated").orderBy("position")

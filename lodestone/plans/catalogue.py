@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from lodestone.functions.snippet import snippets
 from lodestone.functions.text import document_reference, iso_time, norm
 from lodestone.operators import candidates, classify, maintain, passages, search, stats
 from lodestone.plans import context
-from lodestone.sources import corpus
+from lodestone.sources import corpus, samples
 from lodestone.sources.parsers import parse_column
 from lodestone.sources.tables import stored
 from lodestone.streaming import live
@@ -176,9 +177,24 @@ def matching_passages(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("document_id", F.col("ordinal").cast("long").alias("ordinal"), F.col("rank").cast("long").alias("rank"), F.col("passage_no").cast("long").alias("passage_no"))
 
 
-@query()
+_WORDS3 = ("the", "and", "of")
+_NEW = "+".join(f"greatest(f.t{k} - c.t{k}, 0)" for k in range(3))
+_NEXT = "struct_pack(ordinal := f.ordinal, t0 := f.t0, t1 := f.t1, t2 := f.t2)"
+
+
+@query(f"""WITH {_DOCS}, {_BLOCKS}, f AS (SELECT document_id, ordinal, {", ".join(f"CAST(contains(lower(content), '{t}') AS INT) AS t{k}" for k, t in enumerate(_WORDS3))} FROM b),
+v AS (SELECT document_id FROM f JOIN d ON d.id = f.document_id GROUP BY document_id HAVING {" AND ".join(f"max(t{k} + CAST(contains(lower(filename), '{t}') AS INT)) > 0" for k, t in enumerate(_WORDS3))}),
+g AS (SELECT * FROM f JOIN v USING (document_id) WHERE t0 + t1 + t2 > 0),
+p1 AS (SELECT document_id, arg_max({_NEXT}, (t0 + t1 + t2) * 10000000 - ordinal) AS p FROM g f GROUP BY document_id),
+c1 AS (SELECT document_id, p.ordinal AS o1, -1 AS o2, p.t0 AS t0, p.t1 AS t1, p.t2 AS t2 FROM p1),
+p2 AS (SELECT f.document_id, arg_max({_NEXT}, (({_NEW}) * 4 + f.t0 + f.t1 + f.t2) * 10000000 - f.ordinal) AS p FROM g f JOIN c1 c ON c.document_id = f.document_id AND f.ordinal <> c.o1 GROUP BY f.document_id),
+c2 AS (SELECT c.document_id, o1, p.ordinal AS o2, greatest(c.t0, p.t0) AS t0, greatest(c.t1, p.t1) AS t1, greatest(c.t2, p.t2) AS t2 FROM c1 c JOIN p2 USING (document_id)),
+p3 AS (SELECT f.document_id, arg_max({_NEXT}, (({_NEW}) * 4 + f.t0 + f.t1 + f.t2) * 10000000 - f.ordinal) AS p FROM g f JOIN c2 c ON c.document_id = f.document_id AND f.ordinal <> c.o1 AND f.ordinal <> c.o2 GROUP BY f.document_id)
+SELECT document_id, CAST(n AS BIGINT) AS passage_no, CAST(p.ordinal AS BIGINT) AS ordinal, CAST(1 AS BIGINT) AS rank, CAST(p.t0 + p.t1 + p.t2 AS BIGINT) AS matched, CAST(3 AS BIGINT) AS terms
+FROM (SELECT *, 1 AS n FROM p1 UNION ALL SELECT *, 2 FROM p2 UNION ALL SELECT *, 3 FROM p3)""")
 def matching_passages_all_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return passages.all_terms_passages(*_corpus(spark, sf), "the and of")
+    found = passages.all_terms_passages(*_corpus(spark, sf), " ".join(_WORDS3))
+    return found.select(*(F.col(c).cast("long").alias(c) for c in ("document_id", "passage_no", "ordinal", "rank", "matched", "terms")))
 
 
 @query()
@@ -196,6 +212,19 @@ def document_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return search.by_place(_corpus(spark, sf)[0], paths=("/corpus/en/src7/doc-7-en.adoc",), ids=(10,)).select("id", "path", "status")
 
 
+@query(f"""WITH h AS ({_phrase_sql('the', extra=", modified_at_ms")}), n AS (SELECT *, row_number() OVER ({_ORDER}) AS position, count(*) OVER () AS total_hits FROM h)
+SELECT position, id || '-' || sha256(path)[1:16] AS reference, path, CASE rank WHEN 4 THEN '檔名完全符合' WHEN 3 THEN '檔名包含' ELSE '內容' END AS reason, strftime(make_timestamp(CAST(modified_at_ms AS BIGINT) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS modified_at,
+  total_hits, total_hits > 500 AS truncated FROM n WHERE position BETWEEN 21 AND 40""")
+def search_documents_page(spark: SparkSession, sf: str) -> DataFrame:
+    return search.search_page(*_corpus(spark, sf), "the", 2, 20)
+
+
+@query(f"""WITH h AS ({_ALL_SQL}) SELECT id, CASE rank WHEN 3 THEN '檔名包含（全部關鍵字）' ELSE '內容（全部關鍵字）' END AS reason FROM h""")
+def search_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    hits = search.search(*_corpus(spark, sf), "der und in", all_terms=True, limit=None)
+    return hits.select("id", search.reason(F.col("rank"), True).alias("reason"))
+
+
 # Candidate pruning ----------------------------------------------------------------------------------------------------
 
 _GRAMS = f"""{_BLOCKS}, p AS (SELECT DISTINCT document_id, unnest(list_transform(range(1, CAST(len(lower(content)) AS BIGINT) - 1), lambda i: substring(lower(content), i, 3))) AS gram FROM b)"""
@@ -218,6 +247,25 @@ def search_pruned(spark: SparkSession, sf: str) -> DataFrame:
     return _hits(search.search(docs, blocks, "license", limit=None, candidates=candidates.candidates(posted, "license")))
 
 
+@query(f"WITH {_DOCS}, {_GRAMS} SELECT (SELECT count(*) FROM d) AS documents, (SELECT count(*) FROM b) AS blocks, (SELECT count(*) FROM p) AS postings")
+def index_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """Builds the index of the corpus anew, and counts what it holds."""
+    made = corpus.build(spark, sf)
+    counts = [df.agg(F.count("*").alias(name)) for name, df in made._asdict().items()]
+    return counts[0].join(counts[1], how="cross").join(counts[2], how="cross")  # one row each
+
+
+@query(f"WITH {_DOCS}, {_GRAMS} SELECT id FROM d WHERE id NOT IN (SELECT document_id FROM p)")
+def documents_without_postings(spark: SparkSession, sf: str) -> DataFrame:
+    found = corpus.indexed(spark, sf)
+    return candidates.without_postings(found.documents, found.postings).select("id")
+
+
+@query(f"WITH {_GRAMS} SELECT document_id FROM p WHERE gram IN ('ter', 'erm') GROUP BY document_id HAVING count(*) = 2 UNION SELECT document_id FROM p WHERE gram IN ('lic', 'ice') GROUP BY document_id HAVING count(*) = 2")
+def trigram_any_term(spark: SparkSession, sf: str) -> DataFrame:
+    return candidates.may_contain_any(corpus.indexed(spark, sf).postings, ["term", "lice"])
+
+
 # Incremental indexing -------------------------------------------------------------------------------------------------
 
 _PREVIOUS = """p AS (SELECT path, CASE id % 11 WHEN 0 THEN 'error' WHEN 1 THEN 'unsupported' WHEN 2 THEN 'too_large' ELSE 'indexed' END AS status, CASE WHEN id % 5 = 0 THEN NULL ELSE 1 END AS parse_version,
@@ -438,6 +486,19 @@ def running_heading(spark: SparkSession, sf: str) -> DataFrame:
     return passages.running_headings(turns, "conv_id", "turn", "own").drop("own")
 
 
+@query(f"""WITH {_DOCS}, e AS (SELECT id, CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN '/corpus' WHEN 2 THEN '/corpus/node_modules/' || filename WHEN 3 THEN '/elsewhere/' || filename ELSE path END AS path FROM d)
+SELECT id, CASE WHEN id % 5 < 2 THEN 'reconcile' ELSE 'local' END AS route FROM e WHERE id % 5 IN (0, 1, 4)""")
+def watch_routes(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("id") % 5
+    path = F.when(k == 1, "/corpus").when(k == 2, F.concat(F.lit("/corpus/node_modules/"), "filename")).when(k == 3, F.concat(F.lit("/elsewhere/"), "filename")).when(k == 4, F.col("path"))
+    return live.routed(corpus.corpus_documents(spark, sf).select("id", F.lit("/corpus").alias("root"), path.alias("path"))).select("id", "route")
+
+
+@query("SELECT event_type AS phase, CAST(sum(user_id) AS BIGINT) AS ms, max(event_id) AS memory_bytes FROM events GROUP BY event_type")
+def phase_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.phase_totals(corpus.table(spark, sf, "events").select(F.col("event_type").alias("phase"), F.col("user_id").alias("ms"), F.col("event_id").alias("memory_bytes")))
+
+
 # Formats and context --------------------------------------------------------------------------------------------------
 
 
@@ -447,6 +508,99 @@ def parse_html_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return parse_column(pages.select(F.col("page_id").alias("document_id"), F.lit("page.html").alias("filename"), F.encode("html", "UTF-8").alias("content")))
 
 
+_NAMED = "f AS (SELECT n_nationkey AS k, n_name AS t, 'the line of ' || n_name AS x FROM nation)"
+
+
+def _file_sql(*rows: tuple[int, str, str, str, str]) -> str:
+    """rows: ordinal, and SQL of heading, content, location kind and place; t is the title, x the line."""
+    one = lambda r: f"SELECT CAST(k AS BIGINT) AS document_id, CAST({r[0]} AS BIGINT) AS ordinal, CAST({r[1]} AS VARCHAR) AS heading, {r[2]} AS content, '{r[3]}' AS location_kind, {r[4]} AS location_value FROM f"
+    return f"WITH {_NAMED} " + " UNION ALL ".join(map(one, rows))
+
+
+def _parsed_files(spark: SparkSession, sf: str, extension: str) -> DataFrame:
+    rows = corpus.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("document_id"), "n_name")
+    made = samples.files(rows, extension, F.col("n_name"), F.concat(F.lit("the line of "), "n_name"))
+    return parse_column(made).select("document_id", F.col("ordinal").cast("long").alias("ordinal"), "heading", "content", "location_kind", "location_value")
+
+
+_BR = "chr(10)"
+#: By format: what its sample file has to give.
+_FILE_SQL = {
+    ".txt": _file_sql((0, "NULL", "t", "line", "'第 1 行'"), (2, "NULL", "x", "line", "'第 3 行'")),
+    ".md": _file_sql((0, "NULL", "'before'", "section", "'第 1 行'"), (1, "t", f"'# ' || t || {_BR} || x", "section", "'第 2 行'"), (2, "'Next'", "'## Next'", "section", "'第 5 行'")),
+    ".csv": _file_sql((0, "NULL", "t || ' | size'", "line", "'第 1 列（A–B）'"), (1, "NULL", "x || ', and \"more\" | ' || length(x)", "line", "'第 2 列（A–B）'")),
+    ".xml": _file_sql((0, "NULL", "'<?xml version=\"1.0\"?>'", "line", "'第 1 行'"), (1, "NULL", "'<item name=\"' || t || '\">' || x || '</item>'", "line", "'第 2 行'")),
+    ".html": _file_sql(*((k, "t", v, "section", f"'網頁擷取段落 {k + 1}'") for k, v in enumerate(("t", "x", "'next'", "'/' || regexp_replace(t, '\s+', ' ', 'g') || ' link'")))),
+    ".mht": _file_sql((0, "t", "t", "section", "'網頁擷取段落 1'"), (1, "t", "x", "section", "'網頁擷取段落 2'")),
+    ".rtf": _file_sql((0, "NULL", "t", "section", "'段落 1'"), (1, "NULL", "x", "section", "'段落 2'")),
+    ".docx": _file_sql((0, "t", "t", "section", "'第 1 段'"), (1, "t", "x", "section", "'第 2 段'"), (2, "t", "t", "section", "'表格 1，第 1 列第 1 欄'"), (3, "t", "x", "section", "'表格 1，第 1 列第 2 欄'")),
+    ".pptx": _file_sql((0, "t", f"t || {_BR} || x", "slide", "'投影片 1'")),
+    ".xlsx": _file_sql((0, "t", "x", "sheet_cell", "'工作表「' || t || '」!A1'"), (1, "t", "CAST(length(x) AS VARCHAR)", "sheet_cell", "'工作表「' || t || '」!B1'"), (2, "t", "'TRUE'", "sheet_cell", "'工作表「' || t || '」!C3'")),
+    ".odt": _file_sql((0, "t", "t", "section", "'標題 1'"), (1, "t", "x", "section", "'段落 2'"), (2, "t", "t || ' | ' || x", "section", "'表格列 3'")),
+    ".pdf": _file_sql((0, "NULL", "t", "page", "'第 1 頁'"), (1, "NULL", "x", "page", "'第 2 頁'")),
+}
+
+for _extension, _sql in _FILE_SQL.items():
+    QUERIES[f"parse_files_{_extension[1:]}"] = partial(_parsed_files, extension=_extension)
+    ORACLE_SQL[f"parse_files_{_extension[1:]}"] = _sql
+
+#: File name, bytes, and the status and code that they have to give.
+_ODD_FILES = [
+    ("a.docx", b"no package", "error", "OFFICE_CORRUPT"),
+    ("b.csv", b'a"b', "error", "CSV_FORMAT_ERROR"),
+    ("c.pdf", b"nothing", "error", "PDF_CORRUPT"),
+    ("d.mht", b"no header", "error", "MHT_FORMAT_ERROR"),
+    ("e.xml", b'<?xml version="1.0" encoding="nonsense"?><a/>', "error", "XML_ENCODING_UNSUPPORTED"),
+    ("f.xml", b'<?xml version="1.0" encoding="utf-8"?><a>\xff</a>', "error", "XML_DECODE_ERROR"),
+    ("g.txt", b"\xff\xff\x80", "error", "TEXT_DECODE_ERROR"),
+    ("h.html", b'<meta charset="nonsense">x', "error", "ENCODING_UNSUPPORTED"),
+    ("i.msg", b"x", "error", "MSG_FORMAT_ERROR"),
+    ("j.doc", b"x", "error", "DOC_FORMAT_ERROR"),
+    ("k.xls", b"x", "error", "XLS_FORMAT_ERROR"),
+    ("l.rtf", b"{\\rtf1 {", "error", "RTF_INVALID"),
+    ("m.bin", b"x", "unsupported", None),
+    ("n.txt", b" \n\t", "no_text", None),
+    ("o.md", None, "error", "FILE_READ_FAILED"),
+    ("p.pptx", bytes.fromhex("d0cf11e0a1b11ae1"), "error", "OFFICE_ENCRYPTED_OR_LEGACY"),
+]
+
+
+@query(" UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS document_id, '{status}' AS status, {f"'{code}'" if code else 'CAST(NULL AS VARCHAR)'} AS error_code" for k, (_, _, status, code) in enumerate(_ODD_FILES)))
+def parse_odd_files(spark: SparkSession, sf: str) -> DataFrame:
+    rows = [(k, name, bytearray(content) if content is not None else None) for k, (name, content, *_) in enumerate(_ODD_FILES)]
+    return parse_column(spark.createDataFrame(rows, "document_id long, filename string, content binary")).select("document_id", "status", "error_code")
+
+
+@query(f"""WITH {_DOCS}, {_BLOCKS}, t AS (SELECT id, path, filename, modified_at_ms FROM d WHERE contains(lower(filename), 'the') OR id IN (SELECT document_id FROM b WHERE contains(lower(content), 'the'))
+  ORDER BY contains(lower(filename), 'the')::INT DESC, modified_at_ms DESC, path LIMIT 5),
+r AS (SELECT document_id, ordinal, content, row_number() OVER (PARTITION BY document_id ORDER BY ordinal) AS passage_no FROM b WHERE contains(lower(content), 'the'))
+SELECT t.id || '-' || sha256(t.path)[1:16] AS reference, CAST(r.passage_no AS BIGINT) AS passage_no, CAST(r.ordinal AS BIGINT) AS ordinal, r.content FROM t JOIN r ON r.document_id = t.id AND r.passage_no <= 3""")
+def context_passages(spark: SparkSession, sf: str) -> DataFrame:
+    rows = context.bundle(*_corpus(spark, sf), "the", limit=5).select("reference", F.explode("passages").alias("p"))
+    return rows.select("reference", F.col("p.passage_no").cast("long").alias("passage_no"), F.col("p.ordinal").cast("long").alias("ordinal"), "p.content")
+
+
+@query(f"""WITH {_DOCS} SELECT id, CASE WHEN id % 6 = 0 THEN 'gone' ELSE 'changed' END AS outcome FROM d WHERE id % 6 = 0 OR id % 10 = 1""")
+def changed_results(spark: SparkSession, sf: str) -> DataFrame:
+    docs = corpus.corpus_documents(spark, sf).select("id", "path", "size_bytes", F.when(F.col("id") % 4 != 0, F.col("filename")).alias("filename"))
+    now = docs.where("id % 6 <> 0").withColumn("size_bytes", F.col("size_bytes") + F.when(F.col("id") % 10 == 1, 1).otherwise(0))
+    return context.changed_results(docs, now, "id").select("id", F.when(F.col("id") % 6 == 0, "gone").otherwise("changed").alias("outcome"))
+
+
+@query(f"WITH {_DOCS} SELECT id, CASE WHEN starts_with(path, '/corpus/en/') THEN 17 END AS last_successful_sync, CASE WHEN starts_with(path, '/corpus/en/') THEN true WHEN starts_with(path, '/corpus/de/') THEN false END AS last_sync_complete FROM d")
+def documents_with_reports(spark: SparkSession, sf: str) -> DataFrame:
+    docs = corpus.corpus_documents(spark, sf).withColumn("root_path", F.regexp_extract("path", "^(/corpus/[^/]+)/", 1))
+    reports = {"/corpus/en": {"successful_at_ms": 17, "complete": True}, "/corpus/de": {"complete": False}}
+    return context.with_reports(docs, reports).select("id", F.col("last_successful_sync").cast("int").alias("last_successful_sync"), "last_sync_complete")
+
+
+@query("""WITH s AS (SELECT conv_id, turn, sum(strlen(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS used FROM conversations)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, CAST(used AS BIGINT) AS used FROM s WHERE used <= 1000""")
+def running_byte_budget(spark: SparkSession, sf: str) -> DataFrame:
+    turns = corpus.table(spark, sf, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "text")
+    return passages.within_budget(turns, "conv_id", "turn", "text", 1000).select("conv_id", "turn", "used")
+
+
 @query()
 def context_bundle(spark: SparkSession, sf: str) -> DataFrame:
     docs, blocks = _corpus(spark, sf)

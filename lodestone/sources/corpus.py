@@ -61,16 +61,21 @@ class Indexed(NamedTuple):
     postings: DataFrame
 
 
+def build(spark: SparkSession, folder: str) -> Indexed:
+    """Writes documents, blocks and postings of the table ``documents`` to the shared folder."""
+    path = f"{shared_dir(spark)}/lodestone/index-{uuid.uuid4().hex}"
+    documents = stored(corpus_documents(spark, folder), "documents", f"{path}/documents")
+    blocks = stored(corpus_blocks(spark, folder).sortWithinPartitions("document_id", "ordinal"), "blocks", f"{path}/blocks")
+    posted = stored(postings(blocks).repartitionByRange("gram", "document_id").sortWithinPartitions("gram", "document_id"), "postings", f"{path}/postings")
+    return Indexed(documents, blocks, posted)
+
+
 def indexed(spark: SparkSession, folder: str) -> Indexed:
-    """The table ``documents`` as an index, built at its first use in a session and again if the table has changed since."""
+    """The index of a folder, built at its first use in a session and again if the table has changed since."""
     known = spark.sparkContext.__dict__.setdefault("_lodestone_indexes", {})
     key = folder, modified(spark, f"{folder}/documents.parquet")
     if key not in known:
-        path = f"{shared_dir(spark)}/lodestone/index-{uuid.uuid4().hex}"
-        documents = stored(corpus_documents(spark, folder), "documents", f"{path}/documents")
-        blocks = stored(corpus_blocks(spark, folder).sortWithinPartitions("document_id", "ordinal"), "blocks", f"{path}/blocks")
-        posted = stored(postings(blocks).repartitionByRange("gram", "document_id").sortWithinPartitions("gram", "document_id"), "postings", f"{path}/postings")
-        known[key] = Indexed(documents, blocks, posted)
+        known[key] = build(spark, folder)
     return known[key]
 
 

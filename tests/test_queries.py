@@ -57,6 +57,6 @@ def test_ranked_search_against_plain_python(spark):
     assert [r["id"] for r in catalogue.QUERIES["search_phrase_top20"](spark, SF).collect()] == [w[3] for w in sorted(want)][:20]
 
 
-@pytest.mark.parametrize("name", ["matching_passages_all_terms", "snippet_page", "parse_html_blocks", "context_bundle"])
+@pytest.mark.parametrize("name", ["snippet_page", "parse_html_blocks", "context_bundle"])
 def test_others_run(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
