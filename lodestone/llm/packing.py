@@ -9,6 +9,7 @@ powers of two, where no padding is needed.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -25,45 +26,62 @@ END_OF_DOCUMENT = 2
 #: Words whose ids a worker remembers in each of two generations.
 CACHE_WORDS = 500_000
 
+#: Words that the tokenizer gets together.
+TOGETHER = 2000
+_CLOSING = re.compile(rb"[.,](?<=[a-z].)(?=[ \t\n\x0b\x0c\r]|$)")
+
 _ENCODERS: dict[tuple[str, int], WordIds] = {}
 
 PIECE_SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class WordIds(dict):
+class WordIds:
     """Token ids (as bytes of unsigned 32-bit) by word, for tokenizers that drop white space and never join over it.
 
-    Words are lower-cased (A-Z) byte strings without ASCII white space. A closing full stop or comma after a Latin letter is a token of its own, so such words
-    are put together from their parts.
+    Words are lower-cased (A-Z) byte strings without ASCII white space. A closing full stop or comma after a Latin letter is a token of its own, so it is parted from its
+    word. The words of a text that aren't known yet go through the tokenizer together, and each gets the ids whose places lie in it.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
-        super().__init__()
         self.most = cache_words
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.most:  # words in use come back from the older generation
-            self.older = dict(self)
-            self.clear()
-        if (known := self.older.get(word)) is not None:
-            self[word] = known
-            return known
-        if word[-1:] in (b".", b",") and word[-2:-1].isalpha():
-            ids = self[word[:-1]] + self.plain(word[-1:])
-        else:
-            ids = self.plain(word)
-        self[word] = ids
-        return ids
-
-    def plain(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids, np.uint32).tobytes()
+    def learn(self, words: list[bytes]) -> None:
+        """Makes all these words known."""
+        if len(self.known) + len(words) > self.most:  # words in use come back from the older generation
+            self.older, self.known = self.known, {}
+        fresh = []
+        for word in words:
+            ids = self.older.get(word)
+            if ids is None:
+                fresh.append(word)
+            else:
+                self.known[word] = ids
+        for k in range(0, len(fresh), TOGETHER):
+            some = fresh[k : k + TOGETHER]
+            texts = [w.decode("utf-8") for w in some]
+            encoding = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ends = np.cumsum([len(t) + 1 for t in texts])  # each with the space after it
+            at = np.array([place[0] for place in encoding.offsets], np.int64)
+            ids = np.array(encoding.ids, np.uint32).tobytes()
+            cuts = (4 * np.searchsorted(at, ends)).tolist()
+            begin = 0
+            for word, end in zip(some, cuts):
+                self.known[word] = ids[begin:end]
+                begin = end
 
     def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.lower().split()))
+        words = _CLOSING.sub(rb" \g<0>", text.lower()).split()
+        found = list(map(self.known.get, words))
+        if None in found:
+            self.learn(list(dict.fromkeys(w for w, f in zip(words, found) if f is None)))
+            ids = self.known
+            found = [ids[w] if f is None else f for w, f in zip(words, found)]
+        return b"".join(found)
 
 
 def cut(tokens: int, capacity: int = CAPACITY) -> list[int]:
