@@ -530,7 +530,7 @@ _FILE_SQL = {
     ".md": _file_sql((0, "NULL", "'before'", "section", "'第 1 行'"), (1, "t", f"'# ' || t || {_BR} || x", "section", "'第 2 行'"), (2, "'Next'", "'## Next'", "section", "'第 5 行'")),
     ".csv": _file_sql((0, "NULL", "t || ' | size'", "line", "'第 1 列（A–B）'"), (1, "NULL", "x || ', and \"more\" | ' || length(x)", "line", "'第 2 列（A–B）'")),
     ".xml": _file_sql((0, "NULL", "'<?xml version=\"1.0\"?>'", "line", "'第 1 行'"), (1, "NULL", "'<item name=\"' || t || '\">' || x || '</item>'", "line", "'第 2 行'")),
-    ".html": _file_sql(*((k, "t", v, "section", f"'網頁擷取段落 {k + 1}'") for k, v in enumerate(("t", "x", "'next'", "'/' || regexp_replace(t, '\s+', ' ', 'g') || ' link'")))),
+    ".html": _file_sql(*((k, "t", v, "section", f"'網頁擷取段落 {k + 1}'") for k, v in enumerate(("t", "x", "'next'", "'/' || t || ' link'")))),
     ".mht": _file_sql((0, "t", "t", "section", "'網頁擷取段落 1'"), (1, "t", "x", "section", "'網頁擷取段落 2'")),
     ".rtf": _file_sql((0, "NULL", "t", "section", "'段落 1'"), (1, "NULL", "x", "section", "'段落 2'")),
     ".docx": _file_sql((0, "t", "t", "section", "'第 1 段'"), (1, "t", "x", "section", "'第 2 段'"), (2, "t", "t", "section", "'表格 1，第 1 列第 1 欄'"), (3, "t", "x", "section", "'表格 1，第 1 列第 2 欄'")),
