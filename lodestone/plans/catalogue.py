@@ -249,8 +249,8 @@ def search_pruned(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_DOCS}, {_GRAMS} SELECT (SELECT count(*) FROM d) AS documents, (SELECT count(*) FROM b) AS blocks, (SELECT count(*) FROM p) AS postings")
 def index_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    """Builds the index of the corpus anew, and counts what it holds."""
-    made = corpus.build(spark, sf)
+    """Builds the index of the corpus anew, for the session's searches too, and counts what it holds."""
+    made = corpus.indexed(spark, sf, anew=True)
     counts = [df.agg(F.count("*").alias(name)) for name, df in made._asdict().items()]
     return counts[0].join(counts[1], how="cross").join(counts[2], how="cross")  # one row each
 

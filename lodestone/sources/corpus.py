@@ -70,11 +70,11 @@ def build(spark: SparkSession, folder: str) -> Indexed:
     return Indexed(documents, blocks, posted)
 
 
-def indexed(spark: SparkSession, folder: str) -> Indexed:
-    """The index of a folder, built at its first use in a session and again if the table has changed since."""
+def indexed(spark: SparkSession, folder: str, anew: bool = False) -> Indexed:
+    """The index of a folder, built at its first use in a session, again if the table has changed since, and whenever asked for anew."""
     known = spark.sparkContext.__dict__.setdefault("_lodestone_indexes", {})
     key = folder, modified(spark, f"{folder}/documents.parquet")
-    if key not in known:
+    if anew or key not in known:
         known[key] = build(spark, folder)
     return known[key]
 
