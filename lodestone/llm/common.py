@@ -49,10 +49,10 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends there and survives lost executors."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
     return out

@@ -15,6 +15,8 @@ OLD_SHARDS = 16
 NEW_SHARDS = 24
 #: Uses of a document at most when sources are mixed.
 REPETITION_LIMIT = 1.5
+#: How Parquet packs stored images and tensors.
+MEDIA_CODEC = "zstd"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -59,8 +61,8 @@ def op5_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The images and then their tensors are written to the shared folder; what is said of them comes from there."""
-    images = materialize(media.store(read(spark, sf_dir, "documents")), "media")
-    return media.featured(materialize(media.tensors(images), "tensors"))
+    images = materialize(media.store(read(spark, sf_dir, "documents")), "media", MEDIA_CODEC)
+    return media.featured(materialize(media.tensors(images), "tensors", MEDIA_CODEC))
 
 
 def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
