@@ -120,6 +120,19 @@ def test_rtf():
     assert parse_document("a.rtf", rb"{\rtf1 {")[1] == "RTF_INVALID"
 
 
+def test_rtf_that_wraps_html():
+    data = rb"""{\rtf1\ansi\ansicpg1252\fromhtml1 \deff0{\fonttbl{\f0\fcharset0 Arial;}}{\*\htmltag19 <html><body>}{\*\htmltag64 <p>}\htmlrtf {\htmlrtf0 Caf\'e9 \htmlrtf }\htmlrtf0
+\htmlrtf\par\htmlrtf0{\*\htmltag72 </p>}{\*\mhtmltag84 <a href="x">}{\*\htmltag64 <p>}one &amp; two{\*\htmltag72 </p>}{\*\htmltag27 </body></html>}}"""
+    assert [(b.content, b.location_value) for b in parse_document("a.rtf", data)[3]] == [("Café", "段落 1"), ("one & two", "段落 2")]
+
+
+def test_rtf_fonts_name_code_pages():
+    data = rb"{\rtf1\ansi\ansicpg1252\deff0{\fonttbl{\f0\fcharset0 A;}{\f1\fcharset204 B;}{\f2\fcharset136 C;}}{\f1 \'c4\'e0}\'e9 {\f2 \'a4\'a4\plain \'e9}}"
+    assert [b.content for b in parse_document("a.rtf", data)[3]] == ["Даé 中é"]
+    assert parse_document("a.rtf", rb"{\rtf1\ansicpg99999 x}")[1] == "RTF_ENCODING_UNSUPPORTED"
+    assert parse_document("a.rtf", rb"{\rtf1 a\bin900 x}")[1] == "RTF_INVALID"
+
+
 @pytest.mark.parametrize("data, wanted", [("é".encode(), "é"), ("é".encode("utf-16"), "é"), (b"\xef\xbb\xbfx", "x"), ("中文".encode("big5"), "中文")])
 def test_decode_text(data, wanted):
     assert decode.decode_text(data) == wanted
