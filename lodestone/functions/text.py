@@ -62,7 +62,7 @@ def parse_types(raw: str) -> list[str]:
 
 
 def is_blank(text: Column) -> Column:
-    return F.regexp_replace(text, f"[{SPACE_CHARS}]+", "") == ""
+    return ~text.rlike(f"[^{SPACE_CHARS}]")
 
 
 def utf8_prefix(text: str, limit: int) -> str:

@@ -42,19 +42,31 @@ def _grams(ids: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(t) for t in texts])
     if len(points) < GRAM:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    codes = sum(points[k : len(points) - GRAM + 1 + k] << BITS * (GRAM - 1 - k) for k in range(GRAM))
     starts = np.cumsum(lengths + 1) - (lengths + 1)
     inside = np.zeros(len(points) + 1, np.int64)
     whole = lengths >= GRAM
     np.add.at(inside, starts[whole], 1)
     np.add.at(inside, (starts + lengths - GRAM + 1)[whole], -1)
-    at = np.flatnonzero(np.cumsum(inside)[: len(codes)] > 0)
-    document = ids[np.searchsorted(starts, at, "right") - 1]
-    codes = codes[at]
+    at = np.flatnonzero(np.cumsum(inside)[: len(points) - GRAM + 1] > 0)
+    known, rank = np.unique(ids, return_inverse=True)
+    document = rank[np.searchsorted(starts, at, "right") - 1]
+    # one number for gram and document sorts much faster than two; few texts have characters or documents too many for that
+    width, low = int(points.max()).bit_length(), len(known).bit_length()
+    if GRAM * width + low < 63:
+        pairs = np.unique(_codes(points, at, width) << low | document)
+        codes, document = pairs >> low, pairs & (1 << low) - 1
+        codes = sum((codes >> width * k & (1 << width) - 1) << BITS * k for k in range(GRAM))
+        return codes, known[document]
+    codes = _codes(points, at, BITS)
     order = np.lexsort((document, codes))
     codes, document = codes[order], document[order]
     fresh = np.concatenate([[True], (codes[1:] != codes[:-1]) | (document[1:] != document[:-1])]) if len(codes) else np.zeros(0, bool)
-    return codes[fresh], document[fresh]
+    return codes[fresh], known[document[fresh]]
+
+
+def _codes(points: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
+    """The grams that begin at ``at``, ``bits`` bits a character."""
+    return sum(points[at + k] << bits * (GRAM - 1 - k) for k in range(GRAM))
 
 
 def postings(blocks: DataFrame) -> DataFrame:

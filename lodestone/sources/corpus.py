@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import is_blank, norm
 from lodestone.operators.candidates import postings
-from lodestone.sources.tables import modified, shared_dir, stored
+from lodestone.sources.tables import modified, shared_dir, spread, stored
 
 #: Where a source line begins.
 LINE_END = r"\r\n|\n|\r"
@@ -80,7 +80,7 @@ def indexed(spark: SparkSession, folder: str, anew: bool = False) -> Indexed:
 
 
 def corpus_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select((F.col("doc_id") + 1).alias("document_id"), "text")
+    docs = spread(table(spark, folder, "documents").select((F.col("doc_id") + 1).alias("document_id"), "text"), "document_id")
     return with_norms(line_blocks(docs))
 
 

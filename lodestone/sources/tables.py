@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What a core gets of a large table at once: Spark's own split of files.
+SPLIT_BYTES = 128 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``. Only a local session without it gets a temporary folder."""
@@ -30,3 +33,11 @@ def modified(spark: SparkSession, path: str) -> int:
     """When a path of any file system was last changed, in ms."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).getModificationTime()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt to all cores by its keys, if it is so small that its files may hold less than a split for each core; larger tables stay as they are read."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, *keys) if size < cores * SPLIT_BYTES else df

@@ -1,7 +1,8 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import norm
+from lodestone.functions.text import is_blank, norm
 from lodestone.operators import candidates, passages, search
 from lodestone.operators.search import Scope
 
@@ -99,3 +100,19 @@ def test_pruning_changes_nothing(spark):
 def test_long_block(spark):
     d, b = build(spark, [("f.txt", 1, "indexed", [(None, "x" * 65535 + " the phrase")])])
     assert search.search(d, b, "x the phrase").count() == 1
+
+
+def test_grams_equal_brute_force():
+    """Both ways to sort: one number for gram and document, and two where characters leave no room."""
+    texts = {"narrow": ["abcabc", "ab", "", "bca b", "漢字漢字漢"], "wide": ["a\U0010ffff\U0001f600漢a\U0010ffff\U0001f600漢", "aaaa"]}
+    for found in texts.values():
+        ids = np.array([7 * 10**12 + k % 2 for k in range(len(found))], np.int64)
+        expected = {(candidates.gram_code(t[k : k + 3]), i) for t, i in zip(found, ids.tolist()) for k in range(len(t) - 2)}
+        got = list(zip(*(x.tolist() for x in candidates._grams(ids, found))))
+        assert len(got) == len(set(got)) and set(got) == expected
+
+
+def test_blank(spark):
+    rows = [("",), (" \t　﻿",), ("\n x",), (None,), ("\U0001f600",)]
+    got = spark.createDataFrame(rows, "t string").select(is_blank(F.col("t"))).collect()
+    assert [r[0] for r in got] == [True, True, False, None, False]
