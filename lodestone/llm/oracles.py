@@ -54,3 +54,18 @@ b AS (SELECT n.conv_id, min({{'cost': p.best.cost + c.cost, 'audit': p.best.audi
 SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
        CAST(coalesce(b.best.cost, 0) AS BIGINT) AS cost, coalesce(b.best.audit, '') AS audit, sha256(coalesce(array_to_string(b.best.lines, chr(10)), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+#: Phrases are strings of words with one space between; words hold none.
+PHRASES = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda w: w <> '') AS ws
+           FROM (SELECT lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM p GROUP BY lang),
+u AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM p, range(1, 5) x(k)),
+f AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, count(*) AS a FROM u GROUP BY lang, k, phrase HAVING count(*) >= 30),
+h AS (SELECT lang, k, phrase, a, j, array_to_string(ws[1:j], ' ') AS head, array_to_string(ws[j + 1:], ' ') AS tail FROM f, range(1, 4) x(j) WHERE j < k),
+c AS (SELECT h.lang, h.phrase, h.a, min({'score': CAST(CAST(2000000 AS HUGEINT) * h.a // (l.a + r.a) AS BIGINT), 'j': j, 'l': l.a, 'r': r.a}) AS cut
+      FROM h JOIN f l ON l.lang = h.lang AND l.phrase = h.head JOIN f r ON r.lang = h.lang AND r.phrase = h.tail GROUP BY h.lang, h.phrase, h.a),
+longer AS (SELECT lang, array_to_string(ws[i:j], ' ') AS phrase, max(a) AS a FROM f, range(1, 5) x(i), range(2, 5) y(j) WHERE i < j AND j <= k AND j - i + 1 < k GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN longer o ON o.lang = c.lang AND o.phrase = c.phrase WHERE o.a IS NULL OR 100 * o.a < 80 * c.a),
+s AS (SELECT lang, phrase, a, cut, row_number() OVER (PARTITION BY lang ORDER BY cut.score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT s.lang, CAST(rank AS BIGINT) AS rank, phrase, a, s.cut.l AS l, s.cut.r AS r, n, s.cut.score AS score FROM s JOIN n USING (lang) WHERE rank <= 2000"""

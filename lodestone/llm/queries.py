@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import fingerprints, huffman, jaccard_join, language_id, media, mixing, oracles, packing, pii, resharding, structure, substring_dedup, warc
+from lodestone.llm import fingerprints, huffman, jaccard_join, language_id, media, mixing, oracles, packing, phrases, pii, resharding, structure, substring_dedup, warc
 from lodestone.llm.common import materialize, read, scratch, settle
 
 #: Old shards of the resharding query: a checksum of the source, so one of them is as hot as the hottest source.
@@ -86,6 +86,10 @@ def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_documents(docs).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_pair_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op12_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.round_trip(read(spark, sf_dir, "documents"), huffman.byte_encoder(tokenizer_path("byte_bpe_50k.json")))
 
@@ -105,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_ppm_language": op10_ppm_language,
+    "op11_pair_naming": op11_pair_naming,
     "op12_huffman_ids": op12_huffman_ids,
     "op13_structure_repair": op13_structure_repair,
 }
@@ -139,5 +144,6 @@ SELECT p.page_id, CAST(p.payload_bytes AS BIGINT) AS payload_bytes, p.payload_di
        CASE WHEN f.first_id < p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN f.first_id < p.page_id THEN f.first_id END AS refers_to
 FROM p LEFT JOIN f USING (payload_digest)""",
+    "op11_pair_naming": oracles.PHRASES,
     "op13_structure_repair": oracles.CONVERSATIONS,
 }
