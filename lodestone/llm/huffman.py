@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,22 +25,25 @@ END_OF_DOCUMENT = 2
 LIMIT = 18
 #: Ids of a block and of a checkpoint's run; ids after which a page ends with its document.
 BLOCK, STEP, PAGE = 1 << 17, 128, 1 << 19
+#: Bytes of text that are taken apart together.
+TOGETHER = 16 << 20
 #: Words that a worker remembers in each of two generations.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 
 # What the tokenizer's pattern takes for letters, numbers and white space among the first 256 characters.
 _L, _N, _W = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
 _PARTS = re.compile(f" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^{_W}{_L}{_N}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
-_RUN = re.compile(f" [{_W}]|[{_W}] ")
-_BEYOND = re.compile("[^\x00-\xff]")
+_SPACE = re.compile(f"[{_W}]")
+Encode = Callable[[list[str | None]], list[bytes]]
 _ENCODERS: dict[tuple[str, int], ByteIds] = {}
 
 
 class ByteIds:
     """Token ids (unsigned 16-bit) of texts for a byte-level BPE file.
 
-    A space before a word opens a new part of the tokenizer's pattern, so texts are looked up by pieces between single spaces, and pieces that aren't known yet by the pattern's parts,
-    which the library's model turns to ids. Texts with characters beyond the first 256, or with a special token's string in them, go to the library whole.
+    A space before a word opens a new part of the tokenizer's pattern, so texts are taken apart at single spaces, at line feeds and before closing marks, and what isn't letters alone by the
+    pattern. The library's model turns parts that aren't known yet to ids. Texts in which this doesn't hold (two blanks together, a mark after a mark) go through the pattern whole; those with
+    characters beyond the first 256, or a special token's string, go to the library whole.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -51,49 +56,108 @@ class ByteIds:
             raise ValueError("the vocabulary has more than 65,536 ids")
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
         self.alphabet = str.maketrans({b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)})
-        self.pieces: dict[str, bytes] = {}
+        self.space = chr(32).translate(self.alphabet)
+        self.words: dict[str, bytes] = {}  # of a space and the word, in two generations
         self.older: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}  # all other parts
+
+    def fresh(self, part: str) -> bytes:
+        plain = part.replace(" ", self.space) if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.alphabet)
+        return array("H", [t.id for t in self.model.tokenize(plain)]).tobytes()
+
+    def word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            found = self.older.get(word) or self.fresh(" " + word)
+            if len(self.words) >= self.most:
+                self.older, self.words = self.words, {}
+            self.words[word] = found
+        return found
 
     def part(self, part: str) -> bytes:
+        if part[0] == " " and part[1:].isalpha():
+            return self.word(part[1:])
         found = self.parts.get(part)
         if found is None:
-            found = np.array([t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.alphabet))], np.uint16).tobytes()
-            if len(self.parts) >= self.most:
+            found = self.fresh(part)
+            if len(self.parts) >= self.most // 4:
                 self.parts = {}
             self.parts[part] = found
         return found
 
-    def piece(self, piece: str) -> bytes:
-        found = self.older.get(piece)
-        if found is None:
-            found = b"".join(map(self.part, _PARTS.findall(piece)))
-        if len(self.pieces) >= self.most:
-            self.older, self.pieces = self.pieces, {}
-        self.pieces[piece] = found
-        return found
+    def latin(self, text: str) -> bool:
+        if text.isascii():
+            return True
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return True
+
+    def piece(self, piece: str) -> tuple[int, bytes]:
+        """How a piece of batch() ends (0: letter or number, 1: otherwise, 2: its text has to be taken whole, 3: a mark that needs a 0 before it), and its ids."""
+        if piece.isalpha() and self.latin(piece):
+            return 0, self.word(piece)
+        if piece[:1] == "\1":
+            return 1 if piece == "\1\n" else 3, self.part(piece[1:])
+        inner = piece[1:] if piece[:1] == "\0" else piece
+        if not inner or _SPACE.search(inner) or not self.latin(inner) or any(s in inner for s in self.special):
+            return 2, b""
+        parts = _PARTS.findall(inner if inner is not piece else " " + piece)
+        return int(not inner[-1].isalnum()), b"".join(map(self.part, parts))
 
     def ids(self, text: str) -> bytes:
-        if _BEYOND.search(text) or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
-        if _RUN.search(text):
-            return b"".join(map(self.part, _PARTS.findall(text)))
-        pieces = text.replace(" ", "\0 ").split("\0") if "\0" not in text else _PARTS.findall(text)
-        found = list(map(self.pieces.get, pieces))
-        if None in found:
-            found = [self.piece(p) if f is None else f for p, f in zip(pieces, found)]
-        return b"".join(found)
-
-
-def byte_encoder(path: str, cache_words: int = CACHE_WORDS) -> Callable[[], Callable[[str], bytes]]:
-    """Makes, on the worker, a function from text to ids (unsigned 16-bit, little-endian). A worker process keeps its words from one task to the next."""
-
-    def make() -> Callable[[str], bytes]:
+        """Of any text, by the pattern or the library."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            whole = True
+        else:
+            whole = any(s in text for s in self.special)
+        if whole:
+            return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.part, _PARTS.findall(text)))
+
+    def batch(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of several texts; null has none. Each distinct piece is looked up once: \\0 marks those without a space before them, \\1 marks and line feeds that were parted from a word."""
+        out: list = [b"" if not t else self.ids(t) if "\0" in t or "\1" in t else None for t in texts]
+        at = [k for k, found in enumerate(out) if found is None]
+        if not at:
+            return out
+        spaced = ["\0" + texts[k].replace("\n", " \1\n \0").replace(". ", " \1. ").replace(", ", " \1, ") for k in at]
+        lists = pc.split_pattern(pa.array(spaced, pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        known = list(map(self.words.get, distinct))
+        kinds = np.zeros(len(known), np.int8)
+        for k, found in enumerate(known):
+            if found is None:
+                kinds[k], known[k] = self.piece(distinct[k])
+        index = coded.indices.to_numpy()
+        kind = kinds[index]
+        odd = kind == 2
+        odd[1:] |= (kind[1:] == 3) & (kind[:-1] != 0)
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 2
+        first = np.cumsum(size) - size
+        n = size[index]
+        ends = np.cumsum(n)
+        ids = np.frombuffer(b"".join(known), np.uint16)[np.repeat((first[index] - ends + n).astype(np.int32), n) + np.arange(int(ends[-1]), dtype=np.int32)]
+        pieces = lists.offsets.to_numpy()
+        bounds, odds = np.concatenate([[0], ends])[pieces].tolist(), np.concatenate([[0], np.cumsum(odd)])[pieces]
+        for k, begin, end, strange in zip(at, bounds, bounds[1:], np.diff(odds).tolist()):
+            out[k] = self.ids(texts[k]) if strange else ids[begin:end].tobytes()
+        return out
+
+
+def byte_encoder(path: str, cache_words: int = CACHE_WORDS) -> Callable[[], Encode]:
+    """Makes, on the worker, a function from texts to their ids (unsigned 16-bit, little-endian). A worker process keeps its words from one task to the next."""
+
+    def make() -> Encode:
         from lodestone.llm.huffman import _ENCODERS as known  # the worker's own, not a copy sent along
 
         if (path, cache_words) not in known:
             known[path, cache_words] = ByteIds(path, cache_words)
-        return known[path, cache_words].ids
+        return known[path, cache_words].batch
 
     return make
 
@@ -189,7 +253,7 @@ def decode_block(bits: bytes, checkpoints: np.ndarray, n: int, table: np.ndarray
     return out.T.reshape(-1)[:n]
 
 
-def tokenized(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]]) -> DataFrame:
+def tokenized(docs: DataFrame, encoder: Callable[[], Encode]) -> DataFrame:
     """Ids of the documents in ascending doc_id: range, at (ids before it in its range), doc_id, ids (unsigned 16-bit, closing id included). Sorted in ranges; repeated doc_ids by their text's hash."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     end = np.array([END_OF_DOCUMENT], np.uint16).tobytes()
@@ -198,12 +262,25 @@ def tokenized(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]]) ->
         from pyspark import TaskContext
 
         encode, before, part = encoder(), 0, TaskContext.get().partitionId()
-        for batch in batches:
-            found = [(encode(t) if t else b"") + end for t in batch.column(1).to_pylist()]
+
+        def rows(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            nonlocal before
+            found = [ids + end for ids in encode([t for batch in held for t in batch.column(1).to_pylist()])]
             sizes = np.array([len(f) // 2 for f in found], np.int64)
             at = before + np.cumsum(sizes) - sizes
             before += int(sizes.sum())
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(found), pa.int64()), pa.array(at), batch.column(0), pa.array(found, pa.binary())], names=["range", "at", "doc_id", "ids"])
+            names = pa.chunked_array([batch.column(0) for batch in held]).combine_chunks()
+            return pa.RecordBatch.from_arrays([pa.array([part] * len(found), pa.int64()), pa.array(at), names, pa.array(found, pa.binary())], names=["range", "at", "doc_id", "ids"])
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= TOGETHER:
+                yield rows(held)
+                held, size = [], 0
+        if held:
+            yield rows(held)
 
     order = [F.col("doc_id"), F.xxhash64("text")]
     ranged = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
@@ -298,7 +375,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return pages.mapInArrow(lean(run), f"range long, at long, doc_id {kind}, n_tokens long, ids_crc32 long")
 
 
-def archive_ids(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]], path: str) -> None:
+def archive_ids(docs: DataFrame, encoder: Callable[[], Encode], path: str) -> None:
     """Encodes the documents (doc_id, text) into pages below ``path``, in ascending doc_id.
 
     Null texts are empty: their only id is the closing one. Null doc_ids come first; repeated doc_ids and rows are kept, in the order of their text's hash.
@@ -320,7 +397,7 @@ def described(spark: SparkSession, path: str) -> DataFrame:
     return found.select("doc_id", (F.col("_before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def round_trip(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]]) -> DataFrame:
+def round_trip(docs: DataFrame, encoder: Callable[[], Encode]) -> DataFrame:
     """Writes the documents' ids to the shared folder and returns what the files say of each document; the files are deleted then."""
     spark = docs.sparkSession
     path = scratch(spark, "ids")
