@@ -39,7 +39,8 @@ class WordIds:
     """Token ids (as bytes of unsigned 32-bit) by word, for tokenizers that drop white space and never join over it.
 
     Words are lower-cased (A-Z) byte strings without ASCII white space. A closing full stop or comma after a Latin letter is a token of its own, so it is parted from its
-    word. The words of a text that aren't known yet go through the tokenizer together, and each gets the ids whose places lie in it.
+    word. The words of a text that aren't known yet go through the tokenizer together, and each gets the ids whose places lie in it. A special token's string is looked for in the
+    text as it is written, so texts that hold one in any case go through the tokenizer whole.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -47,6 +48,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -75,7 +77,10 @@ class WordIds:
                 begin = end
 
     def ids(self, text: bytes) -> bytes:
-        words = _CLOSING.sub(rb" \g<0>", text.lower()).split()
+        lowered = text.lower()
+        if any(s in lowered for s in self.special):
+            return np.array(self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids, np.uint32).tobytes()
+        words = _CLOSING.sub(rb" \g<0>", lowered).split()
         found = list(map(self.known.get, words))
         if None in found:
             self.learn(list(dict.fromkeys(w for w, f in zip(words, found) if f is None)))

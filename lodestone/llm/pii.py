@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,12 +34,11 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _HINT = re.compile(r"[0-9@]")
 _RUN = re.compile(r"\S+")
-#: Runs of more characters than this aren't words: their number-like and address-like pieces are mentions of their own.
-LONG_RUN = 200
+#: Mentions are the number-like and address-like pieces of what stands between white space, however long that is.
 _PIECE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*|\+?\(?[0-9](?:[().-]{0,2}[0-9])*")
-_EDGES = ".,;:!?\"'<>[]{}#$%&*=|"
-#: Documents that the field is trained on, about.
-SAMPLE_DOCUMENTS = 3000
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: Documents that the field is trained on at most, and the longest text among them, so that the driver's sample is bounded. Predictions take every text whole.
+SAMPLE_DOCUMENTS, SAMPLE_LONGEST = 3000, 1 << 16
 THRESHOLD = 0.5
 #: Messages of a document are passed until none changes by more than SETTLED. If that takes more than SLOW rounds, damping rises; MOST_ROUNDS only
 #: ends what goes round in circles, as loopy message passing may.
@@ -105,7 +105,9 @@ def written(spans: list[Span]) -> str:
 # The field ------------------------------------------------------------------------------------------------------------
 
 LABELS = ("none", *KINDS)
-FEATURES = 40
+#: Words before and after a mention count by a hash, in so many features each.
+WORDS = 64
+FEATURES = 40 + 2 * WORDS
 #: The feature that a mention has right after another one.
 BEFORE = 34
 
@@ -127,31 +129,53 @@ class Mentions:
     groups: np.ndarray
 
 
-def _features(word: str, before: bool, after: bool) -> list[int]:
-    """Numbers of the features that a mention has."""
+def _word_feature(word: str) -> int:
+    return zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % WORDS
+
+
+def _features(word: str, before: bool, after: bool, touches: tuple[bool, bool] = (False, False), near: tuple[str, str] = ("", "")) -> list[int]:
+    """Numbers of the features that a mention has. touches: whether letters stand right before and after it; near: the words before and after it."""
     digits = sum(c.isdigit() for c in word)
     letters = sum(c.isalpha() for c in word)
     dots = word.count(".")
     out = [0, 1 + min(digits, 19), 21 + min(dots, 4)]
-    for k, has in enumerate((digits == len(word), letters == 0, "@" in word, word[:1] == "+", "(" in word, "-" in word, letters > digits, "=" in word or '"' in word, before, after)):
+    for k, has in enumerate((digits == len(word), letters == 0, "@" in word, word[:1] == "+", "(" in word, "-" in word, letters > digits, "=" in word or '"' in word, before, after, *touches)):
         if has:
             out.append(26 + k)
-    return out
+    return out + [40 + WORDS * k + _word_feature(w) for k, w in enumerate(near) if w]
 
 
-def _places(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, word) of each mention: white-space-free runs with a digit or an @, without what surrounds them; of long runs, their pieces."""
+def _places(text: str) -> Iterator[tuple[int, int, str, tuple[bool, bool], tuple[str, str]]]:
+    """(start, end, word, whether letters touch it, words before and after) of each mention: the number-like and address-like pieces of runs without white space."""
+    last: list | None = None  # the run's last mention waits for the word after it
+    word = ""
     for m in _RUN.finditer(text):
-        if not _HINT.search(m[0]):
+        run, base = m[0], m.start()
+        if last is not None:
+            found = _LETTERS.search(run)
+            yield (*last, (word, found[0] if found else ""))
+            last, word = None, ""
+        if not _HINT.search(run):
+            word = run
             continue
-        word = m[0].lstrip(_EDGES)
-        a = m.end() - len(word)
-        word = word.rstrip(_EDGES)
-        if len(word) > LONG_RUN:
-            for piece in _PIECE.finditer(word):
-                yield a + piece.start(), a + piece.end(), piece[0]
-        elif word:
-            yield a, a + len(word), word
+        done = 0
+        for piece in _PIECE.finditer(run):
+            a, b = piece.span()
+            found = _LETTERS.findall(run[done:a])
+            if last is not None:
+                yield (*last, (word, found[0] if found else ""))
+                word = ""
+            if found:
+                word = found[-1]
+            elif word:
+                letters = _LETTERS.findall(word)
+                word = letters[-1] if letters else ""
+            last = [base + a, base + b, piece[0], (a > 0 and run[a - 1].isalpha(), b < len(run) and run[b].isalpha())]
+            done = b
+        if last is None:
+            word = run
+    if last is not None:
+        yield (*last, (word, ""))
 
 
 def _next_to(text: str, end: int, start: int) -> bool:
@@ -170,7 +194,7 @@ def mentions(documents: list[tuple[int, str, list[Span]]]) -> Mentions:
         same: dict[str, list[int]] = {}
         shapes: dict[str, dict[str, int]] = {}  # by shape: the keys that have it, and the first mention of each
         at = 0
-        for k, (a, b, word) in enumerate(places):
+        for k, (a, b, word, touches, near) in enumerate(places):
             here = len(doc)
             while at < len(spans) and spans[at][2] <= a:
                 at += 1
@@ -182,7 +206,7 @@ def mentions(documents: list[tuple[int, str, list[Span]]]) -> Mentions:
                 next_span += 1
             before = k > 0 and _next_to(text, places[k - 1][1], a)
             after = k + 1 < len(places) and _next_to(text, b, places[k + 1][0])
-            rows.append(_features(word, before, after))
+            rows.append(_features(word, before, after, touches, near))
             doc.append(number), start.append(a), end.append(b), observed.append(label)
             if before:
                 edges.append((here - 1, here, 0))
@@ -319,10 +343,9 @@ class SkipChain:
 
 
 def train(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> SkipChain:
-    """Fits the field on about ``documents`` whole texts with a mention, chosen by a hash of doc_id and text."""
-    some = docs.where(F.col("text").rlike("[0-9@]")).select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)).alias("h"))
-    n = some.count()
-    rows = some.where(F.col("h") < int(1_000_000 * min(1.0, documents / max(n, 1))) + 1).collect()
+    """Fits the field on at most ``documents`` whole texts with a mention, those of least hash of doc_id and text; texts over SAMPLE_LONGEST teach nothing. An empty table gives the field as it is at first."""
+    some = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_LONGEST))
+    rows = some.select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "text").limit(documents).select("text").collect()
     texts = sorted(r["text"] for r in rows)
     return SkipChain.fit(mentions([(k, t, base_spans(t)) for k, t in enumerate(texts)]))
 
@@ -343,7 +366,7 @@ def _spans_of(texts: list[str | None], field: SkipChain) -> list[tuple[list[Span
 
 
 def find(docs: DataFrame, field: SkipChain) -> DataFrame:
-    """Adds base and spans (arrays of kind, start, end in code points) to docs; null texts have none. Columns of these names are replaced."""
+    """Adds base and spans (arrays of kind, start, end in code points) to docs; null texts have none. Columns of these names are replaced, all others stay. An empty table gives an empty result."""
     kept = [c for c in docs.columns if c not in ("base", "spans")]
     text_at = kept.index("text")
     source = docs.select(*kept)
@@ -360,7 +383,8 @@ def find(docs: DataFrame, field: SkipChain) -> DataFrame:
 
 
 def report(docs: DataFrame, field: SkipChain) -> DataFrame:
-    """doc_id, counts of base spans by kind, base_sha256 and spans as text. Repeated rows and null ids stay rows of their own."""
+    """doc_id, counts of base spans by kind, base_sha256 and spans as text. Repeated rows and null ids stay rows of their own; texts of any length are looked through whole; other columns are dropped. An
+    empty table gives an empty result."""
     found = find(docs.select("doc_id", "text"), field)
     line = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")

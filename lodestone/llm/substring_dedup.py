@@ -12,7 +12,7 @@ have equal anchors. Windows without any (in long periodic stretches) are always
 Symbols of a high round cut the documents into chunks. A chunk, with the words that its last window reaches into, fixes all windows that
 begin in it, so of equal chunks only one takes part in the search for equal windows, and windows of a chunk that
 occurs twice are repeated by that alone. Windows of other chunks are candidates if their anchor occurs elsewhere; they are settled by
-128-bit hashes of their words' 64-bit hashes.
+128-bit hashes of their words' 64-bit hashes, half of it modulo a prime.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import lean, materialize, settle
-from lodestone.llm.shingles import RangeHash, hashed_rows, mix, signed
+from lodestone.llm.shingles import PrimeRangeHash, RangeHash, hashed_rows, mix, signed
 
 WINDOW = 35
 #: Rounds after which anchors and chunks are taken: symbols of about 2 and 30 words.
@@ -35,7 +35,7 @@ LOW_ROUNDS, HIGH_ROUNDS = 3, 12
 GROUP_WORDS = 150_000
 
 _RUN, _PAIR = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
-_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_BASES = (np.uint64(0x9E3779B97F4A7C15),)
 
 class Parse:
     """Symbols of several documents, laid end to end with one position between, before and after them."""
@@ -125,7 +125,7 @@ class Parse:
         self.chunk_windows = np.maximum(reach - self.chunk_start - window + 1, 0)
         self.chunk_document = document
         self.x1 = one.of(self.chunk_start, reach)
-        self.x2 = RangeHash(mix(self.words), _BASES[1]).of(self.chunk_start, reach)
+        self.x2 = PrimeRangeHash(mix(self.words)).of(self.chunk_start, reach)
         self.chunk = np.searchsorted(self.chunk_start, self.starts, "right") - 1  # of each window
 
     def anchor_rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,7 +225,7 @@ def _candidate_windows(texts: DataFrame) -> DataFrame:
                 continue
             start, chunk = parse.starts[hit], parse.chunk[hit]
             w1 = RangeHash(parse.words, _BASES[0]).of(start, start + WINDOW)
-            w2 = RangeHash(mix(parse.words), _BASES[1]).of(start, start + WINDOW)
+            w2 = PrimeRangeHash(mix(parse.words)).of(start, start + WINDOW)
             yield pa.RecordBatch.from_arrays([pa.array(signed(c)) for c in (w1, w2, parse.x1[chunk], parse.x2[chunk])] + [pa.array((start - parse.chunk_start[chunk]).astype(np.int64))], names=["w1", "w2", "x1", "x2", "off"])
 
     return texts.mapInArrow(lean(run), "w1 long, w2 long, x1 long, x2 long, off long")
