@@ -57,6 +57,20 @@ def sync_totals(compared: DataFrame) -> DataFrame:
     )
 
 
+def totals_of(tally: dict[tuple[str, str], int]) -> dict:
+    """The numbers of sync_totals() and reason_counts(), from counts by reason and action."""
+    of = lambda keep: sum(n for (why, do), n in tally.items() if keep(why, do))
+    return {
+        "found": of(lambda *_: True),
+        "added": of(lambda why, _: why == "added"),
+        "reprocessed": of(lambda why, _: why not in ("added", "unchanged")),
+        "unchanged": of(lambda _, do: do == "skip"),
+        "parser_calls": of(lambda _, do: do == "parse"),
+        "metadata_only": of(lambda _, do: do == "metadata"),
+        "reasons": {why: of(lambda w, _, why=why: w == why) for why in sorted({w for w, _ in tally})},
+    }
+
+
 def format_totals(listing: DataFrame) -> DataFrame:
     """Files and bytes by extension."""
     return listing.groupBy("extension").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"))

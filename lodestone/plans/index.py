@@ -15,9 +15,10 @@ from lodestone.functions.text import iso_time, norm
 from lodestone.operators import classify, maintain, stats
 from lodestone.operators.candidates import candidates
 from lodestone.plans.roots import RootPlan, plan_root
-from lodestone.sources.listing import Listing, scan
+from lodestone.sources.listing import scan_tree
 from lodestone.sources.parsers import LARGEST_FILE, parse_column
 from lodestone.sources.store import Store
+from lodestone.sources.tables import stored
 
 
 #: Milliseconds in which a file mustn't change to be taken.
@@ -53,19 +54,6 @@ def stable(path: str) -> bool:
         return True
 
 
-def listing_of(root: str, scopes: list[str], extra_bases: list[str], artifacts: list[str]) -> Listing:
-    """What a scan finds in and below the scopes, files or folders; those that are gone give nothing."""
-    out = Listing()
-    for scope in scopes:
-        there = os.path.lexists(scope)
-        one = scan(root, start=scope if os.path.isdir(scope) else os.path.dirname(scope), extra_bases=extra_bases, artifacts=artifacts, only=None if os.path.isdir(scope) else os.path.basename(scope)) if there or scope == root else Listing()
-        out.files += one.files
-        out.protected += one.protected
-        out.diagnostics += one.diagnostics
-        out.skipped.update(one.skipped)
-    return out
-
-
 class Index:
     """Documents and blocks of a store, pinned to the snapshot that was current when it was opened."""
 
@@ -93,14 +81,20 @@ class Index:
         return self.store.table("postings", self.number)
 
     def candidates(self, raw_query: str, all_terms: bool = False) -> DataFrame | None:
-        """document_id of a superset of the documents whose blocks match; None if the query is too short to prune."""
-        if not self.store.manifest(self.number)["tables"]["postings"]:
-            return None
-        return candidates(self.postings, raw_query, self.documents if all_terms else None)
+        """document_id of a superset of the documents whose blocks match; None if the query is too short to prune. Documents in parts without postings may all match."""
+        found = candidates(self.postings, raw_query, self.documents if all_terms else None)
+        left = self.store.unposted(self.number)
+        if found is None or not left:
+            return found
+        unknown = self.documents.where(self.store.part_of(F.col("id"), self.number).isin(*left))
+        return found.union(unknown.select(F.col("id").alias("document_id"))).distinct()
 
     def sync(self, folder: str, *, rebuild: bool = False, wait: bool = False, progress: Callable[[str, dict], None] | None = None) -> dict:
         """Brings the index up to date with a folder and returns the report. Only files that need it are read; a snapshot is committed at the end, or
-        nothing is. Below folders that can't be read nothing is deleted. ``progress(phase, numbers)`` is told of each phase."""
+        nothing is. Below folders that can't be read nothing is deleted. If nothing has changed, only the report is written, and the tables stay. A folder that isn't there is refused.
+        ``progress(phase, numbers)`` is told of each phase."""
+        if not os.path.isdir(folder):
+            raise NotADirectoryError(f"not a folder: {folder}")
         with self.store.writing(wait):
             meta = self.store.meta(self.store.current())
             plan = plan_root(list(meta["roots"]), os.path.realpath(folder))
@@ -114,6 +108,8 @@ class Index:
             if root not in meta["roots"]:
                 raise LookupError(f"{root} isn't indexed")
             plan = RootPlan("existing", root)
+            if not os.path.isdir(root):  # offline: whatever is missing may come back
+                return {"found": 0, "removed": 0, "offline": True, "complete": False, "unstable": sorted(paths or ())}
             if paths is None:
                 return self._bring_up(plan, [root], False, lambda *_: None)
             steady = [p for p in paths if stable(p)]
@@ -133,20 +129,33 @@ class Index:
             moved = list(dict.fromkeys([(plan.root if r in plan.children else r, b) for r, b in moved] + [(plan.root, c) for c in plan.children]))
             meta["history"] = [*meta["history"], *([c, plan.root] for c in plan.children)]
             meta["roots"] = {r: v for r, v in meta["roots"].items() if r not in plan.children}
-        found = listing_of(plan.root, scopes, [b for r, b in moved if r == plan.root], self.store.artifacts())
-        progress("listed", {"files": len(found.files)})
-        listed = found.frame(spark)
+        found = scan_tree(spark, plan.root, scopes, extra_bases=[b for r, b in moved if r == plan.root], artifacts=self.store.artifacts())
+        progress("listed", {"files": found.counts.get("file", 0)})
+        listed = found.files
         inside = spark.createDataFrame([(p,) for p in scopes], "path string")
-        known = maintain.covered_by(documents.where(F.col("root_path") == plan.root), inside, "left_semi")
-        compared = classify.compare(listed, known, rebuild).persist()
-        totals = classify.sync_totals(compared).first().asDict()
-        totals["reasons"] = {r["reason"]: r["files"] for r in classify.reason_counts(compared).collect()}
+        known = documents.where(F.col("root_path") == plan.root)
+        if scopes != [plan.root]:
+            known = maintain.covered_by(known, inside, "left_semi")
+        compared = classify.compare(listed, known, rebuild)
+        lost = known.join(listed, "path", "left_anti").select(F.lit("missing").alias("reason"), F.lit("missing").alias("action"))
+        tally = {(r["reason"], r["action"]): r["count"] for r in compared.select("reason", "action").unionByName(lost).groupBy("reason", "action").count().collect()}
+        missing = tally.pop(("missing", "missing"), 0)
+        totals = classify.totals_of(tally)
         progress("compared", totals)
+        complete = not found.counts.get("error")
+        if not missing and totals["unchanged"] == totals["found"] and plan.kind in ("existing", "subtree") and number:
+            report = totals | {"committed": {}, "removed": 0, "protected": 0, "skipped": found.skipped, "complete": complete, "elapsed_ms": int((time.time() - began) * 1000)}
+            self._note(plan, scopes, meta, report, int(began * 1000))
+            self.number = self.store.record(number, meta)
+            progress("committed", {"snapshot": self.number})
+            return report
         top = documents.agg(F.max("id")).first()[0] or 0
         now = int(began * 1000)
         todo = compared.where("action <> 'skip'").join(documents.select("path", "id"), "path", "left")
-        todo = todo.where("id is not null").unionByName(maintain.next_ids(todo.where("id is null").drop("id"), top + 1, F.col("path"))).persist()
-        parsed = parse_column(read_files(todo.where("action = 'parse'").select(F.col("id").alias("document_id"), "path", "filename", "size_bytes"))).persist()
+        todo = todo.where("id is not null").unionByName(maintain.next_ids(todo.where("id is null").drop("id"), top + 1, F.col("path")))
+        todo = stored(todo, "todo")
+        parsed = parse_column(read_files(todo.where("action = 'parse'").select(F.col("id").alias("document_id"), "path", "filename", "size_bytes")))
+        parsed = stored(parsed, "parsed")  # files may change meanwhile: they are read once
         outcome = parsed.groupBy("document_id").agg(F.first("status").alias("status"), F.first("error_code").alias("error_code"), F.first("error_message").alias("error_message"))
         changed = todo.join(outcome, todo["id"] == outcome["document_id"], "left")
         large = F.col("size_bytes") > LARGEST_FILE
@@ -155,14 +164,16 @@ class Index:
             "id", F.lit(plan.root).alias("root_path"), "path", "filename", "extension", "size_bytes", "modified_at_ms", F.lit(now).cast("long").alias("indexed_at_ms"),
             F.when(large & (F.col("action") == "parse"), "too_large").otherwise(F.coalesce("status", F.lit("unsupported"))).alias("status"),
             F.when(large & (F.col("action") == "parse"), "FILE_TOO_LARGE").otherwise(F.col("error_code")).alias("error_code"), "error_message", version.alias("parse_version"), "reason",
-        ).persist()
+        )
         totals["committed"] = {r["reason"]: r["count"] for r in changed.where("status <> 'error'").groupBy("reason").count().collect()}
         merged = documents.join(changed.select("path"), "path", "left_anti").unionByName(changed.select(*documents.columns))
-        protected = spark.createDataFrame([(p,) for p in found.protected], "path string") if found.protected else None
-        judged = maintain.remove_missing(merged, listed, root=plan.root, scopes=inside, protected=protected).persist()
-        outcomes = {r["outcome"]: r["count"] for r in judged.groupBy("outcome").count().collect()}
-        kept = judged.where("outcome <> 'deleted'").drop("outcome")
-        gone = judged.where("outcome = 'deleted'").select(F.col("id").alias("document_id"))
+        protected = None if complete else found.protected
+        none = merged.limit(0).withColumn("outcome", F.lit("kept"))
+        judged = maintain.remove_missing(merged, listed, root=plan.root, scopes=None if scopes == [plan.root] else inside, protected=protected) if missing else none
+        lost = stored(judged.where("outcome <> 'kept'").select("id", "path", "outcome"), "lost") if missing else none.select("id", "path", "outcome")
+        outcomes = {r["outcome"]: r["count"] for r in lost.groupBy("outcome").count().collect()} if missing else {}
+        gone = lost.where("outcome = 'deleted'").select(F.col("id").alias("document_id"))
+        kept = merged.join(gone.select(F.col("document_id").alias("id")), "id", "left_anti") if missing else merged
         stale = todo.where("action = 'parse'").select(F.col("id").alias("document_id")).union(gone)
         touched = None
         if plan.kind != "merge":  # at most one row for each part
@@ -172,19 +183,21 @@ class Index:
         fresh = parsed.where("ordinal is not null").select("document_id", "ordinal", "heading", "content", "location_kind", "location_value").withColumns({"norm_heading": norm(F.col("heading")), "norm_content": norm(F.col("content"))})
         blocks = self.store.table("blocks", number, touched)
         new_blocks = maintain.replace_blocks(blocks, stale, fresh.select(*blocks.columns)).join(gone, "document_id", "left_anti")
-        complete = not found.diagnostics
-        report = totals | {"removed": outcomes.get("deleted", 0), "protected": outcomes.get("protected", 0), "skipped": dict(found.skipped), "complete": complete, "elapsed_ms": int((time.time() - began) * 1000)}
-        if scopes == [plan.root]:
-            before = meta["roots"].get(plan.root) or {}
-            report["successful_at_ms"] = now if complete else before.get("successful_at_ms")
-            meta["roots"][plan.root] = report
+        report = totals | {"removed": outcomes.get("deleted", 0), "protected": outcomes.get("protected", 0), "skipped": found.skipped, "complete": complete, "elapsed_ms": int((time.time() - began) * 1000)}
+        self._note(plan, scopes, meta, report, now)
         meta["ignore_scopes"] = [list(x) for x in moved]
-        self.number = self.store.commit(kept, new_blocks, meta, touched)
-        for frame in (compared, todo, parsed, judged, changed):
-            frame.unpersist()
+        self.number = self.store.commit(kept, new_blocks, meta, touched, base=number)
         progress("committed", {"snapshot": self.number})
         return report
 
+    @staticmethod
+    def _note(plan: RootPlan, scopes: list[str], meta: dict, report: dict, now: int) -> None:
+        """Keeps the report of a whole root in the meta."""
+        if scopes == [plan.root]:
+            before = meta["roots"].get(plan.root) or {}
+            report["successful_at_ms"] = now if report["complete"] else before.get("successful_at_ms")
+            meta["roots"][plan.root] = report
+
     def clear(self) -> int:
         """Drops all documents; roots stay known. Returns how many documents went."""
         with self.store.writing():
