@@ -72,7 +72,7 @@ def most_specific(roots: list[str], path: str) -> str | None:
     return max(found, key=lambda r: len(parse_path(r).parts), default=None)
 
 
-# Columns (POSIX) ------------------------------------------------------------------------------------------------------
+# Columns --------------------------------------------------------------------------------------------------------------
 
 
 def basename(path: Column) -> Column:
@@ -94,8 +94,33 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(steps, 1, n), "/")))
 
 
+def path_key(path: Column) -> Column:
+    """A path of any kind as one string that is equal for the same path and begins with the key of each folder above it: ``d:/x/y`` for drives and ``//host/share/x`` for shares, both in lower case, as
+    Windows compares without it, and ``/x/y`` for POSIX. Empty parts and ``.`` go, ``..`` takes the part before it. Null for paths that aren't absolute."""
+    drive, share = path.rlike(r"^[A-Za-z]:"), path.rlike(r"^\\\\[^\\/]+[\\/]+[^\\/]+")
+    host = F.regexp_extract(path, r"^\\\\([^\\/]+)[\\/]+([^\\/]+)", 1)
+    folder = F.regexp_extract(path, r"^\\\\([^\\/]+)[\\/]+([^\\/]+)", 2)
+    volume = F.when(drive, F.lower(F.substring(path, 1, 2))).when(share, F.lower(F.concat(F.lit("//"), host, F.lit("/"), folder))).when(path.startswith("/"), F.lit(""))
+    rest = F.when(drive, F.regexp_replace(path, r"^[A-Za-z]:", "")).when(share, F.regexp_replace(path, r"^\\\\[^\\/]+[\\/]+[^\\/]+", "")).otherwise(path)
+    steps = F.when(drive | share, F.split(F.lower(rest), r"[\\/]+")).otherwise(F.split(rest, "/"))
+    steps = F.filter(steps, lambda p: (p != "") & (p != "."))
+    none = F.array().cast("array<string>")
+    walked = F.aggregate(steps, none, lambda done, p: F.when(p == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, p)))
+    steps = F.when(F.array_contains(steps, ".."), walked).otherwise(steps)
+    return F.when(volume.isNotNull(), F.concat(volume, F.lit("/"), F.array_join(steps, "/")))
+
+
+def key_ancestors(key: Column) -> Column:
+    """A key of path_key() and the keys of all folders above it, down to its volume's."""
+    head = F.regexp_extract(key, r"^(//[^/]+/[^/]+/|[a-z]:/|/)", 1)
+    steps = F.filter(F.split(F.regexp_replace(key, r"^(//[^/]+/[^/]+/|[a-z]:/|/)", ""), "/"), lambda p: p != "")
+    return F.transform(F.sequence(F.lit(0), F.size(steps)), lambda n: F.concat(head, F.array_join(F.slice(steps, 1, n), "/")))
+
+
 def below(path: Column, folder: Column | str) -> Column:
-    """Whether path is the folder or lies in it."""
+    """Whether path is the folder or lies in it. Windows folders are compared without case."""
+    if isinstance(folder, str) and not folder.startswith("/"):
+        return F.array_contains(key_ancestors(path_key(path)), path_key(F.lit(folder)))
     folder = F.lit(folder) if isinstance(folder, str) else folder
     return (path == folder) | path.startswith(F.concat(F.regexp_replace(folder, "/+$", ""), F.lit("/")))
 

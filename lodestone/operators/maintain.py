@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.paths import ancestors, below, parts
+from lodestone.functions.paths import ancestors, below, key_ancestors, parts, path_key
 from lodestone.sources.tables import stored
 
 
@@ -23,6 +23,15 @@ def covering_roots(documents: DataFrame, roots: DataFrame) -> DataFrame:
     return steps.join(roots, "root").groupBy("id").agg(F.max_by("root", F.size(parts(F.col("root")))).alias("root"))
 
 
+def covering_keys(rows: DataFrame, roots: DataFrame, path: str = "path") -> DataFrame:
+    """rows with root: the most specific root (root) of any platform that covers their path, null if none does. An equality join on the keys of the folders above."""
+    named = roots.select("root", path_key(F.col("root")).alias("_key")).dropDuplicates(["_key"])
+    own = rows.withColumn("_own", path_key(F.col(path)))
+    steps = own.select("_own", F.explode(key_ancestors(F.col("_own"))).alias("_key")).distinct()
+    best = steps.join(named, "_key").groupBy("_own").agg(F.max_by("root", F.length("_key")).alias("root"))
+    return own.join(best, "_own", "left").drop("_own")
+
+
 def remove_missing(documents: DataFrame, listed: DataFrame, *, root: str, subtree: str | None = None, scopes: DataFrame | None = None, protected: DataFrame | None = None) -> DataFrame:
     """documents with outcome: kept, deleted (not listed any more) or protected (not listed, but in a scope that couldn't be read). Rows outside the root, the subtree
     and the scopes (path; in or below one of them), where these are given, are kept."""

@@ -605,3 +605,6 @@ def running_byte_budget(spark: SparkSession, sf: str) -> DataFrame:
 def context_bundle(spark: SparkSession, sf: str) -> DataFrame:
     docs, blocks = _corpus(spark, sf)
     return context.bundle(docs, blocks, "the", limit=5)
+
+
+from lodestone.plans import store_queries  # noqa: E402, F401  it registers its queries here
