@@ -100,6 +100,19 @@ class Compound:
 # Outlook --------------------------------------------------------------------------------------------------------------
 
 
+#: Where the parts of a message are said to be, and kinds of recipients.
+_MAIL, _MAIL_SUBJECT, _MAIL_SENDER, _MAIL_BODY = "郵件", "郵件主旨", "郵件寄件者", "郵件正文（{form}）／段落 {n}"
+_MAIL_RECIPIENT, _MAIL_UNKNOWN = {1: "收件者", 2: "副本", 3: "密件副本"}, "收件者（類別未知）"
+
+
+def _recipient_kind(properties: bytes) -> int | None:
+    """The type in a recipient's properties: entries of 16 bytes after a header of 8."""
+    for at in range(8, len(properties) - 15, 16):
+        if int.from_bytes(properties[at : at + 4], "little") == 0x0C150003:
+            return int.from_bytes(properties[at + 8 : at + 12], "little")
+    return None
+
+
 def parse_msg(data: bytes) -> list[Block]:
     """Subject, sender and recipients, then the body: HTML if there is any, else the lines of its text."""
     file = Compound(data, "MSG_FORMAT_ERROR")
@@ -118,19 +131,21 @@ def parse_msg(data: bytes) -> list[Block]:
     if kind and not re.match(r"ipm\.note(?:\.|$)", kind):
         raise ParseError("MSG_ITEM_UNSUPPORTED", f"a message of class {kind}")
     people = sorted({p.partition("/")[0] for p in file.streams if p.startswith("__recip_version1.0_")})
-    named = lambda name, address: " ".join(dict.fromkeys(filter(None, (name, f"<{address}>" if address else "")))).strip()
-    head = [("主旨", text("0037")), ("寄件者", named(text("0C1A"), text("5D01") or text("0C1F")))]
-    head += [("收件者", named(text("3001", f"{p}/"), text("39FE", f"{p}/") or text("3003", f"{p}/"))) for p in people]
-    blocks = [Block(n, None, value, "section", label) for n, (label, value) in enumerate((k, trim(v)) for k, v in head if trim(v))]
-    subject = trim(text("0037")) or None
+    lines = lambda *parts: "\n".join(dict.fromkeys(filter(None, map(trim, parts))))
+    subject = trim(text("0037"))
+    head = [(_MAIL_SUBJECT, subject, subject or None), (_MAIL_SENDER, lines(text("0C1A"), text("0C1F"), text("5D01")), None)]
+    for k, p in enumerate(people, 1):
+        label = _MAIL_RECIPIENT.get(_recipient_kind(file.read(f"{p}/__properties_version1.0") or b""), _MAIL_UNKNOWN)
+        head.append((f"{_MAIL}{label} {k}", lines(text("3001", f"{p}/"), text("3003", f"{p}/"), text("39FE", f"{p}/")), None))
+    if not people:  # some have their recipients' names only
+        head += [(_MAIL + _MAIL_RECIPIENT[k], trim(text(tag)), None) for k, tag in ((1, "0E04"), (2, "0E03"), (3, "0E02"))]
     page = file.read("__substg1.0_10130102")
     page_text = page.decode("utf-8", "replace") if page is not None else text("1013")
-    if page_text:
-        body = [b.content for b in html_blocks(page_text)]
-    else:
-        body = re.split(r"\r\n|\n|\r", text("1000"))
-    for row in filter(trim, body):
-        blocks.append(Block(len(blocks), subject, row, "section", f"內文 {len(blocks) + 1}"))
+    body, form = [block.content for block in html_blocks(page_text)] if page_text else [], "HTML"
+    if not body:
+        body, form = re.split(r"\r\n|\n|\r", text("1000")), "純文字"
+    rows = head + [(_MAIL_BODY.format(form=form, n=n), trim(row), None) for n, row in enumerate(filter(trim, body), 1)]
+    blocks = [Block(n, heading, value, "section", place) for n, (place, value, heading) in enumerate(r for r in rows if r[1])]
     return blocks
 
 

@@ -62,7 +62,7 @@ def test_msg():
     text = lambda s: s.encode("utf-16-le")
     data = compound({"__substg1.0_0037001F": text("Sub"), "__substg1.0_0C1A001F": text("Ann"), "__substg1.0_5D01001F": text("a@x"), "__recip_version1.0_#0/__substg1.0_3001001F": text("Bob"), "__substg1.0_1000001F": text("one\r\n\r\ntwo")})
     blocks = parse_document("m.msg", data)[3]
-    assert [(b.heading, b.content, b.location_value) for b in blocks] == [(None, "Sub", "主旨"), (None, "Ann <a@x>", "寄件者"), (None, "Bob", "收件者"), ("Sub", "one", "內文 4"), ("Sub", "two", "內文 5")]
+    assert [(b.heading, b.content, b.location_value) for b in blocks] == [("Sub", "Sub", "郵件主旨"), (None, "Ann\na@x", "郵件寄件者"), (None, "Bob", "郵件收件者（類別未知） 1"), (None, "one", "郵件正文（純文字）／段落 1"), (None, "two", "郵件正文（純文字）／段落 2")]
     assert parse_document("m.msg", b"x")[1] == "MSG_FORMAT_ERROR"
     assert parse_document("m.msg", compound({"__substg1.0_001A001F": text("IPM.Contact")}))[1] == "MSG_ITEM_UNSUPPORTED"
 
