@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -149,13 +150,16 @@ class Index:
             self.number = self.store.record(number, meta)
             progress("committed", {"snapshot": self.number})
             return report
-        top = documents.agg(F.max("id")).first()[0] or 0
         now = int(began * 1000)
         todo = compared.where("action <> 'skip'").join(documents.select("path", "id"), "path", "left")
-        todo = todo.where("id is not null").unionByName(maintain.next_ids(todo.where("id is null").drop("id"), top + 1, F.col("path")))
+        if totals["added"]:
+            top = documents.agg(F.max("id")).first()[0] or 0
+            todo = todo.where("id is not null").unionByName(maintain.next_ids(todo.where("id is null").drop("id"), top + 1, F.col("path")))
         todo = stored(todo, "todo")
-        parsed = parse_column(read_files(todo.where("action = 'parse'").select(F.col("id").alias("document_id"), "path", "filename", "size_bytes")))
-        parsed = stored(parsed, "parsed")  # files may change meanwhile: they are read once
+        files = todo.where("action = 'parse'").select(F.col("id").alias("document_id"), "path", "filename", "size_bytes")
+        tasks = max(1, min(totals["parser_calls"], 4 * spark.sparkContext.defaultParallelism, 1 + totals["parser_calls"] // 20)) if totals["parser_calls"] < 100_000 else None
+        # files may change meanwhile: they are read once. Few files are still dealt to all cores
+        parsed = stored(parse_column(read_files(files.repartition(tasks, "document_id") if tasks else files.repartition("document_id"))), "parsed")
         outcome = parsed.groupBy("document_id").agg(F.first("status").alias("status"), F.first("error_code").alias("error_code"), F.first("error_message").alias("error_message"))
         changed = todo.join(outcome, todo["id"] == outcome["document_id"], "left")
         large = F.col("size_bytes") > LARGEST_FILE
@@ -165,7 +169,11 @@ class Index:
             F.when(large & (F.col("action") == "parse"), "too_large").otherwise(F.coalesce("status", F.lit("unsupported"))).alias("status"),
             F.when(large & (F.col("action") == "parse"), "FILE_TOO_LARGE").otherwise(F.col("error_code")).alias("error_code"), "error_message", version.alias("parse_version"), "reason",
         )
-        totals["committed"] = {r["reason"]: r["count"] for r in changed.where("status <> 'error'").groupBy("reason").count().collect()}
+        noted = changed.groupBy("reason", F.col("status") == "error", self.store.part_of(F.col("id"), number)).count().toDF("reason", "failed", "part", "n").collect()  # by part, so bounded
+        committed = Counter()
+        for r in noted:
+            committed[r["reason"]] += 0 if r["failed"] else r["n"]
+        totals["committed"] = {k: n for k, n in committed.items() if n}
         merged = documents.join(changed.select("path"), "path", "left_anti").unionByName(changed.select(*documents.columns))
         protected = None if complete else found.protected
         none = merged.limit(0).withColumn("outcome", F.lit("kept"))
@@ -177,8 +185,7 @@ class Index:
         stale = todo.where("action = 'parse'").select(F.col("id").alias("document_id")).union(gone)
         touched = None
         if plan.kind != "merge":  # at most one row for each part
-            ids = todo.select(F.col("id").alias("document_id")).union(gone)
-            touched = [r[0] for r in ids.select(self.store.part_of(F.col("document_id"), number)).distinct().collect()]
+            touched = sorted({r["part"] for r in noted} | ({r[0] for r in gone.select(self.store.part_of(F.col("document_id"), number)).distinct().collect()} if missing else set()))
         progress("parsed", {"parts": len(touched) if touched is not None else None})
         fresh = parsed.where("ordinal is not null").select("document_id", "ordinal", "heading", "content", "location_kind", "location_value").withColumns({"norm_heading": norm(F.col("heading")), "norm_content": norm(F.col("content"))})
         blocks = self.store.table("blocks", number, touched)

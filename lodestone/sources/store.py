@@ -14,6 +14,7 @@ import socket
 import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager, suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -213,8 +214,11 @@ class Store:
         attempt = os.urandom(4).hex()
         touched = set(range(count)) if parts is None else set(parts)
         tables = {name: {p: c for p, c in before["tables"].get(name, {}).items() if int(p) not in touched} for name in TABLES}
-        for name, df in (("documents", documents.select(*S.DOCUMENTS.names)), ("blocks", blocks.select(*S.BLOCKS.names))):
-            tables[name] |= self._write_parts(name, df, f"{base + 1:08d}-{attempt}", count, None if parts is None else sorted(touched))
+        some = None if parts is None else sorted(touched)
+        with ThreadPoolExecutor(2) as both:  # two jobs that don't wait for each other
+            jobs = {name: both.submit(self._write_parts, name, df, f"{base + 1:08d}-{attempt}", count, some) for name, df in (("documents", documents.select(*S.DOCUMENTS.names)), ("blocks", blocks.select(*S.BLOCKS.names)))}
+        for name, job in jobs.items():
+            tables[name] |= job.result()
         tables["postings"] |= self._write_postings(tables["blocks"], f"{base + 1:08d}-{attempt}", count)
         posted = sorted((set(before["posted"]) - {str(p) for p in touched}) | {p for p in tables["documents"] if int(p) in touched})
         left = set(tables["documents"]) - set(posted)
