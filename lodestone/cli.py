@@ -1,4 +1,4 @@
-"""Command line: index, search, context, status, roots, rebuild, remove-root."""
+"""Command line: index, search, context, status, roots, rebuild, remove-root, upgrade, watch."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ from lodestone.plans.index import Index
 from lodestone.plans.roots import resolve_scope
 from lodestone.plans.session import SearchSession
 from lodestone.session import session
+from lodestone.streaming import watch
+from lodestone.streaming.source import folder_events
 
 
 def _scope(index: Index, args: argparse.Namespace) -> Scope:
@@ -40,6 +42,12 @@ def main(argv: list[str] | None = None) -> int:
         one.add_argument("--all-terms", action="store_true")
         one.add_argument("--page", type=int, default=1)
         one.add_argument("--page-size", type=int, default=DEFAULT_LIMIT)
+    verbs.choices["context"].add_argument("--select", help="positions of the page's results, such as 1,3; all of them if not given")
+    watching = verbs.add_parser("watch")
+    watching.add_argument("--debounce-ms", type=int, default=watch.DEBOUNCE_MS)
+    watching.add_argument("--background", action="store_true")
+    watching.add_argument("--seconds", type=float, help="ends after so long; without it, with the process")
+    verbs.add_parser("upgrade")
     verbs.add_parser("status")
     verbs.add_parser("roots")
     args = parser.parse_args(argv)
@@ -57,11 +65,27 @@ def main(argv: list[str] | None = None) -> int:
             for r in page.rows.collect():
                 print(f"{r['position']}. [{r['reason']}] {terminal_text(r['path'])}\n   {terminal_text(r['snippet']['text'])}")
         elif args.verb == "context":
-            rows = context.bundle(index.documents, index.blocks, args.query, limit=min(args.page_size, context.MOST_SELECTED), scope=_scope(index, args), all_terms=args.all_terms).collect()
-            print(context.markdown([r.asDict(True) for r in rows], [args.query]))
+            found = SearchSession(index, args.query, all_terms=args.all_terms, scope=_scope(index, args))
+            rows = found.page(args.page, min(args.page_size, context.MOST_SELECTED)).rows.collect()
+            wanted = {int(k) for k in args.select.split(",")} if args.select else {r["position"] for r in rows}
+            chosen = [(args.query, r["reference"]) for r in rows if r["position"] in wanted]
+            print(context.markdown(context.prepare(index, chosen, all_terms=args.all_terms, scope=_scope(index, args)), [args.query]))
+        elif args.verb == "upgrade":
+            print(index.store.upgrade())
+        elif args.verb == "watch":
+            folder = f"{index.store.folder}/watch"
+            roots = lambda: list(index.store.meta()["roots"])
+            told = lambda row, error: print(json.dumps({"root": row["root"], "paths": row["paths"], "state": row["state"], "failures": row["failures"], "error": error}, ensure_ascii=False), flush=True)
+            events = folder_events(index.store.spark, roots(), f"{folder}/listings")
+            how = watch.Settings.of(debounce_ms=args.debounce_ms, background=args.background)
+            query = watch.watch(index.store.spark, events, lambda root, paths: index.apply(root, paths), folder, roots, how=how, on_work=told)
+            query.awaitTermination(args.seconds) if args.seconds else query.awaitTermination()
+            query.stop()
         elif args.verb == "roots":
             print(json.dumps(index.meta["roots"], ensure_ascii=False, indent=1))
         else:
+            meta = index.meta
+            print(json.dumps({"snapshot": index.number, "format": index.store.format_status(), "ready": index.number > 0 and all(r.get("complete") for r in meta["roots"].values()), "roots": meta["roots"]}, ensure_ascii=False))
             for name, frame in index.status().items():
                 print(json.dumps({name: [r.asDict() for r in frame.collect()]}, ensure_ascii=False))
     except (ValueError, LookupError) as error:

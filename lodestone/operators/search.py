@@ -162,10 +162,10 @@ def windowed(hits: DataFrame, rows: int = WINDOW_ROWS) -> DataFrame:
     return hits.orderBy(*result_order()).limit(rows).withColumns({"total_hits": F.lit(total).cast("long"), "truncated": F.lit(total > rows)})
 
 
-def refine(previous: DataFrame, documents: DataFrame, blocks: DataFrame, raw_query: str, *, all_terms: bool = False) -> DataFrame:
-    """A further layer: hits of the query among those of ``previous`` (id, position), in the order of the first layer; rank, kind and block are the new query's."""
+def refine(previous: DataFrame, documents: DataFrame, blocks: DataFrame, raw_query: str, *, all_terms: bool = False, candidates: DataFrame | None = None) -> DataFrame:
+    """A further layer: hits of the query among those of ``previous`` (id, position), in the order of the first layer; rank, kind and block are the new query's. ``candidates`` as in rank()."""
     among = documents.join(previous.select("id"), "id", "left_semi")
-    found = rank(among, blocks.join(previous.select(F.col("id").alias("document_id")), "document_id", "left_semi"), raw_query, all_terms=all_terms)
+    found = rank(among, blocks.join(previous.select(F.col("id").alias("document_id")), "document_id", "left_semi"), raw_query, all_terms=all_terms, candidates=candidates)
     return found.join(previous.select("id", "position"), "id")
 
 

@@ -13,6 +13,7 @@ from lodestone.functions.text import document_reference, parse_reference, query_
 from lodestone.operators.passages import DEFAULT_PASSAGES, MOST_PASSAGES, all_terms_passages, phrase_passages
 from lodestone.operators.search import WINDOW_ROWS, Scope, reason, search
 from lodestone.plans.index import Index
+from lodestone.plans.session import SearchSession
 
 #: The version of the bundle's layout, selected documents and bytes at most.
 SCHEMA_VERSION, MOST_SELECTED, MOST_BYTES = 4, 20, 256 * 1024
@@ -34,14 +35,14 @@ def best_passages(documents: DataFrame, blocks: DataFrame, raw_query: str, passa
     return chosen.join(blocks.drop("norm_heading", "norm_content"), ["document_id", "ordinal"])
 
 
-def bundle(documents: DataFrame, blocks: DataFrame, raw_query: str, *, limit: int = MOST_SELECTED, passages: int = DEFAULT_PASSAGES, scope: Scope = Scope(), all_terms: bool = False) -> DataFrame:
-    """One row for each of the first hits: reference, path, rank, reason and passages (array of ordinal, heading, content, location), best first.
+def bundle(documents: DataFrame, blocks: DataFrame, raw_query: str, *, limit: int = MOST_SELECTED, passages: int = DEFAULT_PASSAGES, scope: Scope = Scope(), all_terms: bool = False, candidates: DataFrame | None = None) -> DataFrame:
+    """One row for each of the first hits: reference, path, rank, reason and passages (array of ordinal, heading, content, location), best first. ``candidates`` as in search().
 
     Hits are chosen first; passages are looked for in their blocks only. At most ``passages`` blocks of a document are gathered.
     """
     if not 1 <= limit <= MOST_SELECTED or not 1 <= passages <= MOST_PASSAGES:
         raise ValueError(f"1 to {MOST_SELECTED} documents with 1 to {MOST_PASSAGES} passages")
-    hits = search(documents, blocks, raw_query, scope=scope, limit=limit, all_terms=all_terms)
+    hits = search(documents, blocks, raw_query, scope=scope, limit=limit, all_terms=all_terms, candidates=candidates)
     chosen = blocks.join(F.broadcast(hits.select(F.col("id").alias("document_id"))), "document_id", "left_semi")  # ``limit`` rows
     best = best_passages(documents, chosen, raw_query, passages, all_terms)
     found = best.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("passage_no", "ordinal", "heading", "content", "location_kind", "location_value"))).alias("passages"))
@@ -132,6 +133,11 @@ class Selection:
         if query not in self.queries:
             self.queries.append(query)
 
+    def toggle_page(self, session: SearchSession, number: int = 1, size: int = 20) -> None:
+        """Toggles all results of a page of a session."""
+        rows = session.page(number, size).rows.select("reference").collect()  # ``size`` rows at most
+        self.toggle([r["reference"] for r in rows], session.layers[-1][0])
+
     def page(self, number: int, size: int = 10) -> list[str]:
         return self.references[(number - 1) * size : number * size]
 

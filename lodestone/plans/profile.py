@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.operators import stats
 
@@ -33,9 +34,11 @@ class Profile:
             self.phases.append((name, (time.perf_counter() - began) * 1000, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024))
 
     def report(self, files: DataFrame) -> dict:
-        """Phases, percentiles by extension (nearest rank, over all files) and the slowest files by number only."""
+        """Phases, percentiles by extension (nearest rank, from a reservoir of each) and the slowest files by number only. What the files' rows hold beside extension, status, size_bytes and ms doesn't
+        get into it."""
+        files = files.select("extension", "status", "size_bytes", F.col("ms").cast("double").alias("ms"))
         phases = {r["phase"]: {"ms": round(r["ms"], 2), "memory_bytes": r["memory_bytes"]} for r in stats.phase_totals(self.spark.createDataFrame(self.phases, "phase string, ms double, memory_bytes long")).collect()} if self.phases else {}
-        formats = {r["extension"]: {k: r[k] for k in ("n", "p50", "p95", "max")} for r in stats.percentiles(files, "extension", "ms").collect()}
+        formats = {r["extension"]: {k: r[k] for k in ("n", "p50", "p95", "max")} for r in stats.sampled_percentiles(files, "extension", "ms", F.concat_ws(":", "size_bytes", "ms")).collect()}
         slow = [{"extension": r["extension"], "status": r["status"], "size_bytes": r["size_bytes"], "ms": r["ms"]} for r in stats.slowest(files, "ms", "size_bytes", SLOWEST).collect()]
         return {"phases": phases, "formats": formats, "slowest": slow}
 

@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths
-from lodestone.operators import maintain, search, sketches
+from lodestone.operators import maintain, search, sketches, stats
+from lodestone.plans import context
 from lodestone.plans.catalogue import _BLOCKS, _DOCS, _SPACE, _hits, _phrase_sql, query
 from lodestone.plans.index import Index
+from lodestone.plans.session import SearchSession
 from lodestone.sources import corpus
 from lodestone.sources.listing import scan_tree
 from lodestone.sources.tables import modified, shared_dir
@@ -148,6 +150,43 @@ def store_search(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(_below("path", made.root).alias("path"))
 
 
+_HIT = f"""h AS (SELECT *, row_number() OVER (ORDER BY named DESC, modified_at_ms DESC, path) AS first FROM (SELECT {_FILE} AS path, filename, modified_at_ms, text, contains(lower(filename), 'en') AS named FROM d
+WHERE contains(lower(filename), 'en') OR contains(lower(text), 'en')))"""
+
+
+@query(f"""WITH {_DOCS}, {_HIT}, r AS (SELECT path, row_number() OVER (ORDER BY first) AS position FROM h WHERE contains(lower(filename), 'the') OR contains(lower(text), 'the'))
+SELECT path, position, (SELECT count(*) FROM r) AS total FROM r WHERE position BETWEEN 11 AND 20""")
+def session_refined_page(spark: SparkSession, sf: str) -> DataFrame:
+    """The second page of a session's second layer, read from stored layers of the first snapshot although others have been committed since."""
+    made = synced(spark, sf)
+    index = Index(made.index.store)
+    index.number = made.first
+    session = SearchSession(index, "en")
+    session._check = lambda: None  # the snapshot isn't the current one any more, and is read all the same
+    session.append("the")
+    page = session.page(2, 10)
+    return page.rows.select(_below("path", made.root).alias("path"), "position", F.lit(page.total).cast("long").alias("total"))
+
+
+@query(f"""WITH {_DOCS}, h AS (SELECT {_FILE} AS path, filename, modified_at_ms, text FROM d WHERE id % 10 <> 1 UNION ALL SELECT 'copies/' || {_FILE}, filename, modified_at_ms, text FROM d WHERE id % 10 = 2),
+t AS (SELECT * FROM h WHERE contains(lower(text), 'license') AND NOT contains(filename, 'license') ORDER BY modified_at_ms DESC, path LIMIT 5)
+SELECT path, FALSE AS filename_only, least(3, (SELECT count(*) FROM unnest(string_split_regex(text, '\r\n|\n|\r')) u(line) WHERE contains(lower(line), 'license'))) AS passages FROM t""")
+def selected_context(spark: SparkSession, sf: str) -> DataFrame:
+    """The first five results of a session, selected and prepared for a context: checked again against index and files."""
+    made = synced(spark, sf)
+    session, selection = SearchSession(made.index, "license"), context.Selection()
+    selection.toggle_page(session, 1, 5)
+    rows = context.prepare(made.index, [("license", r) for r in selection.references])
+    return spark.createDataFrame([(r["path"][len(made.root) + 1 :], r["filename_only"], len(r["passages"])) for r in rows], "path string, filename_only boolean, passages long")
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR)), n_chars) AS k FROM documents WHERE n_chars IS NOT NULL)
+SELECT lang, count(n_chars) AS n, quantile_disc(n_chars, 0.5) FILTER (k <= 40) AS p50, quantile_disc(n_chars, 0.95) FILTER (k <= 40) AS p95, max(n_chars) AS max FROM r GROUP BY lang""")
+def profile_reservoir(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles from a reservoir of 40 values of each language."""
+    return stats.sampled_percentiles(corpus.table(spark, sf, "documents"), "lang", "n_chars", F.col("doc_id"), 40)
+
+
 # Payloads and sketches ------------------------------------------------------------------------------------------------
 
 #: Bytes of a payload in these queries: small, so that documents have several.
