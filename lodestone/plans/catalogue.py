@@ -197,7 +197,13 @@ def matching_passages_all_terms(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(*(F.col(c).cast("long").alias(c) for c in ("document_id", "passage_no", "ordinal", "rank", "matched", "terms")))
 
 
-@query()
+@query(f"""WITH x AS (SELECT h.id, h.rank, coalesce(l.content, h.filename) AS source FROM ({_phrase_sql("the", order=f"{_ORDER} LIMIT 20", extra=", s.filename")}) h
+  LEFT JOIN (WITH {_BLOCKS} SELECT * FROM b) l ON l.document_id = h.id AND l.ordinal = h.ordinal),
+y AS (SELECT id, rank, source, strpos(lower(source), 'the') AS spot FROM x),
+z AS (SELECT id, rank, regexp_replace(left(source, greatest(spot - 1, 0)), '\\s+', ' ', 'g') AS before, CASE WHEN spot > 0 THEN substring(source, spot, 3) ELSE '' END AS hit,
+  regexp_replace(substring(source, CASE WHEN spot > 0 THEN spot + 3 ELSE 1 END), '\\s+', ' ', 'g') AS after FROM y),
+w AS (SELECT *, least(45, length(before)) AS l, 158 - least(45, length(before)) - length(hit) AS r FROM z)
+SELECT id, rank, trim(CASE WHEN l < length(before) THEN '…' ELSE '' END || right(before, l) || hit || left(after, r) || CASE WHEN r < length(after) THEN '…' ELSE '' END, {_SPACE}) AS text, FALSE AS truncated FROM w""")
 def snippet_page(spark: SparkSession, sf: str) -> DataFrame:
     """Snippets of the first page: the hits are chosen first, and only their blocks are read for text."""
     docs, blocks = _corpus(spark, sf)
@@ -607,4 +613,15 @@ def context_bundle(spark: SparkSession, sf: str) -> DataFrame:
     return context.bundle(docs, blocks, "the", limit=5)
 
 
+@query(f"""WITH {_DOCS}, {_BLOCKS}, t AS ({_phrase_sql("the", order=f"{_ORDER} LIMIT 5")}),
+p AS (SELECT t.id, t.path, t.rank, b.ordinal, b.content, row_number() OVER (PARTITION BY t.id ORDER BY b.ordinal) AS passage_no FROM t JOIN b ON b.document_id = t.id WHERE contains(lower(b.content), 'the'))
+SELECT id || '-' || sha256(path)[1:16] AS reference, rank, passage_no, CAST(ordinal AS BIGINT) AS ordinal, content FROM p WHERE passage_no <= 3""")
+def context_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """The passages of a context, one row each; the stored postings tell where to look."""
+    index = corpus.indexed(spark, sf)
+    rows = context.bundle(index.documents, index.blocks, "the", limit=5, candidates=candidates.candidates(index.postings, "the"))
+    each = rows.select("reference", F.col("rank").cast("long").alias("rank"), F.explode("passages").alias("p"))
+    return each.select("reference", "rank", F.col("p.passage_no").cast("long").alias("passage_no"), F.col("p.ordinal").cast("long").alias("ordinal"), "p.content")
+
+
 from lodestone.plans import store_queries  # noqa: E402, F401  it registers its queries here

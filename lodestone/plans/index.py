@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import stat
 import time
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -12,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import schema as S
-from lodestone.functions.text import iso_time, norm
+from lodestone.functions.paths import covers
+from lodestone.functions.text import document_reference, iso_time, norm, parse_reference
 from lodestone.operators import classify, maintain, stats
 from lodestone.operators.candidates import candidates
-from lodestone.plans.roots import RootPlan, plan_root
+from lodestone.plans.roots import RootPlan, ownership_base, plan_root
 from lodestone.sources.listing import scan_tree
 from lodestone.sources.parsers import LARGEST_FILE, parse_column
 from lodestone.sources.store import Store
@@ -55,6 +57,14 @@ def stable(path: str) -> bool:
         return True
 
 
+class SourceError(ValueError):
+    """code: ACTION_..."""
+
+    def __init__(self, code: str, message: str):
+        super().__init__(message)
+        self.code = code
+
+
 class Index:
     """Documents and blocks of a store, pinned to the snapshot that was current when it was opened."""
 
@@ -241,6 +251,34 @@ class Index:
             "last": documents.agg(iso_time(F.max("indexed_at_ms")).alias("indexed_at")),
         }
 
+    def resolve(self, reference: str) -> dict:
+        """path, and whether it differs from its indexed state, of a reference to a document whose file is there, below its root and through no link. Raises SourceError."""
+        try:
+            ident, _ = parse_reference(reference)
+        except ValueError:
+            raise SourceError("ACTION_REFERENCE_INVALID", f"not a reference: {reference}") from None
+        named = self.store.table("documents", self.number).where(F.col("id") == ident)
+        row = named.select("path", "root_path", "size_bytes", "modified_at_ms", document_reference(F.col("id"), F.col("path")).alias("reference")).first()
+        if row is None or row["reference"] != reference:
+            raise SourceError("ACTION_REFERENCE_STALE", "the reference is out of date; search again")
+        base = ownership_base(row["root_path"], [b for r, b in self.meta["ignore_scopes"] if r == row["root_path"]], row["path"])
+        if not covers(base, row["path"], strictly=True):
+            raise SourceError("ACTION_PATH_REJECTED", "the document isn't below its root")
+        at = os.path.realpath(base)
+        try:
+            for step in os.path.relpath(row["path"], base).split(os.sep):
+                at = os.path.join(at, step)
+                if os.path.islink(at):
+                    raise SourceError("ACTION_LINK_REJECTED", "the path leads through a link now; index it again")
+            now = os.stat(at, follow_symlinks=False)
+            if not stat.S_ISREG(now.st_mode):
+                raise SourceError("ACTION_NOT_FILE", "it isn't a regular file any more")
+            if not os.access(at, os.R_OK):
+                raise PermissionError(at)
+        except OSError:
+            raise SourceError("ACTION_SOURCE_UNAVAILABLE", "the file isn't there or can't be read; index it again") from None
+        return {"path": row["path"], "changed": (row["size_bytes"], row["modified_at_ms"]) != (now.st_size, now.st_mtime_ns / 1e6)}
+
     def changed_since(self, path: str) -> bool | None:
         """Whether a file differs from its indexed state; None if it isn't indexed or is gone."""
         row = self.store.table("documents", self.number).where(F.col("path") == path).select("size_bytes", "modified_at_ms").first()

@@ -6,9 +6,11 @@ import threading
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from lodestone.functions.text import document_reference
 from lodestone.operators.search import search
-from lodestone.plans.index import Index
+from lodestone.plans.index import Index, SourceError
 from lodestone.sources import listing, store
 from lodestone.sources.listing import scan, scan_tree
 from lodestone.sources.store import SnapshotChanged, Store
@@ -131,3 +133,27 @@ def test_parts_double_when_the_largest_is_too_large(spark, tmp_path):
         assert found["parts"] == parts and index.documents.count() == index.blocks.count() == 25 + k
         assert search(index.documents, index.blocks, "common", limit=100, candidates=index.candidates("common")).count() == 25 + k
     assert reader.documents.count() == 24 and reader.blocks.count() == 24  # it stays on the snapshot that it began with
+
+
+def test_references_lead_to_files_or_say_why_not(spark, tmp_path):
+    root = tmp_path / "root"
+    tree(root, 3)
+    index = Index.open(spark, str(tmp_path / "store"))
+    index.sync(str(root))
+    rows = {r["filename"]: r["reference"] for r in index.documents.select("filename", document_reference(F.col("id"), F.col("path")).alias("reference")).collect()}
+    assert index.resolve(rows["f0.txt"]) == {"path": str(root / "d0/e0/f0.txt"), "changed": False}
+    (root / "d0/e0/f0.txt").write_text("other")
+    assert index.resolve(rows["f0.txt"])["changed"]
+    os.rename(root / "d1", root / "real")
+    (root / "d1").symlink_to(root / "real")
+    os.unlink(root / "d2/e0/f2.txt")
+    (root / "d2/e0/f2.txt").mkdir()
+    ident = rows["f1.txt"].split("-")[0]
+    for reference, code in (("x", "INVALID"), (f"{ident}-{'0' * 16}", "STALE"), ("999-" + "0" * 16, "STALE"), (rows["f1.txt"], "LINK_REJECTED"), (rows["f2.txt"], "NOT_FILE")):
+        with pytest.raises(SourceError) as failed:
+            index.resolve(reference)
+        assert failed.value.code.endswith(code)
+    os.rmdir(root / "d2/e0/f2.txt")
+    with pytest.raises(SourceError) as failed:
+        index.resolve(rows["f2.txt"])
+    assert failed.value.code == "ACTION_SOURCE_UNAVAILABLE"
