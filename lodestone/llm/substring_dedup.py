@@ -265,13 +265,14 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     settle(spark, wanted)
     occurrence = F.xxhash64("x1", "x2", "off")
     twice = windows.groupBy("w1", "w2").agg(F.min(occurrence).alias("lo"), F.max(occurrence).alias("hi")).where("lo <> hi").select("w1", "w2")
+    twice = materialize(twice, "twice")  # a table of its own, so that the join below can split a window that very many texts share
     found = windows.join(twice, ["w1", "w2"], "left_semi").select("x1", "x2", "off").distinct()
     # a chunk that occurs once has its windows where it is; all windows of one that occurs again are repeated
     once = found.join(seen.where("not again").select("x1", "x2", "k1", "k2", "start"), ["x1", "x2"]).selectExpr("k1", "k2", "start + off as start", "1L as count")
     whole = chunks.join(seen.where("again").select("x1", "x2"), ["x1", "x2"], "left_semi").selectExpr("k1", "k2", "start", "windows as count").distinct()
     out = once.union(whole).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "count")).alias("starts"))
     out = materialize(out, "repeats")
-    settle(spark, windows, chunks, seen)
+    settle(spark, windows, chunks, seen, twice)
     return out
 
 
