@@ -1,6 +1,10 @@
 """The corpus pipeline: language ID, near-duplicate removal, personal data, source mixing, packing.
 
 Each stage takes (spark, docs, sf_dir); what it returns is written as Parquet and read again as the next one's docs.
+
+All stages take docs with the columns of ``documents``; others are dropped, whatever their names. An empty table gives an empty result. Texts of any length are
+looked at whole. Repeated rows and rows with the same doc_id are rows of their own, but for the near-duplicate stage. Null langs and sources stay null, or are a language and
+a source of their own where one is needed.
 """
 
 from __future__ import annotations
@@ -21,7 +25,8 @@ HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a recognisable language (null, or no letter); ``lang`` becomes the predicted one."""
+    """Drops documents without a recognisable language (null text, or no letter; all of them if no document has a lang to learn from); ``lang`` becomes the predicted one. Equal scores go to the language that
+    sorts first."""
     ship(spark)
     found = language_id.identify_documents(docs.select(*COLUMNS))
     return found.where(F.col("lang_pred") != language_id.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
@@ -30,6 +35,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near duplicates: one with the smallest doc_id. Rows without a doc_id or a word are near nothing and stay."""
     ship(spark)
+    docs = docs.select(*COLUMNS)
     found = materialize(jaccard_join.near_duplicate_rows(docs.select("doc_id", "text")), "near")
     least = found.where("n_shingles > 0 and doc_id = component_id")
     chosen = least.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("row"), F.count("*").alias("_rows")).select("row.*", "_rows")
@@ -41,20 +47,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by placeholders; n_chars follows."""
+    """Replaces personal data by placeholders; n_chars follows. Null and empty texts stay as they are, and so do all rows."""
     ship(spark)
     return pii.redact(docs.select(*COLUMNS), pii.train(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once, and those of small sources again until no source is used more than REPETITION_LIMIT times."""
+    """Every document once, and those of small sources again until no source is used more than REPETITION_LIMIT times. A null source is a source; a null text counts its closing id."""
     ship(spark)
     docs = materialize(mixing.counted(docs.select(*COLUMNS), packing.word_encoder(tokenizer_path(), CACHE_WORDS)), "counted")
     return mixing.mix(docs, F.col("_count"), repetition_limit=REPETITION_LIMIT).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 4096 tokens."""
+    """Pieces of all documents in sequences of 4096 tokens. Null texts are empty: their only token is the closing id."""
     ship(spark)
     return packing.pack(docs, packing.word_encoder(tokenizer_path(), CACHE_WORDS))
 
