@@ -52,13 +52,16 @@ def remove_missing(documents: DataFrame, listed: DataFrame, *, root: str, subtre
 
 
 def next_ids(new: DataFrame, first: int, order: Column, ident: str = "id") -> DataFrame:
-    """new rows with ids from ``first`` on, gapless and ascending in the given order: sorted in ranges, counted in each and shifted, so no task numbers all rows."""
+    """new rows with ids from ``first`` on, gapless and ascending in the given order: sorted in ranges, counted in each and shifted, so no task numbers all rows. They read a stored table, which
+    discard() deletes once they have been written."""
     placed = new.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
     placed = stored(placed, "numbered")  # ranges are drawn from a sample: they have to be the same for counts and rows
     sizes = placed.groupBy("_part").count()
     before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))  # one row for each part
     row = F.row_number().over(Window.partitionBy("_part").orderBy(order))
-    return placed.join(F.broadcast(before), "_part").withColumn(ident, (F.lit(first - 1) + F.col("_before") + row).cast("long")).drop("_part", "_before")
+    out = placed.join(F.broadcast(before), "_part").withColumn(ident, (F.lit(first - 1) + F.col("_before") + row).cast("long")).drop("_part", "_before")
+    out._lodestone_path = placed._lodestone_path
+    return out
 
 
 def upsert(documents: DataFrame, changed: DataFrame) -> DataFrame:

@@ -117,7 +117,8 @@ def numbered(hits: DataFrame) -> DataFrame:
     """hits with position (from 1) in result order.
 
     Positions need one total order. Hits are dealt into ranges by rank and by approximate percentiles of the time of change (a few numbers on
-    the driver); each range is numbered on its own and shifted by the counts of those before it, so no task holds more than a range.
+    the driver); each range is numbered on its own and shifted by the counts of those before it, so no task holds more than a range. They read a stored table, which discard() deletes
+    once they have been written.
     """
     hits = stored(hits, "hits")  # ids, paths and times: looked at three times
     parts = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -128,7 +129,9 @@ def numbered(hits: DataFrame) -> DataFrame:
     rows = ranged.withColumn("_row", F.row_number().over(Window.partitionBy("_range").orderBy(*result_order())))
     sizes = ranged.groupBy("_range").count()  # one row for each range
     before = sizes.select("_range", (F.sum("count").over(Window.orderBy("_range")) - F.col("count")).alias("_before"))
-    return rows.join(F.broadcast(before), "_range").withColumn("position", (F.col("_row") + F.col("_before")).cast("long")).drop("_range", "_row", "_before")
+    out = rows.join(F.broadcast(before), "_range").withColumn("position", (F.col("_row") + F.col("_before")).cast("long")).drop("_range", "_row", "_before")
+    out._lodestone_path = hits._lodestone_path
+    return out
 
 
 @dataclass(frozen=True)

@@ -21,7 +21,7 @@ from lodestone.plans.roots import RootPlan, ownership_base, plan_root
 from lodestone.sources.listing import scan_tree
 from lodestone.sources.parsers import LARGEST_FILE, parse_column
 from lodestone.sources.store import Store
-from lodestone.sources.tables import stored
+from lodestone.sources.tables import discard, stored
 
 
 #: Milliseconds in which a file mustn't change to be taken.
@@ -158,14 +158,18 @@ class Index:
             report = totals | {"committed": {}, "removed": 0, "protected": 0, "skipped": found.skipped, "complete": complete, "elapsed_ms": int((time.time() - began) * 1000)}
             self._note(plan, scopes, meta, report, int(began * 1000))
             self.number = self.store.record(number, meta)
+            discard(spark, found.folder)
             progress("committed", {"snapshot": self.number})
             return report
         now = int(began * 1000)
         todo = compared.where("action <> 'skip'").join(documents.select("path", "id"), "path", "left")
         if totals["added"]:
             top = documents.agg(F.max("id")).first()[0] or 0
-            todo = todo.where("id is not null").unionByName(maintain.next_ids(todo.where("id is null").drop("id"), top + 1, F.col("path")))
+            fresh = maintain.next_ids(todo.where("id is null").drop("id"), top + 1, F.col("path"))
+            todo = todo.where("id is not null").unionByName(fresh)
         todo = stored(todo, "todo")
+        if totals["added"]:
+            discard(spark, fresh)
         files = todo.where("action = 'parse'").select(F.col("id").alias("document_id"), "path", "filename", "size_bytes")
         tasks = max(1, min(totals["parser_calls"], 4 * spark.sparkContext.defaultParallelism, 1 + totals["parser_calls"] // 20)) if totals["parser_calls"] < 100_000 else None
         # files may change meanwhile: they are read once. Few files are still dealt to all cores
@@ -197,13 +201,14 @@ class Index:
         if plan.kind != "merge":  # at most one row for each part
             touched = sorted({r["part"] for r in noted} | ({r[0] for r in gone.select(self.store.part_of(F.col("document_id"), number)).distinct().collect()} if missing else set()))
         progress("parsed", {"parts": len(touched) if touched is not None else None})
-        fresh = parsed.where("ordinal is not null").select("document_id", "ordinal", "heading", "content", "location_kind", "location_value").withColumns({"norm_heading": norm(F.col("heading")), "norm_content": norm(F.col("content"))})
+        new = parsed.where("ordinal is not null").select("document_id", "ordinal", "heading", "content", "location_kind", "location_value").withColumns({"norm_heading": norm(F.col("heading")), "norm_content": norm(F.col("content"))})
         blocks = self.store.table("blocks", number, touched)
-        new_blocks = maintain.replace_blocks(blocks, stale, fresh.select(*blocks.columns)).join(gone, "document_id", "left_anti")
+        new_blocks = maintain.replace_blocks(blocks, stale, new.select(*blocks.columns)).join(gone, "document_id", "left_anti")
         report = totals | {"removed": outcomes.get("deleted", 0), "protected": outcomes.get("protected", 0), "skipped": found.skipped, "complete": complete, "elapsed_ms": int((time.time() - began) * 1000)}
         self._note(plan, scopes, meta, report, now)
         meta["ignore_scopes"] = [list(x) for x in moved]
         self.number = self.store.commit(kept, new_blocks, meta, touched, base=number)
+        discard(spark, found.folder, todo, parsed, *([lost] if missing else []))
         progress("committed", {"snapshot": self.number})
         return report
 

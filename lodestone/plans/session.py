@@ -10,7 +10,7 @@ from lodestone.functions.text import document_reference, query_terms
 from lodestone.operators.search import Page, Scope, numbered, page_of, rank, reason, refine
 from lodestone.plans.index import Index
 from lodestone.sources.store import SnapshotChanged
-from lodestone.sources.tables import stored
+from lodestone.sources.tables import discard, stored
 
 
 class SearchSession:
@@ -27,6 +27,7 @@ class SearchSession:
         self.documents, self.blocks = self.index.documents, self.index.blocks  # of this snapshot
         found = numbered(rank(scope.apply(self.documents), self.blocks, raw_query, all_terms=all_terms, candidates=self.index.candidates(raw_query, all_terms)))
         self.layers: list[tuple[str, DataFrame]] = [(raw_query, _layer(found.withColumn("first", F.col("position"))))]
+        discard(self.store.spark, found)
 
     def _check(self) -> None:
         if self.store.current() != self.number:
@@ -39,16 +40,18 @@ class SearchSession:
         found = stored(found.withColumnRenamed("position", "first"), "refined")  # looked at twice
         parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self.layers.append((raw_query, _layer(found.join(_dense(found.select("id", "first"), parts).withColumnRenamed("dense", "position"), "id"))))
+        discard(self.store.spark, found)
 
     def back(self) -> None:
         """Takes the last layer off; the first one stays."""
         self._check()
         if len(self.layers) > 1:
-            self.layers.pop()
+            discard(self.store.spark, self.layers.pop()[1])
 
     def reset(self) -> None:
         self._check()
-        del self.layers[1:]
+        while len(self.layers) > 1:
+            discard(self.store.spark, self.layers.pop()[1])
 
     def page(self, number: int = 1, size: int = 20) -> Page:
         """A page of the last layer with reasons and snippets; positions are counted within the layer. Snippets are made for the page's rows only."""

@@ -181,6 +181,7 @@ class Scan:
 
     entries: DataFrame
     counts: dict[str, int]
+    folder: str
 
     @property
     def files(self) -> DataFrame:
@@ -234,4 +235,4 @@ def scan_tree(spark: SparkSession, root: str, scopes: list[str] | None = None, *
         left = spark.read.schema(_ENTRY).parquet(f"{folder}/round={number}").where("kind = 'open'")
         open_ = left.select("path", F.lit(True).alias("known")).repartition(max(1, min(found["open"], 4 * spark.sparkContext.defaultParallelism)), "path")
         number += 1
-    return Scan(spark.read.schema(_ENTRY).parquet(*(f"{folder}/round={k}" for k in range(number + 1))).where("kind <> 'open'"), dict(counts))
+    return Scan(spark.read.schema(_ENTRY).parquet(*(f"{folder}/round={k}" for k in range(number + 1))).where("kind <> 'open'"), dict(counts), folder)

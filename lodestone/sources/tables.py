@@ -26,7 +26,16 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Writes df and reads it back, so that what is built on it is worked out once and survives lost executors."""
     path = path or f"{shared_dir(df.sparkSession)}/lodestone/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lodestone_path = path
+    return out
+
+
+def discard(spark: SparkSession, *done: DataFrame | str) -> None:
+    """Deletes tables of stored(), or paths, that nothing reads any more."""
+    for df in done:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df if isinstance(df, str) else df._lodestone_path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def modified(spark: SparkSession, path: str) -> int:
