@@ -344,8 +344,11 @@ class SkipChain:
 
 def train(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> SkipChain:
     """Fits the field on at most ``documents`` whole texts with a mention, those of least hash of doc_id and text; texts over SAMPLE_LONGEST teach nothing. An empty table gives the field as it is at first."""
-    some = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_LONGEST))
-    rows = some.select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "text").limit(documents).select("text").collect()
+    some = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_LONGEST)).select("text", F.xxhash64("doc_id", "text").alias("h"))
+    n = some.count()
+    if 1.2 * documents < n:  # somewhat more than are needed, whatever the table's size; repeated rows have one hash
+        some = some.where(F.col("h") < int(-(2.0**63) + 2.0**64 * 1.2 * documents / n))
+    rows = sorted(some.groupBy("h").agg(F.min("text").alias("text")).collect(), key=lambda r: r["h"])[:documents]
     texts = sorted(r["text"] for r in rows)
     return SkipChain.fit(mentions([(k, t, base_spans(t)) for k, t in enumerate(texts)]))
 
