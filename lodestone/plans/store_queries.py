@@ -107,7 +107,8 @@ def scan_listing(spark: SparkSession, sf: str) -> DataFrame:
     """The files of a tree, listed on the executors in several rounds."""
     root = os.path.join(shared_folder(spark, "scanned"), "corpus")
     write_files(_files(spark, sf), root)
-    found = scan_tree(spark, root, most=100).files
+    found = scan_tree(spark, root, most=100).files  # a table by now: the files have served
+    shutil.rmtree(os.path.dirname(root), ignore_errors=True)
     return found.select(_below("path", root).alias("path"), "filename", "extension", "size_bytes", "modified_at_ms")
 
 
