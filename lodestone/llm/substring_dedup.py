@@ -165,8 +165,10 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
                     seen.clear()
                 seen.add(k1)
                 fresh.append(i)
+        if not fresh:
+            continue
         if len(fresh) < batch.num_rows:
-            batch = batch.take(pa.array(fresh))
+            batch = batch.take(pa.array(fresh, pa.int64()))
         others = [batch.column(k) for k in range(batch.num_columns) if k != 2]
         for i, found in hashed_rows(batch.column(2)):
             if len(found) < WINDOW:

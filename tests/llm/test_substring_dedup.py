@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import substring_dedup as S
@@ -96,3 +97,9 @@ def test_range_hashes_are_of_content_only():
     h = S.RangeHash(items, S._BASES[0])
     assert h.of(np.array([0]), np.array([3])) == h.of(np.array([3]), np.array([6]))
     assert h.of(np.array([0]), np.array([3])) != h.of(np.array([3]), np.array([7]))
+
+
+def test_batches_of_texts_that_a_task_has_had():
+    text = " ".join(f"w{k}" for k in range(WINDOW + 5))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([1, 2]), pa.array([text, text + " x"])], names=["k1", "k2", "text"])
+    assert [[row for _, row in group] for group in S._documents(iter([batch, batch, batch.slice(0, 0)]))] == [[[1, 1], [2, 2]]]
