@@ -18,8 +18,12 @@ from pyspark.sql import functions as F
 PAYLOAD_BYTES, SKETCH_BITS = 64 * 1024, 8192
 SEEDS, MULTIPLIER = (0x811C9DC5, 0x9E3779B9), 0x01000193
 GRAM = 3
+#: Characters and rows whose sketches are made together.
+LOT, LOT_ROWS = 1 << 20, 500
 _PAYLOAD = "document_id long, payload int, bytes long, first int, last int, sketch array<long>"
 
+_KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+
 
 def gram_bits(points: np.ndarray) -> np.ndarray:
     """The bits of all trigrams of a text's code points, twice as many as there are trigrams."""
@@ -39,12 +43,49 @@ def term_bits(term: str) -> list[list[int]]:
     return [sorted(set(pair)) for pair in bits.T.tolist()]
 
 
-def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
-def _words(bits: np.ndarray) -> np.ndarray:
-    return np.packbits(bits, bitorder="little").view(np.int64)
+class _Sketches:
+    """Sketches of rows that come one after the other: texts are gathered and hashed together, LOT characters at a time. Trigrams never reach over a text's end."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+        self.texts: list[str] = []
+        self.owners: list[int] = []
+        self.size = 0
+        self.first: np.ndarray | None = None  # the bits of the first row, from the lot before
+
+    def row(self, *values: object) -> None:
+        self.rows.append(values)
+
+    def text(self, text: str) -> None:
+        """A text of the last row."""
+        self.texts.append(text), self.owners.append(len(self.rows) - 1)
+        self.size += len(text)
+
+    def full(self) -> bool:
+        return self.size >= LOT or len(self.rows) > LOT_ROWS
+
+    def take(self, end: bool = False) -> tuple[list[tuple], pa.ListArray]:
+        """The rows and their sketches; the last row stays, as it may get more texts, unless this is the end."""
+        bits = np.zeros((len(self.rows), SKETCH_BITS), bool)
+        points = np.frombuffer("".join(self.texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        lengths = np.array([len(x) for x in self.texts], np.int64)
+        inside = np.ones(len(points), bool)
+        ends = np.cumsum(lengths)
+        for k in range(1, GRAM):
+            inside[ends[lengths >= k] - k] = False
+        at = np.flatnonzero(inside)
+        if len(at):
+            owner = np.repeat(np.array(self.owners, np.int64), lengths)[at] * SKETCH_BITS
+            for found in gram_bits(points).reshape(len(SEEDS), -1):
+                bits.reshape(-1)[owner + found[at]] = True
+        if self.first is not None:
+            bits[0] |= self.first
+        n = len(self.rows) if end else len(self.rows) - 1
+        rows, self.rows = self.rows[:n], self.rows[n:]
+        self.first = None if end else bits[n]
+        self.texts, self.owners, self.size = [], [], 0
+        words = np.packbits(bits[:n], axis=1, bitorder="little").view(np.int64)
+        return rows, pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (SKETCH_BITS // 64)), pa.array(words.reshape(-1)))
 
 
 def payloads(blocks: DataFrame, size: int = PAYLOAD_BYTES) -> DataFrame:
@@ -52,63 +93,64 @@ def payloads(blocks: DataFrame, size: int = PAYLOAD_BYTES) -> DataFrame:
     than ``size`` characters come in pieces. first and last are the ordinals that a payload reaches from and to. Blocks stream past in order, so a task holds one payload. Null contents are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        document, number, held, first, last, bits, block, tail = None, 0, 0, 0, 0, None, None, ""
-
-        def flush() -> None:
-            nonlocal number, held, bits, block, tail
-            if bits is not None:
-                rows.append((document, number, held, first, last, _words(bits).tolist()))
-                number += 1
-            held, bits, block, tail = 0, None, None, ""
+        made = _Sketches()
+        document, number, held, first, last, block, tail = None, 0, None, 0, 0, None, ""
 
-        def table() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in _PAYLOAD.split(", ")])
+        def table(end: bool = False) -> pa.RecordBatch:
+            if made.rows:  # what is known of the last payload by now
+                made.rows[-1] = (document, number, held, first, last)
+            rows, found = made.take(end)
+            columns = list(zip(*rows)) or [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)] + [found], names=[x.split()[0] for x in _PAYLOAD.split(", ")])
 
         for batch in batches:
             for ident, ordinal, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if ident != document:
-                    flush()
-                    document, number = ident, 0
                 text = text or ""
                 for at in range(0, max(1, len(text)), size):
                     piece = text[at : at + size]
                     n = len(piece.encode("utf-8", "surrogatepass"))
-                    if bits is not None and held + n > size:
-                        flush()
-                    if bits is None:
-                        bits, first = np.zeros(SKETCH_BITS, bool), ordinal
+                    if held is None or ident != document or held + n > size:
+                        if held is not None:
+                            made.rows[-1] = (document, number, held, first, last)
+                        number = 0 if ident != document else number + 1
+                        document, held, first, block, tail = ident, 0, ordinal, None, ""
+                        made.row()
                     joined = tail + piece if block == ordinal else piece  # pieces of a block that lie together
-                    bits[gram_bits(_points(joined))] = True
+                    made.text(joined)
                     held, last, block, tail = held + n, ordinal, ordinal, joined[-(GRAM - 1) :]
-            if len(rows) >= 500:
-                yield table()
-                rows = []
-        flush()
-        if rows:
-            yield table()
+                    if made.full():
+                        yield table()
+        if made.rows:
+            yield table(True)
 
     ordered = blocks.select(F.col("document_id").cast("long"), F.col("ordinal").cast("int"), "norm_content").repartition("document_id").sortWithinPartitions("document_id", "ordinal")
     return ordered.mapInArrow(run, _PAYLOAD)
 
 
 def document_sketches(blocks: DataFrame) -> DataFrame:
-    """(document_id, sketch) over headings and contents: tasks make sketches of what they read, which are joined bit by bit."""
+    """(document_id, sketch) over headings and contents. Blocks are dealt by document and stream past in its order, so texts are shuffled once and sketches never."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = _Sketches()
+
+        def table(end: bool = False) -> pa.RecordBatch:
+            rows, found = made.take(end)
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), found], names=["document_id", "sketch"])
+
         for batch in batches:
-            found: dict[int, np.ndarray] = {}
             for ident, *texts in zip(*(c.to_pylist() for c in batch.columns)):
-                bits = found.setdefault(ident, np.zeros(SKETCH_BITS, bool))
+                if not made.rows or made.rows[-1][0] != ident:
+                    made.row(ident)
                 for text in texts:
-                    if text:
-                        bits[gram_bits(_points(text))] = True
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([_words(b).tolist() for b in found.values()], pa.list_(pa.int64()))], names=["document_id", "words"])
-
-    made = blocks.select(F.col("document_id").cast("long"), "norm_heading", "norm_content").mapInArrow(run, "document_id long, words array<long>")
-    parts = made.groupBy("document_id").agg(*(F.bit_or(F.get("words", F.lit(k))).alias(f"w{k}") for k in range(SKETCH_BITS // 64)))
-    return parts.select("document_id", F.array(*(f"w{k}" for k in range(SKETCH_BITS // 64))).alias("sketch"))
+                    for at in range(0, len(text or ""), PAYLOAD_BYTES):
+                        made.text(text[at : at + PAYLOAD_BYTES + GRAM - 1])
+                        if made.full():
+                            yield table()
+        if made.rows:
+            yield table(True)
+
+    texts = blocks.select(F.col("document_id").cast("long"), "norm_heading", "norm_content").repartition("document_id").sortWithinPartitions("document_id")
+    return texts.mapInArrow(run, "document_id long, sketch array<long>")
 
 
 def bits_set(sketch: Column) -> Column:
