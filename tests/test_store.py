@@ -157,3 +157,36 @@ def test_references_lead_to_files_or_say_why_not(spark, tmp_path):
     with pytest.raises(SourceError) as failed:
         index.resolve(rows["f2.txt"])
     assert failed.value.code == "ACTION_SOURCE_UNAVAILABLE"
+
+
+def test_parts_that_double_bring_nothing_back(spark, tmp_path):
+    root = tmp_path / "root"
+    tree(root, 20)
+    index = Index.open(spark, str(tmp_path / "store"))
+    index.sync(str(root))
+    index.store.part_bytes = 1  # the next commit doubles
+    gone = sorted(root.rglob("*.txt"))[0]
+    os.remove(gone)
+    assert index.sync(str(root))["removed"] == 1
+    ids = {r["id"] for r in index.documents.collect()}
+    assert len(ids) == 19 and index.store.manifest(index.number)["parts"] == 16
+    for table in (index.blocks, index.postings):
+        assert {r["document_id"] for r in table.select("document_id").distinct().collect()} == ids
+    keys = index.blocks.groupBy("document_id", "ordinal").count()
+    assert keys.where("count > 1").count() == 0
+
+
+def test_a_large_part_is_written_by_several_tasks(spark, tmp_path):
+    one = Store(spark, str(tmp_path / "store"), parts=2)
+    documents = one.table("documents")
+    rows = spark.range(0, 4000, 1, 8).selectExpr("id % 100 as document_id", "cast(id div 100 as int) as ordinal", "sha2(cast(id as string), 512) as norm_content")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20k")
+    try:
+        blocks = one.table("blocks").unionByName(rows, allowMissingColumns=True)
+        one.commit(documents, blocks, one.meta())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list((tmp_path / "store" / "tables" / "blocks").rglob("*.parquet"))) > 4
+    assert one.table("blocks").select("document_id", "ordinal").distinct().count() == one.table("blocks").count() == 4000
+    posted = one.table("postings")
+    assert posted.count() == posted.distinct().count() and {r["document_id"] for r in posted.select("document_id").distinct().collect()} == set(range(100))
