@@ -190,3 +190,14 @@ def test_a_large_part_is_written_by_several_tasks(spark, tmp_path):
     assert one.table("blocks").select("document_id", "ordinal").distinct().count() == one.table("blocks").count() == 4000
     posted = one.table("postings")
     assert posted.count() == posted.distinct().count() and {r["document_id"] for r in posted.select("document_id").distinct().collect()} == set(range(100))
+
+
+def test_rounds_of_a_listing_grow_with_the_logarithm(spark, tmp_path):
+    folder = tmp_path / "root"
+    for k in range(20):
+        folder = folder / f"d{k}"
+        folder.mkdir(parents=True)
+        (folder / "f.txt").write_text("x")
+    found = scan_tree(spark, str(tmp_path / "root"), most=1)
+    assert found.files.count() == found.counts["file"] == 20
+    assert len([n for n in os.listdir(found.folder.removeprefix("file:")) if n.startswith("round=")]) <= 6
