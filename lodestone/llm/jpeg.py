@@ -355,9 +355,11 @@ def _ac_refine(flat: np.ndarray, blocks: np.ndarray, bits: Bits, ss: int, se: in
 #: Bytes in a block (its AC coefficients) and in a unit of six blocks: four of luma, two of chroma.
 PER_BLOCK = 63
 PER_UNIT = 6 * PER_BLOCK
+#: Component, first and last coefficient of the scans that a payload fills, one after the other.
+BANDS = ((1, 1, 5), (1, 6, 63), (2, 1, 63), (3, 1, 63))
 _MOST_UNITS_DOWN = 65535 // 16
 _LONGEST_RUN = 32767
-_COMMENT = re.compile(rb"payload=(\d+)")
+_COMMENT = re.compile(rb"payload by scans=(\d+)")
 
 
 def _segment(marker: int, body: bytes) -> bytes:
@@ -384,38 +386,42 @@ def _runs(blocks: int) -> list[int]:
 
 
 def encode_payload(payload: bytes) -> bytes:
-    """A 4:2:0 progressive JPEG whose AC coefficients are 256 + byte, row by row through Y, Cb and Cr.
+    """A 4:2:0 progressive JPEG whose AC coefficients are 256 + byte, with the byte's highest bit as the lowest, in the order of the scans.
 
-    Nine scans: DC with two bits of approximation, luma in two spectral bands and chroma in one, then a refining scan of each.
+    Fourteen scans: DC with two bits of approximation, luma in two spectral bands and chroma in one with three, then the refining scans of each.
+    A first scan takes eight bits for a coefficient, code and value, so what repeats in a payload repeats in the file, and packing finds it.
     """
     units = max(1, -(-len(payload) // PER_UNIT))
     across = -(-units // _MOST_UNITS_DOWN)
     down = -(-units // across)
     units = across * down
-    values = np.zeros((6 * units, PER_BLOCK), np.uint8)
-    values.reshape(-1)[: len(payload)] = np.frombuffer(payload, np.uint8)
-    parts = {1: values[: 4 * units], 2: values[4 * units : 5 * units], 3: values[5 * units :]}
-    out = [b"\xff\xd8", _segment(0xFE, b"payload=%d" % len(payload)), _segment(0xDB, b"\x00" + b"\x01" * 64)]
+    values = np.zeros(PER_UNIT * units, np.uint8)
+    values[: len(payload)] = np.frombuffer(payload, np.uint8)
+    values = values << 1 | values >> 7
+    bands, at = [], 0
+    for c, ss, se in BANDS:
+        blocks = 4 * units if c == 1 else units
+        bands.append((c, ss, se, values[at : at + blocks * (se - ss + 1)].reshape(blocks, -1)))
+        at += bands[-1][3].size
+    out = [b"\xff\xd8", _segment(0xFE, b"payload by scans=%d" % len(payload)), _segment(0xDB, b"\x00" + b"\x01" * 64)]
     out.append(_segment(0xC2, struct.pack(">BHHB", 8, 16 * down, 16 * across, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])))
     zeros = np.zeros(6 * units, np.uint8)
-    out += [_codes(0, b"\x00"), _scan_head([1, 2, 3], 0, 0, 0, 1), _coded(zeros), _codes(0x10, b"\x08")]
-    for c, ss, se in ((1, 1, 5), (1, 6, 63), (2, 1, 63), (3, 1, 63)):
-        high = (parts[c][:, ss - 1 : se] >> 1) | 128  # (256 + byte) / 2 has eight bits
-        bits = np.zeros((high.size, 9), np.uint8)
-        bits[:, 1:] = np.unpackbits(high.reshape(-1, 1), axis=1)
-        out += [_scan_head([c], ss, se, 0, 1), _coded(bits.ravel())]
+    out += [_codes(0, b"\x00"), _scan_head([1, 2, 3], 0, 0, 0, 1), _coded(zeros), _codes(0x10, b"\x07")]
+    for c, ss, se, band in bands:
+        out += [_scan_head([c], ss, se, 0, 2), (band >> 2 | 64).tobytes()]  # the code 0 and (256 + byte) / 4, which has seven bits
     out += [_scan_head([1, 2, 3], 0, 0, 1, 0), _coded(zeros)]
     symbols = bytes(sorted({(r.bit_length() - 1) << 4 for n in (4 * units, units) for r in _runs(n)}))
     out.append(_codes(0x10, symbols))
     length = 1 if len(symbols) == 1 else 2
-    for c in (1, 2, 3):
-        low, at, bits = parts[c] & 1, 0, []
-        for run in _runs(len(low)):
-            size = run.bit_length() - 1
-            head = symbols.index(size << 4) << size | (run - (1 << size))
-            bits += [np.array([head >> k & 1 for k in range(length + size - 1, -1, -1)], np.uint8), low[at : at + run].ravel()]
-            at += run
-        out += [_scan_head([c], 1, 63, 1, 0), _coded(np.concatenate(bits))]
+    for al in (1, 0):
+        for c, ss, se, band in bands:
+            low, at, bits = band >> al & 1, 0, []
+            for run in _runs(len(low)):
+                size = run.bit_length() - 1
+                head = symbols.index(size << 4) << size | (run - (1 << size))
+                bits += [np.array([head >> k & 1 for k in range(length + size - 1, -1, -1)], np.uint8), low[at : at + run].ravel()]
+                at += run
+            out += [_scan_head([c], ss, se, al + 1, al), _coded(np.concatenate(bits))]
     return b"".join(out) + b"\xff\xd9"
 
 
@@ -424,5 +430,6 @@ def stored_payload(image: Image) -> bytes:
     found = _COMMENT.fullmatch(image.comment)
     if not found:
         raise BadImage("no payload")
-    values = np.concatenate([c.coefficients.reshape(-1, 64)[:, 1:].ravel() for c in image.components])
-    return (values - 256).astype(np.uint8).tobytes()[: int(found[1])]
+    flat = {c.ident: c.coefficients.reshape(-1, 64) for c in image.components}
+    values = (np.concatenate([flat[c][:, ss : se + 1].ravel() for c, ss, se in BANDS]) - 256).astype(np.uint8)
+    return (values >> 1 | values << 7).tobytes()[: int(found[1])]

@@ -370,6 +370,17 @@ def test_pixels(spark):
     assert all(got[k]["rgb"] is None for k in (2, 3, 4, 5))
 
 
+def test_images_repeat_what_payloads_repeat():
+    r = np.random.default_rng(3)
+    passage = bytes(r.integers(32, 127, 300).tolist())
+    payload = b"".join(passage + b"." * k for k in range(1, 60))
+    image = jpeg.encode_payload(payload)
+    assert len(zlib.compress(image, 9)) < len(payload) / 8
+    for size in (0, 1, 19, 20, 21, 251, 252, 253, 315, 378, 379, 378 * 4095 + 1):
+        payload = bytes(r.integers(0, 256, size, np.uint8))
+        assert jpeg.stored_payload(jpeg.decode(jpeg.encode_payload(payload))) == payload
+
+
 class Writer:
     """A plain progressive encoder for any coefficients of one component, to test the decoder's symbol-by-symbol paths."""
 
